@@ -1,0 +1,280 @@
+"""Decontamination, host rules, secrets, packing and the Jaccard join against plain versions that keep whole words."""
+
+import hashlib
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from tidemark.llm import decontaminate, jaccard, packing, rules, secrets
+from tidemark.llm.queries import tokenizer_path
+
+from .conftest import bag
+
+LOW = {i: i + 32 for i in range(65, 91)}
+
+
+def alnum(text):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(LOW))
+
+
+def spaced(text, lower=True):
+    return re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOW) if lower else text or "")
+
+
+# --- decontamination
+
+
+def overlap(text, items):
+    words, hit, names = alnum(text), set(), set()
+    for name, item in items:
+        other = alnum(item)
+        n = min(10, len(other))
+        windows = {tuple(other[i : i + n]) for i in range(len(other) - n + 1)} if n else set()
+        found = [i for i in range(len(words) - n + 1) if tuple(words[i : i + n]) in windows] if n else []
+        hit.update(j for i in found for j in range(i, i + n))
+        if found and name is not None:
+            names.add(str(name))
+    return len(words), len(hit), len(names), hashlib.sha256(",".join(sorted(names)).encode()).hexdigest(), bool(hit)
+
+
+@pytest.fixture(scope="module")
+def items(spark, sf_dir):
+    made = [(900, "word3 word4 word5"), (901, " ".join(f"word{i}" for i in range(40, 52))), (902, ""), (903, None), (904, "one two three four five six seven eight nine ten eleven"), (900, "lonely"), (None, "hello s world"), (905, "w5x5 w6x6 w7x7 w8x8 w9x9 w10x10 w11x11 w12x12 w13x13 w14x14 w15x15"), (906, "Gnu general")]
+    real = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
+    return spark.createDataFrame(real + made, "item_id long, text string")
+
+
+@pytest.mark.parametrize("most", [64 << 20, 4000])
+def test_overlaps_are_all_found(docs, rows, items, most):
+    expect = [(d, *overlap(t, [(r.item_id, r.text) for r in items.collect()])) for d, t, _ in rows]
+    assert any(x[-1] for x in expect) and not all(x[-1] for x in expect)
+    assert bag(decontaminate.digest(decontaminate.overlaps(docs, items, max_index_chars=most))) == sorted(expect, key=repr)
+
+
+def test_clean_keeps_columns_and_drops_hits(clashing, items, rows):
+    kept = decontaminate.clean(clashing, items)
+    assert kept.columns == clashing.columns
+    listed = [(r.item_id, r.text) for r in items.collect()]
+    assert kept.count() == sum(not overlap(t, listed)[-1] for _, t, _ in rows)
+
+
+def test_no_documents_or_items(docs, no_docs, items):
+    assert decontaminate.overlaps(no_docs, items).count() == 0
+    assert decontaminate.overlaps(docs, items.limit(0)).where("n_hit > 0").count() == 0
+
+
+# --- host rules
+
+
+def counted(text):
+    words = spaced(text, lower=False)
+    lines = [x for x in (text or "").split("\n") if spaced(x)]
+    windows = [tuple(words[i : i + 8]) for i in range(len(words) - 7)]
+    many = Counter(windows)
+    repeat = {j for i, w in enumerate(windows) if many[w] > 1 for j in range(i, i + 8)}
+    return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text or ""), len(lines) - len(set(lines)), len(repeat), len(lines)
+
+
+def test_rule_counts_and_verdicts(clashing, rows):
+    got = rules.judge(rules.counts(clashing))
+    expect, failed = [], []
+    for d, t, host in rows:
+        n, chars, symbols, dup, repeat, lines = counted(t)
+        base = n < 20 or 100 * repeat > 30 * n
+        failed.append((host, base or 4 * symbols > chars or 2 * dup > lines))
+        expect.append((d, n, chars, symbols, dup, repeat, base))
+    assert bag(got.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")) == sorted(expect, key=repr)
+    by_host = defaultdict(list)
+    for host, bad in failed:
+        if host is not None:
+            by_host[host].append(bad)
+    rate = np.array([np.mean(x) for x in by_host.values()])
+    m, extra = rate.mean(), rate.var() - rate.mean() * (1 - rate.mean()) * np.mean([1 / len(x) for x in by_host.values()])
+    strength = min(1e4, max(1.0, m * (1 - m) / max(extra, 1e-9) - 1))
+    shrunk = {h: (sum(x) + m * strength) / (len(x) + strength) for h, x in by_host.items()}
+    kept = sorted(((d, not bad and shrunk.get(h, 0) <= 0.5) for (d, _, h), (_, bad) in zip(rows, failed, strict=True)), key=repr)
+    assert bag(got.select("doc_id", "kept")) == kept
+
+
+def test_small_hosts_are_judged_by_the_prior(spark):
+    good, bad = " ".join(f"w{i}" for i in range(30)), "short"
+    rows = [(i, "good", good) for i in range(60)] + [(100 + i, "spam", bad) for i in range(60)] + [(300, "spam", good), (301, "tiny", good), (302, "tiny", bad)]
+    got = {r.doc_id: r for r in rules.judge(rules.counts(spark.createDataFrame(rows, "doc_id long, source string, text string"))).collect()}
+    assert got[0].kept and not got[300].kept and not got[300].base_failed and got[301].kept and not got[302].kept
+
+
+def test_rules_of_no_documents(no_docs):
+    assert rules.judge(rules.counts(no_docs)).count() == 0
+
+
+# --- secrets
+
+KEY = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+
+
+def secrets_of(text):
+    text, found = text or "", []
+    for m in re.finditer(f"(?ai:{KEY.split(')', 1)[0]}))" + KEY.split(")", 1)[1], text):
+        found += [("assign", *m.span())] if len(m[2]) >= 6 else []
+    found += [("access", *m.span()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    found += [("hex", *m.span()) for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 24]
+    return sorted(found, key=lambda x: (x[1], ["assign", "access", "hex"].index(x[0])))
+
+
+def expected_digest(rows):
+    for d, t, _ in rows:
+        found = secrets_of(t)
+        n = Counter(k for k, _, _ in found)
+        yield d, n["assign"], n["access"], n["hex"], hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in found).encode()).hexdigest()
+
+
+def test_secret_spans(clashing, rows):
+    got = secrets.digest(secrets.findings(clashing, ["doc_id"]))
+    assert bag(got.drop("spans")) == sorted(expected_digest(rows), key=repr)
+    assert got.where("spans like '%github:%'").count() == 1
+
+
+def test_ledger_skips_known_blobs(docs, rows, spark):
+    half = docs.where("doc_id % 2 = 0")
+    ledger = secrets.new_findings(half).cache()
+    texts = {t or "" for d, t, _ in rows if d is not None and d % 2 == 0}
+    assert ledger.count() == len(texts)
+    new = secrets.new_findings(docs, ledger=ledger)
+    assert new.count() == len({t or "" for _, t, _ in rows} - texts)
+    assert new.join(ledger, "blob").count() == 0
+    assert secrets.new_findings(docs, ledger=ledger, rule_version=secrets.RULE_VERSION + 1).count() == len({t or "" for _, t, _ in rows})
+    assert bag(secrets.digest(secrets.findings(docs, ["doc_id"], ledger=ledger)).drop("spans")) == sorted(expected_digest(rows), key=repr)
+
+
+def test_redaction_masks_every_span(clashing, rows):
+    got = secrets.with_length(secrets.redact(clashing))
+    assert got.columns == clashing.columns
+
+    def masked(text):
+        out, at = "", 0
+        for _, a, b in secrets.scan(text):
+            if a >= at:
+                out += text[at:a] + "[secret]"
+            at = max(at, b)
+        return out + text[at:]
+
+    expect = [(d, masked(t) if t is not None else None) for d, t, _ in rows]
+    assert bag(got.select("doc_id", "text")) == sorted(expect, key=repr)
+    assert got.where("n_chars <> length(text)").count() == 0
+
+
+def test_secrets_of_no_documents(no_docs):
+    assert secrets.findings(no_docs, ["doc_id"]).count() == 0 and secrets.redact(no_docs).count() == 0
+
+
+# --- packing
+
+
+def test_pieces_are_the_tokenizers_ids(docs, rows):
+    from tokenizers import Tokenizer
+
+    tokenizer, expect = Tokenizer.from_file(tokenizer_path()), []
+    for d, t, _ in rows:
+        ids = [*tokenizer.encode(t or "", add_special_tokens=False).ids, 0]
+        for i in range(0, len(ids), 2048):
+            part = np.array(ids[i : i + 2048], "<u4")
+            expect.append((d, i // 2048, i, len(part), zlib.crc32(part.tobytes())))
+    assert bag(packing.pieces(docs, tokenizer_path())) == sorted(expect, key=repr)
+
+
+def test_sequences_are_gapless_and_full(clashing):
+    got = packing.pack(packing.pieces(clashing, tokenizer_path()), group_pieces=200).collect()
+    held = defaultdict(list)
+    for r in got:
+        held[r.sequence_id].append((r.offset, r.length))
+    for parts in held.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 2048
+    total = sum(r.length for r in got)
+    assert len(held) <= -(-total // 2048) * 1.02 + 2
+
+
+def test_fullest_is_the_best_subset_sum():
+    rng = np.random.default_rng(7)
+    for _ in range(200):
+        lengths, room = rng.integers(1, 40, 8), int(rng.integers(5, 120))
+        best = max(s for m in range(256) if (s := sum(int(x) for i, x in enumerate(lengths) if m >> i & 1)) <= room)
+        chosen = packing.fullest(np.bincount(lengths, minlength=200), room)
+        assert sum(chosen) == best and not Counter(chosen) - Counter(lengths.tolist())
+
+
+def test_packing_of_no_documents(no_docs):
+    assert packing.pack(packing.pieces(no_docs, tokenizer_path())).count() == 0
+
+
+# --- Jaccard join
+
+
+def linked(rows):
+    sets = []
+    for _, t, _ in rows:
+        w = spaced(t)
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set())
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    by_key = defaultdict(list)
+    for i, s in enumerate(sets):
+        for x in s:
+            by_key[x].append(i)
+    for i, j in {(a, b) for v in by_key.values() for a in v for b in v if a < b}:
+        if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+            root[find(i)] = find(j)
+    low = {}
+    for i, (d, _, _) in enumerate(rows):
+        k = find(i)
+        low[k] = min(low.get(k, d), d, key=lambda x: (x is None, x))
+    return [(d, len(s), low[find(i)]) for i, ((d, _, _), s) in enumerate(zip(rows, sets, strict=True))]
+
+
+def test_components_of_linked_documents(clashing, rows):
+    expect = linked(rows)
+    assert len({c for _, _, c in expect}) < len(expect) - 5
+    assert bag(jaccard.near_duplicates(clashing)) == sorted(expect, key=repr)
+
+
+def chain(spark):
+    """Each text has one word of the one before changed, so only neighbours and near neighbours link; and a loose group."""
+    rng, texts = np.random.default_rng(3), []
+    words = [f"c{i}" for i in range(60)]
+    for i in range(40):
+        words[(i * 7) % 60] = f"n{i}"
+        texts.append(" ".join(words))
+    base = [f"b{i}" for i in range(120)]
+    for i in range(120):
+        own = list(base)
+        for j in rng.integers(0, 120, rng.integers(0, 4)):
+            own[j] = f"e{i}_{j}"
+        texts.append(" ".join(own))
+    return [(i, t, "h") for i, t in enumerate(texts)]
+
+
+def test_chains_and_loose_groups(spark):
+    made = chain(spark)
+    df = spark.createDataFrame([(d, t) for d, t, _ in made], "doc_id long, text string")
+    assert bag(jaccard.near_duplicates(df)) == sorted(linked(made), key=repr)
+
+
+def test_one_of_each_component_stays(clashing, rows):
+    kept = jaccard.one_of_each(clashing)
+    assert kept.columns == clashing.columns
+    expect = linked([(i, t, h) for i, (_, t, h) in enumerate(rows)])
+    assert kept.count() == len({c for _, _, c in expect})
+
+
+def test_join_of_no_documents(no_docs):
+    assert jaccard.near_duplicates(no_docs).count() == 0
