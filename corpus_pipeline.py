@@ -6,13 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontaminate, jaccard, packing, secrets
-from tidemark.llm.queries import table, tokenizer_path
+from tidemark.llm import decontaminate, jaccard, packing, secrets, toxicity
+from tidemark.llm.queries import table, tokenizer_path, toxicity_model
 from tidemark.llm.tables import written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def _toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity network rejects go."""
+    return toxicity.accepted(docs, toxicity_model(spark, docs, sf_dir))
+
+
 def _near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near copies stays."""
     return jaccard.one_of_each(docs)
@@ -34,6 +39,7 @@ def _packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", _toxicity),
     ("near_duplicates", _near_duplicates),
     ("decontamination", _decontamination),
     ("secrets", _secrets),
