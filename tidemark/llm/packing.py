@@ -22,18 +22,36 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .tables import written
-from .text import NOT_SPACE, slices, split
+from .text import NOT_SPACE, Words, buffers, slices, split
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long"
 
 
+_MARK = np.isin(np.arange(256), list(b".,;:!?"))
+_PLAIN = np.isin(np.arange(256), list(b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"))
+
+
 class Encoder:
     """Token ids of whole texts, with the ids of each distinct word kept for the next texts.
 
-    The tokenizer never joins what white space separates, so a text's ids are those of its words in order.
+    The tokenizer never joins what white space separates, so a text's ids are those of its words in order. Nor does it join
+    a letter or digit with the mark that ends a word, or tell capitals of A-Z from small letters (special tokens apart, which hold
+    `<|`), so words are looked up without their capitals and last mark.
     """
 
+    @staticmethod
+    def _words(column: pa.Array) -> Words:
+        data, _ = buffers(column)
+        words = split(column, NOT_SPACE, lower=b"<|" not in data.tobytes())
+        last = words.end - 1
+        parted = _MARK[words.data[last]] & _PLAIN[words.data[np.maximum(last - 1, 0)]] & (last > words.start)
+        start = np.concatenate([words.start, last[parted]])
+        end = np.concatenate([np.where(parted, last, words.end), words.end[parted]])
+        order = np.argsort(start, kind="stable")
+        rows = words.rows + np.concatenate([[0], np.cumsum(parted)])[words.rows]
+        return Words(words.data, words.offsets, start[order], end[order], rows)
+
     def __init__(self, path: str, most_ids: int = 8 << 20) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -55,7 +73,7 @@ class Encoder:
 
     def __call__(self, column: pa.Array, end: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all rows one after another, each row followed by the end id, and the rows' offsets."""
-        words = split(column, NOT_SPACE, lower=False)
+        words = self._words(column)
         keys, first, inverse = np.unique(words.hashes(), return_index=True, return_inverse=True)
         if len(self.ids) > self.most_ids:
             self._clear()

@@ -6,8 +6,8 @@ their states, and a logistic output scores the window. All overlapping windows o
 score is that of its worst window. The network is written and trained in numpy.
 
 Training reads a bounded sample: up to `Fit.rows` labelled documents, two fifths of them toxic where there are enough,
-taken in order of a hash of their id. Documents have labels, windows have not: each epoch a toxic document teaches by its currently worst windows,
-a clean one by its worst and some random ones. Only what words and characters say enters a score.
+taken in order of a hash of their id. Documents have labels, windows have not: each epoch a toxic document teaches by its currently worst window,
+a clean one by its worst and some random ones. Word and n-gram vectors start with how far their documents are toxic. Only what words and characters say enters a score.
 
 Words are `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` after lower-casing A-Z. A null or empty text is one empty window and gets the score of that.
 Labels with null ids or labels are not used; of several labels of an id the largest counts. Without any training rows, or with one
@@ -35,6 +35,7 @@ class Fit:
     inputs: int = 12
     hidden: int = 8
     epochs: int = 6
+    least_steps: int = 240
     batch: int = 256
     rate: float = 0.01
     min_docs: int = 3
@@ -298,12 +299,16 @@ class Scorer:
         return np.maximum.reduceat(p, np.searchsorted(row, np.arange(len(column)))) if len(column) else np.zeros(0, np.float32)
 
 
-def _vocabulary(hashes: np.ndarray, docs: np.ndarray, least: int, most: int) -> np.ndarray:
-    """Hashes that at least so many documents hold; of more than `most`, those of most documents."""
-    both = np.unique(np.stack([hashes, docs.astype(np.uint64)]), axis=1) if len(hashes) else np.zeros((2, 0), np.uint64)
-    keys, n = np.unique(both[0], return_counts=True)
-    keys, n = keys[n >= least], n[n >= least]
-    return np.sort(keys[np.argsort(-n, kind="stable")[:most]])
+def _evidence(toxic: np.ndarray, clean: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """How far the documents that hold something are toxic, in standard errors of the log odds."""
+    odds = np.log((toxic + 0.5) / ((y > 0).sum() + 1)) - np.log((clean + 0.5) / ((y == 0).sum() + 1))
+    return np.clip(odds / np.sqrt(1 / (toxic + 0.5) + 1 / (clean + 0.5)), -3, 6).astype(np.float32)
+
+
+def _kept(n: np.ndarray, least: int, most: int) -> np.ndarray:
+    """Places of what at least so many documents hold; of more than `most`, of that which most hold."""
+    kept = np.flatnonzero(n >= least)
+    return np.sort(kept[np.argsort(-n[kept], kind="stable")[:most]])
 
 
 def train(texts: list[str | None], labels: list[int], fit: Fit = Fit()) -> Model:
@@ -311,13 +316,17 @@ def train(texts: list[str | None], labels: list[int], fit: Fit = Fit()) -> Model
     rng = np.random.default_rng(fit.seed)
     column = pa.array(texts, pa.string())
     f, y = Features(column), np.array(labels, np.float32)
-    word_row = f.words.row
-    words = _vocabulary(f.keys[f.inverse - 1], word_row, fit.min_docs, 1 << 17)
-    first_row = np.zeros(len(f.keys), np.int64)
-    first_row[f.inverse[::-1] - 1] = word_row[::-1]
-    grams = _vocabulary(f.gram, first_row[f.owner], fit.min_docs, 1 << 18)
-    weights = _start(fit, rng)
+    pair = np.unique((f.inverse - 1) * max(1, len(y)) + f.words.row)
+    word, doc = pair // max(1, len(y)), pair % max(1, len(y))
+    toxic, clean = (np.bincount(word, weights=side[doc], minlength=len(f.keys)) for side in (y, 1 - y))
+    gram_keys, gram_of = np.unique(f.gram, return_inverse=True)
+    gram_toxic, gram_clean = (np.bincount(gram_of, weights=x[f.owner], minlength=len(gram_keys)) for x in (toxic, clean))
+    own = _kept(toxic + clean, fit.min_docs, 1 << 17)
+    part = _kept(gram_toxic + gram_clean, fit.min_docs, 1 << 18)
+    words, grams, weights = f.keys[own], gram_keys[part], _start(fit, rng)
     model = Model(fit, words, np.zeros((len(words) + 1, fit.inputs), np.float32), grams, (rng.standard_normal((len(grams) + 1, fit.inputs)) * 0.02).astype(np.float32), weights)
+    model.word_vectors[:-1, 0] = _evidence(toxic[own], clean[own], y) / 4
+    model.gram_vectors[:-1, 1] = _evidence(gram_toxic[part], gram_clean[part], y) / 4
     model.gram_vectors[-1] = 0
     if not len(y) or y.min() == y.max():
         return model
@@ -330,15 +339,21 @@ def train(texts: list[str | None], labels: list[int], fit: Fit = Fit()) -> Model
     square = {"w": np.full(len(words) + 1, 1e-6, np.float32), "g": np.full(len(grams) + 1, 1e-6, np.float32)}
     time = 0
     row, first, size = _windows(f.words.rows, fit.window, fit.step)
+    start = _inputs(model, word_at, gram_at, owner)
+    evidence = np.append(np.float32(-1), start[:, 0] + start[:, 1])
     weight = np.where(y > 0, 0.35 / max(1, (y > 0).sum()), 0.65 / max(1, (y == 0).sum())) * len(y)
-    for epoch in range(fit.epochs):
+    epoch = -1
+    while (epoch := epoch + 1) < fit.epochs or time < fit.least_steps:
         draw = rng.random(len(row))
-        if epoch:
+        if not epoch:
+            first_guess = np.concatenate([evidence[f.window(first[i : i + 4096], size[i : i + 4096], fit.window)[0]].max(axis=0) for i in range(0, len(row), 4096)])
+            draw = np.where((y[row] > 0) | (draw >= 0.5), -first_guess, draw)
+        else:
             now = Scorer(model)(column)[3]
             draw = np.where((y[row] > 0) | (draw >= 0.5), -now, draw)
         order = np.lexsort((draw, row))
         rank = np.arange(len(row)) - np.searchsorted(row[order], row[order])
-        most = np.where(y[row[order]] > 0, 4 if epoch == 0 else 1, 10)
+        most = np.where(y[row[order]] > 0, 1, 10)
         chosen = rng.permutation(order[rank < most])
         for i in range(0, len(chosen), fit.batch):
             part = chosen[i : i + fit.batch]
