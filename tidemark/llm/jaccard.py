@@ -10,9 +10,9 @@ A document's set holds its distinct five-word shingles; 100 |A & B| >= 80 |A u B
    the t - 1 longest are set aside, and only the short ones are merged (Spark's sort by list does the merge), since
    who misses all short lists cannot reach t. Candidates must then reach the overlap that their two sizes require:
    the long lists are probed by binary search for them.
-4. Merging emits no pair twice over inside a group. First each document is tried against one leader, the smallest
-   member of its longest short list; verified links collapse groups of near copies. Then only pairs of documents that are still in different
-   components are candidates, by all short lists, without a cap.
+4. Merging never emits all pairs of a group. Each document is first tried against one reference, the member of its longest short
+   list that others share most of; verified links collapse groups of near copies. What could still link inside a group is
+   found by the documents' differences from the reference (see `_inside`), what could link across groups by their short lists. There is no cap.
 
 Words are `[^\\x20\\x09-\\x0D]+` after lower-casing A-Z; a document of one to four words has its whole sequence as one
 shingle; no words or null text: empty set, linked with nothing. Shingles are compared by 64-bit hashes, sets of a class by
@@ -179,22 +179,88 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b", (F.col("n_a") + F.col("n_b")).alias("n")).mapInArrow(probe, "u binary, v binary")
 
 
+_ADDED = np.int64(0x5555555555555555)
+
+
+def _differences(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Adds linked, n_u, n_v, lone (shingles that only v has), z (size of the difference of u from v without these) and
+    diff: the parts of it that another class could share, taken away or (marked) added."""
+
+    def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            linked, z, diff = [], [], []
+            for a, b, n_u, n_v in zip(batch.column("a"), batch.column("b"), batch.column("n_u").to_pylist(), batch.column("n_v").to_pylist(), strict=True):
+                a, b = np.sort(a.values.to_numpy()), np.sort(b.values.to_numpy())
+                in_b = b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a
+                in_a = a[np.minimum(np.searchsorted(a, b), len(a) - 1)] == b
+                both = int(in_b.sum())
+                linked.append(100 * both >= percent * (n_u + n_v - both))
+                z.append(n_u + len(b) - 2 * both)
+                diff.append(np.concatenate([b[~in_a], a[~in_b] ^ _ADDED]))
+            kept = batch.select(["root", "u", "v", "n_u", "n_v", "lone"])
+            yield kept.append_column("linked", pa.array(linked, pa.bool_())).append_column("z", pa.array(z, pa.int64())).append_column("diff", pa.array(diff, pa.list_(pa.int64())))
+
+    left = sets.select(F.col("cls").alias("u"), F.col("keys").alias("a"), F.col("n").alias("n_u"))
+    right = sets.select(F.col("cls").alias("v"), F.col("keys").alias("b"), F.col("n").alias("n_v"), (F.col("n") - F.size("keys")).alias("lone"))
+    joined = pairs.join(left, "u").join(right, "v").select("root", "u", "v", "a", "b", "n_u", "n_v", "lone")
+    return joined.mapInArrow(differ, "root binary, u binary, v binary, n_u long, n_v long, lone long, linked boolean, z long, diff array<long>")
+
+
+def _inside(found: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """Pairs of one group that may link though one of them, x, is not linked to the group's reference.
+
+    With z the sizes of differences from the reference and k = (100 - percent) / (100 + percent), x and y link when
+    z_x + z_y - 2 |diff_x & diff_y| <= k (n_x + n_y). So they share t parts of their differences: a T-occurrence problem over
+    the differences, which in a group of near copies are short and rare where the sets are long and alike. As x is not linked to
+    the reference r, 2 t > z_y + k (n_r - n_y) - lone_r for its partner y; and for any partner of x, from the sizes that a
+    link allows, 2 t >= z_x + max(0, z_x - q) - q with q = k (n_x + 100 n_x / percent).
+    """
+    k = (100 - percent) / (100 + percent)
+    some = found.groupBy("root").agg(F.count(F.lit(1)).alias("size"), F.sum((~F.col("linked")).cast("int")).alias("loose")).where("size > 1 and loose > 0").select("root")
+    found = written(found.join(some, "root").join(roots.select(F.col("cls").alias("u"), F.col("root").alias("component")), "u"), "found")
+    parts = found.select("root", "u", F.explode("diff").alias("part"))
+    often = parts.groupBy("root", "part").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    shared = parts.join(often, ["root", "part"]).groupBy("u").agg(F.array_sort(F.collect_list(F.struct("df", "part"))).alias("parts"))
+    q = k * F.col("n_u") * (1 + 100 / percent)
+    of_x = F.ceil((F.col("z") + F.greatest(F.lit(0), F.col("z") - q) - q) / 2 - 1e-9)
+    of_y = F.floor((F.col("z") + k * (F.col("n_v") - F.col("n_u")) - F.col("lone")) / 2 + 1e-9) + F.when(F.col("lone") > 0, 0).otherwise(1)
+    base = found.select("root", "u", "n_u", "linked", "component", F.when(F.col("linked"), of_y).otherwise(F.greatest(F.lit(1), of_x)).cast("int").alias("t"))
+    with_parts = base.join(shared, "u").select("*", F.size("parts").alias("s")).where("t > 0 and s >= t")
+    short = with_parts.select("root", "u", "n_u", "linked", "component", F.explode(F.slice(F.col("parts.part"), 1, (F.col("s") - F.col("t") + 1).cast("int"))).alias("part"))
+    side = lambda df, at: df.select("root", *(["part"] if "part" in df.columns else []), *[F.col(c).alias(f"{c}_{at}") for c in ("u", "n_u", "linked", "component")])
+    met = side(short.where("not linked"), "x").join(side(short, "y"), ["root", "part"])
+    # classes so near a reference with shingles of its own that they need share nothing: each against its group's loose ones
+    free = side(base.where("not linked"), "x").join(side(base.where("linked and t <= 0"), "y"), "root")
+    fits = (F.col("component_x") != F.col("component_y")) & (F.col("linked_y") | (F.col("u_x") < F.col("u_y"))) & (100 * F.least("n_u_x", "n_u_y") >= percent * F.greatest("n_u_x", "n_u_y"))
+    pair = [F.col("u_x").alias("u"), F.col("u_y").alias("v")]
+    return met.where(fits).select(*pair).unionByName(free.where(fits).select(*pair)).distinct()
+
+
 def class_links(sets: DataFrame, percent: int = 80) -> DataFrame:
     """u, v: verified links between classes that connect the same classes as all links do."""
     short = sets.select("cls", "n", F.size("keys").alias("r"), F.posexplode(F.slice("keys", 1, (F.size("keys") - F.col("need") + 1).cast("int"))).alias("i", "key"))
-    lists = short.groupBy("key").agg(F.count(F.lit(1)).alias("len"), F.min("cls").alias("leader")).where("len > 1")
+    lists = short.groupBy("key").agg(F.count(F.lit(1)).alias("len"), F.max(F.struct(F.col("r") / F.col("n"), "cls"))["cls"].alias("leader")).where("len > 1")
     tries = short.join(lists, "key").where("cls != leader").groupBy("cls").agg(F.max(F.struct("len", "leader")).alias("best")).select(F.col("cls").alias("u"), F.col("best.leader").alias("v"))
-    first = written(_verified(tries, sets, percent), "links")
-    short = short.join(components(first).withColumnRenamed("u", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    tries = written(tries, "tries")
+    groups = components(tries)
+    groups = written(groups.unionByName(groups.select(F.col("root").alias("u"), "root")).distinct(), "groups")
+    votes = tries.join(groups, "u").groupBy("root", "v").agg(F.count(F.lit(1)).alias("n"))
+    references = votes.groupBy("root").agg(F.max(F.struct("n", "v"))["v"].alias("v"))
+    found = written(_differences(groups.join(references, "root").where("u != v"), sets, percent), "differences")
+    first = found.where("linked").select("u", "v")
+    named = sets.select("cls").join(components(first).withColumnRenamed("u", "cls"), "cls", "left").select("cls", F.coalesce("root", "cls").alias("root"))
+    named = written(named, "named")
+    inside = _inside(found, named, percent)
+    short = short.join(named, "cls").join(groups.select(F.col("u").alias("cls"), F.col("root").alias("grp")), "cls")
     short = written(short, "short")
-    mixed = short.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
+    mixed = short.groupBy("key").agg(F.min("grp").alias("low"), F.max("grp").alias("high")).where("low < high").select("key")
     held = short.join(mixed, "key")
-    sides = [held.select("key", *[F.col(c).alias(f"{c}_{side}") for c in ("cls", "n", "r", "i", "root")]) for side in "uv"]
-    met = sides[0].join(sides[1], "key").where("root_u < root_v")
+    sides = [held.select("key", *[F.col(c).alias(f"{c}_{side}") for c in ("cls", "n", "r", "i", "root", "grp")]) for side in "uv"]
+    met = sides[0].join(sides[1], "key").where("grp_u < grp_v and root_u != root_v")
     least = F.ceil(percent * (F.col("n_u") + F.col("n_v")) / (100 + percent))
     fits = (100 * F.least("n_u", "n_v") >= percent * F.greatest("n_u", "n_v")) & (1 + F.least(F.col("r_u") - F.col("i_u") - 1, F.col("r_v") - F.col("i_v") - 1) + F.least("i_u", "i_v") >= least)
-    pairs = met.where(fits).select(F.col("cls_u").alias("u"), F.col("cls_v").alias("v")).distinct()
-    return first.unionByName(_verified(pairs, sets, percent))
+    across = met.where(fits).select(F.col("cls_u").alias("u"), F.col("cls_v").alias("v")).distinct()
+    return first.unionByName(_verified(written(inside.unionByName(across), "pairs"), sets, percent))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
