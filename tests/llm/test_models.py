@@ -174,9 +174,7 @@ def test_scorer_equals_the_trained_network():
     model = toxicity.train(*zip(*made_texts(120, 1), strict=True), toxicity.Fit(epochs=1, least_steps=0))
     f = toxicity.Features(pa.array(texts, pa.string()))
     row, first, size, p = toxicity.Scorer(model)(pa.array(texts, pa.string()))
-    known = toxicity._find(model.grams, f.gram)
-    keep = known < len(model.grams)
-    x = toxicity._inputs(model, toxicity._find(model.words, f.keys), known[keep], f.owner[keep])
+    x = toxicity._inputs(model, toxicity._find(model.words, f.keys), *f.known_grams(model.grams))
     gates = np.concatenate([np.zeros((1, 6 * model.fit.hidden), np.float32), x @ model.weights["wx"]]).reshape(-1, 2, 3 * model.fit.hidden)
     numbers, mask = f.window(first, size, int(size.max()))
     assert np.allclose(p, toxicity._forward(model.weights, gates[numbers], mask)[0], atol=1e-5)

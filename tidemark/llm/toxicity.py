@@ -29,7 +29,7 @@ from .text import ALNUM, Words, mix, slices, split
 
 @dataclass(frozen=True)
 class Fit:
-    rows: int = 5000
+    rows: int = 4000
     window: int = 48
     step: int = 36
     inputs: int = 12
@@ -196,11 +196,23 @@ class Features:
 
     def __init__(self, column: pa.Array) -> None:
         self.words = split(column, ALNUM)
-        keys, first, inverse = np.unique(self.words.hashes(), return_index=True, return_inverse=True)
-        self.keys, self.inverse = keys, inverse + 1
-        gram, owner = char_grams(self.words, first)
-        order = np.argsort(owner, kind="stable")
-        self.gram, self.owner = gram[order], owner[order]
+        self.keys, self.first, inverse = np.unique(self.words.hashes(), return_index=True, return_inverse=True)
+        self.inverse = (inverse + 1).astype(np.int32)
+
+    def grams(self, words: int = 40_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Character n-grams of the distinct words and the words' numbers from 0, some words at a time, in their order."""
+        for i in range(0, len(self.first), words):
+            gram, owner = char_grams(self.words, self.first[i : i + words])
+            order = np.argsort(owner, kind="stable")
+            yield gram[order], owner[order] + i
+
+    def known_grams(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places in sorted keys of the n-grams that are there, and their words, in the words' order."""
+        found = [(np.zeros(0, np.int32), np.zeros(0, np.int32))]
+        for gram, owner in self.grams():
+            at = _find(keys, gram)
+            found.append((at[at < len(keys)].astype(np.int32), owner[at < len(keys)].astype(np.int32)))
+        return np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
 
     def window(self, first: np.ndarray, size: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
         at = first + np.arange(length)[:, None]
@@ -213,7 +225,7 @@ class Features:
 class Scorer:
     """A trained network with the gate inputs of the words it has met, kept for the next texts."""
 
-    def __init__(self, model: Model, most_words: int = 400_000) -> None:
+    def __init__(self, model: Model, most_words: int = 150_000) -> None:
         self.model, self.most = model, most_words
         h = model.fit.hidden
         # sigmoid(x) = (tanh(x / 2) + 1) / 2: the halves go into the weights of the two gates
@@ -319,8 +331,10 @@ def train(texts: list[str | None], labels: list[int], fit: Fit = Fit()) -> Model
     pair = np.unique((f.inverse - 1) * max(1, len(y)) + f.words.row)
     word, doc = pair // max(1, len(y)), pair % max(1, len(y))
     toxic, clean = (np.bincount(word, weights=side[doc], minlength=len(f.keys)) for side in (y, 1 - y))
-    gram_keys, gram_of = np.unique(f.gram, return_inverse=True)
-    gram_toxic, gram_clean = (np.bincount(gram_of, weights=x[f.owner], minlength=len(gram_keys)) for x in (toxic, clean))
+    gram_keys, gram_toxic, gram_clean = np.zeros(0, np.uint64), np.zeros(0), np.zeros(0)
+    for gram, owner in f.grams():
+        gram_keys, gram_of = np.unique(np.concatenate([gram_keys, gram]), return_inverse=True)
+        gram_toxic, gram_clean = (np.bincount(gram_of, weights=np.concatenate([x, side[owner]]), minlength=len(gram_keys)) for x, side in ((gram_toxic, toxic), (gram_clean, clean)))
     own = _kept(toxic + clean, fit.min_docs, 1 << 17)
     part = _kept(gram_toxic + gram_clean, fit.min_docs, 1 << 18)
     words, grams, weights = f.keys[own], gram_keys[part], _start(fit, rng)
@@ -330,17 +344,14 @@ def train(texts: list[str | None], labels: list[int], fit: Fit = Fit()) -> Model
     model.gram_vectors[-1] = 0
     if not len(y) or y.min() == y.max():
         return model
-    word_at, gram_at = _find(words, f.keys), _find(grams, f.gram)
-    known = gram_at < len(grams)
-    gram_at, owner = gram_at[known], f.owner[known]
+    word_at, (gram_at, owner) = _find(words, f.keys), f.known_grams(grams)
     n_grams = np.maximum(1, np.bincount(owner, minlength=len(f.keys))).astype(np.float32)
     gram_rows = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(f.keys)))])
     moments = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in weights.items()}
     square = {"w": np.full(len(words) + 1, 1e-6, np.float32), "g": np.full(len(grams) + 1, 1e-6, np.float32)}
     time = 0
     row, first, size = _windows(f.words.rows, fit.window, fit.step)
-    start = _inputs(model, word_at, gram_at, owner)
-    evidence = np.append(np.float32(-1), start[:, 0] + start[:, 1])
+    evidence = np.append(-1, model.word_vectors[word_at, 0] + np.bincount(owner, weights=model.gram_vectors[gram_at, 1], minlength=len(f.keys)) / n_grams)
     weight = np.where(y > 0, 0.35 / max(1, (y > 0).sum()), 0.65 / max(1, (y == 0).sum())) * len(y)
     epoch = -1
     while (epoch := epoch + 1) < fit.epochs or time < fit.least_steps:
@@ -349,7 +360,8 @@ def train(texts: list[str | None], labels: list[int], fit: Fit = Fit()) -> Model
             first_guess = np.concatenate([evidence[f.window(first[i : i + 4096], size[i : i + 4096], fit.window)[0]].max(axis=0) for i in range(0, len(row), 4096)])
             draw = np.where((y[row] > 0) | (draw >= 0.5), -first_guess, draw)
         else:
-            now = Scorer(model)(column)[3]
+            scorer = Scorer(model, 50_000)
+            now = np.concatenate([scorer(column[i : i + 200])[3] for i in range(0, len(column), 200)])
             draw = np.where((y[row] > 0) | (draw >= 0.5), -now, draw)
         order = np.lexsort((draw, row))
         rank = np.arange(len(row)) - np.searchsorted(row[order], row[order])
