@@ -70,6 +70,7 @@ class Index:
         weight = np.array([math.log((1 + len(every)) / (0.5 + df[i])) for i in range(len(vocabulary))])
         index = cls(hashes[order], weight, [[number[w] for w in words] for words in plain], [label for label, _, _ in every])
         index.triggers = np.zeros(len(vocabulary), bool)
+        telling = lambda w: (weight[w], len(vocabulary[order[w]]))  # noqa: E731  of equally rare words the longest
         index.postings, index.anchors = defaultdict(list), defaultdict(list)
         for t, (words, (_, _, keys)) in enumerate(zip(plain, every, strict=True)):
             places = []
@@ -77,9 +78,9 @@ class Index:
                 at = next(i for i in range(len(words)) if words[i : i + len(key)] == key)
                 places.append((at, at + len(key)))
             index.keys.append(places)
-            index.triggers[max((w for i, j in places for w in index.words[t][i:j]), key=lambda w: weight[w])] = True
+            index.triggers[max((w for i, j in places for w in index.words[t][i:j]), key=telling)] = True
             if t >= len(templates):
-                rare = max(range(len(words)), key=lambda i: weight[index.words[t][i]])
+                rare = max(range(len(words)), key=lambda i: telling(index.words[t][i]))
                 index.anchors[index.words[t][rare]].append((t, rare))
                 index.triggers[index.words[t][rare]] = True
             else:
