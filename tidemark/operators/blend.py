@@ -38,10 +38,10 @@ def expanding_percentiles(scores: DataFrame, blocks: int = 64) -> DataFrame:
     grid = days.select("source", "block").distinct().join(values.select("source", "bucket").distinct(), "source").join(hist, ["source", "block", "bucket"], "left").withColumn("c", F.coalesce("c", F.lit(0)))
     grid = grid.withColumn("low", F.coalesce(F.sum("c").over(W.partitionBy("source", "block").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     grid = grid.select("source", "block", "bucket", F.coalesce(F.sum("low").over(W.partitionBy("source", "bucket").orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("low"))
-    other = placed.select("source", F.col("d").alias("_d"), F.col("raw").alias("_raw"), F.col("c").alias("_c"), F.col("block").alias("_block"), F.col("bucket").alias("_bucket"))
+    other = placed.select(F.col("source").alias("_source"), F.col("d").alias("_d"), F.col("raw").alias("_raw"), F.col("c").alias("_c"), F.col("block").alias("_block"), F.col("bucket").alias("_bucket"))
     half = F.sum(F.when(F.col("_raw") < F.col("raw"), F.col("_c")).when(F.col("_raw") == F.col("raw"), F.col("_c") / 2).otherwise(0))
-    in_block = placed.join(other, (placed["source"] == other["source"]) & (F.col("block") == F.col("_block")) & (F.col("_d") < F.col("d"))).groupBy(placed["source"], "d", "raw").agg(half.alias("a"))
-    in_bucket = placed.join(other, (placed["source"] == other["source"]) & (F.col("bucket") == F.col("_bucket")) & (F.col("_block") < F.col("block"))).groupBy(placed["source"], "d", "raw").agg(half.alias("b"))
+    in_block = placed.join(other, (F.col("source") == F.col("_source")) & (F.col("block") == F.col("_block")) & (F.col("_d") < F.col("d"))).groupBy("source", "d", "raw").agg(half.alias("a"))
+    in_bucket = placed.join(other, (F.col("source") == F.col("_source")) & (F.col("bucket") == F.col("_bucket")) & (F.col("_block") < F.col("block"))).groupBy("source", "d", "raw").agg(half.alias("b"))
     keys = ["source", "d", "raw"]
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     less = placed.join(grid, ["source", "block", "bucket"]).join(in_block, keys, "left").join(in_bucket, keys, "left")

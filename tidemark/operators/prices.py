@@ -6,12 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-BY_DAY = W.partitionBy("ticker").orderBy("d")
+
+
+def by_day():
+    return W.partitionBy("ticker").orderBy("d")
 
 
 def returns(prices: DataFrame, n: int = 1) -> DataFrame:
     """Trailing return over n rows, up to and including the day."""
-    return prices.withColumn("ret", F.try_divide(F.col("close"), F.lag("close", n).over(BY_DAY)) - 1)
+    return prices.withColumn("ret", F.try_divide(F.col("close"), F.lag("close", n).over(by_day())) - 1)
 
 
 def equal_weight_index(prices: DataFrame, start: float = 100.0) -> DataFrame:
@@ -51,7 +54,7 @@ def unit_breaks(prices: DataFrame, jump: float = 4.0, tolerance: float = 0.005)
     """Adds previous (last valid close before), power and flag. A ratio of `jump` or more, or its inverse, is a break: REPAIRABLE
     where it is a power of ten within the tolerance, else UNVERIFIED. A close that is not positive and finite is INVALID."""
     ok = (F.col("close") > 0) & (F.col("close") < float("inf"))
-    previous = F.last(F.when(ok, F.col("close")), ignorenulls=True).over(BY_DAY.rowsBetween(W.unboundedPreceding, -1))
+    previous = F.last(F.when(ok, F.col("close")), ignorenulls=True).over(by_day().rowsBetween(W.unboundedPreceding, -1))
     ratio = F.try_divide(F.col("close"), F.col("previous"))
     power = F.round(F.log10("ratio")).cast("int")
     exact = F.abs(F.col("ratio") / F.pow(F.lit(10.0), F.col("power")) - 1) <= tolerance
@@ -62,7 +65,7 @@ def unit_breaks(prices: DataFrame, jump: float = 4.0, tolerance: float = 0.005)
 
 def repaired(prices: DataFrame, fields: tuple[str, ...] = ("close",)) -> DataFrame:
     """Earlier rows are rescaled by all later repairable breaks; the newest prices never change."""
-    later = F.sum(F.when(F.col("flag") == "REPAIRABLE", F.col("power")).otherwise(0)).over(BY_DAY.rowsBetween(1, W.unboundedFollowing))
+    later = F.sum(F.when(F.col("flag") == "REPAIRABLE", F.col("power")).otherwise(0)).over(by_day().rowsBetween(1, W.unboundedFollowing))
     scaled = unit_breaks(prices).withColumn("multiplier", F.pow(F.lit(10.0), F.coalesce(later, F.lit(0))))
     return scaled.select(*[(F.col(c) * F.col("multiplier")).alias(c) if c in fields else F.col(c) for c in prices.columns], "multiplier")
 
@@ -73,23 +76,23 @@ def repair_audit(prices: DataFrame) -> DataFrame:
 
 
 def trailing_mean(column: Column, rows: int, before: bool = False) -> Column:
-    return F.avg(column).over(BY_DAY.rowsBetween(-rows, -1) if before else BY_DAY.rowsBetween(1 - rows, 0))
+    return F.avg(column).over(by_day().rowsBetween(-rows, -1) if before else by_day().rowsBetween(1 - rows, 0))
 
 
 def averages(prices: DataFrame) -> DataFrame:
     """SMA10, SMA50, mean true range of closes over 20 rows (5 at least), and an exponential mean of span 20 cut after 120 rows."""
-    change = F.abs(F.col("close") - F.lag("close").over(BY_DAY))
+    change = F.abs(F.col("close") - F.lag("close").over(by_day()))
     with_change = prices.withColumn("_change", change)
-    n = F.count("_change").over(BY_DAY.rowsBetween(-19, 0))
+    n = F.count("_change").over(by_day().rowsBetween(-19, 0))
     alpha = 2 / 21
-    recent = F.collect_list("close").over(BY_DAY.rowsBetween(-119, 0))
+    recent = F.collect_list("close").over(by_day().rowsBetween(-119, 0))
     ema = F.aggregate(F.slice(recent, 2, 120), F.element_at(recent, 1), lambda acc, x: acc * (1 - alpha) + x * alpha)
     return with_change.select("ticker", "d", trailing_mean(F.col("close"), 10).alias("sma10"), trailing_mean(F.col("close"), 50).alias("sma50"), F.when(n >= 5, trailing_mean(F.col("_change"), 20)).alias("atr20"), ema.alias("ema20"))
 
 
 def volume_lift(prices: DataFrame, least: int = 30) -> DataFrame:
     """Mean volume of the last 5 rows by that of the last 61; null with fewer than `least` valid ones."""
-    ok = F.count("volume").over(BY_DAY.rowsBetween(-60, 0)) >= least
+    ok = F.count("volume").over(by_day().rowsBetween(-60, 0)) >= least
     return prices.select("ticker", "d", F.when(ok, F.try_divide(trailing_mean(F.col("volume"), 5), trailing_mean(F.col("volume"), 61))).alias("lift"))
 
 

@@ -141,10 +141,10 @@ def halves(curve: DataFrame, key: str, split) -> DataFrame:
     w = W.partitionBy(key).orderBy("d")
     train = F.col("d") <= F.lit(split).cast("date")
     marked = curve.withColumn("_train", train).withColumn("_n", F.row_number().over(W.partitionBy(key, train).orderBy("d"))).withColumn("_c", F.count(F.lit(1)).over(W.partitionBy(key, train)))
-    last_train = train & (F.lead("_train").over(w).eqNullSafe(F.lit(False)))
+    marked = marked.withColumn("_last", F.col("_train") & F.lead("_train").over(w).eqNullSafe(F.lit(False)))
     mid = F.floor((F.col("_c") + 1) / 2)
-    parts = F.array_compact(F.array(F.when(F.col("_train"), "train"), F.when(~F.col("_train") | last_train, "test"), F.when(F.col("_train") & (F.col("_n") <= mid), "half1"), F.when(F.col("_train") & (F.col("_n") >= mid), "half2")))
-    return marked.withColumn("part", F.explode(parts)).drop("_train", "_n", "_c")
+    parts = F.array_compact(F.array(F.when(F.col("_train"), "train"), F.when(~F.col("_train") | F.col("_last"), "test"), F.when(F.col("_train") & (F.col("_n") <= mid), "half1"), F.when(F.col("_train") & (F.col("_n") >= mid), "half2")))
+    return marked.withColumn("part", F.explode(parts)).drop("_train", "_n", "_c", "_last")
 
 
 def entries(trades: DataFrame) -> DataFrame:

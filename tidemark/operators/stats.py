@@ -22,15 +22,13 @@ def clustered_variance(rows: DataFrame, keys: list[str], x: str, cluster: list[s
 
 def two_way_error(rows: DataFrame, keys: list[str], x: str, a: str, b: str) -> DataFrame:
     """keys, se, how: error of the mean clustered both ways, var(a) + var(b) - var(a and b); where that is negative the stricter
-    one-way error. One shuffle of rows by grouping sets, then sums of clusters only."""
-    mean = rows.groupBy(*keys).agg(F.avg(x).alias("_m"), F.count(x).alias("_n"))
-    rest = rows.join(mean, keys).select(*keys, a, b, "_n", (F.col(x) - F.col("_m")).alias("_r"))
-    both = rest.groupBy(*keys, a, b).agg(F.sum("_r").alias("_s"), F.first("_n").alias("_n"))
-    sides = [both.groupBy(*keys, c).agg(F.sum("_s").alias("_s"), F.first("_n").alias("_n")).select(*keys, "_s", "_n", F.lit(name).alias("_k")) for c, name in ((a, "a"), (b, "b"))]
-    sides.append(both.select(*keys, "_s", "_n", F.lit("ab").alias("_k")))
-    every = sides[0].unionByName(sides[1]).unionByName(sides[2])
-    g = F.count(F.lit(1))
-    by_kind = every.groupBy(*keys, "_k").agg((F.sum(F.col("_s") * F.col("_s")) * F.when(g > 1, g / (g - 1)) / F.first(F.col("_n") * F.col("_n"))).alias("v"))
+    one-way error. One shuffle of rows, to sums and counts per (a, b); a cluster's residual sum is its sum less its count times the mean."""
+    cells = rows.groupBy(*keys, a, b).agg(F.sum(x).alias("_s"), F.count(x).alias("_c"))
+    mean = cells.groupBy(*keys).agg((F.sum("_s") / F.sum("_c")).alias("_m"), F.sum("_c").alias("_n"))
+    parts = [cells.groupBy(*keys, *by).agg(F.sum("_s").alias("_s"), F.sum("_c").alias("_c")).select(*keys, "_s", "_c", F.lit(name).alias("_k")) for name, by in (("a", [a]), ("b", [b]), ("ab", [a, b]))]
+    every = parts[0].unionByName(parts[1]).unionByName(parts[2]).join(mean, keys)
+    g, rest = F.count(F.lit(1)), F.col("_s") - F.col("_c") * F.col("_m")
+    by_kind = every.groupBy(*keys, "_k").agg((F.sum(rest * rest) * F.when(g > 1, g / (g - 1)) / F.first(F.col("_n") * F.col("_n"))).alias("v"))
     v = by_kind.groupBy(*keys).agg(*[F.max(F.when(F.col("_k") == k, F.col("v"))).alias(k) for k in ("a", "b", "ab")])
     total = F.col("a") + F.col("b") - F.col("ab")
     how = F.when(total > 0, "two-way").when(F.col("a") >= F.col("b"), "one-way a").otherwise("one-way b")

@@ -51,7 +51,8 @@ def from_chart_json(payloads: DataFrame, column: str = "payload") -> DataFrame:
     """A vendor's chart payload as rows; the date is that of the exchange (epoch seconds plus offset), not of UTC."""
     results = payloads.select(F.explode(F.from_json(column, f"struct<chart:struct<result:array<{CHART}>>>")["chart"]["result"]).alias("r"))
     quote, adjusted = F.col("r.indicators.quote")[0], F.get(F.col("r.indicators.adjclose"), 0)
-    zipped = results.select(F.col("r.meta.symbol").alias("ticker"), F.coalesce("r.meta.gmtoffset", F.lit(0)).alias("_off"), F.explode(F.arrays_zip(F.col("r.timestamp").alias("ts"), quote["close"].alias("close"), adjusted["adjclose"].alias("adj"), quote["volume"].alias("volume"))).alias("x"))
+    none = F.expr("cast(array() as array<double>)")
+    zipped = results.select(F.col("r.meta.symbol").alias("ticker"), F.coalesce("r.meta.gmtoffset", F.lit(0)).alias("_off"), F.explode(F.arrays_zip(F.col("r.timestamp").alias("ts"), quote["close"].alias("close"), F.coalesce(adjusted["adjclose"], none).alias("adj"), F.coalesce(quote["volume"], none.cast("array<bigint>")).alias("volume"))).alias("x"))
     day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor((F.col("x.ts") + F.col("_off")) / 86400).cast("int"))
     return zipped.select("ticker", day.alias("d"), F.col("x.close").alias("close"), F.coalesce("x.adj", "x.close").alias("adjclose"), F.col("x.volume").cast("double").alias("volume")).where("close > 0")
 
