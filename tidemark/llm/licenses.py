@@ -107,11 +107,10 @@ class Index:
         for t, agreed in starts.items():
             words = self.words[t]
             full = sum(self.weight[w] for w in words)
-            agreed.sort()
-            for begin, _ in agreed:
-                near = sum(v for b, v in agreed if abs(b - begin) <= slack) if len(agreed) <= 64 else full
-                if near < share * full / 2:
-                    continue
+            begins, vote = (np.array(x) for x in zip(*sorted(agreed), strict=True))
+            total = np.concatenate([[0.0], np.cumsum(vote)])
+            near = total[np.searchsorted(begins, begins + slack, side="right")] - total[np.searchsorted(begins, begins - slack)]
+            for begin in begins[near >= share * full / 2].tolist():
                 keys = [next((b for b in range(begin - slack, begin + slack + 1) if stands(words[i:j], b + i)), None) for i, j in self.keys[t]]
                 if None in keys:
                     continue
