@@ -40,8 +40,9 @@ def query(sql: str | None = None, doubles: tuple[str, ...] = (), digits: int = 6
 
 
 def market(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    p = I.prices(spark, sf_dir)
-    return p, calendar.trading_days(p)
+    """Prices and their calendar: small beside the line items they come from, and read by most steps that follow."""
+    p = I.prices(spark, sf_dir).persist()
+    return p, calendar.trading_days(p).persist()
 
 
 # --- 2.1 sources
@@ -375,7 +376,7 @@ def f19_last_close(spark, sf_dir):
 
 def placed(spark, sf_dir):
     p, cal = market(spark, sf_dir)
-    return merge.merged(I.events(spark, sf_dir), p, cal), p, cal
+    return merge.merged(I.events(spark, sf_dir), p, cal).persist(), p, cal
 
 
 MERGE = (I.PRICES, I.EVENTS, I.CALENDAR, I.ALIGNED, I.PLACED, I.STATUS)
