@@ -8,6 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -903,3 +904,226 @@ def n2_next_reads(spark, sf_dir):
     marks = e.groupBy("grp", "key").agg(F.max("d").alias("complete_to"))
     return incremental.next_reads(e.select("grp", "key").distinct(), marks, e.select("key", "d"), "2024-01-02")
 
+
+
+# --- further rows of the inventory
+
+
+@query("SELECT user_id, string_agg(CAST(event_id AS VARCHAR), chr(10) ORDER BY event_id) AS html FROM events WHERE event_type = 'view' GROUP BY 1")
+def a8_command_envelope(spark, sf_dir):
+    e = I.table(spark, sf_dir, "events")
+    command = F.struct(F.when(F.col("event_type") == "view", "insert").otherwise("settings").alias("command"), F.col("event_id").cast("string").alias("data"))
+    bodies = e.groupBy("user_id").agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("event_id", command.alias("c")))), lambda x: x["c"])).alias("body"), F.max((F.col("event_type") == "view").cast("int")).alias("any"))
+    return tables.html_of_commands(bodies.where("any = 1")).select("user_id", "html")
+
+
+@query(I.sql(I.PRICES, "SELECT ticker, d, close, n_name AS company FROM prices LEFT JOIN nation ON CAST(n_nationkey AS VARCHAR) = ticker AND n_nationkey < 10 WHERE d >= DATE '2000-01-01' AND close > 0"), ("close",), 9)
+def a9_price_feed(spark, sf_dir):
+    names = I.table(spark, sf_dir, "nation").where("n_nationkey < 10").select(F.col("n_nationkey").cast("string").alias("ticker"), F.col("n_name").alias("company"))
+    return tables.price_feed(I.prices(spark, sf_dir), names, "2000-01-01").select("ticker", "d", "close", "company")
+
+
+@query("SELECT a.s_suppkey AS a, b.s_suppkey AS b FROM supplier a JOIN supplier b ON a.s_suppkey % 50 = b.s_suppkey % 50 WHERE a.s_suppkey % 2 = 0 AND b.s_suppkey % 3 = 0")
+def a11_siblings_by_stamp(spark, sf_dir):
+    s = I.table(spark, sf_dir, "supplier").select("s_suppkey", F.format_string("out_%d_20240101_%04d.csv", "s_suppkey", F.col("s_suppkey") % 50).alias("name"))
+    found = tables.paired_by_stamp(s.where("s_suppkey % 2 = 0"), s.where("s_suppkey % 3 = 0"))
+    key = lambda c: F.regexp_extract(c, r"^out_(\d+)_", 1).cast("long")
+    return found.select(key("left_name").alias("a"), key("right_name").alias("b"))
+
+
+@query("SELECT o_orderkey, o_orderdate >= TIMESTAMP '2000-01-01' AND o_custkey % 3 > 0 AS refreshed FROM orders")
+def a14_refreshed_sources(spark, sf_dir):
+    o = I.table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderdate").alias("modified"), (F.col("o_custkey") % 3).alias("bytes"))
+    return tables.refreshed(o, "2000-01-01").select("o_orderkey", "refreshed")
+
+
+@query("SELECT doc_id, len(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))), lambda x: x <> '')) AS n FROM documents")
+def b2_lines(spark, sf_dir):
+    d = I.table(spark, sf_dir, "documents").select("doc_id", X.lines(F.col("text")).alias("t"))
+    return d.select("doc_id", F.when(F.col("t") == "", 0).otherwise(F.size(F.split("t", "\n"))).cast("long").alias("n"))
+
+
+@query("SELECT l_orderkey, l_linenumber, CAST(round_even(l_extendedprice * 100, 0) AS BIGINT) AS n FROM lineitem")
+def b6_share_counts(spark, sf_dir):
+    return I.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", X.share_count(F.format_number("l_extendedprice", 2)).alias("n"))
+
+
+@query("SELECT o_orderkey, round(o_totalprice, 2) AS value, CASE WHEN o_orderkey % 2 = 0 THEN 'NOK' ELSE 'EUR' END AS currency FROM orders", ("value",), 2)
+def b7_amounts(spark, sf_dir):
+    text = F.concat(F.when(F.col("o_orderkey") % 2 == 0, "kr ").otherwise("EUR "), F.format_number("o_totalprice", 2))
+    return I.table(spark, sf_dir, "orders").select("o_orderkey", X.amount(text).alias("a")).select("o_orderkey", "a.value", "a.currency")
+
+
+@query("SELECT c_custkey, c_custkey % 4 < 2 AS yes, CASE WHEN c_custkey % 4 = 0 THEN c_acctbal END AS x FROM customer")
+def b18_flags_and_finite_numbers(spark, sf_dir):
+    k = F.col("c_custkey") % 4
+    raw = F.when(k == 1, float("nan")).when(k == 2, float("inf")).when(k == 0, F.col("c_acctbal"))
+    return I.table(spark, sf_dir, "customer").select("c_custkey", X.is_yes(F.when(k == 0, " JA ").when(k == 1, "true").otherwise("nei")).alias("yes"), X.finite(raw).alias("x"))
+
+
+@query()
+def c2_block_measures(spark, sf_dir):
+    return pages.measured(pages.blocks(I.table(spark, sf_dir, "pages"))).select("page_id", "block_no", "chars", "link_density", "short_share", "message_hits", "menu_hits")
+
+
+@query()
+def c6_residual_text(spark, sf_dir):
+    found = pages.blocks(I.table(spark, sf_dir, "pages"))
+    return pages.residual(found, pages.boilerplate(found, share=0.02))
+
+
+@query("SELECT c_custkey AS page_id FROM customer LEFT JOIN orders ON o_orderkey = c_custkey WHERE c_custkey % 2 = 0 OR o_totalprice < 100000")
+def d6_purge_old_format(spark, sf_dir):
+    c = I.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("page_id"), F.when(F.col("c_custkey") % 2 == 0, "n").alias("node_id"))
+    return keys.purged(c, I.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("page_id"), F.col("o_totalprice").alias("bytes"))).select("page_id")
+
+
+@query("SELECT o_orderkey, c_name, c_mktsegment FROM orders LEFT JOIN customer ON o_custkey = c_custkey")
+def d7_enrich_events(spark, sf_dir):
+    c = I.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_name", "c_mktsegment")
+    return I.table(spark, sf_dir, "orders").join(c, "o_custkey", "left").select("o_orderkey", "c_name", "c_mktsegment")
+
+
+@query(I.sql(I.PRICES, "s AS (SELECT ticker, CAST(ticker AS INT) % 7 AS pr, d, close FROM prices)", "b AS (SELECT ticker FROM (SELECT ticker, pr, count(DISTINCT d) AS n FROM s GROUP BY 1, 2) WHERE n > 100 AND pr = (SELECT min(pr) FROM (SELECT pr, ticker, count(DISTINCT d) AS n FROM s GROUP BY 1, 2) WHERE n > 100) ORDER BY CAST(ticker AS INT) LIMIT 1)", "SELECT d, close AS level FROM s WHERE ticker = (SELECT ticker FROM b)"), ("level",), 9)
+def f8_reference_choice(spark, sf_dir):
+    p = I.prices(spark, sf_dir).select(F.col("ticker").alias("name"), (F.col("ticker").cast("int") % 7 * 100 + F.col("ticker").cast("int")).alias("priority"), "d", F.col("close").alias("level"))
+    return prices.reference_series(p).select("d", "level")
+
+
+TURN = "tn AS (SELECT ticker, d, avg(volume) OVER w * avg(close) OVER w AS turnover FROM prices WINDOW w AS (PARTITION BY ticker ORDER BY d ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING))"
+
+
+@query(I.sql(*MERGE, TURN, "SELECT msg_id, turnover, amount / turnover AS size, 50 * (0.75 + 0.5 * (amount / turnover) / (amount / turnover + 0.1)) AS adjusted FROM merged m LEFT JOIN tn ON tn.ticker = m.ticker AND tn.d = m.trade_d"), ("turnover", "size", "adjusted"), 4)
+def g4_liquidity(spark, sf_dir):
+    m, p, _ = placed(spark, sf_dir)
+    return merge.liquidity(m.withColumn("score", F.lit(50.0)), prices.prior_turnover(p)).select("msg_id", "turnover", "size", "adjusted")
+
+
+@query(I.sql(*MERGE, I.INDEX, I.RETURNS, "SELECT h, count(*) AS n, avg(excess) AS mean FROM rets GROUP BY 1 HAVING count(*) >= 10"), ("mean",))
+def h8_event_curve(spark, sf_dir):
+    return event_returns(spark, sf_dir).groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.avg("excess").alias("mean")).where("n >= 10")
+
+
+@query(I.sql(*MERGE, I.INDEX, I.RETURNS, "SELECT h, avg(excess) FILTER (WHERE class = 'BUY') AS buys, avg(excess) FILTER (WHERE class = 'SELL') AS sells FROM rets GROUP BY 1"), ("buys", "sells"))
+def h12_buys_against_sells(spark, sf_dir):
+    of = lambda c: F.avg(F.when(F.col("class") == c, F.col("excess")))
+    return event_returns(spark, sf_dir).groupBy("h").agg(of("BUY").alias("buys"), of("SELL").alias("sells"))
+
+
+@query(_ev(*SIGNAL_SQL, WEIGHTS, "lp AS (SELECT max(pos) AS p FROM cal), l AS (SELECT variant, ticker, w FROM wts, lp WHERE pos = p)", "SELECT * FROM l UNION ALL SELECT v0.variant, 'CASH', 1 - coalesce((SELECT sum(w) FROM l WHERE l.variant = v0.variant), 0) FROM (SELECT DISTINCT variant FROM wts) v0"), ("w",))
+def i12_end_holdings(spark, sf_dir):
+    a, _, cal = active(spark, sf_dir)
+    return signals.end_holdings(signals.weights(a), cal)
+
+
+@query()
+def i18_entries(spark, sf_dir):
+    return signals.entries(signals.trades(signals.weights(active(spark, sf_dir)[0])))
+
+
+@query()
+def i19_variant_comparison(spark, sf_dir):
+    a, al, cal = active(spark, sf_dir)
+    w = signals.weights(a)
+    moved = signals.turnover(w, al, 1.0).select("variant", "pos", "turnover")
+    rates = spark.sql("select * from values ('none', 0.0D), ('moderate', 0.0015D), ('stress', 0.008D) as r(scenario, rate)")
+    g = signals.daily_returns(w, al, cal).join(moved, ["variant", "pos"], "left").crossJoin(F.broadcast(rates))
+    g = g.withColumn("net", F.col("g") * (1 - F.col("rate") * F.coalesce("turnover", F.lit(0.0)))).withColumn("key", F.concat_ws("/", "variant", "scenario"))
+    return signals.curve_metrics(g.withColumn("value", signals.chained("net", W.partitionBy("key").orderBy("pos"))), "key")
+
+
+@query(_ev(*SIGNAL_SQL, "SELECT variant, ticker, strength FROM act WHERE d = (SELECT max(d) FROM act a2 WHERE a2.variant = act.variant)"), ("strength",))
+def i26_latest_candidates(spark, sf_dir):
+    a = active(spark, sf_dir)[0]
+    return a.join(a.groupBy("variant").agg(F.max("d").alias("d")), ["variant", "d"]).select("variant", "ticker", "strength")
+
+
+@query(I.sql(I.TRADES, "SELECT side, seq FROM trades QUALIFY row_number() OVER (PARTITION BY side ORDER BY d DESC, seq DESC, ticker) <= 40"))
+def i27_last_trades(spark, sf_dir):
+    t = I.trades(spark, sf_dir)
+    place = F.row_number().over(W.partitionBy("side").orderBy(F.desc("d"), F.desc("seq"), "ticker"))
+    return t.withColumn("place", place).where("place <= 40").select("side", "seq")
+
+
+@query("SELECT c_nationkey = 3 AND (c_custkey % 4 = 0) AS valid, count(*) AS n FROM customer GROUP BY 1")
+def i29_stored_choice_valid(spark, sf_dir):
+    c = I.table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("policy"), F.lit(None).cast("date").alias("cutoff"), F.when(F.col("c_custkey") % 4 > 0, "x").alias("override"))
+    stored = spark.sql("select 3 as policy, cast(null as date) as cutoff, cast(null as string) as override")
+    return selection.still_valid(stored, c).groupBy("valid").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT event_type AS source, CASE WHEN user_id % 5 = 0 THEN 'ticker' WHEN value < 10 THEN 'score' END AS drop_reason, count(*) AS n FROM events GROUP BY 1, 2")
+def j1_drop_reasons(spark, sf_dir):
+    e = I.table(spark, sf_dir, "events").select(F.col("event_type").alias("source"), F.col("ts").cast("date").alias("d"), F.when(F.col("user_id") % 5 == 0, " ").otherwise(F.col("user_id").cast("string")).alias("ticker"), F.when(F.col("value") < 10, float("nan")).otherwise(F.col("value")).alias("raw"))
+    return blend.with_drop_reason(e).groupBy("source", "drop_reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT event_id FROM (SELECT event_id, value, lag(value) OVER (PARTITION BY user_id ORDER BY CAST(ts AS DATE), lpad(CAST(event_id AS VARCHAR), 12, '0')) AS before FROM events) WHERE before IS NOT NULL AND 100 * (value - before) / greatest(abs(before), 0.05) >= 25")
+def j7_sentiment_events(spark, sf_dir):
+    e = I.table(spark, sf_dir, "events").select(F.col("user_id").alias("company"), F.col("ts").cast("date").alias("d"), F.lit("x").alias("title"), F.col("value").alias("final_score"), F.lpad(F.col("event_id").cast("string"), 12, "0").alias("url"))
+    return blend.sentiment_events(blend.sentiment_changes(e)).select(F.col("url").cast("long").alias("event_id"))
+
+
+@query(I.sql(*MERGE, I.INDEX, I.RETURNS, "SELECT threshold, h, count(*) AS n, avg(excess) AS mean FROM rets JOIN ev USING (msg_id), (VALUES (100000), (200000), (300000)) g(threshold) WHERE ev.amount >= threshold AND h IN (5, 20) GROUP BY 1, 2"), ("mean",))
+def j10_threshold_grid(spark, sf_dir):
+    grid = spark.sql("select * from values (100000), (200000), (300000) as g(threshold)")
+    rows = event_returns(spark, sf_dir).where("h in (5, 20)").join(I.events(spark, sf_dir).select("msg_id", "amount"), "msg_id").crossJoin(F.broadcast(grid)).where("amount >= threshold")
+    return rows.groupBy("threshold", "h").agg(F.count(F.lit(1)).alias("n"), F.avg("excess").alias("mean"))
+
+
+@query(I.sql(I.SCORES, BLEND, "pl AS (SELECT d, ticker, blend, row_number() OVER (PARTITION BY d ORDER BY round(blend, 9) DESC, ticker) AS place FROM bl)", "SELECT ticker, blend FROM pl WHERE d = (SELECT max(d) FROM bl) AND place <= 20"), ("blend",))
+def j11_latest_blend(spark, sf_dir):
+    s = I.scores(spark, sf_dir).withColumnRenamed("raw", "pct")
+    sources = spark.sql("select * from values ('view', 0.3D, 5), ('click', 0.3D, 4), ('purchase', 0.4D, 10) as s(source, weight, valid_days)")
+    return blend.latest(blend.as_of_blend(s, s.select("d").distinct(), sources)).select("ticker", "blend")
+
+
+@query("SELECT o_orderpriority AS key, avg(o_totalprice / 500000 - 0.2) AS mean_invested, avg(CASE WHEN o_totalprice / 500000 - 0.2 <= 0 THEN 1.0 ELSE 0.0 END) AS risk_off FROM orders GROUP BY 1", ("mean_invested", "risk_off"))
+def k13_exposure(spark, sf_dir):
+    return results.invested(I.table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("key"), (F.col("o_totalprice") / 500000 - 0.2).alias("invested")))
+
+
+@query("SELECT s_suppkey AS strategy, array_to_string(list_filter([CASE WHEN s_suppkey % 4 < 2 THEN 'old accounting version' END, CASE WHEN s_suppkey % 3 = 0 THEN 'not declared valid' END], lambda x: x IS NOT NULL), ',') AS errors FROM supplier")
+def k14_export_gate(spark, sf_dir):
+    k = F.col("s_suppkey")
+    s = I.table(spark, sf_dir, "supplier").select(k.alias("strategy"), F.when(k % 4 > 0, k % 4).alias("version"), F.when(k % 3 > 0, True).alias("valid"))
+    return results.export_errors(s).select("strategy", F.array_join("errors", ",").alias("errors"))
+
+
+@query(I.sql(I.NAV, OBS, "SELECT month FROM win WHERE month >= DATE '1998-05-15'"))
+def l5_selection_cutoff(spark, sf_dir):
+    cut = spark.sql("select * from values (date'1997-02-01'), (date'1998-05-15'), (cast(null as date)) as c(cutoff)")
+    return capital.common_window(observed(spark, sf_dir), cut).select("month")
+
+
+@query("SELECT s_suppkey, CASE WHEN s_suppkey % 5 = 0 THEN 'MISSING' WHEN s_suppkey % 90 - 3 > 45 OR s_suppkey % 90 - 3 < 0 THEN 'STALE' ELSE 'FRESH' END AS status, s_suppkey % 5 = 0 OR s_suppkey % 90 - 3 > 30 AS refresh FROM supplier")
+def m1_freshness(spark, sf_dir):
+    k, now = F.col("s_suppkey"), F.lit(AS_OF).cast("date")
+    last = F.when(k % 5 > 0, F.date_sub(now, (k % 90 - 3).cast("int")))
+    return I.table(spark, sf_dir, "supplier").select(k.alias("s_suppkey"), quality.freshness(last, now, 45).alias("status"), quality.needs_refresh(last, now, 30).alias("refresh"))
+
+
+@query("SELECT ticker AS strategy, CASE WHEN n > 0 THEN 'ok' ELSE 'export not readable' END AS errors FROM (SELECT CAST(n_nationkey AS VARCHAR) AS ticker, (SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey AND s_suppkey % 40 = 0) AS n FROM nation)")
+def m9_unreadable_exports(spark, sf_dir):
+    n = I.table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("strategy"))
+    s = I.table(spark, sf_dir, "supplier").where("s_suppkey % 40 = 0").select(F.col("s_nationkey").cast("string").alias("strategy"), F.array(F.lit("ok")).alias("errors")).distinct()
+    return quality.with_unreadable(n, s).select("strategy", F.array_join("errors", ",").alias("errors"))
+
+
+@query()
+def m10_why_no_text(spark, sf_dir):
+    return pages.why_no_text(pages.blocks(I.table(spark, sf_dir, "pages"))).select("page_id", "block_no", "chars", "link_density", "place")
+
+
+@query("SELECT event_type AS grp, count(DISTINCT user_id) AS keys, count(DISTINCT user_id) AS complete, min(m) AS oldest, max(m) AS newest, CAST(0 AS BIGINT) AS errors FROM (SELECT event_type, user_id, max(CAST(ts AS DATE)) AS m FROM events GROUP BY 1, 2) GROUP BY 1")
+def n6_mark_summary(spark, sf_dir):
+    from ..streaming import incremental
+
+    e = I.table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("grp"), F.col("user_id").alias("key")).agg(F.max(F.col("ts").cast("date")).alias("complete_to"))
+    return incremental.mark_summary(e.withColumn("last_error", F.lit(None).cast("string")))
+
+
+@query("SELECT source, n FROM (SELECT 'a' AS source, count(*) AS n FROM orders UNION ALL SELECT 'b', count(*) FROM lineitem)")
+def o1_bag_union(spark, sf_dir):
+    a = I.table(spark, sf_dir, "orders").select(F.lit("a").alias("source"))
+    return a.unionByName(I.table(spark, sf_dir, "lineitem").select(F.lit("b").alias("source"))).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
