@@ -224,16 +224,19 @@ def _inside(found: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
     q = k * F.col("n_u") * (1 + 100 / percent)
     of_x = F.ceil((F.col("z") + F.greatest(F.lit(0), F.col("z") - q) - q) / 2 - 1e-9)
     of_y = F.floor((F.col("z") + k * (F.col("n_v") - F.col("n_u")) - F.col("lone")) / 2 + 1e-9) + F.when(F.col("lone") > 0, 0).otherwise(1)
-    base = found.select("root", "u", "n_u", "linked", "component", F.when(F.col("linked"), of_y).otherwise(F.greatest(F.lit(1), of_x)).cast("int").alias("t"))
+    base = found.select("root", "u", "n_u", "z", "linked", "component", F.when(F.col("linked"), of_y).otherwise(F.greatest(F.lit(1), of_x)).cast("int").alias("t"))
     with_parts = base.join(shared, "u").select("*", F.size("parts").alias("s")).where("t > 0 and s >= t")
-    short = with_parts.select("root", "u", "n_u", "linked", "component", F.explode(F.slice(F.col("parts.part"), 1, (F.col("s") - F.col("t") + 1).cast("int"))).alias("part"))
-    side = lambda df, at: df.select("root", *(["part"] if "part" in df.columns else []), *[F.col(c).alias(f"{c}_{at}") for c in ("u", "n_u", "linked", "component")])
+    short = with_parts.select("root", "u", "n_u", "z", "s", "linked", "component", F.posexplode(F.slice(F.col("parts.part"), 1, (F.col("s") - F.col("t") + 1).cast("int"))).alias("i", "part"))
+    side = lambda df, at: df.select("root", *[c for c in ("part",) if c in df.columns], *[F.col(c).alias(f"{c}_{at}") for c in ("u", "n_u", "z", "s", "i", "linked", "component") if c in df.columns])
+    # what two classes can share at most, given that a part stands at these places of theirs, rarest first
+    reach = 1 + F.least("i_x", "i_y") + F.least(F.col("s_x") - F.col("i_x") - 1, F.col("s_y") - F.col("i_y") - 1)
+    enough = 2 * reach >= F.col("z_x") + F.col("z_y") - k * (F.col("n_u_x") + F.col("n_u_y")) - 1e-9
     met = side(short.where("not linked"), "x").join(side(short, "y"), ["root", "part"])
     # classes so near a reference with shingles of its own that they need share nothing: each against its group's loose ones
     free = side(base.where("not linked"), "x").join(side(base.where("linked and t <= 0"), "y"), "root")
     fits = (F.col("component_x") != F.col("component_y")) & (F.col("linked_y") | (F.col("u_x") < F.col("u_y"))) & (100 * F.least("n_u_x", "n_u_y") >= percent * F.greatest("n_u_x", "n_u_y"))
     pair = [F.col("u_x").alias("u"), F.col("u_y").alias("v")]
-    return met.where(fits).select(*pair).unionByName(free.where(fits).select(*pair)).distinct()
+    return met.where(fits & enough).select(*pair).unionByName(free.where(fits).select(*pair)).distinct()
 
 
 def class_links(sets: DataFrame, percent: int = 80) -> DataFrame:
