@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, html, jaccard, katz, licenses, packing, rules, secrets, toxicity
+from . import chat, decontaminate, html, jaccard, katz, licenses, oracles, packing, rules, secrets, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,7 +34,7 @@ def op3_min_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = rules.judge(rules.counts(table(spark, sf_dir, "documents")))
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failures", "host_rate")
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def op5_blob_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,4 +86,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_perspectives": chat.ORACLE}
+    return {"op2_winnowing": oracles.WINNOWING, "op4_host_rules": oracles.HOST_RULES, "op7_jaccard_join": oracles.JACCARD, "op9_perspectives": chat.ORACLE}
