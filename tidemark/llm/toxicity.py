@@ -199,7 +199,7 @@ class Features:
         self.keys, self.first, inverse = np.unique(self.words.hashes(), return_index=True, return_inverse=True)
         self.inverse = (inverse + 1).astype(np.int32)
 
-    def grams(self, words: int = 40_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def grams(self, words: int = 8_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Character n-grams of the distinct words and the words' numbers from 0, some words at a time, in their order."""
         for i in range(0, len(self.first), words):
             gram, owner = char_grams(self.words, self.first[i : i + words])
