@@ -33,6 +33,8 @@ from .tables import partitions, written
 from .text import NOT_SPACE, grams, mix, slices, split
 
 _TWO = np.uint64(0xA5A5B6B6C7C7D8D8)
+#: shingles of one group of classes, some 6 MB of text: what a task holds at a time
+_GROUP = 1 << 20
 
 
 def shingle_sets(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -112,14 +114,14 @@ def _group_sets(table: pa.Table, k: int) -> tuple[list[bytes], np.ndarray, np.nd
     return names.tolist(), g, rows
 
 
-def shared_sets(docs: DataFrame, text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
+def shared_sets(docs: DataFrame, n_groups: int, text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """cls, n, need, keys: per class its set size, the least overlap of a link, and the shingles that other classes hold too,
     rarest first. Classes without enough of them to be linked are absent.
 
     Frequencies are counted where a shingle's hash falls, and each group of classes asks once for each distinct shingle,
-    so no shingle is hot; the answers return in the order asked.
+    so no shingle is hot; the answers return in the order asked. A group sends a row to each of n_groups ranges in which it
+    has shingles, so n_groups follows the number of shingles, and rows stay fewer than these.
     """
-    n_groups = 3 * partitions(docs)
     texts = signatures(docs, None, text, k, texts=True).select(F.pmod(F.xxhash64("cls"), F.lit(n_groups)).alias("grp"), "cls", "text")
 
     def ask(key: tuple, table: pa.Table) -> pa.Table:
@@ -269,7 +271,9 @@ def class_links(sets: DataFrame, percent: int = 80) -> DataFrame:
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id for every row: the smallest id that links reach, itself included."""
     signed = written(signatures(docs, doc_id, text, k, texts=False), "signed")
-    sets = written(shared_sets(docs, text, k, percent), "sets")
+    shingles = signed.agg(F.sum("n_shingles")).first()[0] or 0
+    n_groups = max(partitions(docs), -(-shingles // _GROUP))
+    sets = written(shared_sets(docs, n_groups, text, k, percent), "sets")
     roots = components(class_links(sets, percent))
     classes = signed.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("low")).join(roots.withColumnRenamed("u", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     classes = written(classes, "classes")
