@@ -195,6 +195,10 @@ def test_toxicity_of_documents(spark, clashing, rows, no_docs, sf_dir):
     kept = toxicity.accepted(clashing, model, at=0.5)
     assert kept.columns == clashing.columns and kept.count() == got.where("score < cast(0.5 as float)").count()
     assert toxicity.scores(no_docs, model).count() == 0
+    some = toxicity.sampled(clashing, labels, "crc32(cast(doc_id as string)) % 3 = 1", rows=100)
+    in_a_task = toxicity.fitted(some, toxicity.Fit(epochs=1, least_steps=0))
+    assert all(np.allclose(in_a_task.weights[k], v, atol=1e-4) for k, v in model.weights.items()) and (in_a_task.grams == model.grams).all()
+    assert not len(toxicity.fitted(toxicity.sampled(no_docs, labels)).words)
     blank = toxicity.train([], [])
     assert toxicity.scores(clashing, blank).select("score").distinct().count() == 1
 

@@ -53,7 +53,7 @@ HELD = "crc32(cast(doc_id as string)) % 3 = 1"
 
 
 def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> toxicity.Model:
-    return toxicity.train(*toxicity.sample(docs, table(spark, sf_dir, "labels"), HELD))
+    return toxicity.fitted(toxicity.sampled(docs, table(spark, sf_dir, "labels"), HELD))
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

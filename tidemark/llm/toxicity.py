@@ -16,6 +16,7 @@ label only, the network stays untrained and its scores are the bias's. Repeated
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -405,17 +406,34 @@ def train(texts: list[str | None], labels: list[int], fit: Fit = Fit()) -> Model
     return model
 
 
-def sample(docs: DataFrame, labels: DataFrame, held: str | None = None, rows: int = Fit.rows, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> tuple[list, list]:
-    """Texts and labels of the training rows. held: SQL condition on doc_id of rows that are not to be learned from."""
+def sampled(docs: DataFrame, labels: DataFrame, held: str | None = None, rows: int = Fit.rows, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:
+    """doc_id, text and y of the training rows. held: SQL condition on doc_id of rows that are not to be learned from."""
     known = labels.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where("doc_id is not null and y is not null")
     known = (known.where(f"not ({held})") if held else known).groupBy("doc_id").agg(F.max("y").alias("y"))
     halves = [known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows * share // 5) for y, share in ((0, 3), (1, 2))]
     chosen = halves[0].unionByName(halves[1])
-    texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    found = texts.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).toArrow().sort_by("doc_id")
+    texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    return texts.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text", "y")
+
+
+def sample(docs: DataFrame, labels: DataFrame, held: str | None = None, rows: int = Fit.rows, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> tuple[list, list]:
+    """Texts and labels of the training rows, in order of their ids."""
+    found = sampled(docs, labels, held, rows, doc_id, text, label).toArrow().sort_by("doc_id")
     return found.column("text").to_pylist(), found.column("y").to_pylist()
 
 
+def fitted(rows: DataFrame, fit: Fit = Fit()) -> Model:
+    """The network trained on sampled rows. One task holds the bounded sample, so the driver receives the model alone."""
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = sorted((row for batch in batches for row in batch.to_pylist()), key=lambda row: row["doc_id"])
+        model = train([row["text"] for row in found], [row["y"] for row in found], fit)
+        yield pa.record_batch([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+
+    learned = rows.select("doc_id", "text", "y").repartition(1).mapInArrow(learn, "model binary").first()
+    return pickle.loads(learned["model"]) if learned else train([], [], fit)
+
+
 def scores(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id and score of every row of docs: the greatest of all its windows' scores."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
