@@ -269,6 +269,18 @@ def test_chains_and_loose_groups(spark):
     assert bag(jaccard.near_duplicates(df)) == sorted(linked(made), key=repr)
 
 
+def test_overlapping_trios_in_any_order_of_hashes(spark):
+    """Sets M+A, M+A+C and M+C of which only the outer pair is too far apart, and pairs and trios with a part removed."""
+    made = []
+    for i in range(240):
+        m, a, c = ([f"{x}{i}_{j}" for j in range(n)] for x, n in (("m", 60 + i % 5), ("a", 14 + i % 4), ("c", 13 + i % 3)))
+        texts = [a + m, a + m + c, m + c]
+        made += texts if i % 4 else texts[: 1 + i // 4 % 3]
+    rows = [(i, " ".join(t), "h") for i, t in enumerate(made)]
+    df = spark.createDataFrame([(d, t) for d, t, _ in rows], "doc_id long, text string")
+    assert bag(jaccard.near_duplicates(df)) == sorted(linked(rows), key=repr)
+
+
 def test_one_of_each_component_stays(clashing, rows):
     kept = jaccard.one_of_each(clashing)
     assert kept.columns == clashing.columns

@@ -256,7 +256,8 @@ def class_links(sets: DataFrame, percent: int = 80) -> DataFrame:
     named = sets.select("cls").join(components(first).withColumnRenamed("u", "cls"), "cls", "left").select("cls", F.coalesce("root", "cls").alias("root"))
     named = written(named, "named")
     inside = _inside(found, named, percent)
-    short = short.join(named, "cls").join(groups.select(F.col("u").alias("cls"), F.col("root").alias("grp")), "cls")
+    # a class that leads all its lists makes no try and, if nobody's best, is in no group: it is one of its own
+    short = short.join(named, "cls").join(groups.select(F.col("u").alias("cls"), F.col("root").alias("grp")), "cls", "left").withColumn("grp", F.coalesce("grp", "cls"))
     short = written(short, "short")
     mixed = short.groupBy("key").agg(F.min("grp").alias("low"), F.max("grp").alias("high")).where("low < high").select("key")
     held = short.join(mixed, "key")
