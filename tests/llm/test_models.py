@@ -268,3 +268,16 @@ def test_license_templates(spark):
     for i, (label, _, _) in enumerate(licenses.TEMPLATES):
         assert label in got[i].labels.split(",") and got[i].score == pytest.approx(1)
     assert got[100].labels == got[102].labels == "" and got[101].labels == got[103].labels == "bsd" and 0.7 <= got[101].score < 1
+
+
+def test_licenses_in_files_that_hold_many_index_words(spark):
+    """All notices in one file, and one complete notice in prose made of the words of the others."""
+    texts = {label: text for label, text, _ in licenses.TEMPLATES}
+    words = sorted({w for text in texts.values() for w in text.split()})
+    prose = lambda seed: " ".join(np.random.default_rng(seed).permutation(words * 3))
+    rows = [(0, " ".join(texts.values()), ",".join(sorted(texts))), (1, " filler ".join(texts[x] for x in ("mit", "apache", "bsd")), "apache,bsd,mit")]
+    rows += [(2 + i, f"{prose(i)} {text} {prose(100 + i)}", label) for i, (label, text) in enumerate(texts.items())]
+    got = licenses.scans(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")).collect()
+    found = {r.doc_id: {x.label: x.score for x in r.found} for r in got}
+    for i, _, labels in rows:
+        assert ",".join(sorted(found[i])) == labels and set(found[i].values()) == {1.0}

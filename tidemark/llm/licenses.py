@@ -1,8 +1,8 @@
 """License scans by a positional index of rare template words.
 
 Templates are short license texts and phrases. The index holds each template word's places; a word's weight is its inverse
-document frequency among the templates. In a file the words that are in the index are located, its highest-weight license
-words are looked up, and postings are intersected by relative position: each place votes for the file position at which
+document frequency among the templates. In a file the words that are in the index are located, all of them are looked up,
+and postings are intersected by relative position: each place votes with its word's weight for the file position at which
 the template would begin. Where the votes of a template agree its words are aligned one by one, and the template counts if its
 mandatory key phrases stand there in full.
 
@@ -88,19 +88,16 @@ class Index:
                     index.postings[w].append((t, i))
         return index
 
-    def scan(self, at: np.ndarray, word: np.ndarray, n: int, lookups: int, slack: int, share: float) -> tuple[list[tuple[int, str]], list[tuple[int, str, float]]]:
+    def scan(self, at: np.ndarray, word: np.ndarray, n: int, slack: int, share: float) -> tuple[list[tuple[int, str]], list[tuple[int, str, float]]]:
         """Places of phrases and found templates of a file of n words, whose license words `word` stand at `at`."""
         here = dict(zip(at.tolist(), word.tolist(), strict=True))
         stands = lambda words, begin: all(here.get(begin + i) == w for i, w in enumerate(words))
         places = [(p - i, self.labels[t]) for p, w in here.items() for t, i in self.anchors.get(w, ()) if stands(self.words[t], p - i)]
         best: dict[str, tuple[float, int]] = {}
-        distinct = sorted(set(here.values()), key=lambda w: -self.weight[w])[:lookups]
-        chosen = set(distinct)
         votes: dict[tuple[int, int], float] = defaultdict(float)
         for p, w in here.items():
-            if w in chosen:
-                for t, i in self.postings.get(w, ()):
-                    votes[t, p - i] += self.weight[w]
+            for t, i in self.postings.get(w, ()):
+                votes[t, p - i] += self.weight[w]
         starts = defaultdict(list)
         for (t, begin), vote in votes.items():
             starts[t].append((begin, vote))
@@ -120,7 +117,7 @@ class Index:
         return sorted(places), sorted((b, label, s) for label, (s, b) in best.items())
 
 
-def scans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", templates: list = TEMPLATES, phrases: dict[str, str] = PHRASES, lookups: int = 24, slack: int = 3, share: float = 0.7) -> DataFrame:
+def scans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", templates: list = TEMPLATES, phrases: dict[str, str] = PHRASES, slack: int = 3, share: float = 0.7) -> DataFrame:
     """Per row of docs its words, all places of phrases, and the templates found with the share of their weight that is there."""
     index = Index.build(templates, phrases)
 
@@ -135,7 +132,7 @@ def scans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", templates
             places, found = [[] for _ in n], [[] for _ in n]
             for r in np.unique(row[index.triggers[word]]).tolist():
                 own = slice(rows[r], rows[r + 1])
-                p, f = index.scan(at[own] - words.rows[r], word[own], int(n[r]), lookups, slack, share)
+                p, f = index.scan(at[own] - words.rows[r], word[own], int(n[r]), slack, share)
                 places[r] = [{"word": a, "label": x} for a, x in p]
                 found[r] = [{"word": a, "label": x, "score": s} for a, x, s in f]
             yield pa.record_batch(
