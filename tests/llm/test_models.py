@@ -121,6 +121,25 @@ def test_generated_pages(spark, sf_dir):
     assert html.extract(pages.limit(0)).count() == 0
 
 
+def test_names_that_only_describe_are_no_boilerplate():
+    head, text = "A headline", "A paragraph that is long enough to be read as the text of this page."
+    whole = [head, text]
+    lines = lambda inner: html.main_text(f"<html><head><title>t</title></head>{inner}</html>").split()
+    body = f"<h1>{head}</h1><p>{text}</p>"
+    for page in (
+        f'<body><article class="post hentry category-news tag-python">{body}</article></body>', f'<body class="single has-sidebar"><article>{body}</article></body>',
+        f'<body class="no-sidebar search-results">{body}</body>', f'<body><main class="site-main main-menu">{body}</main></body>', f'<body><div class="post hentry tag-privacy category-legal">{body}</div></body>',
+        f'<body><div class="content with-sidebar">{body}</div></body>', f'<body><article><div class="entry-header"><h1>{head}</h1></div><p>{text}</p></article></body>',
+        f'<body><div class="content"><div class="article-header"><h1>{head}</h1></div><p>{text}</p></div></body>',
+    ):
+        assert lines(page) == " ".join(whole).split(), page
+    shut = ("sidebar", "left-sidebar", "cookie-notice", "tag-list", "tags-links", "share-buttons", "site-header", "is-hidden", "entry-footer", "comment-list")
+    for name in shut:
+        assert lines(f'<body><article>{body}</article><div class="{name}"><p>{text}</p></div></body>') == " ".join(whole).split(), name
+    assert lines(f'<body><article hidden>{body}</article></body>') == []
+    assert lines(f'<body><article>{body}<div class="entry-header share"><p>{text}</p></div></article></body>') == " ".join(whole).split()
+
+
 def test_cut_has_least_cost():
     rng = np.random.default_rng(5)
     for _ in range(150):

@@ -30,7 +30,13 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 NESTED = frozenset("article aside blockquote body details dialog dl div fieldset figure footer form head header main menu nav ol section table ul button label".split())
 BAD_TAG = frozenset("nav footer header aside form menu dialog head button fieldset".split())
 GOOD_TAG = frozenset("article main".split())
+#: Their classes describe the page or post.
+UNNAMED = frozenset("body article main".split())
 _BAD = re.compile(r"(?:^|[\s_-])(?:nav(?:bar|igation)?|menu|breadcrumbs?|foot(?:er)?|head(?:er)?|masthead|side(?:bar)?|aside|ads?|adverts?(?:isement)?|advertising|banner|promo(?:tion)?|sponsor(?:ed)?|cookies?|consent|notices?|alert|gdpr|privacy|popup|modal|overlay|newsletter|subscribe|signup|login|search|share|sharing|social|related|recommend(?:ed|ations)?|more-links|tags?|widget|comments?|replies|reply|respond|disqus|pagination|pager|toolbar|copyright|legal|skip|hidden)(?:$|[\s_-]|\d)", re.IGNORECASE)
+#: The same without the names that an article's own heading has.
+_BAD_INSIDE = re.compile(_BAD.pattern.replace("head(?:er)?|", ""), re.IGNORECASE)
+#: Class tokens that tell what a page or post is about, or has, and name no container.
+_ABOUT = re.compile(r"(?:has|no|not|with|without)[-_]|(?:tag|category)[-_](?!(?:list|links?|cloud|items?|box)$)", re.IGNORECASE)
 _GOOD = re.compile(r"(?:^|[\s_-])(?:article|content|main|entry|post|story|body|text)(?:$|[\s_-]|\d)", re.IGNORECASE)
 _STOP = re.compile(r"[.!?…。:;](?:[\s\"'”’)]|$)")
 
@@ -122,7 +128,9 @@ def blocks(page: str) -> list[Block]:
             words = " ".join(named.get(k, "") for k in ("class", "id", "role"))
             unseen = "hidden" in named or named.get("aria-hidden") == "true" or "display:none" in named.get("style", "").replace(" ", "").lower()
             good = name in GOOD_TAG or (name not in ("body", "head") and _GOOD.search(words) is not None)
-            bad = name in BAD_TAG or unseen or _BAD.search(words) is not None
+            names = _BAD_INSIDE if stack[-1].good else _BAD
+            named_bad = name not in UNNAMED and any(names.search(w) and not _ABOUT.match(w) for w in words.split())
+            bad = name in BAD_TAG or unseen or named_bad
             if name == "header" and stack[-1].good:
                 bad = unseen
             number += 1
