@@ -184,6 +184,23 @@ def test_language_duplicates(spark):
     assert [r.msg_id for r in got.collect()] == ["n1"]
 
 
+def test_language_duplicates_of_long_days(spark):
+    rng = random.Random(4)
+    rows = [(rng.choice(["X", "Y", None]), day(rng.randrange(2)), rng.randrange(300), f"m{i:04}", rng.choice(["EN", "NB", "DE", None])) for i in range(1500)]
+    gone, opened = [], {}
+    for company, d, minute, msg_id, lang in sorted((r for r in rows if r[4]), key=lambda r: (r[2], r[3])):
+        waiting = opened.setdefault((company, d), [])
+        partner = next((w for w in waiting if w[2] != lang and minute - w[0] <= 3), None)
+        if partner:
+            waiting.remove(partner)
+            gone.append(partner[1] if lang == "EN" else msg_id)
+        else:
+            waiting.append((minute, msg_id, lang))
+    got = keys.language_duplicates(frame(spark, rows, "company string, d date, minute int, msg_id string, lang string").repartition(3))
+    assert sorted(r.msg_id for r in got.collect()) == sorted(gone) and len(gone) > 300
+    assert "collect_list" not in got._jdf.queryExecution().toString()
+
+
 def test_announcement_reading(spark):
     text = "Name: Jane Doe\nPosition: Chief Executive Officer\nIssuer: X ASA\nNature of transaction: Purchase of shares\nVolume: 1,035\nPrice: NOK 105.50\n\nAfter the transaction she holds 50,055 shares."
     rows = [("a", "Mandatory notification", text), ("b", "Notice", text.replace("Purchase", "Sale")), ("c", "Private placement", text), ("d", "t", "nothing here"), ("e", None, None)]

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -15,20 +19,29 @@ def first_by(rows: DataFrame, keys: list[str], order: list) -> DataFrame:
 def language_duplicates(rows: DataFrame, minutes: int = 3, keep: str = "EN") -> DataFrame:
     """msg_id of announcements that repeat another of the same company and day in another known language, at most some minutes
     apart. Greedy in order of time and id: each pairs with the first unpaired earlier one; of a pair the one not in `keep` goes
-    (the later where neither is). The fold is over one company's day."""
-    item = F.struct("minute", "msg_id", "lang")
-    days = rows.where("lang is not null and minute is not null").groupBy("company", "d").agg(F.array_sort(F.collect_list(item)).alias("items"))
-    empty = F.expr("cast(array() as array<struct<minute:int,msg_id:string,lang:string>>)")
-    start = F.struct(empty.alias("open"), F.expr("cast(array() as array<string>)").alias("gone"))
-
-    def step(acc, x):
-        partner = F.try_element_at(F.filter(acc["open"], lambda o: (o["lang"] != x["lang"]) & (x["minute"] - o["minute"] <= minutes)), F.lit(1))
-        loser = F.when(x["lang"] == keep, partner["msg_id"]).otherwise(x["msg_id"])
-        alone = F.struct(F.concat(acc["open"], F.array(x)).alias("open"), acc["gone"].alias("gone"))
-        paired = F.struct(F.filter(acc["open"], lambda o: o["msg_id"] != partner["msg_id"]).alias("open"), F.concat(acc["gone"], F.array(loser)).alias("gone"))
-        return F.when(partner.isNull(), alone).otherwise(paired)
-
-    return days.select(F.explode(F.aggregate("items", start, step)["gone"]).alias("msg_id"))
+    (the later where neither is). A company's day streams through in that order; only the last minutes' unpaired rows are held."""
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        day, open_, n = None, {}, 0
+        for batch in batches:
+            gone = []
+            for company, d, minute, msg_id, lang in zip(*(batch.column(c).to_pylist() for c in ("company", "d", "minute", "msg_id", "lang")), strict=True):
+                if day != (company, d):
+                    day, open_, n = (company, d), {}, 0
+                n += 1
+                for waiting in open_.values():
+                    while waiting and minute - waiting[0][1] > minutes:
+                        waiting.popleft()
+                first = min(((waiting[0][0], other) for other, waiting in open_.items() if waiting and other != lang), default=None)
+                if first is None:
+                    open_.setdefault(lang, deque()).append((n, minute, msg_id))
+                else:
+                    partner = open_[first[1]].popleft()
+                    gone.append(partner[2] if lang == keep else msg_id)
+            yield pa.record_batch([pa.array(gone, pa.string())], ["msg_id"])
+
+    known = rows.where("lang is not null and minute is not null").select("company", "d", "minute", F.col("msg_id").cast("string").alias("msg_id"), "lang")
+    return known.repartition("company", "d").sortWithinPartitions("company", "d", "minute", "msg_id", "lang").mapInArrow(fold, "msg_id string")
 
 
 def index_merge(old: DataFrame, new: DataFrame, key: str, values: list[str]) -> DataFrame:

@@ -225,7 +225,7 @@ def d2_first_by_key(spark, sf_dir):
 
 @query()
 def d1_language_duplicates(spark, sf_dir):
-    c = I.table(spark, sf_dir, "documents").select(F.col("source").alias("company"), F.lit("2024-01-01").cast("date").alias("d"), (F.floor(F.col("doc_id") / 20) % 1440).cast("int").alias("minute"), F.col("doc_id").cast("string").alias("msg_id"), F.upper("lang").alias("lang"))
+    c = I.table(spark, sf_dir, "documents").select(F.col("source").alias("company"), F.date_add(F.lit("2024-01-01").cast("date"), F.floor(F.col("doc_id") / (20 * 1440)).cast("int")).alias("d"), (F.floor(F.col("doc_id") / 20) % 1440).cast("int").alias("minute"), F.col("doc_id").cast("string").alias("msg_id"), F.upper("lang").alias("lang"))
     return keys.language_duplicates(c)
 
 
