@@ -1,19 +1,33 @@
-"""Where intermediate tables go, and how many partitions a size of input gets."""
+"""Where intermediate tables go, how joins meet hot keys, and what a task's Python keeps."""
 
 from __future__ import annotations
 
-import tempfile
+import ctypes
+import gc
+import sys
 import uuid
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: a key with more than this share of a table's rows is hot; there are at most 1 / HOT of them
+HOT = 0.001
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; only where that is unset (tests) a folder of this machine."""
+    """The folder that the cluster names in spark.checkpoint.dir, or that the program set as its checkpoint directory.
+
+    Where there is neither, a session on this machine alone gets one beside its warehouse; a cluster's is an error, since
+    each executor would write its part to a folder of its own.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not path and spark.sparkContext.master.split("[")[0] == "local":
+        spark.sparkContext.setCheckpointDir(f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/.checkpoints")
+        path = spark.sparkContext.getCheckpointDir()
     if not path:
-        path = tempfile.mkdtemp(prefix="tidemark-")
-        spark.sparkContext.setCheckpointDir(path)
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return path.rstrip("/")
 
 
@@ -24,6 +38,53 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def partitions(df: DataFrame) -> int:
-    """As many partitions as the session shuffles to, or as its scan has if these are more."""
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.rdd.getNumPartitions())
+def shuffled_to(spark: SparkSession) -> int:
+    """The session's number of shuffle partitions."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def small_batches(spark: SparkSession, most: str = "4m") -> None:
+    """Whole texts reach Python in Arrow batches of at most so many bytes (or one row), whatever their number."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", most)
+
+
+def trimmed(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The same work for mapInArrow; a worker that Spark keeps for its next task gives back what this one's arrays held."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from work(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        if sys.platform == "linux":
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return run
+
+
+def looked_up(rows: DataFrame, facts: DataFrame, key: str) -> DataFrame:
+    """rows left-joined with facts, which has one row per key; null keys meet nothing.
+
+    A key that holds more than HOT of all rows would land in one task. There are at most 1 / HOT such keys, whatever
+    the tables' sizes: their facts go to all tasks, and only the others' rows are shuffled. `rows` is read three times, so a
+    table written before is meant.
+    """
+    n = F.count(F.lit(1))
+    total = rows.select(n.alias("_total"))
+    hot = rows.where(F.col(key).isNotNull()).groupBy(key).agg(n.alias("_n")).crossJoin(F.broadcast(total)).where(F.col("_n") > HOT * F.col("_total"))
+    facts_of_hot = hot.select(key).join(facts, key, "left").withColumn("_hot", F.lit(True))
+    marked = rows.join(F.broadcast(facts_of_hot), key, "left")
+    done = marked.where(F.col("_hot") | F.col(key).isNull()).drop("_hot")
+    cold = marked.where(F.col("_hot").isNull() & F.col(key).isNotNull()).select(*rows.columns)
+    return done.unionByName(cold.join(facts, key, "left"))
+
+
+def met_once(rows: DataFrame, facts: DataFrame, key: str, spread: str, hot: Column) -> DataFrame:
+    """The same for rows that are read once and are wide: rows with `fact`, in one pass and one shuffle.
+
+    facts: key and fact, one row per key. hot: of facts, whether the key is hot, by counts taken before; at most 1 / HOT are.
+    spread: a binary column of rows by which those with a hot key or with none are dealt out.
+    """
+    known = facts.where(hot).select(F.col(key), F.col("fact").alias("_hot"))
+    rows = rows.join(F.broadcast(known), key, "left")
+    rows = rows.withColumn("_key", F.when(F.col("_hot").isNull(), F.coalesce(key, spread)).otherwise(F.col(spread)))
+    return rows.join(facts.where(~hot).select(F.col(key).alias("_key"), "fact"), "_key", "left").withColumn("fact", F.coalesce("fact", "_hot")).drop("_key", "_hot")

@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -114,10 +115,13 @@ def code_points(data: np.ndarray) -> np.ndarray:
     return ((data & 0xC0) != 0x80).astype(np.int64)
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """The batches, cut between rows so that a slice has at most `most` bytes of text, or one row."""
+def slices(batches: Iterator[pa.RecordBatch], column: str | tuple[str, str], most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches, cut between rows so that a slice has at most `most` bytes of text, or one row.
+
+    column: the texts' name, or the names of a struct column and of the texts in it.
+    """
     for batch in batches:
-        offsets = buffers(batch.column(column))[1]
+        offsets = buffers(batch.column(column) if isinstance(column, str) else pc.struct_field(batch.column(column[0]), column[1]))[1]
         at = 0
         while at < batch.num_rows:
             to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, side="right")) - 1)

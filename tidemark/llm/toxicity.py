@@ -6,7 +6,9 @@ their states, and a logistic output scores the window. All overlapping windows o
 score is that of its worst window. The network is written and trained in numpy.
 
 Training reads a bounded sample: up to `Fit.rows` labelled documents, two fifths of them toxic where there are enough,
-taken in order of a hash of their id. Documents have labels, windows have not: each epoch a toxic document teaches by its currently worst window,
+taken in order of a hash of their id; of several texts with one id the first in byte order. Of the words and n-grams that
+`Fit.min_docs` of its documents hold, the `Fit.most_words` and `Fit.most_grams` that most hold get vectors (None: all); what has no vector of
+its own still counts by its n-grams. Documents have labels, windows have not: each epoch a toxic document teaches by its currently worst window,
 a clean one by its worst and some random ones. Word and n-gram vectors start with how far their documents are toxic. Only what words and characters say enters a score.
 
 Words are `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` after lower-casing A-Z. A null or empty text is one empty window and gets the score of that.
@@ -22,9 +24,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .tables import trimmed
 from .text import ALNUM, Words, mix, slices, split
 
 
@@ -40,6 +44,8 @@ class Fit:
     batch: int = 256
     rate: float = 0.01
     min_docs: int = 3
+    most_words: int | None = 1 << 17
+    most_grams: int | None = 1 << 18
     seed: int = 7
 
 
@@ -226,7 +232,7 @@ class Features:
 class Scorer:
     """A trained network with the gate inputs of the words it has met, kept for the next texts."""
 
-    def __init__(self, model: Model, most_words: int = 150_000) -> None:
+    def __init__(self, model: Model, most_words: int = 100_000) -> None:
         self.model, self.most = model, most_words
         h = model.fit.hidden
         # sigmoid(x) = (tanh(x / 2) + 1) / 2: the halves go into the weights of the two gates
@@ -239,18 +245,21 @@ class Scorer:
     def _clear(self) -> None:
         self.keys, self.gates = np.zeros(0, np.uint64), np.zeros((0, 6 * self.model.fit.hidden), np.float32)
 
-    def _learn(self, words: Words, keys: np.ndarray, first: np.ndarray) -> None:
+    def _learn(self, words: Words, keys: np.ndarray, first: np.ndarray, part: int = 8_000) -> None:
         if len(self.keys) > self.most:
             self._clear()
-        new = _find(self.keys, keys) == len(self.keys)
-        gram, owner = char_grams(words, first[new])
-        gram = _find(self.model.grams, gram)
-        known = np.flatnonzero(gram < len(self.model.grams))
-        known = known[np.argsort(owner[known], kind="stable")]
-        x = _inputs(self.model, _find(self.model.words, keys[new]), gram[known], owner[known])
+        new = np.flatnonzero(_find(self.keys, keys) == len(self.keys))
+        gates = [self.gates]
+        for i in range(0, len(new), part):
+            own = new[i : i + part]
+            gram, owner = char_grams(words, first[own])
+            gram = _find(self.model.grams, gram)
+            known = np.flatnonzero(gram < len(self.model.grams))
+            known = known[np.argsort(owner[known], kind="stable")]
+            gates.append(_inputs(self.model, _find(self.model.words, keys[own]), gram[known], owner[known]) @ self.wx)
         both = np.concatenate([self.keys, keys[new]])
         order = np.argsort(both, kind="stable")
-        self.keys, self.gates = both[order], np.concatenate([self.gates, x @ self.wx])[order]
+        self.keys, self.gates = both[order], np.concatenate(gates)[order]
 
     def _run(self, numbers: np.ndarray, mask: np.ndarray | None) -> np.ndarray:
         """Probabilities of windows of words (time, window); number -1 has no input. mask is None where all are full."""
@@ -318,16 +327,16 @@ def _evidence(toxic: np.ndarray, clean: np.ndarray, y: np.ndarray) -> np.ndarray
     return np.clip(odds / np.sqrt(1 / (toxic + 0.5) + 1 / (clean + 0.5)), -3, 6).astype(np.float32)
 
 
-def _kept(n: np.ndarray, least: int, most: int) -> np.ndarray:
+def _kept(n: np.ndarray, least: int, most: int | None) -> np.ndarray:
     """Places of what at least so many documents hold; of more than `most`, of that which most hold."""
     kept = np.flatnonzero(n >= least)
     return np.sort(kept[np.argsort(-n[kept], kind="stable")[:most]])
 
 
-def train(texts: list[str | None], labels: list[int], fit: Fit = Fit()) -> Model:
+def train(texts: list[str | None] | pa.Array, labels: list[int] | np.ndarray, fit: Fit = Fit()) -> Model:
     """Fits the network to whole-text labels."""
     rng = np.random.default_rng(fit.seed)
-    column = pa.array(texts, pa.string())
+    column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
     f, y = Features(column), np.array(labels, np.float32)
     pair = np.unique((f.inverse - 1) * max(1, len(y)) + f.words.row)
     word, doc = pair // max(1, len(y)), pair % max(1, len(y))
@@ -336,22 +345,25 @@ def train(texts: list[str | None], labels: list[int], fit: Fit = Fit()) -> Model
     for gram, owner in f.grams():
         gram_keys, gram_of = np.unique(np.concatenate([gram_keys, gram]), return_inverse=True)
         gram_toxic, gram_clean = (np.bincount(gram_of, weights=np.concatenate([x, side[owner]]), minlength=len(gram_keys)) for x, side in ((gram_toxic, toxic), (gram_clean, clean)))
-    own = _kept(toxic + clean, fit.min_docs, 1 << 17)
-    part = _kept(gram_toxic + gram_clean, fit.min_docs, 1 << 18)
+    own = _kept(toxic + clean, fit.min_docs, fit.most_words)
+    part = _kept(gram_toxic + gram_clean, fit.min_docs, fit.most_grams)
     words, grams, weights = f.keys[own], gram_keys[part], _start(fit, rng)
     model = Model(fit, words, np.zeros((len(words) + 1, fit.inputs), np.float32), grams, (rng.standard_normal((len(grams) + 1, fit.inputs)) * 0.02).astype(np.float32), weights)
     model.word_vectors[:-1, 0] = _evidence(toxic[own], clean[own], y) / 4
     model.gram_vectors[:-1, 1] = _evidence(gram_toxic[part], gram_clean[part], y) / 4
     model.gram_vectors[-1] = 0
+    del pair, word, doc, gram_keys, gram_toxic, gram_clean
     if not len(y) or y.min() == y.max():
         return model
     word_at, (gram_at, owner) = _find(words, f.keys), f.known_grams(grams)
+    rows = f.words.rows
+    f.words = None  # from here on words are numbers
     n_grams = np.maximum(1, np.bincount(owner, minlength=len(f.keys))).astype(np.float32)
     gram_rows = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(f.keys)))])
     moments = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in weights.items()}
     square = {"w": np.full(len(words) + 1, 1e-6, np.float32), "g": np.full(len(grams) + 1, 1e-6, np.float32)}
     time = 0
-    row, first, size = _windows(f.words.rows, fit.window, fit.step)
+    row, first, size = _windows(rows, fit.window, fit.step)
     evidence = np.append(-1, model.word_vectors[word_at, 0] + np.bincount(owner, weights=model.gram_vectors[gram_at, 1], minlength=len(f.keys)) / n_grams)
     weight = np.where(y > 0, 0.35 / max(1, (y > 0).sum()), 0.65 / max(1, (y == 0).sum())) * len(y)
     epoch = -1
@@ -363,6 +375,7 @@ def train(texts: list[str | None], labels: list[int], fit: Fit = Fit()) -> Model
         else:
             scorer = Scorer(model, 50_000)
             now = np.concatenate([scorer(column[i : i + 200])[3] for i in range(0, len(column), 200)])
+            del scorer
             draw = np.where((y[row] > 0) | (draw >= 0.5), -now, draw)
         order = np.lexsort((draw, row))
         rank = np.arange(len(row)) - np.searchsorted(row[order], row[order])
@@ -413,7 +426,7 @@ def sampled(docs: DataFrame, labels: DataFrame, held: str | None = None, rows: i
     halves = [known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows * share // 5) for y, share in ((0, 3), (1, 2))]
     chosen = halves[0].unionByName(halves[1])
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return texts.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text", "y")
+    return texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y"))
 
 
 def sample(docs: DataFrame, labels: DataFrame, held: str | None = None, rows: int = Fit.rows, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> tuple[list, list]:
@@ -426,12 +439,17 @@ def fitted(rows: DataFrame, fit: Fit = Fit()) -> Model:
     """The network trained on sampled rows. One task holds the bounded sample, so the driver receives the model alone."""
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = sorted((row for batch in batches for row in batch.to_pylist()), key=lambda row: row["doc_id"])
-        model = train([row["text"] for row in found], [row["y"] for row in found], fit)
+        found = pa.Table.from_batches(list(batches), _ROWS).sort_by("doc_id").combine_chunks()
+        model = train(pa.concat_arrays(found.column("text").chunks or [pa.array([], pa.string())]), found.column("y").to_numpy(), fit)
         yield pa.record_batch([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
 
-    learned = rows.select("doc_id", "text", "y").repartition(1).mapInArrow(learn, "model binary").first()
-    return pickle.loads(learned["model"]) if learned else train([], [], fit)
+    learned = rows.select("doc_id", "text", "y").repartition(1).mapInArrow(trimmed(learn), "model binary").first()
+    return pickle.loads(learned["model"])
+
+
+_ROWS = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("y", pa.int32())])
+#: bytes of text that a scorer takes at a time
+_SLICE = 1 << 20
 
 
 def scores(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -440,10 +458,10 @@ def scores(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "t
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", _SLICE):
             yield pa.record_batch([batch.column("doc_id"), pa.array(scorer.worst(batch.column("text")).astype(np.float64))], ["doc_id", "score"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(score, "doc_id long, score double")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(trimmed(score), "doc_id long, score double")
 
 
 def accepted(docs: DataFrame, model: Model, text: str = "text", at: float = 0.7) -> DataFrame:
@@ -453,8 +471,8 @@ def accepted(docs: DataFrame, model: Model, text: str = "text", at: float = 0.7)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
-        for batch in slices(batches, "_text"):
-            yield batch.select(["_doc"]).filter(pa.array(scorer.worst(batch.column("_text")) < at))
+        for batch in slices(batches, ("_doc", text), _SLICE):
+            yield batch.filter(pa.array(scorer.worst(pc.struct_field(batch.column("_doc"), text)) < at))
 
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_doc"), F.col(text).alias("_text"))
-    return packed.mapInArrow(keep, packed.select("_doc").schema).select(*[F.col("_doc")[c].alias(c) for c in columns])
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_doc"))
+    return packed.mapInArrow(trimmed(keep), packed.schema).select(*[F.col("_doc")[c].alias(c) for c in columns])
