@@ -1,24 +1,27 @@
-"""Katz backoff language model: Good-Turing discounted bigrams over discounted unigrams over one unknown word.
+"""Katz backoff language model of any order: Good-Turing discounted n-grams, recursively over shorter ones, over one unknown word.
 
 P1(w) = d(c) c / N for training words; what the discounts take from all of them is the unknown word's.
-P2(w | v) = d(c) c / c(v) for bigrams seen in training, else alpha(v) P1(w); alpha(v) is exactly what the seen bigrams leave, divided
-by what their words leave in P1, so the probabilities after any v sum to 1. After an unseen v, alpha is 1. Where no
-bigram after v is discounted, c(v) + 1 takes the place of c(v), so that something is left to back off with.
+Pn(w | v) = d(c) c / c(v) for n-grams v w seen in training, else alpha(v) times P(n-1)(w | v without its first word); alpha(v) is
+exactly what the seen n-grams leave, divided by what their words leave in P(n-1), so the probabilities after any v sum to 1.
+After an unseen v, alpha is 1. Where no n-gram after v is discounted, c(v) + 1 takes the place of c(v), so that something is left
+to back off with.
 
 Counts up to 5 are discounted by Good-Turing with the usual correction; where the counts of counts give no discount in
 (0, 1), by half an occurrence, (c - 0.5) / c.
 
-How it runs. Documents are cut into blocks of whole texts; a block knows its distinct words and bigrams. Counts are held in tables
-partitioned by ranges of hash (`served`): every block sends each range the sorted keys it has, with its own counts; a
-range adds up and answers each block in the order asked. A frequent word is one key of a block, however often it
-stands there, so no range is hot, and no block holds more than its own texts. Three such tables serve a text: unigram counts,
-bigram counts, and per context what its seen bigrams hold and what their words hold in P1, from which alpha follows. Each distinct
-bigram is summed once, by the first block that has it. Blocks then evaluate every token recursively and add up per text.
-
-Words are `[^\\x20\\x09-\\x0D]+` after lower-casing A-Z, and one end token for each text; the context of a text's first token is its start.
-Keys are 64-bit hashes. A null or empty text is its end token alone. Rows with a null id are learned from where `held` is not true of them.
-Repeated rows are counted and scored one by one. An empty table gives an empty result; other columns are ignored. With nothing to
-learn from, every token is unknown and has probability 1.
+How it runs. Documents are cut once into blocks of whole texts, one row a block of a written table, so every later step reads the same
+blocks however often it is run. A block knows its distinct n-grams of each order. Counts are held in tables partitioned by
+ranges of hash (`served`): every block sends each range the sorted keys it has, with its own counts; a range adds up and answers
+each block in the order asked. A frequent word is one key of a block, however often it stands there, so no range is
+hot, and no block holds more than its own texts. Such tables serve the counts of each order, and then order by order what the
+seen n-grams of each context hold and what their words hold in the order below, from which alpha follows. Each distinct n-gram
+is summed once, by the first block that has it. Blocks then evaluate every token recursively and add up per text. A block sends
+at most one message a distinct key, so messages grow with the distinct n-grams of the blocks, not with blocks times ranges.
+
+Words are `[^\\x20\\x09-\\x0D]+` after lower-casing A-Z, and one end token for each text; before a text's first token stand as many starts as
+the order asks for. Keys are 64-bit hashes, counts 64-bit integers. A null or empty text is its end token alone. Rows with a null id
+are learned from where `held` is not true of them. Repeated rows are counted and scored one by one. An empty table gives an
+empty result; other columns are ignored. With nothing to learn from, every token is unknown and has probability 1.
 """
 
 from __future__ import annotations
@@ -27,65 +30,105 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import partitions, written
+from .tables import shuffled_to, trimmed, written
 from .text import NOT_SPACE, mix, slices, split, sums
 
 END, START = np.uint64(0x2545F4914F6CDD1D), np.uint64(0x9E6C63D0876A9A47)
+_STEP = np.uint64(0xD6E8FEB86659FD93)
 CUT = 5
 _ASKED = "kind string, range long, block long, keys binary, sums binary"
 _ANSWER = "kind string, range long, block long, sums binary, first binary"
+_RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
 # --- sums by key, served by ranges of hash
 
 
-def _planes(keys: np.ndarray) -> bytes:
-    """Sorted keys as differences, byte by byte of all, so that the shuffle's codec sees the empty high bytes together."""
-    return np.diff(keys, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+def _planes(values: np.ndarray) -> bytes:
+    """64-bit numbers byte by byte of all, so that the shuffle's codec sees the empty high bytes together."""
+    return np.ascontiguousarray(values).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _unplaned(planes: bytes, kind: str) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(8, -1).T).view(kind).ravel()
 
 
 def _keys(planes: bytes) -> np.ndarray:
-    return np.cumsum(np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(8, -1).T).view("<u8").ravel(), dtype=np.uint64)
+    """Sorted keys from their differences."""
+    return np.cumsum(_unplaned(planes, "<u8"), dtype=np.uint64)
 
 
-def asked(kind: str, block: int, keys: np.ndarray, values: np.ndarray, n_ranges: int) -> dict[str, list]:
-    """Rows that bring a block's sorted keys and their values (key, column) to the ranges they fall in."""
+def asked(kind: str, block: int, keys: np.ndarray, values: np.ndarray, n_ranges: int) -> pa.RecordBatch:
+    """Rows that bring a block's sorted keys and their values (column, key) to the ranges they fall in."""
     bounds = np.array([(b << 64) // n_ranges for b in range(1, n_ranges)], dtype=np.uint64)
     cuts = np.concatenate([[0], np.searchsorted(keys, bounds), [len(keys)]]).tolist()
     parts = [(b, a, z) for b, (a, z) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if z > a]
-    return {
-        "kind": [kind] * len(parts), "range": [b for b, _, _ in parts], "block": [block] * len(parts),
-        "keys": [_planes(keys[a:z]) for _, a, z in parts], "sums": [np.ascontiguousarray(values[a:z].T).tobytes() for _, a, z in parts],
-    }
-
+    n, is_count = len(parts), values.dtype == np.int64
+    return pa.record_batch({
+        "kind": pa.array([kind] * n, pa.string()), "range": pa.array([b for b, _, _ in parts], pa.int64()), "block": pa.array([block] * n, pa.int64()),
+        "keys": pa.array([_planes(np.diff(keys[a:z], prepend=np.uint64(0))) for _, a, z in parts], pa.binary()),
+        "sums": pa.array([_planes(values[0, a:z]) if is_count else np.ascontiguousarray(values[:, a:z]).tobytes() for _, a, z in parts], pa.binary()),
+    })
 
-def _table(rows: dict[str, list]) -> pa.Table:
-    return pa.table({"kind": pa.array(rows["kind"], pa.string()), "range": pa.array(rows["range"], pa.int64()), "block": pa.array(rows["block"], pa.int64()), "keys": pa.array(rows["keys"], pa.binary()), "sums": pa.array(rows["sums"], pa.binary())})
 
-
-def _summed(table: pa.Table, kind: type, width: int) -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray, list[int]]:
-    """A range's table by block; its sums by distinct key, each key's place among these, and the blocks' cuts."""
+def _located(table: pa.Table) -> tuple[pa.Table, np.ndarray, int, list[tuple[int, int]]]:
+    """A range's table by block; each asked key's place among the distinct ones, the number of these, and the blocks' parts."""
     table = table.sort_by("block")
     keys = [_keys(x) for x in table.column("keys").to_pylist()]
-    values = np.concatenate([np.frombuffer(x, kind).reshape(width, -1) for x in table.column("sums").to_pylist()], axis=1)
     distinct, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-    total = np.stack([np.bincount(inverse, weights=v, minlength=len(distinct)) for v in values])
-    return table, values, total, inverse, np.cumsum([0, *map(len, keys)]).tolist()
+    cuts = np.cumsum([0, *map(len, keys)]).tolist()
+    return table, inverse, len(distinct), list(zip(cuts[:-1], cuts[1:], strict=True))
+
 
+def _answered(table: pa.Table, sums_: list[bytes], first: list[bytes]) -> pa.Table:
+    return pa.table({"kind": table.column("kind"), "range": table.column("range"), "block": table.column("block"), "sums": pa.array(sums_, pa.binary()), "first": pa.array(first, pa.binary())})
 
-def _first(learned: np.ndarray, inverse: np.ndarray, n: int) -> np.ndarray:
+
+def _first(learned: np.ndarray, inverse: np.ndarray) -> np.ndarray:
     """1 where a block is the first that learned a key (blocks are in order)."""
     own = np.flatnonzero(learned)
     _, at = np.unique(inverse[own], return_index=True)
-    first = np.zeros(n, np.uint8)
+    first = np.zeros(len(inverse), np.uint8)
     first[own[at]] = 1
     return first
 
 
+def _count(key: tuple, table: pa.Table) -> pa.Table:
+    """Answers of one range of n-grams: total counts, and who is to sum them."""
+    table, inverse, n, parts = _located(table)
+    own = np.concatenate([_unplaned(x, "<i8") for x in table.column("sums").to_pylist()])
+    total = np.zeros(n, np.int64)
+    np.add.at(total, inverse, own)
+    back, first = total[inverse], _first(own > 0, inverse)
+    return _answered(table, [_planes(back[a:z]) for a, z in parts], [np.packbits(first[a:z]).tobytes() for a, z in parts])
+
+
+def _backoff(key: tuple, table: pa.Table) -> pa.Table:
+    """Answers of one range of contexts: alpha, and the divisor of its n-grams' counts (0 where unseen)."""
+    table, inverse, n, parts = _located(table)
+    values = np.concatenate([np.frombuffer(x, np.float64).reshape(3, -1) for x in table.column("sums").to_pylist()], axis=1)
+    lost, held, c = (np.bincount(inverse, weights=v, minlength=n) for v in values)
+    divisor = np.where(c > 0, c + (lost <= 0), 0.0)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        alpha = np.where(c > 0, np.maximum(lost, lost <= 0) / divisor / np.maximum(1.0 - held, 1e-300), 1.0)
+    answer = np.stack([alpha, divisor])[:, inverse]
+    return _answered(table, [np.ascontiguousarray(answer[:, a:z]).tobytes() for a, z in parts], [b""] * len(parts))
+
+
+def _spectrum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Types by count, tokens and types of the counted tables: each type by the first block that learned it."""
+    for batch in batches:
+        for kind, planes, first in zip(*(batch.column(x).to_pylist() for x in ("kind", "sums", "first")), strict=True):
+            c = _unplaned(planes, "<i8")
+            c = c[np.unpackbits(np.frombuffer(first, np.uint8), count=len(c)).astype(bool)]
+            n = np.bincount(np.minimum(c, CUT + 2), minlength=CUT + 3)
+            yield pa.record_batch([pa.array([kind]), pa.array([n.tolist()], pa.list_(pa.int64())), pa.array([int(c.sum())]), pa.array([len(c)])], ["kind", "n", "tokens", "types"])
+
+
 # --- discounts
 
 
@@ -101,191 +144,166 @@ def discounts(n: list[float], cut: int = CUT) -> list[float]:
 
 def _discounted(c: np.ndarray, d: list[float]) -> np.ndarray:
     """Counts times their discounts."""
-    return c * np.array([0.0, *d, 1.0])[np.minimum(c, len(d) + 1).astype(np.int64)]
+    return c * np.array([0.0, *d, 1.0])[np.minimum(c, len(d) + 1)]
 
 
 # --- blocks
 
 
 class Block:
-    """Tokens of some whole texts: their keys, contexts, distinct words and distinct bigrams."""
+    """Tokens of some whole texts and their distinct n-grams, order by order.
 
-    def __init__(self, texts: pa.Array, learn: np.ndarray) -> None:
-        words = split(texts, NOT_SPACE)
-        n = len(words.rows) - 1
-        self.rows = words.rows + np.arange(n + 1)
-        self.learn = np.repeat(learn, np.diff(self.rows))
+    grams[n]: sorted keys of the distinct n-grams; of[n]: each token's; lower[n], context[n]: for each distinct n-gram that of
+    the order below without its first word, and its context's place in contexts[n], the sorted keys of what stands before.
+    """
+
+    def __init__(self, row: bytes, order: int) -> None:
+        self.docs = pa.ipc.open_stream(row).read_all().combine_chunks()
+        words = split(self.docs.column("text"), NOT_SPACE)
+        n_docs = len(words.rows) - 1
+        self.rows = words.rows + np.arange(n_docs + 1)
+        self.learn = np.repeat(~self.docs.column("held_out").to_numpy(), np.diff(self.rows))
         token = np.empty(self.rows[-1], np.uint64)
-        ends = self.rows[1:] - 1
         inner = np.ones(len(token), bool)
-        inner[ends] = False
-        token[inner], token[ends] = words.hashes(), END
-        before = np.empty_like(token)
-        before[1:] = token[:-1]
-        before[self.rows[:-1]] = START
-        self.unigrams, self.word = np.unique(np.concatenate([token, [START]]), return_inverse=True)
-        self.start, self.word = self.word[-1], self.word[:-1]
-        self.context = np.empty_like(self.word)
-        self.context[1:] = self.word[:-1]
-        self.context[self.rows[:-1]] = self.start
-        self.bigrams, at, self.pair = np.unique(mix(before * np.uint64(0xD6E8FEB86659FD93) + token), return_index=True, return_inverse=True)
-        self.pair_word, self.pair_context = self.word[at], self.context[at]
-
-    def counts(self) -> tuple[np.ndarray, np.ndarray]:
-        """Training counts of the distinct words and bigrams; the start's is that of its training texts."""
-        one = np.bincount(self.word[self.learn], minlength=len(self.unigrams)).astype(np.int32)
-        one[self.start] = int(self.learn[self.rows[:-1]].sum())
-        return one, np.bincount(self.pair[self.learn], minlength=len(self.bigrams)).astype(np.int32)
-
-
-def _cut(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[int, pa.RecordBatch]]:
-    """A task's rows in blocks of bounded text, with numbers that are the same whenever the task is run."""
-    from pyspark import TaskContext
-
-    task = TaskContext.get().partitionId()
-    for number, batch in enumerate(slices(batches, "text", most)):
-        yield (task << 32) + number, batch
-
-
-def scores(docs: DataFrame, held: str = "false", doc_id: str = "doc_id", text: str = "text", block_bytes: int = 8 << 20) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of docs.
+        inner[self.rows[1:] - 1] = False
+        token[inner], token[~inner] = words.hashes(), END
+        self.grams, self.of, self.lower, self.contexts, self.context = {}, {}, {}, {}, {}
+        self.grams[1], self.of[1] = np.unique(token, return_inverse=True)
+        before, place = np.zeros(len(token), np.uint64), np.arange(len(token)) - np.repeat(self.rows[:-1], np.diff(self.rows))
+        for n in range(2, order + 1):
+            # the key of a context grows by the word before it, or by a start
+            far = np.full(len(token), START)
+            far[n - 1 :] = np.where(place[n - 1 :] >= n - 1, token[: len(token) - n + 1], START)
+            before = mix(before + far * _STEP + np.uint64(n))
+            self.contexts[n], of_context = np.unique(before, return_inverse=True)
+            self.grams[n], at, self.of[n] = np.unique(mix(before * _STEP + token), return_index=True, return_inverse=True)
+            self.lower[n], self.context[n] = self.of[n - 1][at], of_context[at]
+
+    def counts(self, n: int) -> np.ndarray:
+        return np.bincount(self.of[n][self.learn], minlength=len(self.grams[n])).astype(np.int64)
+
+
+class Model:
+    """What the driver knows of the counts: discounts of each order, tokens, types, and the unknown word's probability."""
+
+    def __init__(self, facts: dict[str, dict], order: int) -> None:
+        self.order = order
+        spread = {n: [facts.get(f"n{n}", {}).get(f"n{r}") or 0.0 for r in range(1, CUT + 2)] for n in range(1, order + 1)}
+        self.d = {n: discounts(x) for n, x in spread.items()}
+        self.n_tokens, self.n_types = (facts.get("n1", {}).get(x) or 0 for x in ("tokens", "types"))
+        kept = 1.0 - sum(r * s * (1 - d) for r, s, d in zip(range(1, CUT + 1), spread[1], self.d[1], strict=False)) / self.n_tokens if self.n_tokens else 0.0
+        self.unknown = max(1.0 - kept, 0.0) or 1.0 / (self.n_tokens + 1)
+        self.scale = (1.0 - self.unknown) / kept if kept else 0.0
+
+    def probabilities(self, block: Block, answers: Answers, n: int) -> np.ndarray:
+        """Pn of the block's distinct n-grams, recursively."""
+        c, _ = answers.counts(n)
+        if n == 1:
+            p = _discounted(c, self.d[1]) / self.n_tokens * self.scale if self.n_tokens else np.zeros(len(c))
+            return np.where(p > 0, p, self.unknown)
+        alpha, divisor = answers.backoff(n)
+        at = block.context[n]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            seen = _discounted(c, self.d[n]) / divisor[at]
+        return np.where(c > 0, seen, alpha[at] * self.probabilities(block, answers, n - 1)[block.lower[n]])
 
-    held: SQL condition on doc_id of rows that are scored but not learned from.
-    """
-    n_ranges = 2 * partitions(docs)
-    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    docs = docs.select("doc_id", "text", F.coalesce(F.expr(held), F.lit(False)).alias("held_out"))
 
-    def block_of(table: pa.Table | pa.RecordBatch) -> Block:
-        return Block(table.column("text"), ~table.column("held_out").to_numpy(zero_copy_only=False))
+class Answers:
+    """What the ranges answered a block, in the order of its keys."""
 
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, batch in _cut(batches, block_bytes):
-            block = block_of(batch)
-            for kind, keys, n in zip(("word", "pair"), (block.unigrams, block.bigrams), block.counts(), strict=True):
-                yield from _table(asked(kind, number, keys, n[:, None], n_ranges)).to_batches()
-
-    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, batch in _cut(batches, block_bytes):
-            yield batch.append_column("block", pa.array([block] * batch.num_rows, pa.int64()))
-
-    texts = docs.mapInArrow(number, "doc_id long, text string, held_out boolean, block long")
-
-    def count(key: tuple, table: pa.Table) -> pa.Table:
-        """Answers of one range: total counts as 32-bit integers; for bigrams also who is to sum them."""
-        table, values, total, inverse, cuts = _summed(table, np.int32, 1)
-        back = total[0].astype(np.int32)[inverse]
-        first = _first(values[0] > 0, inverse, len(inverse))
-        spans = list(zip(cuts[:-1], cuts[1:], strict=True))
-        planes = [np.ascontiguousarray(back[a:z].view(np.uint8).reshape(-1, 4).T).tobytes() for a, z in spans]
-        return pa.table({"kind": table.column("kind"), "range": table.column("range"), "block": table.column("block"), "sums": pa.array(planes, pa.binary()), "first": pa.array([np.packbits(first[a:z]).tobytes() for a, z in spans], pa.binary())})
-
-    counted = written(docs.mapInArrow(ask, _ASKED).groupBy("kind", "range").applyInArrow(count, _ANSWER), "counts")
-
-    def spectrum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Types by count, tokens and types of the counted tables: each type by the first block that learned it."""
-        for batch in batches:
-            for kind, sums_, first in zip(batch.column("kind").to_pylist(), batch.column("sums").to_pylist(), batch.column("first").to_pylist(), strict=True):
-                c = _ints(sums_)
-                c = c[np.unpackbits(np.frombuffer(first, np.uint8), count=len(c)).astype(bool)]
-                n = np.bincount(np.minimum(c, CUT + 2), minlength=CUT + 3)
-                yield pa.record_batch([pa.array([kind]), pa.array([n.tolist()], pa.list_(pa.int64())), pa.array([int(c.sum())]), pa.array([len(c)])], ["kind", "n", "tokens", "types"])
+    def __init__(self, table: pa.Table) -> None:
+        self.table = table
 
-    facts = counted.select("kind", "sums", "first").mapInArrow(spectrum, "kind string, n array<long>, tokens long, types long")
-    facts = facts.groupBy("kind").agg(*[F.sum(F.col("n")[r]).cast("double").alias(f"n{r}") for r in range(1, CUT + 2)], F.sum("tokens").alias("tokens"), F.sum("types").alias("types"))
-    facts = {r["kind"]: r.asDict() for r in facts.collect()}
-    n_start = docs.where("not held_out").count()
-    words, pairs = facts.get("word", {}), facts.get("pair", {})
-    # the start has a count like a word's, but is no word
-    n_tokens = (words.get("tokens") or 0) - n_start
-    n_types = (words.get("types") or 0) - (n_start > 0)
-    spread = [[x.get(f"n{r}") or 0.0 for r in range(1, CUT + 2)] for x in (words, pairs)]
-    if 0 < n_start <= CUT + 1:
-        spread[0][n_start - 1] -= 1
-    d_one, d_two = discounts(spread[0]), discounts(spread[1])
-    kept = 1.0 - sum(r * s * (1 - d) for r, s, d in zip(range(1, CUT + 1), spread[0], d_one, strict=False)) / n_tokens if n_tokens else 0.0
-    unknown = max(1.0 - kept, 0.0) or 1.0 / (n_tokens + 1)
-    scale = (1.0 - unknown) / kept if kept else 0.0
-
-    def first_order(block: Block, c: np.ndarray) -> np.ndarray:
-        """P1 of the block's distinct words."""
-        p = _discounted(c, d_one) / n_tokens * scale if n_tokens else np.zeros(len(c))
-        p[block.start] = 0.0
-        return np.where(p > 0, p, unknown)
-
-    def contexts(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
-        """Per context of this block: of the bigrams it has to sum, what they hold, and what their words hold in P1."""
-        if not table.num_rows:
-            return _table(asked("context", 0, np.zeros(0, np.uint64), np.zeros((0, 3)), n_ranges))
-        block = block_of(table)
-        c_one, _ = _answers(answers, "word")
-        c_two, mine = _answers(answers, "pair")
-        p = first_order(block, c_one)[block.pair_word]
-        mine = mine.astype(bool)
-        at, n = block.pair_context[mine], len(block.unigrams)
-        lost = c_two - _discounted(c_two, d_two)
-        values = np.stack([np.bincount(at, weights=x[mine], minlength=n) for x in (lost, p, c_two)], axis=1)
-        return _table(asked("context", key[0].as_py(), block.unigrams, values, n_ranges))
-
-    def backoff(key: tuple, table: pa.Table) -> pa.Table:
-        """Answers of one range of contexts: alpha, and the divisor of its bigrams' counts (0 where unseen)."""
-        table, _, total, inverse, cuts = _summed(table, np.float64, 3)
-        lost, held_, c = total
-        divisor = np.where(c > 0, c + (lost <= 0), 0.0)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            alpha = np.where(c > 0, np.maximum(lost, lost <= 0) / divisor / np.maximum(1.0 - held_, 1e-300), 1.0)
-        answer = np.stack([alpha, divisor])[:, inverse]
-        spans = list(zip(cuts[:-1], cuts[1:], strict=True))
-        none = pa.array([b""] * len(spans), pa.binary())
-        return pa.table({"kind": table.column("kind"), "range": table.column("range"), "block": table.column("block"), "sums": pa.array([np.ascontiguousarray(answer[:, a:z]).tobytes() for a, z in spans], pa.binary()), "first": none})
+    def _of(self, kind: str) -> pa.Table:
+        return self.table.filter(pc.equal(self.table.column("kind"), kind)).sort_by("range")
 
-    backed = texts.groupBy("block").cogroup(counted.groupBy("block")).applyInArrow(contexts, _ASKED).groupBy("kind", "range").applyInArrow(backoff, _ANSWER)
+    def counts(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Training counts of the distinct n-grams, and whether this block is to sum them."""
+        own = self._of(f"n{n}")
+        counts = [_unplaned(x, "<i8") for x in own.column("sums").to_pylist()]
+        first = [np.unpackbits(np.frombuffer(x, np.uint8), count=len(c)).astype(bool) for x, c in zip(own.column("first").to_pylist(), counts, strict=True)]
+        return np.concatenate(counts), np.concatenate(first)
 
-    def evaluate(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
-        if not table.num_rows:
-            return pa.table({n: pa.array([], t) for n, t in _RESULT})
-        block = block_of(table)
-        c_one, _ = _answers(answers, "word")
-        c_two, _ = _answers(answers, "pair")
-        alpha, divisor = _floats(answers)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            seen = np.log10(_discounted(c_two, d_two) / divisor[block.pair_context])
-            lower = np.log10(alpha[block.pair_context]) + np.log10(first_order(block, c_one))[block.pair_word]
-        by_pair = np.where(c_two > 0, seen, lower)
-        base = np.log10((c_one + 0.5) / (n_tokens + 0.5 * (n_types + 1)))
-        known = (c_one > 0).astype(np.int64)
-        per = lambda x: _by_row(x, block.rows)
-        n = len(block.rows) - 1
-        return pa.table({
-            "doc_id": table.column("doc_id"), "held_out": table.column("held_out"), "n_tokens": pa.array(np.diff(block.rows)), "n_known": pa.array(sums(known[block.word], block.rows)),
-            "train_tokens": pa.array(np.full(n, n_tokens)), "base_score": pa.array(per(base[block.word])), "score": pa.array(per(by_pair[block.pair])),
-        })
+    def backoff(self, n: int) -> np.ndarray:
+        """alpha and divisor of the contexts of order n."""
+        return np.concatenate([np.frombuffer(x, np.float64).reshape(2, -1) for x in self._of(f"c{n}").column("sums").to_pylist()], axis=1)
+
+
+def blocks(docs: DataFrame, held: str, doc_id: str, text: str, block_bytes: int) -> DataFrame:
+    """block, docs: whole rows of bounded text together, packed as one compressed value."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        task, number = TaskContext.get().partitionId() << 32, 0
+        waiting: list[pa.RecordBatch] = []
+
+        def packed() -> pa.RecordBatch:
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, waiting[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                for batch in waiting:
+                    out.write_batch(batch)
+            return pa.record_batch([pa.array([task + number]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "docs"])
 
-    every = counted.unionByName(backed)
-    return texts.groupBy("block").cogroup(every.groupBy("block")).applyInArrow(evaluate, ", ".join(f"{n} {_SQL[t]}" for n, t in _RESULT))
+        for batch in slices(batches, "text", block_bytes):
+            if waiting and sum(x.nbytes for x in waiting) + batch.nbytes > block_bytes:
+                yield packed()
+                waiting, number = [], number + 1
+            waiting.append(batch)
+        if waiting:
+            yield packed()
 
+    chosen = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    return chosen.select("doc_id", "text", F.coalesce(F.expr(held), F.lit(False)).alias("held_out")).mapInArrow(trimmed(pack), "block long, docs binary")
 
-_RESULT = [("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())]
-_SQL = {pa.int64(): "long", pa.bool_(): "boolean", pa.float64(): "double"}
 
+def scores(docs: DataFrame, held: str = "false", order: int = 2, doc_id: str = "doc_id", text: str = "text", block_bytes: int = 8 << 20) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of docs.
+
+    held: SQL condition on doc_id of rows that are scored but not learned from. order: words of the longest n-grams.
+    """
+    texts = written(blocks(docs, held, doc_id, text, block_bytes), "blocks")
+    n_ranges = 2 * shuffled_to(docs.sparkSession)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number, row in zip(batch.column("block").to_pylist(), batch.column("docs"), strict=True):
+                block = Block(row.as_buffer(), order)
+                for n in range(1, order + 1):
+                    yield asked(f"n{n}", number, block.grams[n], block.counts(n)[None], n_ranges)
 
-def _by_row(x: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Sums of the tokens of each row; every row has its end token."""
-    return np.add.reduceat(x, rows[:-1])
+    counted = written(texts.mapInArrow(trimmed(ask), _ASKED).groupBy("kind", "range").applyInArrow(_count, _ANSWER), "counts")
+    facts = counted.select("kind", "sums", "first").mapInArrow(_spectrum, "kind string, n array<long>, tokens long, types long")
+    facts = facts.groupBy("kind").agg(*[F.sum(F.col("n")[r]).cast("double").alias(f"n{r}") for r in range(1, CUT + 2)], F.sum("tokens").alias("tokens"), F.sum("types").alias("types"))
+    model = Model({r["kind"]: r.asDict() for r in facts.collect()}, order)
 
+    def contexts(n: int):
+        """Per context of a block: of the n-grams it has to sum, what they lose, what their words hold in the order below, and their counts."""
 
-def _ints(planes: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view("<i4").ravel()
+        def ask_of(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
+            block, known = Block(table.column("docs")[0].as_buffer(), n), Answers(answers)
+            c, mine = known.counts(n)
+            p = model.probabilities(block, known, n - 1)[block.lower[n]]
+            at, size = block.context[n][mine], len(block.contexts[n])
+            values = np.stack([np.bincount(at, weights=x[mine], minlength=size) for x in (c - _discounted(c, model.d[n]), p, c)]).astype(np.float64)
+            return pa.Table.from_batches([asked(f"c{n}", key[0].as_py(), block.contexts[n], values, n_ranges)])
 
+        return ask_of
 
-def _answers(answers: pa.Table, kind: str) -> tuple[np.ndarray, np.ndarray]:
-    """Counts and first marks of a block's distinct keys, in the keys' order."""
-    own = answers.filter(pa.compute.equal(answers.column("kind"), kind)).sort_by("range")
-    counts = [_ints(x) for x in own.column("sums").to_pylist()]
-    first = [np.unpackbits(np.frombuffer(x, np.uint8), count=len(c)) for x, c in zip(own.column("first").to_pylist(), counts, strict=True)]
-    return np.concatenate(counts).astype(np.int64), np.concatenate(first)
+    every = counted
+    for n in range(2, order + 1):
+        known = every.where(F.substring("kind", 2, 9).cast("int") <= n).groupBy("block")
+        answers = texts.groupBy("block").cogroup(known).applyInArrow(contexts(n), _ASKED).groupBy("kind", "range").applyInArrow(_backoff, _ANSWER)
+        every = every.unionByName(answers if n == order else written(answers, "backoff"))
 
+    def evaluate(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
+        block, answers = Block(table.column("docs")[0].as_buffer(), order), Answers(answers)
+        score = np.log10(model.probabilities(block, answers, order))[block.of[order]]
+        c, _ = answers.counts(1)
+        base = np.log10((c + 0.5) / (model.n_tokens + 0.5 * (model.n_types + 1)))[block.of[1]]
+        return pa.table({
+            "doc_id": block.docs.column("doc_id"), "held_out": block.docs.column("held_out"), "n_tokens": pa.array(np.diff(block.rows)), "n_known": pa.array(sums((c > 0).astype(np.int64)[block.of[1]], block.rows)),
+            "train_tokens": pa.array(np.full(len(block.rows) - 1, model.n_tokens)), "base_score": pa.array(np.add.reduceat(base, block.rows[:-1])), "score": pa.array(np.add.reduceat(score, block.rows[:-1])),
+        })
 
-def _floats(answers: pa.Table) -> np.ndarray:
-    own = answers.filter(pa.compute.equal(answers.column("kind"), "context")).sort_by("range")
-    return np.concatenate([np.frombuffer(x, np.float64).reshape(2, -1) for x in own.column("sums").to_pylist()], axis=1)
+    return texts.groupBy("block").cogroup(every.groupBy("block")).applyInArrow(evaluate, _RESULT)
