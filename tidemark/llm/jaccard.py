@@ -10,9 +10,13 @@ A document's set holds its distinct five-word shingles; 100 |A & B| >= 80 |A u B
    the t - 1 longest are set aside, and only the short ones are merged (Spark's sort by list does the merge), since
    who misses all short lists cannot reach t. Candidates must then reach the overlap that their two sizes require:
    the long lists are probed by binary search for them.
-4. Merging never emits all pairs of a group. Each document is first tried against one reference, the member of its longest short
-   list that others share most of; verified links collapse groups of near copies. What could still link inside a group is
-   found by the documents' differences from the reference (see `_inside`), what could link across groups by their short lists. There is no cap.
+4. Classes whose sets differ in shingles of their own alone (a common passage with a few words more) need no pairs: with o shared
+   shingles two of them link where n_u + n_v <= (100 / 80 + 1) o, so whoever links to one links to the smallest of these classes, and whoever
+   links to another's class links to that one's smallest. In each pair looked at, one is therefore the smallest of its kind.
+5. Merging never emits all pairs of a group of near copies. Each document is first tried against one reference, the member of its longest
+   short list that others share most of; verified links collapse groups of near copies. What could still link inside a group is
+   found by the documents' differences from the reference (see `_inside`), what could link across groups by their short lists. There is no cap;
+   what remains quadratic is only the proof that texts which share a rare enough part, differ otherwise and are not linked are not.
 
 Words are `[^\\x20\\x09-\\x0D]+` after lower-casing A-Z; a document of one to four words has its whole sequence as one
 shingle; no words or null text: empty set, linked with nothing. Shingles are compared by 64-bit hashes, sets of a class by
@@ -25,11 +29,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .graph import components
-from .tables import partitions, written
+from .tables import HOT, looked_up, met_once, shuffled_to, trimmed, written
 from .text import NOT_SPACE, grams, mix, slices, split
 
 _TWO = np.uint64(0xA5A5B6B6C7C7D8D8)
@@ -89,7 +95,7 @@ def signatures(docs: DataFrame, doc_id: str | None, text: str, k: int, texts: bo
             yield pa.record_batch([pa.array([names[i] for i in new], pa.binary()), batch.column("text").take(pa.array(new, pa.int64()))], ["cls", "text"])
 
     chosen = docs.select((F.lit(None) if doc_id is None else F.col(doc_id)).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return chosen.mapInArrow(sign, "cls binary, text string" if texts else "doc_id long, n_shingles long, cls binary")
+    return chosen.mapInArrow(trimmed(sign), "cls binary, text string" if texts else "doc_id long, n_shingles long, cls binary")
 
 
 def _planes(keys: np.ndarray) -> bytes:
@@ -101,6 +107,15 @@ def _keys(planes: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(8, -1).T).view("<u8").ravel(), dtype=np.uint64)
 
 
+def _bytes(n: np.ndarray) -> bytes:
+    """Counts as 32-bit integers, byte by byte of all."""
+    return np.minimum(n, 0xFFFFFFFF).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _numbers(planes: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
 def _cuts(keys: np.ndarray, n: int) -> np.ndarray:
     """Where sorted keys split into n equal ranges of the 64-bit space."""
     bounds = np.array([(b << 64) // n for b in range(1, n)], dtype=np.uint64)
@@ -115,8 +130,8 @@ def _group_sets(table: pa.Table, k: int) -> tuple[list[bytes], np.ndarray, np.nd
 
 
 def shared_sets(docs: DataFrame, n_groups: int, text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
-    """cls, n, need, keys: per class its set size, the least overlap of a link, and the shingles that other classes hold too,
-    rarest first. Classes without enough of them to be linked are absent.
+    """cls, kind, n, need, keys: per class its set size, the least overlap of a link, and the shingles that other classes hold too,
+    rarest first; kind names the set of these. Classes without enough of them to be linked are absent.
 
     Frequencies are counted where a shingle's hash falls, and each group of classes asks once for each distinct shingle,
     so no shingle is hot; the answers return in the order asked. A group sends a row to each of n_groups ranges in which it
@@ -128,24 +143,23 @@ def shared_sets(docs: DataFrame, n_groups: int, text: str = "text", k: int = 5,
         _, g, _ = _group_sets(table, k)
         keys, n = np.unique(g, return_counts=True)
         cuts = _cuts(keys, n_groups).tolist()
-        n = np.minimum(n, 255).astype(np.uint8)
         parts = [(b, a, z) for b, (a, z) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if z > a]
-        return pa.table({"bucket": pa.array([b for b, _, _ in parts], pa.int64()), "grp": pa.array([key[0].as_py()] * len(parts), pa.int64()), "keys": pa.array([_planes(keys[a:z]) for _, a, z in parts], pa.binary()), "n": pa.array([n[a:z].tobytes() for _, a, z in parts], pa.binary())})
+        return pa.table({"bucket": pa.array([b for b, _, _ in parts], pa.int64()), "grp": pa.array([key[0].as_py()] * len(parts), pa.int64()), "keys": pa.array([_planes(keys[a:z]) for _, a, z in parts], pa.binary()), "n": pa.array([_bytes(n[a:z]) for _, a, z in parts], pa.binary())})
 
     def answer(key: tuple, table: pa.Table) -> pa.Table:
         keys = [_keys(x) for x in table.column("keys").to_pylist()]
-        n = np.concatenate([np.frombuffer(x, np.uint8) for x in table.column("n").to_pylist()])
+        n = np.concatenate([_numbers(x) for x in table.column("n").to_pylist()])
         _, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-        total = np.minimum(np.bincount(inverse, weights=n), 255).astype(np.uint8)[inverse]
+        total = np.bincount(inverse, weights=n).astype(np.int64)[inverse]
         cuts = np.cumsum([0, *map(len, keys)]).tolist()
-        return pa.table({"grp": table.column("grp"), "bucket": table.column("bucket"), "n": pa.array([total[a:z].tobytes() for a, z in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())})
+        return pa.table({"grp": table.column("grp"), "bucket": table.column("bucket"), "n": pa.array([_bytes(total[a:z]) for a, z in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())})
 
     def reduce(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
-        out: dict[str, list] = {"cls": [], "n": [], "need": [], "keys": []}
+        out: dict[str, list] = {"cls": [], "kind": [], "n": [], "need": [], "keys": []}
         if table.num_rows:
             names, g, rows = _group_sets(table, k)
             answers = answers.sort_by("bucket")
-            df = np.frombuffer(b"".join(answers.column("n").to_pylist()), np.uint8)[np.searchsorted(np.unique(g), g)]
+            df = np.concatenate([_numbers(x) for x in answers.column("n").to_pylist()])[np.searchsorted(np.unique(g), g)]
             shared = np.concatenate([[0], np.cumsum(df > 1)])
             size = np.diff(rows)
             need = -(-percent * size // 100)
@@ -153,14 +167,15 @@ def shared_sets(docs: DataFrame, n_groups: int, text: str = "text", k: int = 5,
                 keys, often = g[rows[r] : rows[r + 1]], df[rows[r] : rows[r + 1]]
                 keys = keys[np.argsort(often, kind="stable")][int((often < 2).sum()) :]
                 out["cls"].append(names[r])
+                out["kind"].append(set_names(np.sort(keys), np.array([0, len(keys)]))[0])
                 out["n"].append(int(size[r]))
                 out["need"].append(int(need[r]))
                 out["keys"].append(keys.view(np.int64))
-        return pa.table({"cls": pa.array(out["cls"], pa.binary()), "n": pa.array(out["n"], pa.int64()), "need": pa.array(out["need"], pa.int64()), "keys": pa.array(out["keys"], pa.list_(pa.int64()))})
+        return pa.table({"cls": pa.array(out["cls"], pa.binary()), "kind": pa.array(out["kind"], pa.binary()), "n": pa.array(out["n"], pa.int64()), "need": pa.array(out["need"], pa.int64()), "keys": pa.array(out["keys"], pa.list_(pa.int64()))})
 
     asked = texts.groupBy("grp").applyInArrow(ask, "bucket long, grp long, keys binary, n binary")
     answers = asked.groupBy("bucket").applyInArrow(answer, "grp long, bucket long, n binary")
-    return texts.groupBy("grp").cogroup(answers.groupBy("grp")).applyInArrow(reduce, "cls binary, n long, need long, keys array<long>")
+    return texts.groupBy("grp").cogroup(answers.groupBy("grp")).applyInArrow(reduce, "cls binary, kind binary, n long, need long, keys array<long>")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -219,73 +234,121 @@ def _inside(found: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
     """
     k = (100 - percent) / (100 + percent)
     some = found.groupBy("root").agg(F.count(F.lit(1)).alias("size"), F.sum((~F.col("linked")).cast("int")).alias("loose")).where("size > 1 and loose > 0").select("root")
-    found = written(found.join(some, "root").join(roots.select(F.col("cls").alias("u"), F.col("root").alias("component")), "u"), "found")
+    some = written(some, "some").withColumn("_some", F.lit(True))
+    found = looked_up(found, some, "root").where("_some").drop("_some")
+    found = written(found.join(roots.select(F.col("cls").alias("u"), F.col("root").alias("component"), "first"), "u"), "found")
     parts = found.select("root", "u", F.explode("diff").alias("part"))
     often = parts.groupBy("root", "part").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     shared = parts.join(often, ["root", "part"]).groupBy("u").agg(F.array_sort(F.collect_list(F.struct("df", "part"))).alias("parts"))
     q = k * F.col("n_u") * (1 + 100 / percent)
     of_x = F.ceil((F.col("z") + F.greatest(F.lit(0), F.col("z") - q) - q) / 2 - 1e-9)
     of_y = F.floor((F.col("z") + k * (F.col("n_v") - F.col("n_u")) - F.col("lone")) / 2 + 1e-9) + F.when(F.col("lone") > 0, 0).otherwise(1)
-    base = found.select("root", "u", "n_u", "z", "linked", "component", F.when(F.col("linked"), of_y).otherwise(F.greatest(F.lit(1), of_x)).cast("int").alias("t"))
-    with_parts = base.join(shared, "u").select("*", F.size("parts").alias("s")).where("t > 0 and s >= t")
-    short = with_parts.select("root", "u", "n_u", "z", "s", "linked", "component", F.posexplode(F.slice(F.col("parts.part"), 1, (F.col("s") - F.col("t") + 1).cast("int"))).alias("i", "part"))
+    base = found.select("root", "u", "n_u", "z", "linked", "component", "first", F.when(F.col("linked"), of_y).otherwise(of_x).cast("int").alias("t"))
+    # who need share nothing still has all its parts looked up; for the rest of its case see `alone`
+    with_parts = base.join(shared, "u").withColumn("t", F.greatest("t", F.lit(1))).select("*", F.size("parts").alias("s")).where("s >= t")
+    short = with_parts.select("root", "u", "n_u", "z", "s", "linked", "component", "first", F.posexplode(F.slice(F.col("parts.part"), 1, (F.col("s") - F.col("t") + 1).cast("int"))).alias("i", "part"))
+    short = written(short, "parts")
     side = lambda df, at: df.select("root", *[c for c in ("part",) if c in df.columns], *[F.col(c).alias(f"{c}_{at}") for c in ("u", "n_u", "z", "s", "i", "linked", "component") if c in df.columns])
     # what two classes can share at most, given that a part stands at these places of theirs, rarest first
     reach = 1 + F.least("i_x", "i_y") + F.least(F.col("s_x") - F.col("i_x") - 1, F.col("s_y") - F.col("i_y") - 1)
     enough = 2 * reach >= F.col("z_x") + F.col("z_y") - k * (F.col("n_u_x") + F.col("n_u_y")) - 1e-9
-    met = side(short.where("not linked"), "x").join(side(short, "y"), ["root", "part"])
-    # classes so near a reference with shingles of its own that they need share nothing: each against its group's loose ones
-    free = side(base.where("not linked"), "x").join(side(base.where("linked and t <= 0"), "y"), "root")
-    fits = (F.col("component_x") != F.col("component_y")) & (F.col("linked_y") | (F.col("u_x") < F.col("u_y"))) & (100 * F.least("n_u_x", "n_u_y") >= percent * F.greatest("n_u_x", "n_u_y"))
+    fits = (F.col("component_x") != F.col("component_y")) & (100 * F.least("n_u_x", "n_u_y") >= percent * F.greatest("n_u_x", "n_u_y"))
+    loose = short.where("not linked")
+    met = [(loose, short.where("first")), (loose.where("first"), short.where("not first"))]
     pair = [F.col("u_x").alias("u"), F.col("u_y").alias("v")]
-    return met.where(fits & enough).select(*pair).unionByName(free.where(fits).select(*pair)).distinct()
+    pairs = [side(x, "x").join(side(y, "y"), ["root", "part"]).where(fits & enough).select(*pair) for x, y in met]
+    # classes that share no part link where their z - k n add up to 0 at most: with any of them if with the least, or the least near one
+    by = (F.col("z") - k * F.col("n_u")).alias("by")
+    place = F.struct(by, F.col("u").alias("v"), F.col("component").alias("of_v"))
+    best = base.where("first").groupBy("root").agg(F.array(F.min(place), F.min(F.when(F.col("linked"), place))).alias("best"))
+    alone = looked_up(written(base.where("not linked").select("root", "u", "component", by), "loose"), written(best, "best"), "root")
+    alone = alone.select("u", "component", "by", F.explode("best").alias("best")).where("best.of_v != component and best.by + by <= 1e-9").select("u", F.col("best.v").alias("v"))
+    return pairs[0].unionByName(pairs[1]).unionByName(alone).distinct()
 
 
 def class_links(sets: DataFrame, percent: int = 80) -> DataFrame:
     """u, v: verified links between classes that connect the same classes as all links do."""
-    short = sets.select("cls", "n", F.size("keys").alias("r"), F.posexplode(F.slice("keys", 1, (F.size("keys") - F.col("need") + 1).cast("int"))).alias("i", "key"))
-    lists = short.groupBy("key").agg(F.count(F.lit(1)).alias("len"), F.max(F.struct(F.col("r") / F.col("n"), "cls"))["cls"].alias("leader")).where("len > 1")
+    least_of_kind = sets.groupBy("kind").agg(F.min(F.struct("n", "cls")).alias("low"), F.count(F.lit(1)).alias("of_kind"))
+    placed = looked_up(sets.select("cls", "kind", "n", F.size("keys").alias("o")), least_of_kind, "kind")
+    placed = placed.select("cls", F.col("low.cls").alias("low"), (F.col("low.cls") == F.col("cls")).alias("first"), (100 * F.col("o") >= percent * (F.col("n") + F.col("low.n") - F.col("o"))).alias("near"))
+    placed = written(placed, "kinds")
+    of_kind = placed.where("near and not first").select(F.col("cls").alias("u"), F.col("low").alias("v"))
+    sought = written(sets.join(placed.where("first or not near").select("cls", "first"), "cls"), "sought")
+    short = sought.select("cls", "first", "n", F.size("keys").alias("r"), F.posexplode(F.slice("keys", 1, (F.size("keys") - F.col("need") + 1).cast("int"))).alias("i", "key"))
+    leading = F.max(F.when(F.col("first"), F.struct(F.col("r") / F.col("n"), "cls")))["cls"]
+    lists = short.groupBy("key").agg(F.count(F.lit(1)).alias("len"), leading.alias("leader")).where("len > 1 and leader is not null")
     tries = short.join(lists, "key").where("cls != leader").groupBy("cls").agg(F.max(F.struct("len", "leader")).alias("best")).select(F.col("cls").alias("u"), F.col("best.leader").alias("v"))
     tries = written(tries, "tries")
     groups = components(tries)
     groups = written(groups.unionByName(groups.select(F.col("root").alias("u"), "root")).distinct(), "groups")
     votes = tries.join(groups, "u").groupBy("root", "v").agg(F.count(F.lit(1)).alias("n"))
-    references = votes.groupBy("root").agg(F.max(F.struct("n", "v"))["v"].alias("v"))
-    found = written(_differences(groups.join(references, "root").where("u != v"), sets, percent), "differences")
+    references = written(votes.groupBy("root").agg(F.max(F.struct("n", "v"))["v"].alias("v")), "references")
+    tried = written(looked_up(groups, references, "root").where("u != v"), "tried")
+    found = written(_differences(tried, sought, percent), "differences")
     first = found.where("linked").select("u", "v")
-    named = sets.select("cls").join(components(first).withColumnRenamed("u", "cls"), "cls", "left").select("cls", F.coalesce("root", "cls").alias("root"))
+    named = sought.select("cls", "first").join(components(first).withColumnRenamed("u", "cls"), "cls", "left").select("cls", "first", F.coalesce("root", "cls").alias("root"))
     named = written(named, "named")
     inside = _inside(found, named, percent)
     # a class that leads all its lists makes no try and, if nobody's best, is in no group: it is one of its own
-    short = short.join(named, "cls").join(groups.select(F.col("u").alias("cls"), F.col("root").alias("grp")), "cls", "left").withColumn("grp", F.coalesce("grp", "cls"))
+    short = short.join(named.select("cls", "root"), "cls").join(groups.select(F.col("u").alias("cls"), F.col("root").alias("grp")), "cls", "left").withColumn("grp", F.coalesce("grp", "cls"))
     short = written(short, "short")
     mixed = short.groupBy("key").agg(F.min("grp").alias("low"), F.max("grp").alias("high")).where("low < high").select("key")
-    held = short.join(mixed, "key")
-    sides = [held.select("key", *[F.col(c).alias(f"{c}_{side}") for c in ("cls", "n", "r", "i", "root", "grp")]) for side in "uv"]
-    met = sides[0].join(sides[1], "key").where("grp_u < grp_v and root_u != root_v")
+    held = written(short.join(mixed, "key"), "held")
+    side = lambda df, at: df.select("key", *[F.col(c).alias(f"{c}_{at}") for c in ("cls", "first", "n", "r", "i", "root", "grp")])
+    met = side(held.where("first"), "u").join(side(held, "v"), "key").where("root_u != root_v and if(first_v, grp_u < grp_v, grp_u != grp_v)")
     least = F.ceil(percent * (F.col("n_u") + F.col("n_v")) / (100 + percent))
     fits = (100 * F.least("n_u", "n_v") >= percent * F.greatest("n_u", "n_v")) & (1 + F.least(F.col("r_u") - F.col("i_u") - 1, F.col("r_v") - F.col("i_v") - 1) + F.least("i_u", "i_v") >= least)
     across = met.where(fits).select(F.col("cls_u").alias("u"), F.col("cls_v").alias("v")).distinct()
-    return first.unionByName(_verified(written(inside.unionByName(across), "pairs"), sets, percent))
+    verified = _verified(written(inside.unionByName(across), "pairs"), sought, percent)
+    return first.unionByName(of_kind).unionByName(verified)
+
+
+def class_roots(signed: DataFrame, docs: DataFrame, text: str, k: int, percent: int) -> DataFrame:
+    """cls, root for every class that links to another; root is the smallest class of its component."""
+    shingles = signed.agg(F.sum("n_shingles")).first()[0] or 0
+    n_groups = max(shuffled_to(docs.sparkSession), -(-shingles // _GROUP))
+    sets = written(shared_sets(docs, n_groups, text, k, percent), "sets")
+    return components(class_links(sets, percent)).withColumnRenamed("u", "cls")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id for every row: the smallest id that links reach, itself included."""
     signed = written(signatures(docs, doc_id, text, k, texts=False), "signed")
-    shingles = signed.agg(F.sum("n_shingles")).first()[0] or 0
-    n_groups = max(partitions(docs), -(-shingles // _GROUP))
-    sets = written(shared_sets(docs, n_groups, text, k, percent), "sets")
-    roots = components(class_links(sets, percent))
-    classes = signed.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("low")).join(roots.withColumnRenamed("u", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    roots = class_roots(signed, docs, text, k, percent)
+    classes = signed.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("low")).join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     classes = written(classes, "classes")
     lows = classes.groupBy("root").agg(F.min("low").alias("component"))
-    named = classes.join(lows, "root").select("cls", "component")
-    return signed.join(named, "cls", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    named = written(looked_up(classes, lows, "root").select("cls", "component"), "named")
+    return looked_up(signed, named, "cls").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
-def one_of_each(docs: DataFrame, text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs, one (the first in the table's order) of each component; rows with empty sets all stay."""
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs, one of each component: that of the smallest id (null last), of equal ids that of the first text in byte order.
+
+    Rows with empty sets all stay. What is decided rests on contents alone, not on the order of rows, so docs may be any frame.
+    """
     columns = docs.columns
-    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_doc"), F.col(text).alias("text"), F.monotonically_increasing_id().alias("_row"))
-    spare = near_duplicates(keyed, "_row", "text", k, percent).where("component_id != doc_id").select(F.col("doc_id").alias("_row"))
-    return keyed.join(spare, "_row", "left_anti").select(*[F.col("_doc")[c].alias(c) for c in columns])
+    signed = written(signatures(docs, doc_id, text, k, texts=False), "signed")
+    roots = class_roots(signed, docs, text, k, percent)
+    by_id = signed.where("cls is not null").groupBy("cls", "doc_id").agg(F.count(F.lit(1)).alias("n"))
+    classes = by_id.groupBy("cls").agg(F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "n")).alias("low"), F.sum("n").alias("rows"))
+    classes = written(classes.join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls")), "classes")
+    kept = classes.groupBy("root").agg(F.min(F.struct("low.late", "low.doc_id", "cls"))["cls"].alias("least"))
+    fate = looked_up(classes, kept, "root").select("cls", "rows", F.struct((F.col("least") == F.col("cls")).alias("stays"), F.col("low.doc_id").alias("id"), F.col("low.n").alias("n")).alias("fact"))
+    fate = written(fate.where("not fact.stays or rows > 1"), "fate")
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, batch in enumerate(slices(batches, ("_doc", text))):
+            g, rows = shingle_sets(pc.struct_field(batch.column("_doc"), text), k)
+            names = [x if n else None for x, n in zip(set_names(g, rows), np.diff(rows).tolist(), strict=True)]
+            spread = [f"{number}.{i}".encode() for i in range(len(names))]
+            yield batch.append_column("_cls", pa.array(names, pa.binary())).append_column("_spread", pa.array(spread, pa.binary()))
+
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_doc"))
+    rows = packed.mapInArrow(trimmed(sign), T.StructType([*packed.schema.fields, T.StructField("_cls", T.BinaryType()), T.StructField("_spread", T.BinaryType())]))
+    rows = met_once(rows, fate.withColumnRenamed("cls", "_cls"), "_cls", "_spread", F.col("rows") > HOT * signed.count())
+    stays = rows.where(F.col("fact").isNull() | (F.col("fact.stays") & F.col("fact.id").eqNullSafe(F.col("_doc")[doc_id].cast("long"))))
+    if fate.where("fact.stays and fact.n > 1").limit(1).count():
+        repeated = stays.where("fact.n > 1").groupBy("_cls").agg(F.min_by("_doc", F.struct(F.col("_doc")[text].isNull(), F.col("_doc")[text])).alias("_doc"))
+        stays = stays.where("fact is null or fact.n = 1").select("_doc").unionByName(repeated.select("_doc"))
+    return stays.select(*[F.col("_doc")[c].alias(c) for c in columns])
