@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .tables import partitions
+from .tables import HOT, looked_up, met_once, shuffled_to, trimmed, written
 
 RULE_VERSION = 1
 BASE_KINDS = ("assign", "access", "hex")
@@ -55,47 +55,62 @@ _HEX_RUN = re.compile(rb"[0-9a-f]{24}")
 
 
 def _addressed(docs: DataFrame, content: str) -> DataFrame:
-    """_doc: the row; _blob: the SHA-256 of its content in hexadecimal; _may: whether a rule could match."""
+    """_doc: the row; _blob: the SHA-256 of its content in hexadecimal, null where no rule could match; _spread: to deal out rows by."""
 
     def address(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for number, batch in enumerate(batches):
             doc = batch.column("_doc")
             raw = [x.encode() if x else b"" for x in pc.struct_field(doc, content).to_pylist()]
-            yield pa.record_batch([doc, pa.array([hashlib.sha256(x).hexdigest() for x in raw]), pa.array([may_hold(x) for x in raw])], ["_doc", "_blob", "_may"])
+            names = [hashlib.sha256(x).hexdigest() if may_hold(x) else None for x in raw]
+            yield pa.record_batch([doc, pa.array(names, pa.string()), pa.array([f"{number}.{i}" for i in range(len(raw))], pa.string())], ["_doc", "_blob", "_spread"])
 
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"))
-    return packed.mapInArrow(address, T.StructType([*packed.schema.fields, T.StructField("_blob", T.StringType()), T.StructField("_may", T.BooleanType())]))
+    return packed.mapInArrow(trimmed(address), T.StructType([*packed.schema.fields, T.StructField("_blob", T.StringType()), T.StructField("_spread", T.StringType())]))
 
 
 def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each blob of a task once, so that a hot blob is one row a task; its text only where a rule could match."""
+    """Each blob of a batch once with its rows, so that a hot blob is few rows; its text only the first time and where a rule could match."""
     seen: set[bytes] = set()
     for batch in batches:
-        names, texts = [], []
+        rows: dict[bytes, int] = {}
+        texts: dict[bytes, str] = {}
         for text in batch.column("text").to_pylist():
             raw = (text or "").encode()
             name = hashlib.sha256(raw).digest()
+            rows[name] = rows.get(name, 0) + 1
             if name not in seen:
                 seen.add(name)
-                names.append(name.hex())
-                texts.append(text if may_hold(raw) else None)
-        yield pa.record_batch([pa.array(names, pa.string()), pa.array(texts, pa.string())], ["blob", "text"])
+                if may_hold(raw):
+                    texts[name] = text
+        yield pa.record_batch([pa.array([x.hex() for x in rows], pa.string()), pa.array([texts.get(x) for x in rows], pa.string()), pa.array(list(rows.values()), pa.int64())], ["blob", "text", "rows"])
 
 
 _OUT = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
 
 def _scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blobs are dealt by address, so a task sees all copies of a blob and scans the first."""
-    seen: set[str] = set()
+    """Blobs are dealt by address, so a task sees all copies of a blob and scans the first that has its text."""
+    rows: dict[str, int] = {}
+    found: dict[str, list] = {}
     for batch in batches:
-        names, spans = [], []
-        for name, text in zip(batch.column("blob").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            if name not in seen:
-                seen.add(name)
-                names.append(name)
-                spans.append([{"kind": k, "start": a, "end": b} for k, a, b in scan(text or "")])
-        yield pa.record_batch([pa.array(names, pa.string()), pa.array(spans, _OUT)], ["blob", "spans"])
+        for name, text, n in zip(*(batch.column(c).to_pylist() for c in ("blob", "text", "rows")), strict=True):
+            rows[name] = rows.get(name, 0) + n
+            if text is not None and name not in found:
+                found[name] = scan(text)
+    names = list(rows)
+    for i in range(0, len(names), 10_000):
+        part = names[i : i + 10_000]
+        spans = [[{"kind": k, "start": a, "end": b} for k, a, b in found.get(x, ())] for x in part]
+        yield pa.record_batch([pa.array(part, pa.string()), pa.array([rows[x] for x in part], pa.int64()), pa.array(spans, _OUT)], ["blob", "rows", "spans"])
+
+
+def _findings(versions: DataFrame, content: str, ledger: DataFrame | None, rule_version: int) -> DataFrame:
+    """blob, rows, spans of the unseen blobs; rows: how many versions hold it."""
+    blobs = versions.select(F.col(content).alias("text")).mapInArrow(trimmed(_once), "blob string, text string, rows long")
+    if ledger is not None:
+        blobs = blobs.join(ledger.where(F.col("rule_version") == rule_version).select("blob").distinct(), "blob", "left_anti")
+    dealt = blobs.repartition(shuffled_to(versions.sparkSession), "blob")
+    return dealt.mapInArrow(trimmed(_scanned), f"blob string, rows long, spans {SPANS}")
 
 
 def new_findings(versions: DataFrame, content: str = "text", ledger: DataFrame | None = None, rule_version: int = RULE_VERSION) -> DataFrame:
@@ -103,23 +118,19 @@ def new_findings(versions: DataFrame, content: str = "text", ledger: DataFrame |
 
     A blob without secrets gets a row with no spans, so it is not scanned again.
     """
-    blobs = versions.select(F.col(content).alias("text")).mapInArrow(_once, "blob string, text string")
-    if ledger is not None:
-        blobs = blobs.join(ledger.where(F.col("rule_version") == rule_version).select("blob").distinct(), "blob", "left_anti")
-    dealt = blobs.repartition(partitions(versions), "blob")
-    return dealt.mapInArrow(_scanned, f"blob string, spans {SPANS}").select("blob", F.lit(rule_version).alias("rule_version"), "spans")
+    return _findings(versions, content, ledger, rule_version).select("blob", F.lit(rule_version).alias("rule_version"), "spans")
 
 
 def findings(versions: DataFrame, path: list[str], content: str = "text", ledger: DataFrame | None = None, rule_version: int = RULE_VERSION) -> DataFrame:
     """Every row's path columns and blob with the spans found in it, now or by an earlier scan.
 
-    The join carries addresses and spans, no contents; where one blob is much of the table Spark splits its side.
+    The join carries addresses and spans, no contents; the findings of a blob that is much of the table go to all tasks.
     """
-    known = new_findings(versions, content, ledger, rule_version)
+    known = written(new_findings(versions, content, ledger, rule_version), "found")
     if ledger is not None:
         known = known.unionByName(ledger.where(F.col("rule_version") == rule_version).select("blob", "rule_version", "spans").dropDuplicates(["blob"]))
-    addressed = versions.select(*path, F.sha2(F.coalesce(F.col(content), F.lit("")), 256).alias("blob"))
-    return addressed.join(known, "blob", "left").select(*path, "blob", "rule_version", "spans")
+    addressed = written(versions.select(*path, F.sha2(F.coalesce(F.col(content), F.lit("")), 256).alias("blob")), "addressed")
+    return looked_up(addressed, known, "blob").select(*path, "blob", "rule_version", "spans")
 
 
 def _joined(spans: F.Column) -> F.Column:
@@ -138,10 +149,13 @@ def redact(docs: DataFrame, text: str = "text", mask: str = "[secret]") -> DataF
     Only rows in which a rule could match go to the join with the findings; the others pass in the scan's own tasks.
     """
     rows = _addressed(docs, text)
-    hit = new_findings(docs, text).where(F.size("spans") > 0).select(F.col("blob").alias("_blob"), "spans")
-    cut = rows.where("_may").join(hit, "_blob", "left").withColumn("_new", F.when(F.col("spans").isNotNull(), _cut(F.col("_doc")[text], F.col("spans"), mask)).otherwise(F.col("_doc")[text]))
+    found = written(_findings(docs, text, None, RULE_VERSION), "found")
+    total = found.agg(F.sum("rows")).first()[0] or 0
+    hit = found.where(F.size("spans") > 0).select(F.col("blob").alias("_blob"), "rows", F.col("spans").alias("fact"))
+    cut = met_once(rows.where("_blob is not null"), hit, "_blob", "_spread", F.col("rows") > HOT * total)
+    cut = cut.withColumn("_new", F.when(F.col("fact").isNotNull(), _cut(F.col("_doc")[text], F.col("fact"), mask)).otherwise(F.col("_doc")[text]))
     as_before = [F.col("_doc")[c].alias(c) for c in docs.columns]
-    return rows.where("not _may").select(*as_before).union(cut.select(*[F.col("_new").alias(c) if c == text else x for c, x in zip(docs.columns, as_before, strict=True)]))
+    return rows.where("_blob is null").select(*as_before).union(cut.select(*[F.col("_new").alias(c) if c == text else x for c, x in zip(docs.columns, as_before, strict=True)]))
 
 
 def _cut(text: F.Column, spans: F.Column, mask: str) -> F.Column:
