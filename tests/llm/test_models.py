@@ -278,39 +278,45 @@ def test_toxicity_of_documents(spark, clashing, rows, no_docs, sf_dir):
 
 
 def render(turns):
-    """conv, segment, speaker, turns, text, masks of plain rows."""
+    """conv, speaker, turns, text, masks of plain rows."""
     convs = defaultdict(list)
     for conv, turn, role, text in turns:
-        convs[conv].append((turn is None, turn or 0, role or "", role is None, text or "", role, turn))
+        convs[conv].append((turn is None, turn or 0, role or "", role is None, text or "", role))
     out = []
     for conv, said in convs.items():
-        speakers = {r for *_, r, _ in said if r is not None and r != "system"} or {None}
-        segments = defaultdict(list)
-        for s in sorted(said, key=lambda s: s[:5]):
-            segments[-1 if s[-1] is None else s[-1] // 256].append(s)
-        for segment, part in segments.items():
-            for speaker in speakers:
-                text, masks = "", []
-                for *_, body, role, _ in part:
-                    own = role is not None and role == speaker
-                    head = "system" if role == "system" else "assistant" if own else f"user name={(role or 'unknown').replace('<|', '< |')}"
-                    text += f"<|{head}|>\n"
-                    start = len(text)
-                    text += body.replace("<|", "< |") + "<|end|>\n"
-                    masks += [f"{start}:{len(text)}"] if own else []
-                out.append((conv, segment, speaker, len(part), text, ",".join(masks)))
+        for speaker in {r for *_, r in said if r is not None and r != "system"} or {None}:
+            text, masks = "", []
+            for *_, body, role in sorted(said, key=lambda s: s[:5]):
+                own = role is not None and role == speaker
+                head = "system" if role == "system" else "assistant" if own else f"user name={(role or 'unknown').replace('<|', '< |')}"
+                text += f"<|{head}|>\n"
+                start = len(text)
+                text += body.replace("<|", "< |") + "<|end|>\n"
+                masks += [f"{start}:{len(text)}"] if own else []
+            out.append((conv, speaker, len(said), text, ",".join(masks)))
     return sorted(out, key=repr)
 
 
 def test_perspectives(spark, sf_dir):
     turns = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
-    turns += [(1000, i, f"p{i % 3}", f"tęxt {i} <|end|>") for i in range(600)] + [(1001, 0, "system", "only system"), (1002, None, None, None), (1002, None, "a", "x"), (None, 0, "a", "y"), (None, 0, "b", None), (1003, 1, "a", "same"), (1003, 1, "a", "same")]
+    turns += [(1000, i, f"p{i % 3}", f"tęxt {i} <|end|>") for i in range(600)] + [(1001, 0, "system", "only system"), (1002, None, None, None), (1002, None, "a", "x"), (1002, -300, "a", "first"), (None, 0, "a", "y"), (None, 0, "b", None), (1003, 1, "a", "same"), (1003, 1, "a", "same")]
     df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").withColumn("speaker", F.lit("z")).withColumn("segment", F.lit(0)).repartition(5)
     rendered = chat.digest(chat.perspectives(df))
-    assert bag(rendered) == render(turns)
+    expect = render(turns)
+    assert bag(rendered) == expect
     plan = rendered._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
     assert chat.perspectives(df.limit(0)).count() == 0
+    # the pieces joined are the whole
+    whole = defaultdict(list)
+    for r in chat.segments(df, span=100).collect():
+        whole[r.conv_id, r.speaker].append(r)
+    joined = []
+    for (conv, speaker), parts in whole.items():
+        parts.sort(key=lambda r: r.segment)
+        assert [r.segment for r in parts] == list(range(len(parts)))
+        joined.append((conv, speaker, sum(r.n_turns for r in parts), "".join(r.text for r in parts), ",".join(f"{m.start}:{m.end}" for r in parts for m in r.masks)))
+    assert sorted(joined, key=repr) == expect
 
 
 # --- licenses
