@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .tables import looked_up, trimmed, written
 from .text import NOT_SPACE, code_points, grams, mix, slices, split, sums
 
 WINDOW = 8
@@ -77,7 +78,7 @@ def counts(docs: DataFrame, doc_id: str = "doc_id", host: str = "source", text:
             )
 
     chosen = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(host).cast("string").alias("host"), F.col(text).alias("text"))
-    return chosen.mapInArrow(count, COUNTS)
+    return chosen.mapInArrow(trimmed(count), COUNTS)
 
 
 #: name: failing condition
@@ -111,10 +112,12 @@ def host_rates(judged: DataFrame) -> DataFrame:
 def judge(counted: DataFrame, rules: dict[str, str] = RULES, base: tuple[str, ...] = BASE, max_rate: float = 0.5) -> DataFrame:
     """Adds failures (names of failed rules), base_failed, host_rate (shrunk; null without host) and kept.
 
-    The host table is one row per host after partial aggregation. It joins back by a plain equi-join: Spark
-    broadcasts it only below its own threshold, and splits a host that holds many documents otherwise.
+    The counts are written once, so that texts are read once. The host table is one row per host after partial aggregation;
+    the verdicts of hosts that hold much of the table go to all tasks, the others' rows are shuffled to theirs.
     """
     names = F.array_compact(F.array(*[F.when(F.expr(rule), F.lit(name)) for name, rule in rules.items()]))
+    counted = written(counted, "rule-counts")
     judged = counted.withColumn("failures", names).withColumn("failed", F.size("failures") > 0).withColumn("base_failed", F.arrays_overlap("failures", F.array(*[F.lit(x) for x in base])))
-    hosts = host_rates(judged).select(F.col("host").alias("_host"), F.col("shrunk").alias("host_rate"))
-    return judged.join(hosts, F.col("host") == F.col("_host"), "left").drop("_host").withColumn("kept", ~F.col("failed") & (F.coalesce("host_rate", F.lit(0.0)) <= max_rate))
+    hosts = written(host_rates(judged), "hosts").select("host", F.col("shrunk").alias("host_rate"))
+    met = looked_up(judged, hosts, "host").select(*judged.columns, "host_rate")
+    return met.withColumn("kept", ~F.col("failed") & (F.coalesce("host_rate", F.lit(0.0)) <= max_rate))
