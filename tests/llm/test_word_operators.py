@@ -197,6 +197,31 @@ def test_sequences_are_gapless_and_full(clashing):
         assert at <= 2048
     total = sum(r.length for r in got)
     assert len(held) <= -(-total // 2048) * 1.02 + 2
+    whole = packing.pack(packing.pieces(clashing, tokenizer_path()))
+    assert len(held) <= whole.select("sequence_id").distinct().count() + 1
+    assert sorted(tuple(r)[:5] for r in whole.where("doc_id is not null").collect()) == sorted(tuple(r)[:5] for r in got if r.doc_id is not None)
+
+
+def test_other_tokenizers_encode_whole_texts():
+    """One that joins across white space is found out; ids are then those of whole texts."""
+    import json
+    import tempfile
+
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    made = json.load(open(tokenizer_path()))
+    assert packing.Encoder(tokenizer_path()).by_words
+    made["normalizer"], made["pre_tokenizer"] = None, {"type": "Metaspace", "replacement": "▁", "prepend_scheme": "always", "split": False}
+    path = tempfile.mkstemp(suffix=".json", dir="/tmp")[1]
+    with open(path, "w") as out:
+        json.dump(made, out)
+    encode = packing.Encoder(path)
+    assert not encode.by_words
+    texts = ["Two Words, here.", "", None, "a  b"]
+    ids, rows = encode(pa.array(texts))
+    for i, t in enumerate(texts):
+        assert ids[rows[i] : rows[i + 1]].tolist() == [*Tokenizer.from_file(path).encode(t or "", add_special_tokens=False).ids, 0]
 
 
 def test_fullest_is_the_best_subset_sum():

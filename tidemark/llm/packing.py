@@ -4,7 +4,11 @@ Documents become token ids and one end id; only documents longer than a sequence
 into groups of bounded size, and each group is packed by itself: the largest remaining piece opens a sequence, a
 subset-sum programme over the remaining lengths (one big integer as bitset per length added) finds the fullest
 combination that fits beside it, and the pieces of that combination are removed. Equal combinations are taken at once
-while their lengths last. Splitting into groups costs at most part of one sequence a group.
+while their lengths last. What the groups leave in sequences that are not full is dealt into fewer groups and packed again, until one
+group holds it, so splitting costs about what one sequence costs.
+
+A text's ids are put together from those of its words where the tokenizer allows it; an encoder proves that on a set of texts when it is
+made, and otherwise encodes whole texts.
 
 A null or empty text is its end id alone. Repeated rows are packed one by one. An empty table gives an empty result. A null
 id is kept. Columns other than the two named are ignored.
@@ -15,13 +19,14 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import written
+from .tables import trimmed, written
 from .text import NOT_SPACE, Words, buffers, slices, split
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -32,6 +37,11 @@ _MARK = np.isin(np.arange(256), list(b".,;:!?"))
 _PLAIN = np.isin(np.arange(256), list(b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"))
 
 
+_WORDS = "The quick brown fox isn't here Straße NAÏVE école 你好 世界 привет hello_world (foo) [bar] a/b x@y.z 3.14 1,000 -- ... 'quoted' \"said\" e.g. U.S. #tag $5 50% <b> x;y ¡hola! ﬁn e\u0301 ½ ™ \u200bzero don’t".split()
+#: Texts on which ids by words are held against ids of the whole: words, marks and white space next to each other in many ways.
+PROBES = ["", " ", "\n\n x", *(f"{a}{m}{s}{b}{m} {a.upper()}{m}" for i, (a, b) in enumerate(zip(_WORDS, _WORDS[1:], strict=False)) for m, s in ((m, " \n\t\r"[(i + j) % 4] * (1 + (i + j) % 3)) for j, m in enumerate(("", ".", ",", "!", "?", ":", ";"))))]
+
+
 class Encoder:
     """Token ids of whole texts, with the ids of each distinct word kept for the next texts.
 
@@ -56,7 +66,14 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most_ids = Tokenizer.from_file(path), most_ids
+        self.tokenizer, self.most_ids, self.by_words = Tokenizer.from_file(path), most_ids, True
+        self._clear()
+        whole = [[*x.ids, 0] for x in self.tokenizer.encode_batch(PROBES, add_special_tokens=False)]
+        try:
+            ids, rows = self(pa.array(PROBES))
+            self.by_words = ids.tolist() == [i for x in whole for i in x] and np.diff(rows).tolist() == list(map(len, whole))
+        except (IndexError, ValueError):
+            self.by_words = False
         self._clear()
 
     def _clear(self) -> None:
@@ -73,6 +90,9 @@ class Encoder:
 
     def __call__(self, column: pa.Array, end: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all rows one after another, each row followed by the end id, and the rows' offsets."""
+        if not self.by_words:
+            texts = [x.ids for x in self.tokenizer.encode_batch([x or "" for x in column.to_pylist()], add_special_tokens=False)]
+            return np.fromiter((i for x in texts for i in [*x, end]), np.uint32), np.cumsum([0, *(len(x) + 1 for x in texts)])
         words = self._words(column)
         keys, first, inverse = np.unique(words.hashes(), return_index=True, return_inverse=True)
         if len(self.ids) > self.most_ids:
@@ -109,7 +129,7 @@ def pieces(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str =
             crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip((rows[row] + start).tolist(), (rows[row] + start + size).tolist(), strict=True)]
             yield pa.record_batch([batch.column("doc_id").take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(start), pa.array(size), pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(cut, PIECES)
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(trimmed(cut), PIECES)
 
 
 def fullest(counts: np.ndarray, room: int) -> list[int]:
@@ -162,13 +182,33 @@ def minimum_slack(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.nd
     return bins, offsets
 
 
-def pack(cut: DataFrame, capacity: int = 2048, group_pieces: int = 20_000) -> DataFrame:
-    """Adds sequence_id and offset to pieces (as pieces() gives them). The pieces' lengths are shuffled once, not their ids."""
-    cut = written(cut, "pieces")
-    n_groups = max(1, -(-cut.count() // group_pieces))
+def _by_group(left: DataFrame, n_groups: int, level: int, capacity: int) -> DataFrame:
+    """Pieces dealt into groups and each group packed; _full: whether the piece's sequence has no room left."""
 
     def each(key: tuple, table: pa.Table) -> pa.Table:
-        bins, offsets = minimum_slack(table.column("length").to_numpy(), capacity)
-        return table.drop_columns("_group").append_column("sequence_id", pa.array((key[0].as_py() << 40) + bins)).append_column("offset", pa.array(offsets))
+        length = table.column("length").to_numpy()
+        bins, offsets = minimum_slack(length, capacity)
+        full = np.bincount(bins, weights=length, minlength=1)[bins] == capacity
+        names = pa.array((level << 56) + (key[0].as_py() << 24) + bins)
+        return table.drop_columns("_group").append_column("sequence_id", names).append_column("offset", pa.array(offsets)).append_column("_full", pa.array(full))
 
-    return cut.withColumn("_group", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n_groups))).groupBy("_group").applyInArrow(each, PACKED)
+    dealt = left.withColumn("_group", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n_groups)))
+    return dealt.groupBy("_group").applyInArrow(each, PACKED + ", _full boolean")
+
+
+def pack(cut: DataFrame, capacity: int = 2048, group_pieces: int = 20_000) -> DataFrame:
+    """Adds sequence_id and offset to pieces (as pieces() gives them). Lengths are shuffled, not ids."""
+    columns = [x.split()[0] for x in PIECES.split(", ")]
+    left, level, done = written(cut, "pieces"), 0, []
+    n_left = left.count()
+    while (n_groups := -(-n_left // group_pieces)) > 1:
+        packed = written(_by_group(left, n_groups, level, capacity), "packed")
+        n_open = packed.where("not _full").count()
+        if 2 * n_open > n_left:  # few lengths that never fill a sequence: another deal would not either
+            done.append(packed.drop("_full"))
+            break
+        done.append(packed.where("_full").drop("_full"))
+        left, n_left, level = packed.where("not _full").select(*columns), n_open, level + 1
+    else:
+        done.append(_by_group(left, 1, level, capacity).drop("_full"))
+    return reduce(DataFrame.unionByName, done)
