@@ -57,3 +57,20 @@ def test_stages(spark, docs, folder):
 
 def test_run_returns_the_last_stage(spark, folder):
     assert corpus_pipeline.run(spark, folder).columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+
+
+def test_no_documents(spark, folder, no_docs, tmp_path):
+    no_docs.write.parquet(f"{tmp_path}/documents.parquet")
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{folder}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_the_smallest_id_of_a_group_stays(spark, clashing, rows):
+    """Ids, copies and repeated rows; only null ids leave the choice among equal texts open."""
+    from tidemark.llm import jaccard
+
+    kept = sorted((r.doc_id for r in jaccard.one_of_each(clashing).collect()), key=repr)
+    lows = {c for _, n, c in linked(rows) if n}
+    empty = [d for d, n, _ in linked(rows) if not n]
+    assert kept == sorted([*lows, *empty], key=repr)

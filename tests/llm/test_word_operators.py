@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tidemark.llm import decontaminate, jaccard, packing, rules, secrets
 from tidemark.llm.queries import tokenizer_path
 
@@ -46,15 +47,29 @@ def items(spark, sf_dir):
     return spark.createDataFrame(real + made, "item_id long, text string")
 
 
-@pytest.mark.parametrize("most", [64 << 20, 4000])
+@pytest.mark.parametrize("most", [8 << 20, 4000])
 def test_overlaps_are_all_found(docs, rows, items, most):
     expect = [(d, *overlap(t, [(r.item_id, r.text) for r in items.collect()])) for d, t, _ in rows]
     assert any(x[-1] for x in expect) and not all(x[-1] for x in expect)
     assert bag(decontaminate.digest(decontaminate.overlaps(docs, items, max_index_chars=most))) == sorted(expect, key=repr)
 
 
-def test_clean_keeps_columns_and_drops_hits(clashing, items, rows):
-    kept = decontaminate.clean(clashing, items)
+def test_both_ways_have_equal_rows(docs, items):
+    assert bag(decontaminate.overlaps(docs, items)) == bag(decontaminate.overlaps(docs, items, max_index_chars=0))
+
+
+def test_texts_of_few_repeated_words(spark):
+    """Very many equal fingerprints on both sides."""
+    items = [(1, "again " * 200), (2, "a b " * 300), (3, "again a b " * 100)]
+    docs = [(1, "again " * 20_000), (2, "x " + "b a " * 3_000), (3, "a b again " * 12), (4, "again a a b b " * 500)]
+    got = decontaminate.overlaps(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert bag(decontaminate.digest(got)) == sorted([(d, *overlap(t, items)) for d, t in docs], key=repr)
+
+
+@pytest.mark.parametrize("most", [8 << 20, 0])
+def test_clean_keeps_columns_and_drops_hits(clashing, items, rows, most):
+    clashing = clashing.withColumn("a.b `c`", F.lit(1))
+    kept = decontaminate.clean(clashing, items, max_index_chars=most)
     assert kept.columns == clashing.columns
     listed = [(r.item_id, r.text) for r in items.collect()]
     assert kept.count() == sum(not overlap(t, listed)[-1] for _, t, _ in rows)

@@ -5,21 +5,23 @@ that share `guarantee` words in a row then share a kept hash at the same place o
 hashes misses no such span. Each hit is extended word by word to both sides, and spans that reach `guarantee` words count.
 Items shorter than `guarantee` words count where all their words occur in a row; they are looked up by that one hash.
 
-Null or empty texts have no words and are never contaminated; a null item id counts as an item that is not listed;
+Words are `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` after lower-casing A-Z. Null or empty texts have no words and are never contaminated; a null item id counts as an item that is not listed;
 repeated rows are judged one by one; items with equal ids count once; columns other than the two named are ignored.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .tables import looked_up, trimmed, whole_rows, written
 from .text import ALNUM, grams, slices, split
 
 RESULT = "doc_id long, n_words long, n_hit long, n_items long, item_ids array<string>, spans array<struct<start:long,end:long>>"
@@ -79,16 +81,25 @@ class Index:
         found = [winnow(h, rows, self.k, self.guarantee), *(grams(h, rows, n) for n in self.short)]
         return np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])
 
-    def hits(self, keys: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs of a text's word and the index entry with the same hash."""
+    def hits(self, keys: np.ndarray, at: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of a text's word and the index entry with the same hash, about `most` at a time."""
         low, high = np.searchsorted(self.keys, keys), np.searchsorted(self.keys, keys, side="right")
-        n = high - low
-        some = np.flatnonzero(n)
-        if not len(some):
-            return at[:0], at[:0]
-        n, low = n[some], low[some]
-        entry = np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        return np.repeat(at[some], n), entry
+        some = np.flatnonzero(high > low)
+        low, n, at = low[some], (high - low)[some], at[some]
+        total, i = np.concatenate([[0], np.cumsum(n)]), 0
+        while i < len(n):
+            j = max(i + 1, int(np.searchsorted(total, total[i] + most, side="right")) - 1)
+            own = n[i:j]
+            yield np.repeat(at[i:j], own), np.repeat(low[i:j] - (total[i:j] - total[i]), own) + np.arange(total[j] - total[i])
+            i = j
+
+    def found(self, h: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Items and word ranges of the texts' words that items hold too. Pairs are extended some at a time; a text and an item that
+        both repeat a few words make very many pairs, but spans no more than their lengths."""
+        kept = np.zeros((3, 0), np.int64)
+        for at, entry in self.hits(*self.fingerprints(h, rows)):
+            kept = np.unique(np.concatenate([kept, np.stack(self.spans(h, rows, at, entry))], axis=1), axis=1)
+        return kept[0], kept[1], kept[2]
 
     def spans(self, h: np.ndarray, rows: np.ndarray, at: np.ndarray, entry: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Items and word ranges of the hits that extend to the guaranteed length, or to the whole of a short item."""
@@ -130,70 +141,137 @@ def _result(doc_ids: pa.Array, index: Index, rows: np.ndarray, item: np.ndarray,
     )
 
 
-def overlaps(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", k: int = 5, guarantee: int = 10, max_index_chars: int = 64 << 20) -> DataFrame:
-    """Per row of docs its words, the words inside spans shared with items, the items (ids as strings) and the spans.
+def _packed(texts: DataFrame, k: int, guarantee: int, short: list[int], name: str) -> DataFrame:
+    """Distinct texts by content, with their fingerprints: `name` (SHA-256), text, prints (hash and word)."""
+
+    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            words = split(batch.column("text"), ALNUM)
+            h = words.hashes()
+            found = [winnow(h, words.rows, k, guarantee), *(grams(h, words.rows, n) for n in short)]
+            key, at = np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])
+            row = np.searchsorted(words.rows, at, side="right") - 1
+            yield pa.record_batch([batch.column(name).take(pa.array(row)), pa.array(key.view(np.int64)), pa.array(at - words.rows[row])], [name, "key", "at"])
+
+    return texts.mapInArrow(trimmed(prints), f"{name} string, key long, at long")
+
+
+def _by_join(docs: DataFrame, items: DataFrame, k: int, guarantee: int, keep: str = "doc_id") -> DataFrame:
+    """The same result for a benchmark of any size: fingerprints meet in a shuffled join, and each pair of different texts that share
+    any is extended in a task of its own pair. Nothing passes through the driver; equal texts are compared once."""
+    docs = written(docs.withColumn("doc", F.sha2("text", 256)), "docs")
+    items = written(items.withColumn("item", F.sha2("text", 256)), "items")
+    own = docs.groupBy("doc").agg(F.first("text").alias("text"))
+    theirs = items.groupBy("item").agg(F.first("text").alias("text"))
+    sizes = theirs.mapInArrow(_word_counts, "n long").where(f"n > 0 and n < {guarantee}").distinct()
+    short = sorted(r["n"] for r in sizes.collect())  # fewer than guarantee numbers
+    of_items = _packed(theirs, k, guarantee, short, "item")
+    pairs = _packed(own, k, guarantee, short, "doc").join(of_items.select("item", "key").distinct(), "key").select("doc", "item").distinct()
+    both = pairs.join(own, "doc").join(theirs.withColumnRenamed("text", "other"), "item")
+
+    def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                one = batch.slice(i, 1)
+                index = Index.build([0], one.column("other"), k, guarantee)
+                words = split(one.column("text"), ALNUM)
+                _, start, end = index.found(words.hashes(), words.rows)
+                n = len(start)
+                yield pa.record_batch([one.column("doc").take(pa.array([0] * n, pa.int64())), one.column("item").take(pa.array([0] * n, pa.int64())), pa.array(start), pa.array(end)], ["doc", "item", "start", "end"])
+
+    found = written(both.mapInArrow(trimmed(extend), "doc string, item string, start long, end long"), "spans")
+    named = found.select("doc", "item").distinct().join(items.select("item", F.col("item_id").cast("string").alias("id")), "item").groupBy("doc").agg(F.array_sort(F.collect_set("id")).alias("item_ids"))
+    runs = found.groupBy("doc").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans")).select("doc", _merged(F.col("spans")).alias("spans"))
+    facts = written(runs.join(named, "doc", "left"), "overlaps")
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    counted = docs.select("doc_id", "doc", "text").mapInArrow(trimmed(_counted), "doc_id long, doc string, n_words long")
+    met = looked_up(written(counted, "counted"), facts, "doc")
+    none = F.expr("cast(array() as array<string>)"), F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)")
+    return met.select(
+        keep, "n_words", F.coalesce(n_hit, F.lit(0).cast("long")).alias("n_hit"), F.coalesce(F.size("item_ids"), F.lit(0)).cast("long").alias("n_items"),
+        F.coalesce("item_ids", none[0]).alias("item_ids"), F.coalesce("spans", none[1]).alias("spans"),
+    )
+
+
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches, "text"):
+        yield pa.record_batch([pa.array(np.diff(split(batch.column("text"), ALNUM).rows))], ["n"])
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches, "text"):
+        yield pa.record_batch([batch.column("doc_id"), batch.column("doc"), pa.array(np.diff(split(batch.column("text"), ALNUM).rows))], ["doc_id", "doc", "n_words"])
+
+
+def _merged(spans: F.Column) -> F.Column:
+    """The union of sorted spans as runs without gaps: a fold that grows the last run or begins one."""
+    start = F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)")
+
+    def step(runs: F.Column, s: F.Column) -> F.Column:
+        last = F.element_at(runs, -1)
+        grown = F.concat(F.slice(runs, 1, F.size(runs) - 1), F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"))))
+        return F.when((F.size(runs) > 0) & (s["start"] <= F.try_element_at(runs, F.lit(-1))["end"]), grown).otherwise(F.concat(runs, F.array(s)))
+
+    return F.aggregate(spans, start, step)
+
+
+def overlaps(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", k: int = 5, guarantee: int = 10, max_index_chars: int = 8 << 20) -> DataFrame:
+    """Per row of docs its words, the words inside spans shared with items, the items (ids as strings) and the spans as runs of words.
 
     Items of at most `max_index_chars` characters together go to all tasks as one index, and documents are not
-    shuffled. A larger benchmark is dealt into parts by size; each part's hits are found the same way and the
-    parts meet per row in one shuffle, so the index in a task never exceeds the bound.
+    shuffled; beyond that fingerprints of both sides meet in a join. Both ways have the same rows.
     """
-    spark = docs.sparkSession
     items = items.select(F.col(item_id).alias("item_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    size = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"]
-    n_parts = max(1, -(-2 * size // max_index_chars)) if size > max_index_chars else 1
-    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    if n_parts > 1:
-        docs = docs.withColumn("_row", F.monotonically_increasing_id())
-
-    def part(number: int) -> DataFrame:
-        own = items if n_parts == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_parts)) == number)
-        table = own.toArrow()
-        index = Index.build(table.column("item_id").to_pylist(), table.column("text").combine_chunks(), k, guarantee)
-        shared = spark.sparkContext.broadcast(index)
-        keyed = n_parts > 1
-
-        def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index = shared.value
-            for batch in slices(batches, "text"):
-                words = split(batch.column("text"), ALNUM)
-                h = words.hashes()
-                at, entry = index.hits(*index.fingerprints(h, words.rows))
-                out = _result(batch.column("doc_id"), index, words.rows, *index.spans(h, words.rows, at, entry))
-                yield out.append_column("_row", batch.column("_row")) if keyed else out
-
-        return docs.mapInArrow(match, RESULT + (", _row long" if keyed else ""))
-
-    if n_parts == 1:
-        return part(0)
-    found = part(0)
-    for number in range(1, n_parts):
-        found = found.unionByName(part(number))
-    inside = F.flatten(F.transform(F.flatten("spans"), lambda s: F.sequence(s["start"], s["end"] - 1)))
-    return (
-        found.groupBy("_row")
-        .agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.collect_list("item_ids").alias("item_ids"), F.collect_list("spans").alias("spans"))
-        .select("doc_id", "n_words", F.array_distinct(F.flatten("item_ids")).alias("item_ids"), F.array_sort(F.array_distinct(inside)).alias("hit"))
-        .select("doc_id", "n_words", F.size("hit").cast("long").alias("n_hit"), F.size("item_ids").cast("long").alias("n_items"), F.array_sort("item_ids").alias("item_ids"), F.transform("hit", lambda x: F.struct(x.alias("start"), (x + 1).alias("end"))).alias("spans"))
-    )
+    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    if not _fits(items, max_index_chars):
+        return _by_join(docs, items, k, guarantee)
+    shared = _index(items, k, guarantee)
 
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = shared.value
+        for batch in slices(batches, "text"):
+            words = split(batch.column("text"), ALNUM)
+            yield _result(batch.column("doc_id"), index, words.rows, *index.found(words.hashes(), words.rows))
 
-def digest(found: DataFrame) -> DataFrame:
-    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+    return docs.mapInArrow(trimmed(match), RESULT)
 
 
-def item_digest(ids: list[str]) -> str:
-    """What digest() gives for these items, for tests."""
-    return hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest()
+def _fits(items: DataFrame, most: int) -> bool:
+    return items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"] <= most
 
 
-def clean(docs: DataFrame, items: DataFrame, **how) -> DataFrame:
-    """The rows of docs without a hit, all columns kept. Decisions are made and applied row by row in one pass."""
-    columns = docs.columns
-    marked = docs.select(F.struct(*columns).alias("_doc"), F.col(how.pop("doc_id", "doc_id")).alias("doc_id"), F.col("text"))
-    return _filter(marked, items, columns, **how)
+def _index(items: DataFrame, k: int, guarantee: int) -> Broadcast:
+    """The index of a benchmark whose size has been checked, for all tasks."""
+    table = items.toArrow()
+    return items.sparkSession.sparkContext.broadcast(Index.build(table.column("item_id").to_pylist(), table.column("text").combine_chunks(), k, guarantee))
+
 
+def digest(found: DataFrame) -> DataFrame:
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def clean(docs: DataFrame, items: DataFrame, item_id: str = "item_id", text: str = "text", k: int = 5, guarantee: int = 10, max_index_chars: int = 8 << 20) -> DataFrame:
+    """The rows of docs without a hit, all columns kept. Whether a row stays rests on its text alone, so docs may be any frame.
 
-def _filter(marked: DataFrame, items: DataFrame, columns: list[str], k: int = 5, guarantee: int = 10) -> DataFrame:
-    keyed = marked.withColumn("_row", F.monotonically_increasing_id())
-    hits = overlaps(keyed.select(F.col("_row").alias("doc_id"), "text"), items, k=k, guarantee=guarantee).where("n_hit > 0").select(F.col("doc_id").alias("_row"))
-    return keyed.join(hits, "_row", "left_anti").select(*[F.col("_doc")[c].alias(c) for c in columns])
+    With an index that fits, rows are judged and kept in one pass; beyond that the distinct texts that are hit are joined out.
+    """
+    columns = docs.columns
+    items = items.select(F.col(item_id).alias("item_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    packed = whole_rows(docs)
+    if not _fits(items, max_index_chars):
+        content = F.coalesce(F.col("_doc")[text], F.lit(""))
+        hit = _by_join(packed.select(F.lit(None).cast("long").alias("doc_id"), content.alias("text")).distinct(), items, k, guarantee, keep="doc")
+        kept = packed.withColumn("_blob", F.sha2(content, 256)).join(hit.where("n_hit > 0").select(F.col("doc").alias("_blob")), "_blob", "left_anti")
+        return kept.select(*[F.col("_doc")[c].alias(c) for c in columns])
+    shared = _index(items, k, guarantee)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = shared.value
+        for batch in slices(batches, ("_doc", text)):
+            words = split(pc.struct_field(batch.column("_doc"), text), ALNUM)
+            _, start, _ = index.found(words.hashes(), words.rows)
+            clean_ = np.ones(batch.num_rows, bool)
+            clean_[np.searchsorted(words.rows, start, side="right") - 1] = False
+            yield batch.filter(pa.array(clean_))
+
+    return packed.mapInArrow(trimmed(keep), packed.schema).select(*[F.col("_doc")[c].alias(c) for c in columns])

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .graph import components
-from .tables import HOT, looked_up, met_once, shuffled_to, trimmed, written
+from .tables import HOT, looked_up, met_once, shuffled_to, trimmed, whole_rows, written
 from .text import NOT_SPACE, grams, mix, slices, split
 
 _TWO = np.uint64(0xA5A5B6B6C7C7D8D8)
@@ -344,7 +344,7 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k:
             spread = [f"{number}.{i}".encode() for i in range(len(names))]
             yield batch.append_column("_cls", pa.array(names, pa.binary())).append_column("_spread", pa.array(spread, pa.binary()))
 
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_doc"))
+    packed = whole_rows(docs)
     rows = packed.mapInArrow(trimmed(sign), T.StructType([*packed.schema.fields, T.StructField("_cls", T.BinaryType()), T.StructField("_spread", T.BinaryType())]))
     rows = met_once(rows, fate.withColumnRenamed("cls", "_cls"), "_cls", "_spread", F.col("rows") > HOT * signed.count())
     stays = rows.where(F.col("fact").isNull() | (F.col("fact.stays") & F.col("fact.id").eqNullSafe(F.col("_doc")[doc_id].cast("long"))))

@@ -1,9 +1,11 @@
 """License scans by a positional index of rare template words.
 
-Templates are short license texts and phrases. The index holds each template word's places; a word's weight is its inverse
-document frequency among the templates. In a file the words that are in the index are located, all of them are looked up,
-and postings are intersected by relative position: each place votes with its word's weight for the file position at which
-the template would begin. Where the votes of a template agree its words are aligned one by one, and the template counts if its
+Templates are license texts, whole or their notices. A template is cut into parts of about `PART` words, so that a file's
+additions in one place do not shift the rest of it. The index holds each part's words with their places; a word's weight is its inverse
+document frequency among the parts. In a file the words that are in the index are located, all of them are looked up, and
+postings are intersected by relative position: each place votes with its word's weight for the file position at which the part
+would begin. Where the votes of a part agree its words are aligned one by one, each up to `slack` words away. A template's parts that stand in
+about its order and distance add up; the template counts if the share of its weight that is found is enough and its
 mandatory key phrases stand there in full.
 
 Short phrases are templates whose key phrase is the whole text; each is looked up by its rarest word at every place, so
@@ -23,98 +25,152 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .tables import trimmed
 from .text import ALNUM, slices, split
 
 #: Phrases of the base scan and their labels.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 
-#: Label, template text, mandatory key phrases. The wording is that of the licenses' public notices.
+#: Label, template text, mandatory key phrases. The wording is that of the licenses and of their public notices.
 TEMPLATES = [
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction", ["permission is hereby granted free of charge", "without restriction"]),
-    ("apache", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at", ["licensed under the apache license", "in compliance with the license"]),
-    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", ["you can redistribute it", "gnu general public license as published by"]),
-    ("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation", ["gnu lesser general public license"]),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", ["redistribution and use in source and binary forms"]),
-    ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at", ["mozilla public license"]),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ["for any purpose with or without fee is hereby granted"]),
-    ("cc-by", "this work is licensed under the creative commons attribution 4 0 international license", ["creative commons attribution 4 0"]),
-    ("cc-by-sa", "this work is licensed under the creative commons attribution sharealike 4 0 international license", ["creative commons attribution sharealike"]),
-    ("cc0", "to the extent possible under law the author has waived all copyright and related rights to this work", ["waived all copyright and related"]),
-    ("unlicense", "this is free and unencumbered software released into the public domain", ["free and unencumbered software"]),
+    ("mit", """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal
+        in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit
+        persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial
+        portions of the Software.""", ["permission is hereby granted free of charge", "without restriction"]),
+    ("isc", """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission
+        notice appear in all copies.""", ["for any purpose with or without fee is hereby granted"]),
+    ("bsd", """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must
+        retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the
+        following disclaimer in the documentation and/or other materials provided with the distribution.""", ["redistribution and use in source and binary forms"]),
+    ("zlib", """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission
+        is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: The origin of this
+        software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be
+        appreciated but is not required. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. This notice may not be removed or altered
+        from any source distribution.""", ["permission is granted to anyone to use this software for any purpose", "must not be misrepresented"]),
+    ("bsl", """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use,
+        reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject
+        to the following: The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of
+        the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source
+        language processor.""", ["accompanying documentation covered by this license"]),
+    ("unlicense", """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source
+        code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.""", ["free and unencumbered software"]),
+    ("apache", """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+        http://www.apache.org/licenses/LICENSE-2.0. Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR
+        CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.""",
+        ["licensed under the apache license", "in compliance with the license"]),
+    ("gpl", """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation""",
+        ["you can redistribute it", "gnu general public license as published by"]),
+    ("lgpl", """This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation""",
+        ["gnu lesser general public license"]),
+    ("agpl", """This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation""",
+        ["gnu affero general public license"]),
+    ("mpl", """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at""", ["mozilla public license"]),
+    ("epl", """This program and the accompanying materials are made available under the terms of the Eclipse Public License which accompanies this distribution""", ["eclipse public license"]),
+    ("cc-by", "This work is licensed under the Creative Commons Attribution 4.0 International License", ["creative commons attribution 4 0"]),
+    ("cc-by-sa", "This work is licensed under the Creative Commons Attribution-ShareAlike 4.0 International License", ["creative commons attribution sharealike"]),
+    ("cc-by-nc", "This work is licensed under the Creative Commons Attribution-NonCommercial 4.0 International License", ["creative commons attribution noncommercial"]),
+    ("cc0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work", ["waived all copyright and related"]),
 ]
+#: words of a part of a template
+PART = 24
 
 SCANNED = "doc_id long, n_words long, places array<struct<word:long,label:string>>, found array<struct<word:long,label:string,score:double>>"
 
 
+def plain_words(text: str) -> list[str]:
+    words = split(pa.array([text]), ALNUM)
+    raw = words.data.tobytes()
+    return [raw[a:b].decode() for a, b in zip(words.start.tolist(), words.end.tolist(), strict=True)]
+
+
 @dataclass
 class Index:
     vocabulary: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
     weight: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    words: list[list[int]] = field(default_factory=list)
     labels: list[str] = field(default_factory=list)
-    keys: list[list[tuple[int, int]]] = field(default_factory=list)
+    #: words of each template, its parts as (first word, words), key phrases as words
+    words: list[list[int]] = field(default_factory=list)
+    parts: list[list[int]] = field(default_factory=list)
+    keys: list[list[list[int]]] = field(default_factory=list)
     postings: dict[int, list[tuple[int, int]]] = field(default_factory=dict)
-    anchors: dict[int, list[tuple[int, int]]] = field(default_factory=dict)
+    part: list[tuple[int, int, list[int]]] = field(default_factory=list)
+    phrases: dict[int, list[tuple[str, list[int], int]]] = field(default_factory=dict)
     #: vocabulary entries without which no template's key phrases and no phrase can stand in a file
     triggers: np.ndarray = field(default_factory=lambda: np.zeros(0, bool))
 
     @classmethod
     def build(cls, templates: list[tuple[str, str, list[str]]], phrases: dict[str, str]) -> Index:
-        every = [*templates, *((label, text, [text]) for text, label in phrases.items())]
-        plain = [text.split() for _, text, _ in every]
-        vocabulary = sorted({w for words in plain for w in words})
+        plain = [plain_words(text) for _, text, _ in templates]
+        short = [(label, plain_words(text)) for text, label in phrases.items()]
+        pieces = [(t, i, words[i : i + size]) for t, words in enumerate(plain) for size in [-(-len(words) // -(-len(words) // PART))] for i in range(0, len(words), size)]
+        vocabulary = sorted({w for words in [*plain, *(x for _, x in short)] for w in words})
         hashes = split(pa.array(vocabulary), ALNUM).hashes()
         order = np.argsort(hashes)
         number = {vocabulary[i]: n for n, i in enumerate(order.tolist())}
-        df = Counter(number[w] for words in plain for w in set(words))
-        weight = np.array([math.log((1 + len(every)) / (0.5 + df[i])) for i in range(len(vocabulary))])
-        index = cls(hashes[order], weight, [[number[w] for w in words] for words in plain], [label for label, _, _ in every])
-        index.triggers = np.zeros(len(vocabulary), bool)
+        df = Counter(number[w] for words in [*(x for *_, x in pieces), *(x for _, x in short)] for w in set(words))
+        weight = np.array([math.log((1 + len(pieces) + len(short)) / (0.5 + df[i])) for i in range(len(vocabulary))])
         telling = lambda w: (weight[w], len(vocabulary[order[w]]))  # noqa: E731  of equally rare words the longest
-        index.postings, index.anchors = defaultdict(list), defaultdict(list)
-        for t, (words, (_, _, keys)) in enumerate(zip(plain, every, strict=True)):
-            places = []
-            for key in map(str.split, keys):
-                at = next(i for i in range(len(words)) if words[i : i + len(key)] == key)
-                places.append((at, at + len(key)))
-            index.keys.append(places)
-            index.triggers[max((w for i, j in places for w in index.words[t][i:j]), key=telling)] = True
-            if t >= len(templates):
-                rare = max(range(len(words)), key=lambda i: telling(index.words[t][i]))
-                index.anchors[index.words[t][rare]].append((t, rare))
-                index.triggers[index.words[t][rare]] = True
-            else:
-                for i, w in enumerate(index.words[t]):
-                    index.postings[w].append((t, i))
+        index = cls(hashes[order], weight, [label for label, _, _ in templates], [[number[w] for w in words] for words in plain], [[] for _ in plain])
+        index.triggers = np.zeros(len(vocabulary), bool)
+        index.postings, index.phrases = defaultdict(list), defaultdict(list)
+        for _, _, keys in templates:
+            index.keys.append([[number[w] for w in plain_words(key)] for key in keys])
+            for key in index.keys[-1]:
+                index.triggers[max(key, key=telling)] = True
+        for p, (t, first, words) in enumerate(pieces):
+            index.parts[t].append(p)
+            index.part.append((t, first, [number[w] for w in words]))
+            for i, w in enumerate(words):
+                index.postings[number[w]].append((p, i))
+        for label, words in short:
+            own = [number[w] for w in words]
+            rare = max(range(len(own)), key=lambda i: telling(own[i]))  # noqa: B023
+            index.phrases[own[rare]].append((label, own, rare))
+            index.triggers[own[rare]] = True
         return index
 
-    def scan(self, at: np.ndarray, word: np.ndarray, n: int, slack: int, share: float) -> tuple[list[tuple[int, str]], list[tuple[int, str, float]]]:
-        """Places of phrases and found templates of a file of n words, whose license words `word` stand at `at`."""
+    def places(self, here: dict[int, int]) -> list[tuple[int, str]]:
+        return sorted((p - i, label) for p, w in here.items() for label, words, i in self.phrases.get(w, ()) if all(here.get(p - i + j) == x for j, x in enumerate(words)))
+
+    def aligned(self, here: dict[int, int], p: int, begin: int, slack: int) -> float:
+        """The weight of a part's words that stand within slack words of their place, if it begins there."""
+        return sum(self.weight[w] for i, w in enumerate(self.part[p][2]) if any(here.get(begin + i + d) == w for d in range(-slack, slack + 1)))
+
+    def found_parts(self, here: dict[int, int], slack: int, share: float) -> dict[int, list[tuple[int, float]]]:
+        """Beginnings and weights of the parts of which the share stands in the file, by votes for their beginnings."""
+        votes: dict[int, dict[int, float]] = defaultdict(lambda: defaultdict(float))
+        for at, w in here.items():
+            for p, i in self.postings.get(w, ()):
+                votes[p][at - i] += self.weight[w]
+        out = {}
+        for p, agreed in votes.items():
+            full = sum(self.weight[w] for w in self.part[p][2])
+            begins = np.array(sorted(agreed))
+            total = np.concatenate([[0.0], np.cumsum([agreed[b] for b in begins.tolist()])])
+            every = np.unique(begins[:, None] + np.arange(-slack, slack + 1))
+            near = total[np.searchsorted(begins, every + slack, side="right")] - total[np.searchsorted(begins, every - slack)]
+            got = [(b, self.aligned(here, p, b, slack)) for b in every[near >= share * full - 1e-9].tolist()]
+            out[p] = [(b, x) for b, x in got if x >= share * full - 1e-9]
+        return out
+
+    def scan(self, at: np.ndarray, word: np.ndarray, slack: int, share: float) -> tuple[list[tuple[int, str]], list[tuple[int, str, float]]]:
+        """Places of phrases and found templates of a file whose license words `word` stand at `at`."""
         here = dict(zip(at.tolist(), word.tolist(), strict=True))
-        stands = lambda words, begin: all(here.get(begin + i) == w for i, w in enumerate(words))
-        places = [(p - i, self.labels[t]) for p, w in here.items() for t, i in self.anchors.get(w, ()) if stands(self.words[t], p - i)]
+        return self.places(here), self.combined(here, self.found_parts(here, slack, share), slack, share)
+
+    def combined(self, here: dict[int, int], parts: dict[int, list[tuple[int, float]]], slack: int, share: float) -> list[tuple[int, str, float]]:
+        """Per label the template with the greatest share found: parts near where one of them would have the others."""
         best: dict[str, tuple[float, int]] = {}
-        votes: dict[tuple[int, int], float] = defaultdict(float)
-        for p, w in here.items():
-            for t, i in self.postings.get(w, ()):
-                votes[t, p - i] += self.weight[w]
-        starts = defaultdict(list)
-        for (t, begin), vote in votes.items():
-            starts[t].append((begin, vote))
-        for t, agreed in starts.items():
-            words = self.words[t]
-            full = sum(self.weight[w] for w in words)
-            begins, vote = (np.array(x) for x in zip(*sorted(agreed), strict=True))
-            total = np.concatenate([[0.0], np.cumsum(vote)])
-            near = total[np.searchsorted(begins, begins + slack, side="right")] - total[np.searchsorted(begins, begins - slack)]
-            for begin in begins[near >= share * full / 2].tolist():
-                keys = [next((b for b in range(begin - slack, begin + slack + 1) if stands(words[i:j], b + i)), None) for i, j in self.keys[t]]
-                if None in keys:
+        for t, own in enumerate(self.parts):
+            full, drift = sum(self.weight[w] for w in self.words[t]), slack + len(self.words[t]) // 4
+            for base in sorted({b - self.part[p][1] for p in own for b, _ in parts.get(p, ())}):
+                got = sum(max((x for b, x in parts.get(p, ()) if abs(b - self.part[p][1] - base) <= drift), default=0.0) for p in own)
+                if got < share * full - 1e-9 or got / full <= best.get(self.labels[t], (0.0, 0))[0]:
                     continue
-                got = sum(self.weight[w] for i, w in enumerate(words) if any(here.get(begin + i + d) == w for d in range(-slack, slack + 1)))
-                if got >= share * full and got / full > best.get(self.labels[t], (0.0, 0))[0]:
-                    best[self.labels[t]] = (min(1.0, got / full), max(0, begin))
-        return sorted(places), sorted((b, label, s) for label, (s, b) in best.items())
+                places = range(base - drift, base + len(self.words[t]) + drift)
+                if all(any(all(here.get(b + i) == w for i, w in enumerate(key)) for b in places) for key in self.keys[t]):
+                    best[self.labels[t]] = (got / full, max(0, base))
+        return sorted((b, label, min(1.0, s)) for label, (s, b) in best.items())
 
 
 def scans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", templates: list = TEMPLATES, phrases: dict[str, str] = PHRASES, slack: int = 3, share: float = 0.7) -> DataFrame:
@@ -132,7 +188,7 @@ def scans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", templates
             places, found = [[] for _ in n], [[] for _ in n]
             for r in np.unique(row[index.triggers[word]]).tolist():
                 own = slice(rows[r], rows[r + 1])
-                p, f = index.scan(at[own] - words.rows[r], word[own], int(n[r]), slack, share)
+                p, f = index.scan(at[own] - words.rows[r], word[own], slack, share)
                 places[r] = [{"word": a, "label": x} for a, x in p]
                 found[r] = [{"word": a, "label": x, "score": s} for a, x, s in f]
             yield pa.record_batch(
@@ -140,7 +196,7 @@ def scans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", templates
                 ["doc_id", "n_words", "places", "found"],
             )
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(scan, SCANNED)
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(trimmed(scan), SCANNED)
 
 
 def digest(scanned: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .tables import HOT, looked_up, met_once, shuffled_to, trimmed, written
+from .tables import HOT, looked_up, met_once, shuffled_to, trimmed, whole_rows, written
 
 RULE_VERSION = 1
 BASE_KINDS = ("assign", "access", "hex")
@@ -64,7 +64,7 @@ def _addressed(docs: DataFrame, content: str) -> DataFrame:
             names = [hashlib.sha256(x).hexdigest() if may_hold(x) else None for x in raw]
             yield pa.record_batch([doc, pa.array(names, pa.string()), pa.array([f"{number}.{i}" for i in range(len(raw))], pa.string())], ["_doc", "_blob", "_spread"])
 
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"))
+    packed = whole_rows(docs)
     return packed.mapInArrow(trimmed(address), T.StructType([*packed.schema.fields, T.StructField("_blob", T.StringType()), T.StructField("_spread", T.StringType())]))
 
 

@@ -43,6 +43,11 @@ def shuffled_to(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def whole_rows(df: DataFrame) -> DataFrame:
+    """_doc: every row as one struct, whatever its columns are called."""
+    return df.select(F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in df.columns]).alias("_doc"))
+
+
 def small_batches(spark: SparkSession, most: str = "4m") -> None:
     """Whole texts reach Python in Arrow batches of at most so many bytes (or one row), whatever their number."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", most)

@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import trimmed
+from .tables import trimmed, whole_rows
 from .text import ALNUM, Words, mix, slices, split
 
 
@@ -474,5 +474,5 @@ def accepted(docs: DataFrame, model: Model, text: str = "text", at: float = 0.7)
         for batch in slices(batches, ("_doc", text), _SLICE):
             yield batch.filter(pa.array(scorer.worst(pc.struct_field(batch.column("_doc"), text)) < at))
 
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_doc"))
+    packed = whole_rows(docs)
     return packed.mapInArrow(trimmed(keep), packed.schema).select(*[F.col("_doc")[c].alias(c) for c in columns])
