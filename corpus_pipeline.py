@@ -1,4 +1,10 @@
-"""A training corpus from raw documents: each stage's result is written as Parquet and read as the next one's documents."""
+"""A training corpus from raw documents: each stage's result is written as Parquet and read as the next one's documents.
+
+A null or empty text is scored like an empty one, links with nothing, holds no benchmark window and no secret, and packs as its end
+token. A null id is kept as it is. Repeated rows are judged one by one, except that near_duplicates keeps one of them. An empty
+table of documents, benchmark or labels gives an empty result, no hits, or a network that was not trained and rejects nothing.
+Further columns, whatever their names, pass through all stages but the last.
+"""
 
 from __future__ import annotations
 
@@ -19,7 +25,7 @@ def _toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near copies stays."""
+    """One document of each component of near copies stays: that of the smallest id; of rows with equal ids and texts any one."""
     return jaccard.one_of_each(docs)
 
 
