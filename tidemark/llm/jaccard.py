@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .graph import components
-from .tables import HOT, looked_up, met_once, shuffled_to, trimmed, whole_rows, written
+from .tables import HOT, looked_up, shuffled_to, trimmed, whole_rows, written
 from .text import NOT_SPACE, grams, mix, slices, split
 
 _TWO = np.uint64(0xA5A5B6B6C7C7D8D8)
@@ -234,9 +234,7 @@ def _inside(found: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
     """
     k = (100 - percent) / (100 + percent)
     some = found.groupBy("root").agg(F.count(F.lit(1)).alias("size"), F.sum((~F.col("linked")).cast("int")).alias("loose")).where("size > 1 and loose > 0").select("root")
-    some = written(some, "some").withColumn("_some", F.lit(True))
-    found = looked_up(found, some, "root").where("_some").drop("_some")
-    found = written(found.join(roots.select(F.col("cls").alias("u"), F.col("root").alias("component"), "first"), "u"), "found")
+    found = written(found.join(some, "root", "left_semi").join(roots.select(F.col("cls").alias("u"), F.col("root").alias("component"), "first"), "u"), "found")
     parts = found.select("root", "u", F.explode("diff").alias("part"))
     often = parts.groupBy("root", "part").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     shared = parts.join(often, ["root", "part"]).groupBy("u").agg(F.array_sort(F.collect_list(F.struct("df", "part"))).alias("parts"))
@@ -261,8 +259,7 @@ def _inside(found: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
     by = (F.col("z") - k * F.col("n_u")).alias("by")
     place = F.struct(by, F.col("u").alias("v"), F.col("component").alias("of_v"))
     best = base.where("first").groupBy("root").agg(F.array(F.min(place), F.min(F.when(F.col("linked"), place))).alias("best"))
-    alone = looked_up(written(base.where("not linked").select("root", "u", "component", by), "loose"), written(best, "best"), "root")
-    alone = alone.select("u", "component", "by", F.explode("best").alias("best")).where("best.of_v != component and best.by + by <= 1e-9").select("u", F.col("best.v").alias("v"))
+    alone = base.where("not linked").select("root", "u", "component", by).join(best, "root").select("u", "component", "by", F.explode("best").alias("best")).where("best.of_v != component and best.by + by <= 1e-9").select("u", F.col("best.v").alias("v"))
     return pairs[0].unionByName(pairs[1]).unionByName(alone).distinct()
 
 
@@ -341,12 +338,13 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k:
         for number, batch in enumerate(slices(batches, ("_doc", text))):
             g, rows = shingle_sets(pc.struct_field(batch.column("_doc"), text), k)
             names = [x if n else None for x, n in zip(set_names(g, rows), np.diff(rows).tolist(), strict=True)]
-            spread = [f"{number}.{i}".encode() for i in range(len(names))]
-            yield batch.append_column("_cls", pa.array(names, pa.binary())).append_column("_spread", pa.array(spread, pa.binary()))
+            spread = (number << 20) + np.arange(len(names))
+            yield batch.append_column("_cls", pa.array(names, pa.binary())).append_column("_spread", pa.array(spread))
 
     packed = whole_rows(docs)
-    rows = packed.mapInArrow(trimmed(sign), T.StructType([*packed.schema.fields, T.StructField("_cls", T.BinaryType()), T.StructField("_spread", T.BinaryType())]))
-    rows = met_once(rows, fate.withColumnRenamed("cls", "_cls"), "_cls", "_spread", F.col("rows") > HOT * signed.count())
+    rows = packed.mapInArrow(trimmed(sign), T.StructType([*packed.schema.fields, T.StructField("_cls", T.BinaryType()), T.StructField("_spread", T.LongType())]))
+    fate = fate.withColumnRenamed("cls", "_cls")
+    rows = looked_up(rows, fate.select("_cls", "fact"), "_cls", fate.where(F.col("rows") > HOT * signed.count()).select("_cls"), F.col("_spread"))
     stays = rows.where(F.col("fact").isNull() | (F.col("fact.stays") & F.col("fact.id").eqNullSafe(F.col("_doc")[doc_id].cast("long"))))
     if fate.where("fact.stays and fact.n > 1").limit(1).count():
         repeated = stays.where("fact.n > 1").groupBy("_cls").agg(F.min_by("_doc", F.struct(F.col("_doc")[text].isNull(), F.col("_doc")[text])).alias("_doc"))

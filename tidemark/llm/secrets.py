@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .tables import HOT, looked_up, met_once, shuffled_to, trimmed, whole_rows, written
+from .tables import HOT, looked_up, shuffled_to, trimmed, whole_rows, written
 
 RULE_VERSION = 1
 BASE_KINDS = ("assign", "access", "hex")
@@ -62,10 +62,10 @@ def _addressed(docs: DataFrame, content: str) -> DataFrame:
             doc = batch.column("_doc")
             raw = [x.encode() if x else b"" for x in pc.struct_field(doc, content).to_pylist()]
             names = [hashlib.sha256(x).hexdigest() if may_hold(x) else None for x in raw]
-            yield pa.record_batch([doc, pa.array(names, pa.string()), pa.array([f"{number}.{i}" for i in range(len(raw))], pa.string())], ["_doc", "_blob", "_spread"])
+            yield pa.record_batch([doc, pa.array(names, pa.string()), pa.array([(number << 20) + i for i in range(len(raw))], pa.int64())], ["_doc", "_blob", "_spread"])
 
     packed = whole_rows(docs)
-    return packed.mapInArrow(trimmed(address), T.StructType([*packed.schema.fields, T.StructField("_blob", T.StringType()), T.StructField("_spread", T.StringType())]))
+    return packed.mapInArrow(trimmed(address), T.StructType([*packed.schema.fields, T.StructField("_blob", T.StringType()), T.StructField("_spread", T.LongType())]))
 
 
 def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,7 +152,7 @@ def redact(docs: DataFrame, text: str = "text", mask: str = "[secret]") -> DataF
     found = written(_findings(docs, text, None, RULE_VERSION), "found")
     total = found.agg(F.sum("rows")).first()[0] or 0
     hit = found.where(F.size("spans") > 0).select(F.col("blob").alias("_blob"), "rows", F.col("spans").alias("fact"))
-    cut = met_once(rows.where("_blob is not null"), hit, "_blob", "_spread", F.col("rows") > HOT * total)
+    cut = looked_up(rows.where("_blob is not null"), hit.drop("rows"), "_blob", hit.where(F.col("rows") > HOT * total).select("_blob"), F.col("_spread"))
     cut = cut.withColumn("_new", F.when(F.col("fact").isNotNull(), _cut(F.col("_doc")[text], F.col("fact"), mask)).otherwise(F.col("_doc")[text]))
     as_before = [F.col("_doc")[c].alias(c) for c in docs.columns]
     return rows.where("_blob is null").select(*as_before).union(cut.select(*[F.col("_new").alias(c) if c == text else x for c, x in zip(docs.columns, as_before, strict=True)]))

@@ -66,30 +66,23 @@ def trimmed(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
     return run
 
 
-def looked_up(rows: DataFrame, facts: DataFrame, key: str) -> DataFrame:
+def looked_up(rows: DataFrame, facts: DataFrame, key: str, hot: DataFrame | None = None, spread: Column | None = None) -> DataFrame:
     """rows left-joined with facts, which has one row per key; null keys meet nothing.
 
-    A key that holds more than HOT of all rows would land in one task. There are at most 1 / HOT such keys, whatever
-    the tables' sizes: their facts go to all tasks, and only the others' rows are shuffled. `rows` is read three times, so a
-    table written before is meant.
-    """
-    n = F.count(F.lit(1))
-    total = rows.select(n.alias("_total"))
-    hot = rows.where(F.col(key).isNotNull()).groupBy(key).agg(n.alias("_n")).crossJoin(F.broadcast(total)).where(F.col("_n") > HOT * F.col("_total"))
-    facts_of_hot = hot.select(key).join(facts, key, "left").withColumn("_hot", F.lit(True))
-    marked = rows.join(F.broadcast(facts_of_hot), key, "left")
-    done = marked.where(F.col("_hot") | F.col(key).isNull()).drop("_hot")
-    cold = marked.where(F.col("_hot").isNull() & F.col(key).isNotNull()).select(*rows.columns)
-    return done.unionByName(cold.join(facts, key, "left"))
-
-
-def met_once(rows: DataFrame, facts: DataFrame, key: str, spread: str, hot: Column) -> DataFrame:
-    """The same for rows that are read once and are wide: rows with `fact`, in one pass and one shuffle.
+    A key that holds more than HOT of all rows would land in one task. There are at most 1 / HOT such keys, whatever the tables'
+    sizes: their facts go to all tasks, and their rows, like those without a key, are dealt out by `spread` instead of the key.
 
-    facts: key and fact, one row per key. hot: of facts, whether the key is hot, by counts taken before; at most 1 / HOT are.
-    spread: a binary column of rows by which those with a hot key or with none are dealt out.
+    hot: the hot keys, where they are known from counts taken before; else rows are counted by key, and `rows`, which is then read twice,
+    had better be a written table. spread: a number by which rows differ; a hash of all columns if not given.
     """
-    known = facts.where(hot).select(F.col(key), F.col("fact").alias("_hot"))
-    rows = rows.join(F.broadcast(known), key, "left")
-    rows = rows.withColumn("_key", F.when(F.col("_hot").isNull(), F.coalesce(key, spread)).otherwise(F.col(spread)))
-    return rows.join(facts.where(~hot).select(F.col(key).alias("_key"), "fact"), "_key", "left").withColumn("fact", F.coalesce("fact", "_hot")).drop("_key", "_hot")
+    if hot is None:
+        most = HOT * rows.count()
+        hot = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > most).select(key)
+    names = [c for c in facts.columns if c != key]
+    of_hot = facts.join(F.broadcast(hot), key).select(F.col(key).alias("_hot"), *[F.col(c).alias(f"_hot_{c}") for c in names])
+    rows_ = rows.join(F.broadcast(of_hot), F.col(key) == F.col("_hot"), "left")
+    away = F.xxhash64(*[F.col(c) for c in rows.columns]) if spread is None else spread
+    rows_ = rows_.withColumn("_salt", F.when(F.col("_hot").isNull() & F.col(key).isNotNull(), F.lit(0).cast("long")).otherwise(F.pmod(away, F.lit(1 << 20)) + 1))
+    cold = facts.select(F.col(key).alias("_key"), F.lit(0).cast("long").alias("_zero"), *[F.col(c).alias(f"_cold_{c}") for c in names]).hint("merge")
+    met = rows_.join(cold, (F.col(key) == F.col("_key")) & (F.col("_salt") == F.col("_zero")), "left")
+    return met.select(*rows.columns, *[F.coalesce(f"_cold_{c}", f"_hot_{c}").alias(c) for c in names])
