@@ -234,7 +234,8 @@ def _inside(found: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
     """
     k = (100 - percent) / (100 + percent)
     some = found.groupBy("root").agg(F.count(F.lit(1)).alias("size"), F.sum((~F.col("linked")).cast("int")).alias("loose")).where("size > 1 and loose > 0").select("root")
-    found = written(found.join(some, "root", "left_semi").join(roots.select(F.col("cls").alias("u"), F.col("root").alias("component"), "first"), "u"), "found")
+    found = looked_up(found, some.withColumn("_some", F.lit(True)), "root").where("_some").drop("_some")
+    found = written(found.join(roots.select(F.col("cls").alias("u"), F.col("root").alias("component"), "first"), "u"), "found")
     parts = found.select("root", "u", F.explode("diff").alias("part"))
     often = parts.groupBy("root", "part").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     shared = parts.join(often, ["root", "part"]).groupBy("u").agg(F.array_sort(F.collect_list(F.struct("df", "part"))).alias("parts"))
