@@ -210,6 +210,56 @@ def test_announcement_reading(spark):
     assert got["b"]["class"] == "SELL" and got["c"]["class"] == got["d"]["class"] == got["e"]["class"] == "UNKNOWN"
 
 
+def test_announcements_in_other_words(spark):
+    form = "Name\nJane Doe\nPosition/status\nChair of the board\nNature of transaction\n{}\n{}\nHolding after the transaction: 12 000\n"
+    rows = [
+        ("pairs", "t", form.format("Purchase of shares", "Price: NOK 10.50 Volume: 1,000\nPrice: NOK 11.50 Volume: 3,000\nAggregated information: Price: NOK 11.25 Volume: 4,000")),
+        ("only total", "t", form.format("Purchase of shares", "Aggregated: volume 4,000 price NOK 11.25")),
+        ("table", "t", form.format("Acquisition", "Price      Volume\nNOK 10.50    1,000\nNOK 11.50    3,000")),
+        ("tax", "t", form.format("Sale of shares, sold to cover tax", "Volume\n500\nPrice\n10.50")),
+        ("prose", "t", "Jane Doe, chief financial officer, has today purchased 5,000 shares in the company at an average price of NOK 12.50 per share. She now holds 9,000 shares."),
+        ("late price", "t", "John, close associate of the CEO, sold 700 shares" + " in the market" * 8 + " for a price of 3.25. " + "x" * 40),
+        ("too late", "t", "John sold 700 shares" + " in the market" * 14 + " for a price of 3.25."),
+        ("scrip", "Scrip dividend", form.format("Acquisition", "Volume: 5 Price: 1")),
+        ("stolen", "t", "Nature of transaction: purchase\nThis sentence ends in price\n77\nVolume: 10\nPrice: 2.5"),
+    ]
+    got = {r.msg_id: r for r in announcements.read(frame(spark, rows, "msg_id string, title string, text string")).collect()}
+    for name in ("pairs", "only total", "table"):
+        assert (got[name]["class"], got[name].net, got[name].price, got[name].role, got[name].after) == ("BUY", 4000, 11.25, "CHAIR", 12000), name
+    assert (got["tax"]["class"], got["tax"].excluded, got["scrip"].excluded) == ("UNKNOWN", "tax", "dividend")
+    assert (got["prose"]["class"], got["prose"].net, got["prose"].price, got["prose"].role, got["prose"].after) == ("BUY", 5000, 12.5, "CFO", 9000)
+    assert (got["late price"]["class"], got["late price"].price, got["late price"].role, got["late price"]["rank"]) == ("SELL", 3.25, "CEO", 6)
+    assert got["too late"].net is None and got["stolen"].price == 2.5
+
+
+def test_residual_text_keeps_labels(spark):
+    pages_ = [(i, n, t, False, len(t), 0) for i in range(30) for n, t in enumerate(["A menu of many entries that all pages have", "Volume", f"{1000 + i}", "Price", f"{i} kroner and some words of this page alone", "All rights reserved by someone"])]
+    found = frame(spark, pages_, "page_id int, block_no int, text string, soft boolean, chars int, link_chars int")
+    shared = pages.boilerplate(found)
+    got = {r.page_id: r.text for r in pages.residual(found, shared).collect()}
+    assert got[3].split("\n")[:2] != ["A menu of many entries that all pages have"] and "Price" in got[3] and "3 kroner" in got[3] and "rights" not in got[3]
+    wider = {r.page_id: r.text for r in pages.residual(found, shared, least=60).collect()}
+    assert "Volume" in wider[3] and "rights" in wider[3]
+    assert pages.residual(found, shared, least=1000).count() == 0
+
+
+def test_filters_slices_and_exponential_means(spark):
+    closes = [(t, f"2020-{1 + i // 28:02d}-{1 + i % 28:02d}", 10 + (i * 7 + k * 3) % 11) for k, t in enumerate("ab") for i in range(300 if t == "a" else 5)]
+    p = frame(spark, closes, "ticker string, d string, close int").selectExpr("ticker", "to_date(d) d", "double(close) close")
+    got = {(r.ticker, str(r.d)): r.ema for r in prices.exponential_mean(p, 20, block=64).collect()}
+    for t in "ab":
+        ema = None
+        for k, d, c in (x for x in closes if x[0] == t):
+            ema = c if ema is None else ema + 2 / 21 * (c - ema)
+            assert got[k, d] == pytest.approx(ema)
+    s = frame(spark, [("a", 5, 1.0), ("b", 5, 2.0), ("c", 5, 3.0)], "ticker string, pos0 int, score double")
+    m = frame(spark, [("a", 4, 0.1, 0.0, 2.0), ("b", 4, -0.2, 0.1, None)], "ticker string, pos int, long double, short double, lift double")
+    names = lambda **how: sorted(r.ticker for r in signals.filtered(s, m, **how).collect())
+    assert names() == ["a", "b", "c"] and names(momentum=0.1) == ["a"] and names(reversal=(-0.1, 0.1)) == ["b"] and names(lift=1.0) == ["a"] and names(momentum=0.1, lift=3.0) == []
+    tables_ = signals.chosen_slice({"x": frame(spark, [("v", 1), ("w", 2)], "variant string, n int")}, frame(spark, [("w",)], "variant string"))
+    assert [tuple(r) for r in tables_["x"].collect()] == [(2,)]
+
+
 def test_boilerplate_and_best_block(spark):
     body = "The primary insider Jane bought {n} shares at a price of NOK {p}. " * 6
     rows = [(i, f"<html><head><script>var a='<p>x</p>'</script></head><body><nav><a href=x>Menu entry one</a></nav><div class=cookie>We use cookies on this site to serve you better, accept or leave now.</div><div>{body.format(n=1000 + 7 * i, p=100 + i)}</div><footer>&copy; Exchange, all rights are reserved</footer></body></html>") for i in range(30)]

@@ -49,8 +49,8 @@ def expanding_percentiles(scores: DataFrame, blocks: int = 64) -> DataFrame:
     return scores.join(pct, keys)
 
 
-def as_of_blend(scores: DataFrame, days: DataFrame, sources: DataFrame, least_sources: int = 1, k: int = 30) -> DataFrame:
-    """d, ticker, blend, n_sources, place: per day the k best of the weighted means of each source's latest score strictly before
+def as_of_blend(scores: DataFrame, days: DataFrame, sources: DataFrame, least_sources: int = 1, k: int | None = 30) -> DataFrame:
+    """d, ticker, blend, n_sources, place: per day the k best (None: all) of the weighted means of each source's latest score strictly before
     the day, not older than the source's validity. A source without an opinion counts 50; of equal dates the higher score.
 
     Every score becomes the days on which it is the latest, so the join is by day. sources(source, weight, valid_days).
@@ -62,7 +62,7 @@ def as_of_blend(scores: DataFrame, days: DataFrame, sources: DataFrame, least_so
     total = sources.agg(F.sum("weight").alias("total"))
     summed = lived.groupBy("day", "ticker").agg(F.sum(F.col("weight") * (F.col("pct") - 50)).alias("over"), F.count_distinct("source").alias("n_sources")).crossJoin(F.broadcast(total))
     blend = summed.where(F.col("n_sources") >= least_sources).select(F.col("day").alias("d"), "ticker", (50 + F.col("over") / F.col("total")).alias("blend"), "n_sources")
-    return blend.withColumn("place", F.row_number().over(W.partitionBy("d").orderBy(F.desc(F.round("blend", 9)), "ticker"))).where(F.col("place") <= k)
+    return blend.withColumn("place", F.row_number().over(W.partitionBy("d").orderBy(F.desc(F.round("blend", 9)), "ticker"))).where(F.lit(k is None) | (F.col("place") <= (k or 0)))
 
 
 def latest(blend: DataFrame, k: int = 20) -> DataFrame:
@@ -106,3 +106,10 @@ def news_momentum(rows: DataFrame, weights: tuple[float, ...] = (0.45, 0.20, 0.2
     scored = rows.withColumn("score", sum((w * F.coalesce(x, F.lit(0.0)) for w, x in zip(weights, z, strict=True)), F.lit(0.0)))
     cut = F.percentile("score", 0.99).over(day)
     return scored.select("d", "ticker", "score", ((F.count(F.lit(1)).over(day) >= 25) & (F.col("score") >= cut)).alias("chosen"))
+
+
+def blend_signals(blended: DataFrame, calendar: DataFrame, turnover: DataFrame) -> DataFrame:
+    """ticker, pos0, d, score, turnover: the blend's rows as signals that act on the calendar position of their own day, with the mean
+    turnover before that day (null where there is none). Days that are not in the calendar give no signal."""
+    on = blended.join(F.broadcast(calendar.select("d", "pos")), "d")
+    return on.join(turnover, ["ticker", "d"], "left").select("ticker", F.col("pos").alias("pos0"), "d", F.col("blend").alias("score"), "turnover")

@@ -69,20 +69,29 @@ def best_block(found: DataFrame, shared: DataFrame, least: int = 300, floor: int
     return near.withColumn("_n", F.row_number().over(W.partitionBy("page_id").orderBy("chars", "block_no"))).where("_n = 1").select("page_id", "text", "pass_no")
 
 
-def residual(found: DataFrame, shared: DataFrame, most: int = 40_000) -> DataFrame:
-    """page_id, text: the run of blocks of greatest weight, where a block of its own weighs its length and a shared one minus half of it.
-
-    By prefix sums: the run ends at the first maximum of S_j - min S_i over i < j, and starts after the latest such minimum.
+def residual(found: DataFrame, shared: DataFrame, least: int = 0, most: int | None = None) -> DataFrame:
+    """page_id, text of `least` characters or more, out of a page's blocks; shared blocks serve to find the message, not to be deleted, since the
+    labels of a form are the same in every message.
+
+    1. The run of blocks of greatest weight: a block of its own weighs its length (4 at least), a shared one minus half of it. By prefix
+       sums: the run ends at the first maximum of S_j - min S_i over i < j, and starts after the latest such minimum.
+    2. Where that is too short: all blocks of their own and the blocks next to them.
+    3. Else the whole page, if its own blocks have `least` characters together.
     """
     page = W.partitionBy("page_id").orderBy("block_no")
-    marks = found.withColumn("fp", fingerprint(F.col("text"))).join(shared.select("fp", F.lit(True).alias("_shared")), "fp", "left")
-    weight = F.when(F.col("_shared"), -F.col("chars") / 2).otherwise(F.col("chars").cast("double"))
-    sums = marks.withColumn("_w", weight).withColumn("_s", F.sum("_w").over(page)).withColumn("_before", F.col("_s") - F.col("_w"))
-    low = F.min("_before").over(page)
-    runs = sums.withColumn("_gain", F.col("_s") - low).withColumn("_start", F.max(F.struct(-F.col("_before"), "block_no")).over(page)["block_no"])
-    best = runs.groupBy("page_id").agg(F.max(F.struct("_gain", -F.col("block_no"), "_start")).alias("x")).where("x._gain > 0").select("page_id", F.col("x._start").alias("_a"), (-F.col("x")["col2"]).alias("_z"))
-    kept = sums.join(best, "page_id").where("block_no between _a and _z and _shared is null")
-    return kept.groupBy("page_id").agg(F.substring(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block_no", "text"))), lambda x: x["text"]), "\n"), 1, most).alias("text"))
+    marks = found.withColumn("fp", fingerprint(F.col("text"))).join(shared.select("fp", F.lit(True).alias("_shared")), "fp", "left").withColumn("_own", F.col("_shared").isNull())
+    length = F.greatest(F.lit(4), F.col("chars")).cast("double")
+    sums = marks.withColumn("_w", F.when(F.col("_own"), length).otherwise(-length / 2)).withColumn("_s", F.sum("_w").over(page)).withColumn("_before", F.col("_s") - F.col("_w"))
+    runs = sums.withColumn("_gain", F.col("_s") - F.min("_before").over(page)).withColumn("_start", F.max(F.struct(-F.col("_before"), "block_no")).over(page)["block_no"])
+    near = F.coalesce(F.lag("_own").over(page), F.lit(False)) | F.col("_own") | F.coalesce(F.lead("_own").over(page), F.lit(False))
+    block = F.struct("block_no", "text", near.alias("near"), F.col("_own").alias("own"), "chars")
+    best = runs.withColumn("_block", block).groupBy("page_id").agg(F.max(F.struct("_gain", -F.col("block_no"), "_start")).alias("x"), F.array_sort(F.collect_list("_block")).alias("b"))
+    joined = lambda keep: F.array_join(F.transform(F.filter("b", keep), lambda b: b["text"]), "\n")
+    tries = [joined(lambda b: b["block_no"].between(F.col("x._start"), -F.col("x.col2")) & (F.col("x._gain") > 0)), joined(lambda b: b["near"]), joined(lambda b: F.lit(True))]
+    own = F.aggregate("b", F.lit(0), lambda n, b: n + F.when(b["own"], b["chars"]).otherwise(0))
+    enough = lambda t: (F.length(t) >= least) & (t != "")
+    text = F.when(enough(tries[0]), tries[0]).when(enough(tries[1]), tries[1]).when(enough(tries[2]) & (own >= least) & (own > 0), tries[2])
+    return best.select("page_id", (text if most is None else F.substring(text, 1, most)).alias("text")).where("text is not null")
 
 
 def text_index(pages: DataFrame) -> DataFrame:

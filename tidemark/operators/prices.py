@@ -79,15 +79,30 @@ def trailing_mean(column: Column, rows: int, before: bool = False) -> Column:
     return F.avg(column).over(by_day().rowsBetween(-rows, -1) if before else by_day().rowsBetween(1 - rows, 0))
 
 
+def exponential_mean(prices: DataFrame, span: int = 20, block: int = 512) -> DataFrame:
+    """ticker, d, ema: e(i) = a x(i) + (1 - a) e(i - 1) from e(0) = x(0), over the whole series, a = 2 / (span + 1).
+
+    Rows are summed in blocks; what a block passes on is a fold over the blocks before it, so no array is longer than a series' blocks."""
+    a = 2 / (span + 1)
+    q = F.lit(1 - a)
+    rows = prices.where(F.col("close").isNotNull()).select("ticker", "d", "close", (F.row_number().over(by_day()) - 1).alias("_i")).withColumn("_b", F.floor(F.col("_i") / block)).withColumn("_k", F.col("_i") % block)
+    inside = W.partitionBy("ticker", "_b").orderBy("_k")
+    rows = rows.withColumn("_s", a * F.pow(q, F.col("_k")) * F.sum(F.col("close") * F.pow(q, -F.col("_k"))).over(inside))
+    ends = rows.groupBy("ticker", "_b").agg(F.max(F.struct("_k", "_s")).alias("end"), F.min(F.struct("_k", "close")).alias("start"))
+    series = ends.groupBy("ticker").agg(F.array_sort(F.collect_list(F.struct("_b", F.col("end._k").alias("k"), F.col("end._s").alias("s"), F.col("start.close").alias("x")))).alias("e"))
+    begin = F.array(F.element_at("e", 1)["x"])
+    carried = F.aggregate("e", begin, lambda acc, e: F.concat(acc, F.array(F.element_at(acc, -1) * F.pow(q, e["k"] + 1) + e["s"])))
+    carry = series.select("ticker", F.posexplode(carried).alias("_b", "_carry")).withColumn("_b", F.col("_b").cast("long"))
+    return rows.join(carry, ["ticker", "_b"]).select("ticker", "d", (F.col("_carry") * F.pow(q, F.col("_k") + 1) + F.col("_s")).alias("ema"))
+
+
 def averages(prices: DataFrame) -> DataFrame:
-    """SMA10, SMA50, mean true range of closes over 20 rows (5 at least), and an exponential mean of span 20 cut after 120 rows."""
+    """SMA10, SMA50, mean true range of closes over 20 rows (5 at least), and the exponential mean of span 20."""
     change = F.abs(F.col("close") - F.lag("close").over(by_day()))
     with_change = prices.withColumn("_change", change)
     n = F.count("_change").over(by_day().rowsBetween(-19, 0))
-    alpha = 2 / 21
-    recent = F.collect_list("close").over(by_day().rowsBetween(-119, 0))
-    ema = F.aggregate(F.slice(recent, 2, 120), F.element_at(recent, 1), lambda acc, x: acc * (1 - alpha) + x * alpha)
-    return with_change.select("ticker", "d", trailing_mean(F.col("close"), 10).alias("sma10"), trailing_mean(F.col("close"), 50).alias("sma50"), F.when(n >= 5, trailing_mean(F.col("_change"), 20)).alias("atr20"), ema.alias("ema20"))
+    simple = with_change.select("ticker", "d", trailing_mean(F.col("close"), 10).alias("sma10"), trailing_mean(F.col("close"), 50).alias("sma50"), F.when(n >= 5, trailing_mean(F.col("_change"), 20)).alias("atr20"))
+    return simple.join(exponential_mean(prices, 20).withColumnRenamed("ema", "ema20"), ["ticker", "d"], "left")
 
 
 def volume_lift(prices: DataFrame, least: int = 30) -> DataFrame:

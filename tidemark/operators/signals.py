@@ -126,6 +126,35 @@ def curve_metrics(curve: DataFrame, key: str = "variant", per_year: float = 252.
     return out.where("points >= 3")
 
 
+def risk_metrics(curve: DataFrame, key: str = "variant", per_year: float = 252.0, risk_free: float = 0.0, value: str = "value", at: str = "d", least_years: float = 2.0) -> DataFrame:
+    """Per key: curve_metrics with the ratio (cagr - risk_free) / volatility, calmar (cagr by depth of the drawdown), downside (yearly
+    deviation of the returns below the daily risk-free rate), and short: whether the curve spans less than `least_years`."""
+    base = curve_metrics(curve, key, per_year, risk_free, value, at)
+    steps = curve.withColumn("_r", F.col(value) / F.lag(value).over(W.partitionBy(key).orderBy(at)) - 1)
+    low = steps.groupBy(key).agg((F.sqrt(F.avg(F.pow(F.least(F.col("_r") - risk_free / per_year, F.lit(0.0)), 2))) * per_year**0.5).alias("downside"), (F.datediff(F.max(at), F.min(at)) < 365.25 * least_years).alias("short"))
+    ratio, calmar = F.try_divide(F.col("cagr") - risk_free, F.col("volatility")), F.when(F.col("drawdown") < 0, F.col("cagr") / -F.col("drawdown"))
+    return base.join(low, key).select(key, "cagr", "volatility", ratio.alias("ratio"), calmar.alias("calmar"), "downside", "drawdown", "short")
+
+
+def filtered(signals: DataFrame, series: DataFrame, momentum: float | None = None, reversal: tuple[float, float] | None = None, lift: float | None = None) -> DataFrame:
+    """The signals(ticker, pos0, ..) that pass each filter that is given, by what was known on the day before.
+
+    series: ticker, pos, long and short trailing returns, lift. momentum: long return at least this; reversal: long return at most the first and
+    short return at least the second; lift: volume lift at least this. A signal whose measure is not known does not pass."""
+    known = series.select("ticker", (F.col("pos") + 1).alias("pos0"), "long", "short", "lift")
+    out = signals.join(known, ["ticker", "pos0"], "left")
+    for bound, passes in ((momentum, lambda b: F.col("long") >= b), (reversal, lambda b: (F.col("long") <= b[0]) & (F.col("short") >= b[1])), (lift, lambda b: F.col("lift") >= b)):
+        if bound is not None:
+            out = out.where(F.coalesce(passes(bound), F.lit(False)))
+    return out.select(*signals.columns)
+
+
+def chosen_slice(tables: dict[str, DataFrame], choice: DataFrame, variant: str = "variant") -> dict[str, DataFrame]:
+    """Of every result table the chosen variant's rows, without the variant. choice has one row; the tables are filtered, not shuffled."""
+    one = F.broadcast(choice.select(F.col(variant)).distinct().limit(1))
+    return {name: table.join(one, variant, "left_semi").drop(variant) for name, table in tables.items()}
+
+
 def annual_return(curve: DataFrame, key: str, value: str, floor_days: int = 0) -> DataFrame:
     """Calendar-day growth a year (365.25 days); null below the floor of days."""
     days = F.datediff(F.max("d"), F.min("d"))

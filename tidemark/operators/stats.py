@@ -51,13 +51,28 @@ def samples(rows: DataFrame, split, day: str = "trade_d") -> DataFrame:
     return rows.withColumn("sample", F.explode(F.array(F.lit("all"), side)))
 
 
+def running_counts(rows: DataFrame, x: str, parts: int = 64) -> DataFrame:
+    """x, _c, _upto for each distinct value that is not null: its rows, and all rows up to it.
+
+    Values are split at approximate quantiles into parts that are summed apart; a part's offset comes from the sums of the `parts`
+    before it. Any borders give the same counts, so their being approximate does not matter.
+    """
+    counts = rows.where(F.col(x).isNotNull()).groupBy(x).agg(F.count(F.lit(1)).alias("_c"))
+    borders = counts.agg(F.percentile_approx(F.col(x).cast("double"), [i / parts for i in range(1, parts)], 1000)).first()[0] or []
+    borders = sorted(set(borders))
+    part = F.size(F.filter(F.array(*map(F.lit, borders)), lambda b: b < F.col(x))) if borders else F.lit(0)
+    counts = counts.withColumn("_part", part)
+    before = counts.groupBy("_part").agg(F.sum("_c").alias("_n")).select("_part", (F.sum("_n").over(W.orderBy("_part")) - F.col("_n")).alias("_before"))
+    inside = F.sum("_c").over(W.partitionBy("_part").orderBy(x))
+    return counts.withColumn("_inside", inside).join(F.broadcast(before), "_part").select(x, "_c", (F.col("_before") + F.col("_inside")).alias("_upto"))
+
+
 def quantile_labels(rows: DataFrame, x: str, k: int) -> DataFrame:
     """Adds bucket 1 .. k by order statistics x[n i / k]: equal values share a bucket. Null with fewer than 4 k rows. The bounds are k - 1
-    numbers; ranks come from counts of distinct values, not from one sorted task of all rows."""
-    counts = rows.where(F.col(x).isNotNull()).groupBy(x).agg(F.count(F.lit(1)).alias("_c"))
-    total = counts.agg(F.sum("_c").alias("_n"))
-    upto = counts.select(x, "_c", F.sum("_c").over(W.orderBy(x)).alias("_upto")).crossJoin(F.broadcast(total)).where(F.col("_n") >= 4 * k)
-    cuts = upto.select(x, "_c", "_upto", "_n", F.explode(F.sequence(F.lit(1), F.lit(k - 1))).alias("i")).withColumn("_at", F.floor(F.col("_n") * F.col("i") / k))
+    numbers; ranks come from counts of distinct values, summed in parts."""
+    upto = running_counts(rows, x)
+    total = rows.agg(F.count(x).alias("_n"))
+    cuts = upto.crossJoin(F.broadcast(total)).where(F.col("_n") >= 4 * k).select(x, "_c", "_upto", "_n", F.explode(F.sequence(F.lit(1), F.lit(k - 1))).alias("i")).withColumn("_at", F.floor(F.col("_n") * F.col("i") / k))
     bounds = cuts.where("_at >= _upto - _c and _at < _upto").agg(F.array_sort(F.collect_list(x)).alias("_bounds"))
     bucket = F.when((F.size("_bounds") == k - 1) & F.col(x).isNotNull(), F.size(F.filter("_bounds", lambda b: b < F.col(x))) + 1)
     return rows.crossJoin(F.broadcast(bounds)).withColumn("bucket", bucket).drop("_bounds")
@@ -74,7 +89,7 @@ def bootstrap_interval(rows: DataFrame, x: str, cluster: str, rounds: int = 2000
         return spark.sql(f"select cast(null as double) low, cast(null as double) high, {rounds} rounds")
     draw = F.pmod(F.conv(F.substring(F.md5(F.col("id").cast("string")), 1, 12), 16, 10).cast("long"), F.lit(g))
     draws = spark.range(rounds * g).select(F.floor(F.col("id") / g).alias("_r"), draw.alias("_i"))
-    means = draws.join(F.broadcast(numbered), "_i").groupBy("_r").agg((F.sum("_s") / F.sum("_c")).alias("m"))
+    means = draws.join(numbered, "_i").groupBy("_r").agg((F.sum("_s") / F.sum("_c")).alias("m"))
     ranked = means.select("m", F.row_number().over(W.orderBy("m")).alias("rank"))
     at = lambda p: max(1, min(rounds, round(p * rounds)))
     return ranked.agg(F.max(F.when(F.col("rank") == at((1 - level) / 2), F.col("m"))).alias("low"), F.max(F.when(F.col("rank") == at((1 + level) / 2), F.col("m"))).alias("high"), F.lit(rounds).alias("rounds"))

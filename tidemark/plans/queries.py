@@ -49,11 +49,13 @@ def market(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 # --- 2.1 sources
 
 
-@query(I.sql(I.PRICES, "SELECT DISTINCT ticker, d, close, close AS adjclose, volume FROM prices WHERE ticker IN ('1', '2')"), ("close", "adjclose"), 9)
+@query(I.sql(I.PRICES, "SELECT DISTINCT ticker, d, close, close AS adjclose, volume FROM prices"), ("close", "adjclose"), 9)
 def a6_vendor_wide_to_long(spark, sf_dir):
-    p = I.prices(spark, sf_dir).where("ticker in ('1', '2')")
-    wide = p.groupBy("d").agg(*[F.max(F.when(F.col("ticker") == t, F.col(c))).alias(f"{n}_{t}") for t in "12" for n, c in (("close", "close"), ("volume", "volume"))]).withColumns({"adj_1": F.lit(float("nan")), "adj_2": F.lit(None).cast("double")})
-    return prices.long_rows(wide, ["1", "2"])
+    p = I.prices(spark, sf_dir)
+    names = sorted(r["ticker"] for r in p.select("ticker").distinct().collect())  # a nation each: the columns of a vendor's frame
+    columns = [F.max(F.when(F.col("ticker") == t, F.col(c))).alias(f"{c}_{t}") for t in names for c in ("close", "volume")]
+    missing = {f"adj_{t}": F.lit(float("nan")) if i % 2 else F.lit(None).cast("double") for i, t in enumerate(names)}
+    return prices.long_rows(p.groupBy("d").agg(*columns).withColumns(missing), names)
 
 
 @query("SELECT event_type AS ticker, CAST(make_timestamp(CAST(epoch(ts) AS BIGINT) * 1000000 + 7200000000) AS DATE) AS d, sum(value) AS close, count(*) AS n FROM events WHERE value > 0 GROUP BY 1, 2", ("close",), 4)
@@ -259,10 +261,10 @@ def d5_index_merge(spark, sf_dir):
     return keys.index_merge(c.where("k % 3 > 0"), c.where("k % 3 < 2").withColumn("v", F.col("v") + F.col("k") % 2), "k", ["v"])
 
 
-@query("SELECT DISTINCT c_nationkey AS ticker FROM customer WHERE c_custkey % 4 = 0 EXCEPT SELECT s_nationkey FROM supplier WHERE s_suppkey % 3 = 0")
+@query("SELECT DISTINCT c_nationkey AS ticker FROM customer WHERE c_acctbal > 0 EXCEPT SELECT s_nationkey FROM supplier WHERE s_acctbal > 8000")
 def o3_wanted_less_stored(spark, sf_dir):
-    a = I.table(spark, sf_dir, "customer").where("c_custkey % 4 = 0").select(F.col("c_nationkey").alias("ticker")).distinct()
-    return a.join(I.table(spark, sf_dir, "supplier").where("s_suppkey % 3 = 0").select(F.col("s_nationkey").alias("ticker")), "ticker", "left_anti")
+    a = I.table(spark, sf_dir, "customer").where("c_acctbal > 0").select(F.col("c_nationkey").alias("ticker")).distinct()
+    return a.join(I.table(spark, sf_dir, "supplier").where("s_acctbal > 8000").select(F.col("s_nationkey").alias("ticker")), "ticker", "left_anti")
 
 
 @query("SELECT DISTINCT s_nationkey AS ticker FROM supplier")
@@ -342,9 +344,9 @@ def f13_repair_audit(spark, sf_dir):
     return prices.repair_audit(_broken(spark, sf_dir)).groupBy("ticker", "flag", "blocks").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(I.sql(I.PRICES, "ch AS (SELECT *, abs(close - lag(close) OVER (PARTITION BY ticker ORDER BY d)) AS c FROM prices)", "SELECT ticker, d, avg(close) OVER (PARTITION BY ticker ORDER BY d ROWS 9 PRECEDING) AS sma10, avg(close) OVER (PARTITION BY ticker ORDER BY d ROWS 49 PRECEDING) AS sma50, CASE WHEN count(c) OVER (PARTITION BY ticker ORDER BY d ROWS 19 PRECEDING) >= 5 THEN avg(c) OVER (PARTITION BY ticker ORDER BY d ROWS 19 PRECEDING) END AS atr20 FROM ch"), ("sma10", "sma50", "atr20"), 8)
+@query(I.sql(I.PRICES, "ch AS (SELECT *, abs(close - lag(close) OVER (PARTITION BY ticker ORDER BY d)) AS c, row_number() OVER (PARTITION BY ticker ORDER BY d) - 1 AS i FROM prices)", "SELECT ticker, d, avg(close) OVER (PARTITION BY ticker ORDER BY d ROWS 9 PRECEDING) AS sma10, avg(close) OVER (PARTITION BY ticker ORDER BY d ROWS 49 PRECEDING) AS sma50, CASE WHEN count(c) OVER (PARTITION BY ticker ORDER BY d ROWS 19 PRECEDING) >= 5 THEN avg(c) OVER (PARTITION BY ticker ORDER BY d ROWS 19 PRECEDING) END AS atr20, pow(19 / 21.0, i) * sum(close * (CASE WHEN i = 0 THEN 1 ELSE 2 / 21.0 END) * pow(19 / 21.0, -i)) OVER (PARTITION BY ticker ORDER BY d) AS ema20 FROM ch"), ("sma10", "sma50", "atr20", "ema20"), 8)
 def f14_averages(spark, sf_dir):
-    return prices.averages(I.prices(spark, sf_dir)).drop("ema20")
+    return prices.averages(I.prices(spark, sf_dir))
 
 
 @query(I.sql(I.PRICES, "SELECT ticker, d, close / lag(close, 20) OVER (PARTITION BY ticker ORDER BY d) - 1 AS ret FROM prices"), ("ret",))
@@ -464,7 +466,7 @@ def h10_bucket_test(spark, sf_dir):
 
 @query()
 def h4_bootstrap_interval(spark, sf_dir):
-    return stats.bootstrap_interval(I.events(spark, sf_dir), "amount", "ticker", rounds=500)
+    return stats.bootstrap_interval(I.events(spark, sf_dir), "amount", "ticker")
 
 
 @query(I.sql(*MERGE, I.INDEX, I.RETURNS, "rows_ AS (SELECT * FROM rets WHERE class = 'BUY' AND h = 20)", *_study_sql(["h"])[:-1], "SELECT h, n, CASE WHEN n < 30 THEN 'TOO_FEW' WHEN n >= 10 AND abs(mean / se) > 1.96 AND mean > 0 THEN 'OPEN' ELSE 'CLOSED' END AS gate FROM base JOIN se USING (h)"))
@@ -510,6 +512,24 @@ def i2_active_signals(spark, sf_dir):
     return active(spark, sf_dir)[0].select("variant", "d", "ticker", "strength", F.col("place").cast("long").alias("place"))
 
 
+MEASURES = """meas AS (SELECT p.ticker, cal.pos + 1 AS pos0, close / lag(close, 20) OVER w - 1 AS long, close / lag(close, 5) OVER w - 1 AS short,
+  CASE WHEN count(volume) OVER (w ROWS 60 PRECEDING) >= 30 THEN avg(volume) OVER (w ROWS 4 PRECEDING) / avg(volume) OVER (w ROWS 60 PRECEDING) END AS lift, p.d
+  FROM prices p LEFT JOIN cal ON p.d = cal.d WINDOW w AS (PARTITION BY p.ticker ORDER BY p.d))"""
+
+
+@query(_ev(*SIGNAL_SQL[:-2], MEASURES, "SELECT s.ticker, s.pos0, s.score, long >= 0 AS rising, lift >= 1 AS lifted FROM sig s JOIN meas m ON m.ticker = s.ticker AND m.pos0 = s.pos0 WHERE (long >= 0 AND lift >= 1) OR (long <= -0.0001 AND short >= 0)"), ("score",), 5)
+def i3_filtered_signals(spark, sf_dir):
+    s, _, cal = signal_rows(spark, sf_dir)
+    p, _ = market(spark, sf_dir)
+    long, short = (prices.returns(p, n).select("ticker", "d", F.col("ret").alias(name)) for n, name in ((20, "long"), (5, "short")))
+    series = long.join(short, ["ticker", "d"]).join(prices.volume_lift(p), ["ticker", "d"]).join(cal.select("d", "pos"), "d")
+    s = s.select("ticker", "pos0", "score")
+    up = signals.filtered(s, series, momentum=0.0, lift=1.0).withColumns({"rising": F.lit(True), "lifted": F.lit(True)})
+    back = signals.filtered(s, series, reversal=(-0.0001, 0.0))
+    lifted = back.join(series.select("ticker", (F.col("pos") + 1).alias("pos0"), (F.col("lift") >= 1).alias("lifted")), ["ticker", "pos0"]).withColumn("rising", F.lit(False))
+    return up.unionByName(lifted).withColumn("pos0", F.col("pos0").cast("long"))
+
+
 @query(I.sql(I.PRICES, I.CALENDAR, "SELECT min(pos) AS pos FROM cal GROUP BY date_trunc('week', d)"))
 def i4_decision_days(spark, sf_dir):
     return signals.decision_days(market(spark, sf_dir)[1], "week").select(F.col("pos").cast("long").alias("pos"))
@@ -572,6 +592,12 @@ def i14_curve_metrics(spark, sf_dir):
     return signals.curve_metrics(I.nav(spark, sf_dir), "sleeve", value="nav")
 
 
+@query(I.sql(I.NAV, METRICS, """k AS (SELECT sleeve, pow(max_by(nav, d) / min_by(nav, d), 252.0 / (count(*) - 1)) - 1 AS cagr, stddev_samp(r) * sqrt(252) AS volatility, sqrt(avg(pow(least(r - 0.04 / 252, 0), 2))) * sqrt(252) AS downside, min(dd) AS drawdown, date_diff('day', min(d), max(d)) < 730.5 AS short FROM m GROUP BY 1)""",
+    "SELECT sleeve, cagr, volatility, (cagr - 0.04) / volatility AS ratio, CASE WHEN drawdown < 0 THEN cagr / -drawdown END AS calmar, downside, drawdown, short FROM k"), ("cagr", "volatility", "ratio", "calmar", "downside", "drawdown"))
+def k1_risk_metrics(spark, sf_dir):
+    return signals.risk_metrics(I.nav(spark, sf_dir), "sleeve", risk_free=0.04, value="nav")
+
+
 @query(I.sql(I.NAV, "SELECT sleeve, date_diff('day', min(d), max(d)) AS days, pow(max_by(nav, d) / min_by(nav, d), 365.25 / date_diff('day', min(d), max(d))) - 1 AS cagr FROM nav GROUP BY 1"), ("cagr",))
 def i15_annual_return(spark, sf_dir):
     return signals.annual_return(I.nav(spark, sf_dir), "sleeve", "nav", 180).withColumn("days", F.col("days").cast("long"))
@@ -654,6 +680,18 @@ def j4_as_of_blend(spark, sf_dir):
     return blend.as_of_blend(s, s.select("d").distinct(), sources).withColumn("place", F.col("place").cast("long"))
 
 
+@query(I.sql(I.SCORES, BLEND, "days AS (SELECT d, row_number() OVER (ORDER BY d) - 1 AS pos FROM dd)",
+    "tv AS (SELECT source, ticker, d, raw FROM one WHERE source = 'view')", "SELECT bl.ticker, pos AS pos0, bl.d, blend AS score, tv.raw AS turnover FROM bl JOIN days USING (d) LEFT JOIN tv ON tv.ticker = bl.ticker AND tv.d = bl.d"), ("score", "turnover"), 4)
+def j5_blend_signals(spark, sf_dir):
+    s = I.scores(spark, sf_dir).withColumnRenamed("raw", "pct")
+    sources = spark.sql("select * from values ('view', 0.3D, 5), ('click', 0.3D, 4), ('purchase', 0.4D, 10) as s(source, weight, valid_days)")
+    days = s.select("d").distinct()
+    cal = days.select("d", (F.row_number().over(W.orderBy("d")) - 1).alias("pos"))
+    bought = s.where("source = 'view'").groupBy("ticker", "d").agg(F.max("pct").alias("turnover"))
+    found = blend.blend_signals(blend.as_of_blend(s, days, sources, k=None), cal, bought)
+    return found.withColumn("pos0", F.col("pos0").cast("long"))
+
+
 @query("SELECT user_id AS company, event_id, value - coalesce(lag(value) OVER w, value) AS change, row_number() OVER w AS ordinal FROM events WHERE event_type <> 'error' WINDOW w AS (PARTITION BY user_id ORDER BY CAST(ts AS DATE), lpad(CAST(event_id AS VARCHAR), 12, '0'))", ("change",), 4)
 def j6_sentiment_changes(spark, sf_dir):
     e = I.table(spark, sf_dir, "events").select(F.col("user_id").alias("company"), F.col("ts").cast("date").alias("d"), F.when(F.col("event_type") == "error", "No News").otherwise("x").alias("title"), F.col("value").alias("final_score"), F.lpad(F.col("event_id").cast("string"), 12, "0").alias("url"))
@@ -923,10 +961,10 @@ def a9_price_feed(spark, sf_dir):
     return tables.price_feed(I.prices(spark, sf_dir), names, "2000-01-01").select("ticker", "d", "close", "company")
 
 
-@query("SELECT a.s_suppkey AS a, b.s_suppkey AS b FROM supplier a JOIN supplier b ON a.s_suppkey % 50 = b.s_suppkey % 50 WHERE a.s_suppkey % 2 = 0 AND b.s_suppkey % 3 = 0")
+@query("SELECT a.s_suppkey AS a, b.s_suppkey AS b FROM supplier a JOIN supplier b ON a.s_suppkey % 50 = b.s_suppkey % 50 WHERE a.s_acctbal > 0 AND b.s_acctbal < 5000")
 def a11_siblings_by_stamp(spark, sf_dir):
-    s = I.table(spark, sf_dir, "supplier").select("s_suppkey", F.format_string("out_%d_20240101_%04d.csv", "s_suppkey", F.col("s_suppkey") % 50).alias("name"))
-    found = tables.paired_by_stamp(s.where("s_suppkey % 2 = 0"), s.where("s_suppkey % 3 = 0"))
+    s = I.table(spark, sf_dir, "supplier").select("s_suppkey", "s_acctbal", F.format_string("out_%d_20240101_%04d.csv", "s_suppkey", F.col("s_suppkey") % 50).alias("name"))
+    found = tables.paired_by_stamp(s.where("s_acctbal > 0"), s.where("s_acctbal < 5000"))
     key = lambda c: F.regexp_extract(c, r"^out_(\d+)_", 1).cast("long")
     return found.select(key("left_name").alias("a"), key("right_name").alias("b"))
 
@@ -1103,10 +1141,10 @@ def m1_freshness(spark, sf_dir):
     return I.table(spark, sf_dir, "supplier").select(k.alias("s_suppkey"), quality.freshness(last, now, 45).alias("status"), quality.needs_refresh(last, now, 30).alias("refresh"))
 
 
-@query("SELECT ticker AS strategy, CASE WHEN n > 0 THEN 'ok' ELSE 'export not readable' END AS errors FROM (SELECT CAST(n_nationkey AS VARCHAR) AS ticker, (SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey AND s_suppkey % 40 = 0) AS n FROM nation)")
+@query("SELECT ticker AS strategy, CASE WHEN n > 0 THEN 'ok' ELSE 'export not readable' END AS errors FROM (SELECT CAST(n_nationkey AS VARCHAR) AS ticker, (SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey AND s_acctbal > 9000) AS n FROM nation)")
 def m9_unreadable_exports(spark, sf_dir):
     n = I.table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("strategy"))
-    s = I.table(spark, sf_dir, "supplier").where("s_suppkey % 40 = 0").select(F.col("s_nationkey").cast("string").alias("strategy"), F.array(F.lit("ok")).alias("errors")).distinct()
+    s = I.table(spark, sf_dir, "supplier").where("s_acctbal > 9000").select(F.col("s_nationkey").cast("string").alias("strategy"), F.array(F.lit("ok")).alias("errors")).distinct()
     return quality.with_unreadable(n, s).select("strategy", F.array_join("errors", ",").alias("errors"))
 
 
