@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import trimmed, whole_rows
+from .tables import trim, trimmed, whole_rows
 from .text import ALNUM, Words, mix, slices, split
 
 
@@ -338,6 +338,7 @@ def train(texts: list[str | None] | pa.Array, labels: list[int] | np.ndarray, fi
     rng = np.random.default_rng(fit.seed)
     column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
     f, y = Features(column), np.array(labels, np.float32)
+    trim()
     pair = np.unique((f.inverse - 1) * max(1, len(y)) + f.words.row)
     word, doc = pair // max(1, len(y)), pair % max(1, len(y))
     toxic, clean = (np.bincount(word, weights=side[doc], minlength=len(f.keys)) for side in (y, 1 - y))
@@ -352,19 +353,25 @@ def train(texts: list[str | None] | pa.Array, labels: list[int] | np.ndarray, fi
     model.word_vectors[:-1, 0] = _evidence(toxic[own], clean[own], y) / 4
     model.gram_vectors[:-1, 1] = _evidence(gram_toxic[part], gram_clean[part], y) / 4
     model.gram_vectors[-1] = 0
-    del pair, word, doc, gram_keys, gram_toxic, gram_clean
+    del pair, word, doc, gram_keys, gram_toxic, gram_clean, toxic, clean
+    trim()
     if not len(y) or y.min() == y.max():
         return model
     word_at, (gram_at, owner) = _find(words, f.keys), f.known_grams(grams)
     rows = f.words.rows
     f.words = None  # from here on words are numbers
-    n_grams = np.maximum(1, np.bincount(owner, minlength=len(f.keys))).astype(np.float32)
-    gram_rows = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(f.keys)))])
+    gram_rows = np.searchsorted(owner, np.arange(len(f.keys) + 1))
+    n_grams = np.maximum(1, np.diff(gram_rows)).astype(np.float32)
     moments = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in weights.items()}
     square = {"w": np.full(len(words) + 1, 1e-6, np.float32), "g": np.full(len(grams) + 1, 1e-6, np.float32)}
     time = 0
     row, first, size = _windows(rows, fit.window, fit.step)
-    evidence = np.append(-1, model.word_vectors[word_at, 0] + np.bincount(owner, weights=model.gram_vectors[gram_at, 1], minlength=len(f.keys)) / n_grams)
+    evidence = np.zeros(len(f.keys))
+    for i in range(0, len(owner), 1 << 18):
+        evidence += np.bincount(owner[i : i + (1 << 18)], weights=model.gram_vectors[gram_at[i : i + (1 << 18)], 1], minlength=len(f.keys))
+    evidence = np.append(-1, model.word_vectors[word_at, 0] + evidence / n_grams)
+    del owner
+    trim()
     weight = np.where(y > 0, 0.35 / max(1, (y > 0).sum()), 0.65 / max(1, (y == 0).sum())) * len(y)
     epoch = -1
     while (epoch := epoch + 1) < fit.epochs or time < fit.least_steps:
@@ -376,6 +383,7 @@ def train(texts: list[str | None] | pa.Array, labels: list[int] | np.ndarray, fi
             scorer = Scorer(model, 50_000)
             now = np.concatenate([scorer(column[i : i + 200])[3] for i in range(0, len(column), 200)])
             del scorer
+            trim()
             draw = np.where((y[row] > 0) | (draw >= 0.5), -now, draw)
         order = np.lexsort((draw, row))
         rank = np.arange(len(row)) - np.searchsorted(row[order], row[order])
