@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,6 +15,11 @@ UNSEEN = "​‌‍﻿­"
 MONTHS = {"jan": 1, "feb": 2, "mar": 3, "apr": 4, "may": 5, "mai": 5, "jun": 6, "jul": 7, "aug": 8, "sep": 9, "oct": 10, "okt": 10, "nov": 11, "dec": 12, "des": 12}
 
 
+def once(column: Column, use: Callable[[Column], Column]) -> Column:
+    """use(column), with the column worked out once however often it is used."""
+    return F.element_at(F.transform(F.array(column), use), 1)
+
+
 def one_line(text: Column) -> Column:
     """Invisible characters dropped, quotes and dashes made plain, all blanks squeezed to one space."""
     source = "".join(QUOTES) + BLANKS + UNSEEN
@@ -86,7 +93,10 @@ def amount(text: Column) -> Column:
 
 def calendar_date(text: Column) -> Column:
     """A date written as ISO, day.month.year, day month-name year, or month-name day, year; within 1996 and the day after tomorrow."""
-    t = F.lower(one_line(text))
+    return once(F.lower(one_line(text)), _calendar_date)
+
+
+def _calendar_date(t: Column) -> Column:
     number = lambda name: F.coalesce(*[F.when(F.substring(name, 1, 3) == k, v) for k, v in MONTHS.items()])
     made = lambda y, m, d: F.to_date(F.try_to_timestamp(F.format_string("%04d-%02d-%02d", y.cast("int"), m.cast("int"), d.cast("int")), F.lit("yyyy-MM-dd")))
     part = lambda pattern, i: F.regexp_extract(t, pattern, i)
@@ -113,6 +123,10 @@ def serial_date(value: Column, base_1904: bool = False) -> Column:
 
 
 def date_cell(text: Column, base_1904: bool = False) -> Column:
+    return once(text, lambda t: _date_cell(t, base_1904))
+
+
+def _date_cell(text: Column, base_1904: bool) -> Column:
     compact = F.when(F.trim(text).rlike(r"^(19|20)\d{6}$"), F.to_date(F.try_to_timestamp(F.trim(text), F.lit("yyyyMMdd"))))
     return F.coalesce(iso_date(text), compact, calendar_date(text), serial_date(machine_number(text), base_1904))
 

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import fingerprint, one_line
+from .stats import running_counts
 
 #: Elements whose content is never text, elements that end a block, words of messages and of menus.
 HARD = "script|style|noscript|template|svg|iframe"
@@ -49,11 +50,11 @@ def boilerplate(found: DataFrame, share: float = 0.2, least: int = 5, least_page
 
 
 def page_sample(pages: DataFrame, most: int) -> DataFrame:
-    """An evenly spaced sample by page id."""
-    placed = pages.select("page_id").withColumn("_i", F.row_number().over(W.orderBy("page_id")) - 1)
-    n = placed.agg(F.count(F.lit(1)).alias("_n"))
+    """An evenly spaced sample by page id, a number; places come from counts summed in parts."""
+    upto = running_counts(pages.select("page_id"), "page_id")
+    n = pages.agg(F.count("page_id").alias("_n"))
     step = F.greatest(F.lit(1.0), F.col("_n") / F.lit(float(most)))
-    chosen = placed.crossJoin(F.broadcast(n)).where(F.floor((F.col("_i") + 1) / step) > F.floor(F.col("_i") / step)).select("page_id")
+    chosen = upto.crossJoin(F.broadcast(n)).where(F.floor(F.col("_upto") / step) > F.floor((F.col("_upto") - F.col("_c")) / step)).select("page_id")
     return pages.join(chosen, "page_id", "left_semi")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 
 def _first(rows: DataFrame, order: list) -> DataFrame:
-    return rows.withColumn("_n", F.row_number().over(W.orderBy(*order))).where("_n = 1").drop("_n")
+    return rows.orderBy(*order).limit(1)
 
 
 def _or_baseline(best: DataFrame, variants: DataFrame, baseline: str) -> DataFrame:
@@ -43,8 +43,9 @@ def resolved(recommended: DataFrame, override: DataFrame) -> DataFrame:
 
 
 def best(variants: DataFrame, n: int = 3) -> DataFrame:
-    place = F.row_number().over(W.orderBy(F.desc_nulls_last("full_cagr"), "ord"))
-    return variants.withColumn("place", place).where(F.col("place") <= n)
+    """The n best with their place; each partition gives its own n, so only these are numbered in one task."""
+    order = [F.desc_nulls_last("full_cagr"), F.col("ord")]
+    return variants.orderBy(*order).limit(n).withColumn("place", F.row_number().over(W.orderBy(*order)))
 
 
 def honesty(variants: DataFrame) -> DataFrame:

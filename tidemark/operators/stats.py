@@ -80,10 +80,15 @@ def quantile_labels(rows: DataFrame, x: str, k: int) -> DataFrame:
 
 def bootstrap_interval(rows: DataFrame, x: str, cluster: str, rounds: int = 2000, level: float = 0.95, least: int = 5) -> DataFrame:
     """low, high, rounds: percentile interval of the mean when clusters are drawn again. Draws come from a hash of round and draw, so
-    they repeat. Clusters are numbered and rounds draw numbers, an equi-join; null with fewer than `least` clusters."""
+    they repeat. Clusters are numbered by the head of their MD5 and by name, in parts; rounds draw numbers, an equi-join; null with
+    fewer than `least` clusters."""
     sums = rows.where(F.col(x).isNotNull()).groupBy(cluster).agg(F.sum(x).alias("_s"), F.count(x).alias("_c"))
-    numbered = sums.select((F.row_number().over(W.orderBy(cluster)) - 1).cast("long").alias("_i"), "_s", "_c")
-    g = numbered.count()
+    parted = sums.withColumn("_part", F.substring(F.md5(F.col(cluster).cast("string")), 1, 3))
+    sizes = parted.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))  # 4,096 at most
+    offsets = sizes.select("_part", (F.sum("_n").over(W.orderBy("_part")) - F.col("_n")).alias("_before"))
+    inside = F.row_number().over(W.partitionBy("_part").orderBy(cluster)) - 1
+    numbered = parted.withColumn("_in", inside).join(F.broadcast(offsets), "_part").select((F.col("_before") + F.col("_in")).alias("_i"), "_s", "_c")
+    g = sizes.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
     spark = rows.sparkSession
     if g < least:
         return spark.sql(f"select cast(null as double) low, cast(null as double) high, {rounds} rounds")

@@ -5,6 +5,7 @@ Both sides round doubles to a stated number of digits at the very end, so that o
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import announcements, blend, calendar, capital, clusters, keys, merge, pages, prices, quality, results, selection, signals, stats
 from ..sources import tables
+from ..streaming import incremental
 from . import inputs as I
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -464,7 +466,9 @@ def h10_bucket_test(spark, sf_dir):
     return b.groupBy(F.col("bucket").cast("long").alias("bucket")).agg(F.min("amount").alias("low"), F.max("amount").alias("high"), F.count(F.lit(1)).alias("n"), F.avg((F.col("class") == "BUY").cast("double")).alias("buys"))
 
 
-@query()
+@query(I.sql(I.EVENTS, "sums AS (SELECT ticker, sum(amount) AS s, count(amount) AS c FROM ev WHERE amount IS NOT NULL GROUP BY 1)", "num AS (SELECT s, c, row_number() OVER (ORDER BY substr(md5(ticker), 1, 3), ticker) - 1 AS i, count(*) OVER () AS g FROM sums)",
+    "draws AS (SELECT id // g AS r, CAST('0x' || substr(md5(CAST(id AS VARCHAR)), 1, 12) AS BIGINT) % g AS i FROM (SELECT g, unnest(range(2000 * g)) AS id FROM (SELECT DISTINCT g FROM num WHERE g >= 5)))", "means AS (SELECT r, sum(s) / sum(c) AS m FROM draws JOIN num USING (i) GROUP BY 1)",
+    "SELECT max(m) FILTER (WHERE k = 50) AS low, max(m) FILTER (WHERE k = 1950) AS high, 2000 AS rounds FROM (SELECT m, row_number() OVER (ORDER BY m) AS k FROM means)"), ("low", "high"), 3)
 def h4_bootstrap_interval(spark, sf_dir):
     return stats.bootstrap_interval(I.events(spark, sf_dir), "amount", "ticker")
 
@@ -561,16 +565,21 @@ def i10_trades(spark, sf_dir):
     return signals.trades(signals.weights(active(spark, sf_dir)[0])).withColumn("pos", F.col("pos").cast("long"))
 
 
-@query()
+MOVED = """prev AS (SELECT w.variant, w.ticker, w.pos + 1 AS pos, w.w AS w0, w.w * coalesce(u.px / u.px0, 0) AS grown FROM wts w LEFT JOIN (SELECT ticker, pos, px, lag(px) OVER (PARTITION BY ticker ORDER BY pos) AS px0 FROM aligned) u ON u.ticker = w.ticker AND u.pos = w.pos + 1),
+drift AS (SELECT variant, pos, ticker, grown / nullif(1 - sum(w0) OVER (PARTITION BY variant, pos) + sum(grown) OVER (PARTITION BY variant, pos), 0) AS dw FROM prev),
+moved AS (SELECT variant, pos, sum(abs(coalesce(w, 0) - coalesce(dw, 0))) AS turnover FROM (SELECT variant, pos, ticker, w FROM wts) FULL JOIN drift USING (variant, pos, ticker) GROUP BY 1, 2)"""
+
+
+@query(_ev(*SIGNAL_SQL, WEIGHTS, MOVED, "SELECT variant, pos, turnover, 0.008 * turnover AS cost FROM moved"), ("turnover", "cost"))
 def i8_turnover_and_cost(spark, sf_dir):
     a, al, _ = active(spark, sf_dir)
-    return signals.turnover(signals.weights(a), al, 0.008)
+    return signals.turnover(signals.weights(a), al, 0.008).withColumn("pos", F.col("pos").cast("long"))
 
 
-@query()
+@query(_ev(*SIGNAL_SQL[:-2], "held AS (SELECT ticker, pos0, unnest(range(pos0 + 1, pos0 + 21)) AS pos FROM (SELECT DISTINCT ticker, pos0 FROM sig))", "tr AS (SELECT h.pos0, h.pos, avg(u.r) AS r FROM held h JOIN (SELECT ticker, pos, px / lag(px) OVER (PARTITION BY ticker ORDER BY pos) - 1 AS r FROM aligned) u USING (ticker, pos) GROUP BY 1, 2)", "SELECT pos, avg(r) AS r, count(*) AS tranches FROM tr GROUP BY 1"), ("r",), 8)
 def i9_cohorts(spark, sf_dir):
     s, al, _ = signal_rows(spark, sf_dir)
-    return signals.cohorts(s, al)
+    return signals.cohorts(s, al).withColumn("pos", F.col("pos").cast("long"))
 
 
 @query(I.sql(I.TRADES, "SELECT ticker AS key, sum(shares) AS shares, sum(shares * price) / sum(shares) AS cost FROM trades WHERE side = 'BUY' GROUP BY 1"), ("cost",), 4)
@@ -698,15 +707,23 @@ def j6_sentiment_changes(spark, sf_dir):
     return blend.sentiment_changes(e).select("company", F.col("url").cast("long").alias("event_id"), "change", F.col("ordinal").cast("long").alias("ordinal"))
 
 
-@query()
+PCTS = ", ".join(f"percent_rank() OVER (PARTITION BY d ORDER BY f{i}) AS p{i}" for i in range(1, 7))
+
+
+@query(I.sql("raw AS (SELECT DATE '2024-01-01' + CAST(p_size AS INT) AS d, CAST(p_partkey AS VARCHAR) AS ticker, p_brand AS industry, p_partkey * 7 % 997 AS f1, p_partkey * 11 % 997 AS f2, p_partkey * 13 % 997 AS f3, p_partkey * 17 % 997 AS f4, p_partkey * 19 % 997 AS f5, p_partkey * 23 % 997 AS f6, 1 + p_partkey % 9 AS vol FROM part)",
+    f"sc AS (SELECT *, round(0.25 * p1 + 0.25 * p2 + 0.20 * p3 + 0.10 * p4 + 0.12 * p5 + 0.08 * p6, 12) AS score FROM (SELECT *, {PCTS} FROM raw))", "upper AS (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY d, industry ORDER BY score DESC, ticker) <= 3)", "few AS (SELECT * FROM upper QUALIFY row_number() OVER (PARTITION BY d ORDER BY score DESC, ticker) <= 5)",
+    "w AS (SELECT *, least(0.35, (1.0 / vol) / sum(1.0 / vol) OVER (PARTITION BY d)) AS x FROM few)", "SELECT d, ticker, score, x / sum(x) OVER (PARTITION BY d) AS w FROM w"), ("score", "w"))
 def j8_factor_ranks(spark, sf_dir):
-    p = I.table(spark, sf_dir, "part")
     k = F.col("p_partkey")
-    rows = p.select(F.lit("2024-01-01").cast("date").alias("d"), k.cast("string").alias("ticker"), F.col("p_brand").alias("industry"), *[((k * m) % 997).alias(f"f{i + 1}") for i, m in enumerate((7, 11, 13, 17, 19, 23))], (1 + k % 9).alias("volatility"))
+    on = F.date_add(F.lit("2024-01-01").cast("date"), F.col("p_size").cast("int")).alias("d")
+    rows = I.table(spark, sf_dir, "part").select(on, k.cast("string").alias("ticker"), F.col("p_brand").alias("industry"), *[((k * m) % 997).alias(f"f{i + 1}") for i, m in enumerate((7, 11, 13, 17, 19, 23))], (1 + k % 9).alias("volatility"))
     return blend.factor_ranks(rows)
 
 
-@query()
+NEWS = " + ".join(f"{w} * coalesce(({c} - avg({c}) OVER (PARTITION BY d)) / nullif(stddev_samp({c}) OVER (PARTITION BY d), 0), 0)" for c, w in (("drift", 0.45), ("acceleration", 0.2), ("attention", 0.2), ("consensus", 0.15)))
+
+
+@query(I.sql(I.SCORES, "raw1 AS (SELECT d, ticker, avg(raw) AS drift, max(raw) - min(raw) AS acceleration, CAST(count(*) AS DOUBLE) AS attention, avg(raw % 7) AS consensus FROM scores GROUP BY 1, 2)", f"sc AS (SELECT d, ticker, {NEWS} AS score FROM raw1)", "SELECT d, ticker, score, true AS chosen FROM (SELECT *, quantile_cont(score, 0.99) OVER (PARTITION BY d) AS cut, count(*) OVER (PARTITION BY d) AS n FROM sc) WHERE n >= 25 AND score >= cut"), ("score",))
 def j9_news_momentum(spark, sf_dir):
     rows = I.scores(spark, sf_dir).groupBy("d", "ticker").agg(F.avg("raw").alias("drift"), (F.max("raw") - F.min("raw")).alias("acceleration"), F.count(F.lit(1)).cast("double").alias("attention"), F.avg(F.col("raw") % 7).alias("consensus"))
     return blend.news_momentum(rows).where("chosen")
@@ -896,12 +913,6 @@ def c7_text_index(spark, sf_dir):
     return pages.text_index(I.table(spark, sf_dir, "pages"))
 
 
-@query()
-def c19_read_announcements(spark, sf_dir):
-    d = I.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("msg_id"), F.substring("text", 1, 80).alias("title"), "text")
-    return announcements.read(d)
-
-
 LINES = "ln AS (SELECT l_orderkey AS msg_id, CASE WHEN l_returnflag = 'A' THEN -l_quantity ELSE l_quantity END AS signed, l_quantity AS volume, l_extendedprice / l_quantity AS price, l_returnflag = 'A' AS sell FROM lineitem)"
 
 
@@ -927,8 +938,6 @@ def c22_increase(spark, sf_dir):
 
 @query("SELECT event_type AS grp, CAST(user_id AS VARCHAR) AS key, greatest(DATE '2024-01-10', max(CAST(ts AS DATE)) FILTER (WHERE value > 10)) AS complete_to, max(CASE WHEN value <= 10 THEN 'low' END) AS last_error FROM events GROUP BY 1, 2")
 def n1_watermarks(spark, sf_dir):
-    from ..streaming import incremental
-
     e = I.table(spark, sf_dir, "events").select(F.col("event_type").alias("grp"), F.col("user_id").cast("string").alias("key"), F.col("ts").cast("date").alias("loaded_to"), F.when(F.col("value") <= 10, "low").alias("error"))
     marks = e.select("grp", "key").distinct().select("grp", "key", F.lit("2024-01-10").cast("date").alias("complete_to"), F.lit(None).cast("string").alias("last_error"))
     return incremental.advanced(marks, e)
@@ -936,8 +945,6 @@ def n1_watermarks(spark, sf_dir):
 
 @query("SELECT 'g' AS grp, CAST(user_id AS VARCHAR) AS key, CASE WHEN min(CAST(ts AS DATE)) > DATE '2024-01-02' THEN DATE '2024-01-02' ELSE greatest(DATE '2024-01-02', max(CAST(ts AS DATE)) - 10) END AS read_from FROM events GROUP BY 2")
 def n2_next_reads(spark, sf_dir):
-    from ..streaming import incremental
-
     e = I.table(spark, sf_dir, "events").select(F.lit("g").alias("grp"), F.col("user_id").cast("string").alias("key"), F.col("ts").cast("date").alias("d"))
     marks = e.groupBy("grp", "key").agg(F.max("d").alias("complete_to"))
     return incremental.next_reads(e.select("grp", "key").distinct(), marks, e.select("key", "d"), "2024-01-02")
@@ -1054,12 +1061,16 @@ def i12_end_holdings(spark, sf_dir):
     return signals.end_holdings(signals.weights(a), cal)
 
 
-@query()
+@query(_ev(*SIGNAL_SQL, WEIGHTS, "chg AS (SELECT variant, pos, ticker, CASE WHEN w0 IS NULL THEN 'BUY' ELSE 'SELL' END AS action FROM (SELECT variant, pos, ticker, w FROM wts) FULL JOIN (SELECT variant, pos + 1 AS pos, ticker, w AS w0 FROM wts) USING (variant, pos, ticker) WHERE w IS NULL OR w0 IS NULL)",
+    "SELECT variant, count(*) AS entries, count(DISTINCT ticker) AS tickers FROM (SELECT *, lag(action) OVER (PARTITION BY variant, ticker ORDER BY pos) AS prior FROM chg) WHERE action = 'BUY' AND coalesce(prior, 'SELL') = 'SELL' GROUP BY 1"))
 def i18_entries(spark, sf_dir):
     return signals.entries(signals.trades(signals.weights(active(spark, sf_dir)[0])))
 
 
-@query()
+@query(_ev(*SIGNAL_SQL, WEIGHTS, DAILY, MOVED, "net AS (SELECT c.variant || '/' || scenario AS key, c.pos, c.d, c.g * (1 - rate * coalesce(turnover, 0)) AS g FROM curve c LEFT JOIN moved m ON m.variant = c.variant AND m.pos = c.pos, (VALUES ('none', 0.0), ('moderate', 0.0015), ('stress', 0.008)) AS s(scenario, rate))",
+    "cv AS (SELECT key, d, exp(sum(ln(g)) OVER (PARTITION BY key ORDER BY pos)) AS value FROM net)", "m AS (SELECT key, d, value, value / lag(value) OVER (PARTITION BY key ORDER BY d) - 1 AS r, value / max(value) OVER (PARTITION BY key ORDER BY d) - 1 AS dd FROM cv)",
+    "SELECT key, count(*) AS points, pow(max_by(value, d) / min_by(value, d), 252.0 / (count(*) - 1)) - 1 AS cagr, stddev_samp(r) * sqrt(252) AS volatility, avg(r) * sqrt(252) / nullif(stddev_samp(r), 0) AS sharpe, avg(r) * sqrt(252) / nullif(sqrt(avg(pow(least(r, 0), 2))), 0) AS sortino, min(dd) AS drawdown, avg(CASE WHEN r > 1e-12 THEN 1.0 WHEN r IS NOT NULL THEN 0.0 END) AS up FROM m GROUP BY 1"),
+    ("cagr", "volatility", "sharpe", "sortino", "drawdown", "up"))
 def i19_variant_comparison(spark, sf_dir):
     a, al, cal = active(spark, sf_dir)
     w = signals.weights(a)
@@ -1155,8 +1166,6 @@ def m10_why_no_text(spark, sf_dir):
 
 @query("SELECT event_type AS grp, count(DISTINCT user_id) AS keys, count(DISTINCT user_id) AS complete, min(m) AS oldest, max(m) AS newest, CAST(0 AS BIGINT) AS errors FROM (SELECT event_type, user_id, max(CAST(ts AS DATE)) AS m FROM events GROUP BY 1, 2) GROUP BY 1")
 def n6_mark_summary(spark, sf_dir):
-    from ..streaming import incremental
-
     e = I.table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("grp"), F.col("user_id").alias("key")).agg(F.max(F.col("ts").cast("date")).alias("complete_to"))
     return incremental.mark_summary(e.withColumn("last_error", F.lit(None).cast("string")))
 
@@ -1165,3 +1174,171 @@ def n6_mark_summary(spark, sf_dir):
 def o1_bag_union(spark, sf_dir):
     a = I.table(spark, sf_dir, "orders").select(F.lit("a").alias("source"))
     return a.unionByName(I.table(spark, sf_dir, "lineitem").select(F.lit("b").alias("source"))).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT page_id FROM (SELECT page_id, row_number() OVER (ORDER BY page_id) AS i, greatest(1.0::DOUBLE, count(*) OVER () / 50.0::DOUBLE) AS step FROM pages) WHERE floor(i / step) > floor((i - 1) / step)")
+def c4_page_sample(spark, sf_dir):
+    return pages.page_sample(I.table(spark, sf_dir, "pages"), 50).select("page_id")
+
+
+@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_orderkey % 4 < 2 THEN CAST(l_quantity AS DOUBLE) WHEN l_orderkey % 4 = 2 THEN l_orderkey + 0.25 END AS x FROM lineitem", ("x",), 2)
+def a2_machine_numbers(spark, sf_dir):
+    k, n = F.col("l_orderkey") % 4, F.col("l_quantity").cast("string")
+    cell = F.when(k == 0, n).when(k == 1, F.concat(F.lit(" "), n, F.lit("\t"))).when(k == 2, F.concat(F.col("l_orderkey").cast("string"), F.lit(".25"))).when(F.col("l_linenumber") % 2 == 0, "NaN").otherwise(F.concat(F.col("l_orderkey").cast("string"), F.lit(",5")))
+    return I.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", X.machine_number(cell).alias("x"))
+
+
+@query("SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'EN' WHEN 1 THEN 'NB' END AS style, o_orderkey + 0.75 AS x FROM orders WHERE o_orderkey % 3 < 2", ("x",), 2)
+def b4_number_convention(spark, sf_dir):
+    """A message's own numbers tell how its ambiguous one is read; messages whose numbers contradict each other tell nothing."""
+    k = F.col("o_orderkey")
+    dot, comma = F.concat(k.cast("string"), F.lit(".75")), F.concat(k.cast("string"), F.lit(",75"))
+    message = F.when(k % 3 == 0, F.concat(F.lit("of 1,234,500 shares at "), dot)).when(k % 3 == 1, F.concat(F.lit("av 1.234.500 aksjer til "), comma)).otherwise("1,5 and 2.5")
+    told = I.table(spark, sf_dir, "orders").select("o_orderkey", X.convention(message).alias("style"), F.when(k % 3 == 0, dot).otherwise(comma).alias("cell"))
+    return told.where("style is not null").select("o_orderkey", "style", X.human_number(F.col("cell"), F.col("style")).alias("x"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 6 < 5 THEN CAST(o_orderdate AS DATE) END AS cell, CASE WHEN o_orderkey % 6 IN (0, 4) THEN CAST(o_orderdate AS DATE) END AS strict FROM orders WHERE o_orderdate >= DATE '1996-01-01'")
+def b10_date_cells(spark, sf_dir):
+    """ISO, dotted, compact, spreadsheet number, ISO with time, and what is no date; beside the strict reading."""
+    k, d = F.col("o_orderkey") % 6, F.col("o_orderdate").cast("date")
+    serial = F.datediff(d, F.lit("1899-12-30").cast("date")).cast("string")
+    cell = F.when(k == 0, d.cast("string")).when(k == 1, F.date_format(d, "d.M.yyyy")).when(k == 2, F.date_format(d, "yyyyMMdd")).when(k == 3, serial).when(k == 4, F.concat(d.cast("string"), F.lit("T10:00:00"))).otherwise("uke 12")
+    return I.table(spark, sf_dir, "orders").where("o_orderdate >= '1996-01-01'").select("o_orderkey", X.date_cell(cell).alias("cell"), X.iso_date(cell).alias("strict"))
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    """A new folder that all executors see: below spark.checkpoint.dir, else beside the warehouse."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/.checkpoints"
+    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) AS custkey, nullif(c_mktsegment, '') AS segment, CAST(NULL AS VARCHAR) AS absent FROM customer")
+def a1_text_csv(spark, sf_dir):
+    path = _folder(spark, "csv")
+    I.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("\ufeffCustKey"), F.col("c_mktsegment").alias("segment")).write.option("header", True).csv(path)
+    none = tables.read_text_csv(spark, f"{path}-missing", ["custkey", "segment", "absent"])
+    return tables.read_text_csv(spark, path, ["custkey", "segment", "absent"]).unionByName(none)
+
+
+@query(I.sql(I.PRICES, "SELECT ticker, d, CASE WHEN ticker = '3' THEN close + 1 ELSE close END AS close, volume FROM prices WHERE ticker IN ('3', '4', '7')"), ("close",), 6)
+def a4_price_tables(spark, sf_dir):
+    """Prices saved by ticker (A5) in fixed column order (A3), one ticker replaced, then a subset read (A4)."""
+    path, columns = _folder(spark, "prices"), ["d", "close", "adjclose", "volume", "ticker"]
+    p = I.prices(spark, sf_dir).withColumn("adjclose", F.col("close")).withColumn("volume", F.col("volume").cast("double"))
+    tables.write_table(p, path, columns, "ticker")
+    tables.write_table(p.where("ticker = '3'").withColumn("close", F.col("close") + 1), path, columns, "ticker")
+    return tables.read_prices(spark, path, ["3", "4", "7"]).select("ticker", "d", "close", "volume")
+
+
+# --- announcements written from orders: what must be read is known from the order
+
+
+def written_announcements(spark, sf_dir):
+    """msg_id, title, text: by order key a labelled purchase, two labelled sales, a purchase in prose, a sale to cover tax, an
+    issue, a report without a trade, and a purchase by a related party whose lines end in a total."""
+    k = F.col("o_orderkey")
+    v, p, b = (100 + k % 9000), (1 + k % 500), (5000 + k % 700)
+    say = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in parts])
+    rows = [
+        ("Mandatory notification of trade", say("Nature of the transaction: Acquisition\nPosition/status: Chief Executive Officer\nFinancial instrument: Shares\nPrice: ", p, ".25\nVolume: ", v, "\nHolding before the transaction: ", b, "\nHolding after the transaction: ", b + v, "\n")),
+        ("Notification of trade", say("Position: Board member\nNature of the transaction: Disposal\nPrice: ", p, ".25\nVolume: ", v, "\nNature of the transaction: Disposal\nPrice: ", p + 1, ".25\nVolume: 10\n")),
+        ("Notification of trade", say("The chairman has today bought ", v, " shares at a price of NOK ", p, ".25.")),
+        ("Notification of trade", say("The CFO sold ", v, " shares at a price of NOK ", p, ".25. The shares were sold to cover tax.")),
+        ("Notification of trade", say("The CEO acquired ", v, " shares at a price of NOK ", p, ".25 in the private placement.")),
+        ("Annual report", say("The annual report of ", k, " has been published.")),
+        ("Notification of trade", say("Nature of the transaction: Purchase\nPosition/status: Person closely associated with the CFO\nFinancial instrument: Restricted stock units\nPrice: ", p, ".25 Volume: ", v, "\nAggregated information\nPrice: ", p, ".25 Volume: ", v, "\n")),
+    ]
+    case = lambda i: F.element_at(F.array(*[F.lit(r[i]) if i == 0 else r[i] for r in rows]), (k % 7 + 1).cast("int"))
+    return I.table(spark, sf_dir, "orders").select(k.cast("string").alias("msg_id"), case(0).alias("title"), case(1).alias("text"))
+
+
+WRITTEN = "wr AS (SELECT CAST(o_orderkey AS VARCHAR) AS msg_id, o_orderkey % 7 AS kind, 100 + o_orderkey % 9000 AS v, 1.25 + o_orderkey % 500 AS p, 5000 + o_orderkey % 700 AS b FROM orders)"
+
+
+@query(I.sql(WRITTEN, "SELECT msg_id, CASE kind WHEN 0 THEN 'Chief Executive Officer' WHEN 1 THEN 'Board member' WHEN 6 THEN 'Person closely associated with the CFO' END AS stated, CASE kind WHEN 0 THEN 'Shares' WHEN 6 THEN 'Restricted stock units' END AS instrument, CASE WHEN kind = 0 THEN CAST(b + v AS VARCHAR) END AS after FROM wr"))
+def c8_labelled_values(spark, sf_dir):
+    text = F.col("text")
+    return written_announcements(spark, sf_dir).select("msg_id", *[announcements.labelled(text, x).alias(n) for x, n in (("position", "stated"), ("instrument", "instrument"), ("after", "after"))])
+
+
+@query(I.sql(WRITTEN, "SELECT msg_id, CASE WHEN kind = 1 THEN 2 ELSE 1 END::BIGINT AS blocks, kind IN (0, 1, 6) AS named FROM wr"))
+def c9_transaction_blocks(spark, sf_dir):
+    found = announcements.transaction_blocks(written_announcements(spark, sf_dir))
+    return found.groupBy("msg_id").agg(F.count(F.lit(1)).alias("blocks"), F.bool_and(F.startswith("block", F.lit("Nature"))).alias("named"))
+
+
+@query(I.sql(WRITTEN, "SELECT msg_id, p AS price, v AS volume FROM wr WHERE kind IN (0, 1, 6) UNION ALL SELECT msg_id, p + 1, 10 FROM wr WHERE kind = 1"), ("price",), 2)
+def c10_price_volume_pairs(spark, sf_dir):
+    found = announcements.transaction_blocks(written_announcements(spark, sf_dir))
+    return found.select("msg_id", F.explode(announcements.pairs(F.col("block"), X.convention(F.col("block")))).alias("x")).where("x.price is not null and x.volume is not null").select("msg_id", "x.price", "x.volume")
+
+
+@query(I.sql(WRITTEN, "SELECT msg_id, CASE WHEN kind = 1 THEN 'SELL' ELSE 'BUY' END AS side, p AS price, v AS volume FROM wr WHERE kind IN (0, 1, 6) UNION ALL SELECT msg_id, 'SELL', p + 1, 10 FROM wr WHERE kind = 1 UNION ALL SELECT msg_id, CASE WHEN kind = 3 THEN 'SELL' ELSE 'BUY' END, p, v FROM wr WHERE kind IN (2, 3, 4)"), ("price",), 2)
+def c11_trade_lines(spark, sf_dir):
+    """Labelled lines (C11), and prose where no label tells a side (C12)."""
+    return announcements.trade_lines(written_announcements(spark, sf_dir)).select("msg_id", "side", "price", "volume")
+
+
+@query(I.sql(WRITTEN, "SELECT msg_id, CASE WHEN kind IN (0, 2, 4, 6) THEN 'BUY' WHEN kind IN (1, 3) THEN 'SELL' END AS side, CASE WHEN kind IN (0, 2, 3, 4) THEN 'SHARE' WHEN kind = 6 THEN 'RSU' END AS instrument, CASE kind WHEN 0 THEN 'CEO' WHEN 1 THEN 'BOARD' WHEN 2 THEN 'CHAIR' WHEN 3 THEN 'CFO' WHEN 4 THEN 'CEO' WHEN 6 THEN 'CFO' END AS role, CASE kind WHEN 0 THEN 1 WHEN 1 THEN 5 WHEN 2 THEN 4 WHEN 3 THEN 2 WHEN 4 THEN 1 WHEN 6 THEN 6 ELSE 9 END AS rank, CASE kind WHEN 3 THEN 'tax' WHEN 6 THEN 'rsu' END AS excluded, kind = 4 AS issue FROM wr"))
+def c14_words_of_announcements(spark, sf_dir):
+    """Instrument (C14), direction (C15), role (C16), exclusion (C17) and share issue (C18) of the whole text."""
+    text = F.col("text")
+    w = written_announcements(spark, sf_dir).withColumn("r", announcements.role(text))
+    return w.select("msg_id", announcements.direction(text).alias("side"), announcements.instrument(text).alias("instrument"), "r.role", "r.rank", announcements.exclusion(F.col("title"), text).alias("excluded"), announcements.any_of(text, announcements.ISSUE).alias("issue"))
+
+
+@query(I.sql("hold AS (SELECT o_orderkey AS k, 1000 + o_orderkey % 300 AS b, CASE WHEN o_orderkey % 5 > 0 THEN o_orderkey % 40 END AS net, o_orderkey % 3 * 2 AS off FROM orders)", "SELECT k, abs(off) <= greatest(1.0, 0.001 * (b + coalesce(net, 0) + off)) AS identity FROM hold WHERE net IS NOT NULL UNION ALL SELECT k, NULL FROM hold WHERE net IS NULL"))
+def c21_holdings_identity(spark, sf_dir):
+    k = F.col("o_orderkey")
+    rows = I.table(spark, sf_dir, "orders").select(k.alias("k"), (1000 + k % 300).alias("before"), F.when(k % 5 > 0, k % 40).alias("net"))
+    return announcements.holdings_check(rows.withColumn("after", F.col("before") + F.coalesce("net", F.lit(0)) + F.col("k") % 3 * 2)).select("k", "identity")
+
+
+@query(I.sql(WRITTEN, "SELECT msg_id, CASE kind WHEN 0 THEN v WHEN 1 THEN -v - 10 WHEN 2 THEN v WHEN 3 THEN -v WHEN 4 THEN v WHEN 6 THEN v END AS net, CASE WHEN kind = 1 THEN (p * v + (p + 1) * 10) / (v + 10) WHEN kind <> 5 THEN p END AS price, CASE kind WHEN 0 THEN 'BUY' WHEN 1 THEN 'SELL' WHEN 2 THEN 'BUY' ELSE 'UNKNOWN' END AS class, CASE kind WHEN 0 THEN 1.0 WHEN 1 THEN 0.8 WHEN 2 THEN 0.8 ELSE 0.0 END AS confidence, CASE WHEN kind = 0 THEN b END AS before, CASE WHEN kind = 0 THEN b + v END AS after, CASE WHEN kind = 0 THEN true END AS identity, CASE kind WHEN 3 THEN 'tax' WHEN 6 THEN 'rsu' END AS excluded, kind = 4 AS issue FROM wr"), ("price", "confidence"), 4)
+def c19_read_announcements(spark, sf_dir):
+    """Everything is read first, then decided; `c13` holdings and `c21` identity are among the columns."""
+    return announcements.read(written_announcements(spark, sf_dir)).select("msg_id", "net", "price", "class", "confidence", "before", "after", "identity", "excluded", "issue")
+
+
+# --- streams: the tables as sources, one run over all that is there
+
+
+def _streamed(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
+    """What a stream over the files that are there gives. Each batch is written to a folder of its own, so a batch that is run
+    again replaces what it wrote; in complete mode the last one holds all."""
+    spark = stream.sparkSession
+    path = _folder(spark, name)
+
+    def each(batch: DataFrame, i: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={0 if mode == 'complete' else i}")
+
+    each(spark.createDataFrame([], stream.schema), -1)
+    stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}-state").trigger(availableNow=True).foreachBatch(each).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(path).select(*stream.columns)
+
+
+def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.readStream.schema(I.table(spark, sf_dir, name).schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+
+
+@query("SELECT DISTINCT user_id, event_type FROM events")
+def n3_stream_corrections(spark, sf_dir):
+    """Versions of a user's state: of equal contents one passes (which one is open), a different content passes."""
+    found = incremental.corrections(_stream(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")), "user_id", "event_type", late="3650 days")
+    return _streamed(found.select("user_id", "event_type"), "corrections")
+
+
+@query(_ev("SELECT msg_id, ticker, class, d, cluster, row_number() OVER (PARTITION BY ticker, class, cluster ORDER BY d, msg_id) AS messages FROM clus"))
+def n4_stream_clusters(spark, sf_dir):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    o = _stream(spark, sf_dir, "orders").join(I.table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    kind = F.when(F.col("o_orderstatus") == "O", "BUY").when(F.col("o_orderstatus") == "F", "SELL").otherwise("UNKNOWN")
+    e = o.select(F.col("c_nationkey").cast("string").alias("ticker"), kind.alias("class"), F.col("o_orderkey").cast("string").alias("msg_id"), F.col("o_orderdate").cast("date").alias("d"))
+    return _streamed(incremental.stream_clusters(e), "clusters")
+
+
+@query("SELECT substr(sha1(text), 1, 16) AS fp, count(*) AS n, text AS sample FROM (SELECT unnest(string_split(text, '\n')) AS text FROM documents) GROUP BY text")
+def n5_stream_block_counts(spark, sf_dir):
+    lines = _stream(spark, sf_dir, "documents").select(F.explode(F.split("text", "\n")).alias("text"))
+    return _streamed(incremental.stream_block_counts(lines), "blocks", "complete")
