@@ -78,6 +78,18 @@ def quantile_labels(rows: DataFrame, x: str, k: int) -> DataFrame:
     return rows.crossJoin(F.broadcast(bounds)).withColumn("bucket", bucket).drop("_bounds")
 
 
+def bucket_test(rows: DataFrame, x: str, k: int, value: str = "excess", **columns: str) -> DataFrame:
+    """A study of `value` in each of k buckets of x, with the bucket's range, and the verdict on all: RISING or FALLING where every mean is
+    above or below the one before, else MIXED. Rows without a value or a bucket are left out; the verdict looks at k rows."""
+    labelled = quantile_labels(rows.where(F.col(value).isNotNull()), x, k).where("bucket is not null")
+    span = labelled.groupBy("bucket").agg(F.min(x).alias("low"), F.max(x).alias("high"))
+    up = F.col("mean") > F.lag("mean").over(W.orderBy("bucket"))
+    steps = study(labelled, ["bucket"], value, **columns).withColumn("_up", up)
+    every = W.partitionBy()
+    verdict_ = F.when(F.bool_and("_up").over(every), "RISING").when(~F.bool_or("_up").over(every), "FALLING").otherwise("MIXED")
+    return steps.withColumn("verdict", verdict_).drop("_up").join(span, "bucket")
+
+
 def bootstrap_interval(rows: DataFrame, x: str, cluster: str, rounds: int = 2000, level: float = 0.95, least: int = 5) -> DataFrame:
     """low, high, rounds: percentile interval of the mean when clusters are drawn again. Draws come from a hash of round and draw, so
     they repeat. Clusters are numbered by the head of their MD5 and by name, in parts; rounds draw numbers, an equi-join; null with
