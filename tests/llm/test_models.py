@@ -3,6 +3,7 @@
 import itertools
 import math
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -378,7 +379,39 @@ def test_votes_lose_nothing_against_trying_every_place():
         plain = {}
         for p, (_, _, own) in enumerate(index.part):
             full = sum(index.weight[w] for w in own)
-            plain[p] = [(b, x) for b in range(-len(own) - 9, len(words) + 9) if (x := index.aligned(here, p, b, 3)) >= 0.7 * full - 1e-9]
-        found = index.found_parts(here, 3, 0.7)
-        assert {p: x for p, x in found.items() if x} == {p: x for p, x in plain.items() if x}
-        assert index.combined(here, found, 3, 0.7) == index.combined(here, plain, 3, 0.7)
+            plain[p] = [(b, x) for b in range(-len(own) - 9, len(words) + 9) if (x := sum(index.weight[w] for i, w in enumerate(own) if any(here.get(b + i + d) == w for d in range(-3, 4)))) >= 0.7 * full - 1e-9]
+        at, word = np.array(list(here)), np.array(list(here.values()))
+        line = np.full(at[-1] + 1, -1, np.int32)
+        line[at] = word
+        found = index.found_parts(at, word, line, 3, 0.7)
+        assert {(p, b) for p, x in found.items() for b, _ in x} == {(p, b) for p, x in plain.items() for b, _ in x}
+        assert all(abs(x - y) < 1e-9 for p in found for (_, x), (_, y) in zip(found[p], plain[p], strict=True))
+        here_, there = (index.combined(here, x, 3, 0.7) for x in (found, plain))
+        assert [x[:2] for x in here_] == [x[:2] for x in there] and all(abs(a[2] - b[2]) < 1e-9 for a, b in zip(here_, there, strict=True))
+
+
+def test_a_license_repeated_thousands_of_times_takes_seconds():
+    index = licenses.Index.build(licenses.TEMPLATES, licenses.PHRASES)
+    mit = next(text for label, text, _ in licenses.TEMPLATES if label == "mit")
+    words = licenses.split(pa.array([(mit + " ") * 2000]), licenses.ALNUM).hashes()
+    entry = np.minimum(np.searchsorted(index.vocabulary, words), len(index.vocabulary) - 1)
+    at = np.flatnonzero(index.vocabulary[entry] == words)
+    began = time.perf_counter()
+    places, found = index.scan(at, entry[at], 3, 0.7)
+    assert [x[:2] for x in found] == [(0, "mit")] and time.perf_counter() - began < 30
+
+
+def test_windows_of_maxima():
+    rng = np.random.default_rng(0)
+    for n in (1, 2, 7, 40):
+        found = sorted((int(b), float(x)) for b, x in zip(rng.integers(0, 60, n), rng.random(n), strict=True))
+        bases = np.unique(rng.integers(-5, 70, 30))
+        want = [max((x for b, x in found if abs(b - base) <= 6), default=0.0) for base in bases]
+        assert licenses._greatest_near(found, bases, 6).tolist() == want
+
+
+def test_toxicity_counts_pairs_of_many_words_and_many_texts():
+    """Words times texts pass 32 bits."""
+    n = 60_000
+    model = toxicity.train(pa.array([f"word{i}" for i in range(n)]), np.zeros(n), toxicity.Fit(min_docs=1, most_words=None, most_grams=1000))
+    assert len(model.words) == n

@@ -92,8 +92,14 @@ class Index:
     words: list[list[int]] = field(default_factory=list)
     parts: list[list[int]] = field(default_factory=list)
     keys: list[list[list[int]]] = field(default_factory=list)
-    postings: dict[int, list[tuple[int, int]]] = field(default_factory=dict)
+    #: postings of vocabulary entry w, posted[w] to posted[w + 1]: parts that hold it, and where
+    posted: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
+    posting_part: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    posting_at: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     part: list[tuple[int, int, list[int]]] = field(default_factory=list)
+    #: the parts' words and their weights, one row a part, filled up with -2 of weight 0
+    part_words: np.ndarray = field(default_factory=lambda: np.zeros((0, 0), np.int32))
+    part_weight: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
     phrases: dict[int, list[tuple[str, list[int], int]]] = field(default_factory=dict)
     #: vocabulary entries without which no template's key phrases and no phrase can stand in a file
     triggers: np.ndarray = field(default_factory=lambda: np.zeros(0, bool))
@@ -112,7 +118,7 @@ class Index:
         telling = lambda w: (weight[w], len(vocabulary[order[w]]))  # noqa: E731  of equally rare words the longest
         index = cls(hashes[order], weight, [label for label, _, _ in templates], [[number[w] for w in words] for words in plain], [[] for _ in plain])
         index.triggers = np.zeros(len(vocabulary), bool)
-        index.postings, index.phrases = defaultdict(list), defaultdict(list)
+        index.phrases = defaultdict(list)
         for _, _, keys in templates:
             index.keys.append([[number[w] for w in plain_words(key)] for key in keys])
             for key in index.keys[-1]:
@@ -120,8 +126,15 @@ class Index:
         for p, (t, first, words) in enumerate(pieces):
             index.parts[t].append(p)
             index.part.append((t, first, [number[w] for w in words]))
-            for i, w in enumerate(words):
-                index.postings[number[w]].append((p, i))
+        index.part_words = np.full((len(pieces), PART), -2, np.int32)
+        for p, (*_, words) in enumerate(index.part):
+            index.part_words[p, : len(words)] = words
+        index.part_weight = np.where(index.part_words >= 0, weight[index.part_words], 0.0)
+        index.posting_part, index.posting_at = (x.astype(np.int64) for x in np.nonzero(index.part_words >= 0))
+        entry = index.part_words[index.posting_part, index.posting_at]
+        by_entry = np.argsort(entry, kind="stable")
+        index.posting_part, index.posting_at = index.posting_part[by_entry], index.posting_at[by_entry]
+        index.posted = np.searchsorted(entry[by_entry], np.arange(len(vocabulary) + 1))
         for label, words in short:
             own = [number[w] for w in words]
             rare = max(range(len(own)), key=lambda i: telling(own[i]))  # noqa: B023
@@ -132,39 +145,54 @@ class Index:
     def places(self, here: dict[int, int]) -> list[tuple[int, str]]:
         return sorted((p - i, label) for p, w in here.items() for label, words, i in self.phrases.get(w, ()) if all(here.get(p - i + j) == x for j, x in enumerate(words)))
 
-    def aligned(self, here: dict[int, int], p: int, begin: int, slack: int) -> float:
-        """The weight of a part's words that stand within slack words of their place, if it begins there."""
-        return sum(self.weight[w] for i, w in enumerate(self.part[p][2]) if any(here.get(begin + i + d) == w for d in range(-slack, slack + 1)))
-
-    def found_parts(self, here: dict[int, int], slack: int, share: float) -> dict[int, list[tuple[int, float]]]:
-        """Beginnings and weights of the parts of which the share stands in the file, by votes for their beginnings."""
-        votes: dict[int, dict[int, float]] = defaultdict(lambda: defaultdict(float))
-        for at, w in here.items():
-            for p, i in self.postings.get(w, ()):
-                votes[p][at - i] += self.weight[w]
-        out = {}
-        for p, agreed in votes.items():
-            full = sum(self.weight[w] for w in self.part[p][2])
-            begins = np.array(sorted(agreed))
-            total = np.concatenate([[0.0], np.cumsum([agreed[b] for b in begins.tolist()])])
-            every = np.unique(begins[:, None] + np.arange(-slack, slack + 1))
-            near = total[np.searchsorted(begins, every + slack, side="right")] - total[np.searchsorted(begins, every - slack)]
-            got = [(b, self.aligned(here, p, b, slack)) for b in every[near >= share * full - 1e-9].tolist()]
-            out[p] = [(b, x) for b, x in got if x >= share * full - 1e-9]
+    def aligned(self, line: np.ndarray, part: np.ndarray, begin: np.ndarray, slack: int) -> np.ndarray:
+        """For parts that begin at places of the line the weight of their words that stand within slack words of their places."""
+        words, out = self.part_words, np.zeros(len(part))
+        place = np.arange(words.shape[1])[:, None] + np.arange(-slack, slack + 1)
+        for i in range(0, len(part), 4096):
+            own = part[i : i + 4096]
+            at = begin[i : i + 4096, None, None] + place
+            near = np.where((at >= 0) & (at < len(line)), line[np.clip(at, 0, len(line) - 1)], -1)
+            out[i : i + 4096] = ((near == words[own][:, :, None]).any(axis=2) * self.part_weight[own]).sum(axis=1)
+        return out
+
+    def found_parts(self, at: np.ndarray, word: np.ndarray, line: np.ndarray, slack: int, share: float) -> dict[int, list[tuple[int, float]]]:
+        """Beginnings and weights of the parts of which the share stands in the file, by votes for their beginnings.
+
+        A vote's key is its part and the beginning it speaks for, parts so far from each other that no window of slack meets two.
+        """
+        n = self.posted[word + 1] - self.posted[word]
+        flat = np.repeat(self.posted[word] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        votes = (self.posting_part[flat] << 40) + np.repeat(at, n) - self.posting_at[flat] + (1 << 39)
+        keys, inverse = np.unique(votes, return_inverse=True)
+        total = np.concatenate([[0.0], np.cumsum(np.bincount(inverse, weights=np.repeat(self.weight[word], n), minlength=len(keys)))])
+        every = np.unique(keys[:, None] + np.arange(-slack, slack + 1))
+        near = total[np.searchsorted(keys, every + slack, side="right")] - total[np.searchsorted(keys, every - slack)]
+        full = share * self.part_weight.sum(axis=1) - 1e-9
+        every = every[near >= full[every >> 40]]
+        part, begin = every >> 40, (every & ((1 << 40) - 1)) - (1 << 39)
+        got = self.aligned(line, part, begin, slack)
+        out: dict[int, list[tuple[int, float]]] = defaultdict(list)
+        for p, b, x in zip(*(v[got >= full[part]].tolist() for v in (part, begin, got)), strict=True):
+            out[p].append((b, x))
         return out
 
     def scan(self, at: np.ndarray, word: np.ndarray, slack: int, share: float) -> tuple[list[tuple[int, str]], list[tuple[int, str, float]]]:
         """Places of phrases and found templates of a file whose license words `word` stand at `at`."""
         here = dict(zip(at.tolist(), word.tolist(), strict=True))
-        return self.places(here), self.combined(here, self.found_parts(here, slack, share), slack, share)
+        line = np.full(int(at[-1]) + 1 if len(at) else 1, -1, np.int32)
+        line[at] = word
+        return self.places(here), self.combined(here, self.found_parts(at, word, line, slack, share), slack, share)
 
     def combined(self, here: dict[int, int], parts: dict[int, list[tuple[int, float]]], slack: int, share: float) -> list[tuple[int, str, float]]:
         """Per label the template with the greatest share found: parts near where one of them would have the others."""
         best: dict[str, tuple[float, int]] = {}
         for t, own in enumerate(self.parts):
             full, drift = sum(self.weight[w] for w in self.words[t]), slack + len(self.words[t]) // 4
-            for base in sorted({b - self.part[p][1] for p in own for b, _ in parts.get(p, ())}):
-                got = sum(max((x for b, x in parts.get(p, ()) if abs(b - self.part[p][1] - base) <= drift), default=0.0) for p in own)
+            begins = [sorted((b - self.part[p][1], x) for b, x in parts.get(p, ())) for p in own]
+            bases = np.unique(np.array([b for found in begins for b, _ in found], np.int64))
+            total = sum((_greatest_near(found, bases, drift) for found in begins), np.zeros(len(bases)))
+            for base, got in zip(bases.tolist(), total.tolist(), strict=True):
                 if got < share * full - 1e-9 or got / full <= best.get(self.labels[t], (0.0, 0))[0]:
                     continue
                 places = range(base - drift, base + len(self.words[t]) + drift)
@@ -173,6 +201,23 @@ class Index:
         return sorted((b, label, min(1.0, s)) for label, (s, b) in best.items())
 
 
+def _greatest_near(found: list[tuple[int, float]], bases: np.ndarray, drift: int) -> np.ndarray:
+    """For each base the greatest value of the sorted (place, value) pairs within drift of it, 0 where there is none.
+
+    Maxima over runs of 1, 2, 4, .. neighbours answer every window by two of them, however often a text repeats a license.
+    """
+    at, best = np.array([b for b, _ in found], np.int64), [np.array([x for _, x in found], np.float64)]
+    while 2 ** len(best) <= len(at):
+        half = 2 ** (len(best) - 1)
+        best.append(np.maximum(best[-1][:-half], best[-1][half:]))
+    lo, hi = np.searchsorted(at, bases - drift), np.searchsorted(at, bases + drift, side="right")
+    out = np.zeros(len(bases))
+    for level, runs in enumerate(best):
+        own = np.flatnonzero((hi - lo >= 2**level) & (hi - lo < 2 ** (level + 1)))
+        out[own] = np.maximum(runs[lo[own]], runs[hi[own] - 2**level])
+    return out
+
+
 def scans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", templates: list = TEMPLATES, phrases: dict[str, str] = PHRASES, slack: int = 3, share: float = 0.7) -> DataFrame:
     """Per row of docs its words, all places of phrases, and the templates found with the share of their weight that is there."""
     index = Index.build(templates, phrases)

@@ -28,9 +28,10 @@ _HINTS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _MORE = (
-    ("pem", (b"-----BEGIN ",), re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[A-Za-z0-9+/=\s]*-----END [A-Z ]*PRIVATE KEY-----)?")),
-    ("jwt", (b"eyJ",), re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}")),
-    ("github", (b"ghp_", b"gho_", b"ghu_", b"ghs_", b"ghr_"), re.compile(r"gh[pousr]_[A-Za-z0-9]{36,}")),
+    ("pem", (b"-----BEGIN ",), re.compile(r"(?P<before>)-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[A-Za-z0-9+/=\s]*-----END [A-Z ]*PRIVATE KEY-----)?")),
+    # only a run's beginning starts a match, and its first eyJ is the only one that can hold: each run is read once
+    ("jwt", (b"eyJ",), re.compile(r"(?<![A-Za-z0-9_-])(?>(?P<before>[A-Za-z0-9_-]*?)eyJ)[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+")),
+    ("github", (b"ghp_", b"gho_", b"ghu_", b"ghs_", b"ghr_"), re.compile(r"(?P<before>)gh[pousr]_[A-Za-z0-9]{36,}")),
 )
 SPANS = "array<struct<kind:string,start:long,end:long>>"
 
@@ -41,7 +42,7 @@ def scan(text: str) -> list[tuple[str, int, int]]:
     found += [("access", *m.span()) for m in _ACCESS.finditer(text) if m.end() - m.start() >= 20]
     found += [("hex", *m.span()) for m in _HEX.finditer(text)]
     for kind, _, rule in _MORE:
-        found += [(kind, *m.span()) for m in rule.finditer(text)]
+        found += [(kind, m.end("before"), m.end()) for m in rule.finditer(text)]
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0])))
 
 

@@ -339,7 +339,7 @@ def train(texts: list[str | None] | pa.Array, labels: list[int] | np.ndarray, fi
     column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
     f, y = Features(column), np.array(labels, np.float32)
     trim()
-    pair = np.unique((f.inverse - 1) * max(1, len(y)) + f.words.row)
+    pair = np.unique((f.inverse - 1).astype(np.int64) * max(1, len(y)) + f.words.row)
     word, doc = pair // max(1, len(y)), pair % max(1, len(y))
     toxic, clean = (np.bincount(word, weights=side[doc], minlength=len(f.keys)) for side in (y, 1 - y))
     gram_keys, gram_toxic, gram_clean = np.zeros(0, np.uint64), np.zeros(0), np.zeros(0)
