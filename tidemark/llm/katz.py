@@ -49,19 +49,19 @@ _RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tok
 # --- sums by key, served by ranges of hash
 
 
-def _planes(values: np.ndarray) -> bytes:
+def planes(values: np.ndarray) -> bytes:
     """Rows of 64-bit numbers, each byte by byte of all and packed: high bytes are alike, low ones need few bits."""
     rows = np.atleast_2d(np.ascontiguousarray(values))
     return zstandard.compress(np.ascontiguousarray(rows).view(np.uint8).reshape(len(rows), -1, 8).transpose(0, 2, 1).tobytes(), 1)
 
 
-def _unplaned(planes: bytes, kind: str, rows: int = 1) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(planes), np.uint8).reshape(rows, 8, -1).transpose(0, 2, 1)).view(kind).reshape(rows, -1)
+def unplaned(packed: bytes, kind: str, rows: int = 1) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(packed), np.uint8).reshape(rows, 8, -1).transpose(0, 2, 1)).view(kind).reshape(rows, -1)
 
 
-def _keys(planes: bytes) -> np.ndarray:
+def sorted_keys(packed: bytes) -> np.ndarray:
     """Sorted keys from their differences."""
-    return np.cumsum(_unplaned(planes, "<u8")[0], dtype=np.uint64)
+    return np.cumsum(unplaned(packed, "<u8")[0], dtype=np.uint64)
 
 
 def asked(kind: str, block: int, keys: np.ndarray, values: np.ndarray, n_ranges: int) -> pa.RecordBatch:
@@ -72,15 +72,15 @@ def asked(kind: str, block: int, keys: np.ndarray, values: np.ndarray, n_ranges:
     n = len(parts)
     return pa.record_batch({
         "kind": pa.array([kind] * n, pa.string()), "range": pa.array([b for b, _, _ in parts], pa.int64()), "block": pa.array([block] * n, pa.int64()),
-        "keys": pa.array([_planes(np.diff(keys[a:z], prepend=np.uint64(0))) for _, a, z in parts], pa.binary()),
-        "sums": pa.array([_planes(values[:, a:z]) for _, a, z in parts], pa.binary()),
+        "keys": pa.array([planes(np.diff(keys[a:z], prepend=np.uint64(0))) for _, a, z in parts], pa.binary()),
+        "sums": pa.array([planes(values[:, a:z]) for _, a, z in parts], pa.binary()),
     })
 
 
 def _located(table: pa.Table) -> tuple[pa.Table, np.ndarray, int, list[tuple[int, int]]]:
     """A range's table by block; each asked key's place among the distinct ones, the number of these, and the blocks' parts."""
     table = table.sort_by("block")
-    keys = [_keys(x) for x in table.column("keys").to_pylist()]
+    keys = [sorted_keys(x) for x in table.column("keys").to_pylist()]
     distinct, inverse = np.unique(np.concatenate(keys), return_inverse=True)
     cuts = np.cumsum([0, *map(len, keys)]).tolist()
     return table, inverse, len(distinct), list(zip(cuts[:-1], cuts[1:], strict=True))
@@ -102,30 +102,30 @@ def _first(learned: np.ndarray, inverse: np.ndarray) -> np.ndarray:
 def _count(key: tuple, table: pa.Table) -> pa.Table:
     """Answers of one range of n-grams: total counts, and who is to sum them."""
     table, inverse, n, parts = _located(table)
-    own = np.concatenate([_unplaned(x, "<i8")[0] for x in table.column("sums").to_pylist()])
+    own = np.concatenate([unplaned(x, "<i8")[0] for x in table.column("sums").to_pylist()])
     total = np.zeros(n, np.int64)
     np.add.at(total, inverse, own)
     back, first = total[inverse], _first(own > 0, inverse)
-    return _answered(table, [_planes(back[a:z]) for a, z in parts], [np.packbits(first[a:z]).tobytes() for a, z in parts])
+    return _answered(table, [planes(back[a:z]) for a, z in parts], [np.packbits(first[a:z]).tobytes() for a, z in parts])
 
 
 def _backoff(key: tuple, table: pa.Table) -> pa.Table:
     """Answers of one range of contexts: alpha, and the divisor of its n-grams' counts (0 where unseen)."""
     table, inverse, n, parts = _located(table)
-    values = np.concatenate([_unplaned(x, "<f8", 3) for x in table.column("sums").to_pylist()], axis=1)
+    values = np.concatenate([unplaned(x, "<f8", 3) for x in table.column("sums").to_pylist()], axis=1)
     lost, held, c = (np.bincount(inverse, weights=v, minlength=n) for v in values)
     divisor = np.where(c > 0, c + (lost <= 0), 0.0)
     with np.errstate(divide="ignore", invalid="ignore"):
         alpha = np.where(c > 0, np.maximum(lost, lost <= 0) / divisor / np.maximum(1.0 - held, 1e-300), 1.0)
     answer = np.stack([alpha, divisor])[:, inverse]
-    return _answered(table, [_planes(answer[:, a:z]) for a, z in parts], [b""] * len(parts))
+    return _answered(table, [planes(answer[:, a:z]) for a, z in parts], [b""] * len(parts))
 
 
 def _spectrum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Types by count, tokens and types of the counted tables: each type by the first block that learned it."""
     for batch in batches:
-        for kind, planes, first in zip(*(batch.column(x).to_pylist() for x in ("kind", "sums", "first")), strict=True):
-            c = _unplaned(planes, "<i8")[0]
+        for kind, counts, first in zip(*(batch.column(x).to_pylist() for x in ("kind", "sums", "first")), strict=True):
+            c = unplaned(counts, "<i8")[0]
             c = c[np.unpackbits(np.frombuffer(first, np.uint8), count=len(c)).astype(bool)]
             n = np.bincount(np.minimum(c, CUT + 2), minlength=CUT + 3)
             yield pa.record_batch([pa.array([kind]), pa.array([n.tolist()], pa.list_(pa.int64())), pa.array([int(c.sum())]), pa.array([len(c)])], ["kind", "n", "tokens", "types"])
@@ -222,13 +222,13 @@ class Answers:
     def counts(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Training counts of the distinct n-grams, and whether this block is to sum them."""
         own = self._of(f"n{n}")
-        counts = [_unplaned(x, "<i8")[0] for x in own.column("sums").to_pylist()]
+        counts = [unplaned(x, "<i8")[0] for x in own.column("sums").to_pylist()]
         first = [np.unpackbits(np.frombuffer(x, np.uint8), count=len(c)).astype(bool) for x, c in zip(own.column("first").to_pylist(), counts, strict=True)]
         return np.concatenate(counts), np.concatenate(first)
 
     def backoff(self, n: int) -> np.ndarray:
         """alpha and divisor of the contexts of order n."""
-        return np.concatenate([_unplaned(x, "<f8", 2) for x in self._of(f"c{n}").column("sums").to_pylist()], axis=1)
+        return np.concatenate([unplaned(x, "<f8", 2) for x in self._of(f"c{n}").column("sums").to_pylist()], axis=1)
 
 
 def blocks(docs: DataFrame, held: str, doc_id: str, text: str, block_bytes: int) -> DataFrame:

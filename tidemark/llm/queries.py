@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, html, jaccard, katz, licenses, oracles, packing, rules, secrets, toxicity
+from . import chat, decontaminate, html, jaccard, katz, licenses, oracles, packing, rules, secrets, substrings, toxicity, trie, whitening
 from .tables import small_batches
 
 
@@ -72,6 +72,18 @@ def op10_license_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.digest(licenses.scans(table(spark, sf_dir, "documents")))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.trie(trie.rebuilt(trie.packed(table(spark, sf_dir, "conversations"))))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_fixed_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digest(substrings.deduplicated(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_katz_backoff": op1_katz_backoff,
@@ -84,8 +96,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxicity": op8_toxicity,
         "op9_perspectives": op9_perspectives,
         "op10_license_index": op10_license_index,
+        "op11_prefix_trie": op11_prefix_trie,
+        "op12_whitening": op12_whitening,
+        "op13_fixed_anchors": op13_fixed_anchors,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_winnowing": oracles.WINNOWING, "op4_host_rules": oracles.HOST_RULES, "op7_jaccard_join": oracles.JACCARD, "op9_perspectives": chat.ORACLE}
+    return {"op2_winnowing": oracles.WINNOWING, "op4_host_rules": oracles.HOST_RULES, "op7_jaccard_join": oracles.JACCARD, "op9_perspectives": chat.ORACLE, "op11_prefix_trie": trie.ORACLE, "op13_fixed_anchors": substrings.ORACLE}
