@@ -5,43 +5,56 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .calendar import aligned, effective
+from .calendar import effective
+from .order import as_of
 
 HORIZONS = (-20, -5, -1, 1, 5, 10, 20, 60, 120)
 
 
-def merged(events: DataFrame, prices: DataFrame, calendar: DataFrame) -> DataFrame:
+def traded(prices: DataFrame, calendar: DataFrame, field: str = "close") -> DataFrame:
+    """ticker, own_pos, px: the usable prices and their places on the calendar."""
+    usable = (F.col(field) > 0) & (F.col(field) < float("inf"))
+    return prices.where(usable).join(F.broadcast(calendar), "d").select("ticker", F.col("pos").alias("own_pos"), F.col(field).alias("px"))
+
+
+def priced(rows: DataFrame, series: DataFrame, at: str, most_gap: int = 5) -> DataFrame:
+    """rows (ticker, last_pos and place `at`) with own_pos and px: the latest price at or before the place, at most `most_gap` positions old, null
+    after the ticker's last. Attached as of the place: no grid of tickers and days."""
+    found = as_of(rows, series, "ticker", at, "own_pos", ["px"])
+    lives = (F.col(at) <= F.col("last_pos")) & (F.col(at) - F.col("own_pos") <= most_gap)
+    return found.withColumn("px", F.when(lives, F.col("px")))
+
+
+def merged(events: DataFrame, prices: DataFrame, calendar: DataFrame, field: str = "close") -> DataFrame:
     """Every event with its day 0, price there, and status; the first that applies: NO_TICKER, UNKNOWN_TICKER, OUTSIDE (no
-    trading day near), DELISTED, NO_PRICE, TOO_NEW (no later day), OK."""
-    series = aligned(prices, calendar)
+    trading day near), DELISTED, NO_PRICE, TOO_NEW (no later day), OK. field: the price basis (close, or adjclose for total return)."""
+    series = traded(prices, calendar, field)
     known = prices.select(F.col("ticker").alias("_t")).distinct()
-    lives = series.groupBy(F.col("ticker").alias("_l")).agg(F.max("last_pos").alias("last_pos"))
+    lives = series.groupBy(F.col("ticker").alias("_l")).agg(F.max("own_pos").alias("last_pos"))
     end = calendar.agg(F.max("pos").alias("end"))
-    at = series.select(F.col("ticker").alias("_p"), F.col("pos").alias("_pos"), F.col("px").alias("px0"))
     placed = effective(events, calendar).join(known, F.col("ticker") == F.col("_t"), "left").join(lives, F.col("ticker") == F.col("_l"), "left").crossJoin(F.broadcast(end))
-    placed = placed.join(at, (F.col("ticker") == F.col("_p")) & (F.col("pos0") == F.col("_pos")), "left")
+    placed = priced(placed, series, "pos0").withColumnRenamed("px", "px0")
     status = (
         F.when(F.col("ticker").isNull(), "NO_TICKER").when(F.col("_t").isNull(), "UNKNOWN_TICKER").when(F.col("pos0").isNull(), "OUTSIDE")
         .when(F.col("pos0") > F.col("last_pos"), "DELISTED").when(F.col("px0").isNull(), "NO_PRICE").when(F.col("pos0") >= F.col("end"), "TOO_NEW").otherwise("OK")
     )
-    return placed.withColumn("status", status).drop("_t", "_l", "_p", "_pos", "end")
+    return placed.withColumn("status", status).drop("_t", "_l", "own_pos", "end")
 
 
-def horizon_returns(placed: DataFrame, prices: DataFrame, calendar: DataFrame, index: DataFrame, horizons: tuple[int, ...] = HORIZONS) -> DataFrame:
+def horizon_returns(placed: DataFrame, prices: DataFrame, calendar: DataFrame, index: DataFrame, horizons: tuple[int, ...] = HORIZONS, field: str = "close") -> DataFrame:
     """msg_id, h, ret, reference, excess, delisted for the events that are OK. After a ticker's last day its last price stands, if
-    that lies after day 0; such rows are marked, not dropped."""
-    series = aligned(prices, calendar)
+    that lies after day 0; such rows are marked, not dropped. field: the price basis of stocks; `index` is to be of the same."""
     wanted = placed.where("status = 'OK'").select("msg_id", "ticker", "pos0", "px0", "last_pos", F.explode(F.array(*map(F.lit, horizons))).alias("h"))
     wanted = wanted.withColumn("target", F.col("pos0") + F.col("h")).withColumn("delisted", (F.col("target") > F.col("last_pos")) & (F.col("last_pos") > F.col("pos0")))
     end = calendar.agg(F.max("pos").alias("end"))
     wanted = wanted.crossJoin(F.broadcast(end)).where("target >= 0 and target <= end").drop("end")
     wanted = wanted.withColumn("pos", F.when(F.col("delisted"), F.col("last_pos")).otherwise(F.col("target")))
     level = index.join(calendar, "d").select("pos", "level")
-    found = wanted.join(series.select("ticker", "pos", F.col("px")), ["ticker", "pos"], "left")
+    found = priced(wanted, traded(prices, calendar, field), "pos").where("px is not null")
     found = found.join(F.broadcast(level.select(F.col("pos").alias("target"), F.col("level").alias("level_h"))), "target", "left")
     found = found.join(F.broadcast(level.select(F.col("pos").alias("pos0"), F.col("level").alias("level_0"))), "pos0", "left")
     ret, reference = F.try_divide(F.col("px"), F.col("px0")) - 1, F.try_divide(F.col("level_h"), F.col("level_0")) - 1
-    return found.where("px is not null").select("msg_id", "h", ret.alias("ret"), reference.alias("reference"), (ret - reference).alias("excess"), "delisted")
+    return found.select("msg_id", "h", ret.alias("ret"), reference.alias("reference"), (ret - reference).alias("excess"), "delisted")
 
 
 def liquidity(placed: DataFrame, turnover: DataFrame, half: float = 0.1) -> DataFrame:

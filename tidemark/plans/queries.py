@@ -5,7 +5,6 @@ Both sides round doubles to a stated number of digits at the very end, so that o
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -44,8 +43,8 @@ def query(sql: str | None = None, doubles: tuple[str, ...] = (), digits: int = 6
 
 def market(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Prices and their calendar: small beside the line items they come from, and read by most steps that follow."""
-    p = I.prices(spark, sf_dir).persist()
-    return p, calendar.trading_days(p).persist()
+    p = tables.stored(I.prices(spark, sf_dir), "prices")
+    return p, tables.stored(calendar.trading_days(p), "calendar")
 
 
 # --- 2.1 sources
@@ -381,7 +380,7 @@ def f19_last_close(spark, sf_dir):
 
 def placed(spark, sf_dir):
     p, cal = market(spark, sf_dir)
-    return merge.merged(I.events(spark, sf_dir), p, cal).persist(), p, cal
+    return tables.stored(merge.merged(I.events(spark, sf_dir), p, cal), "placed"), p, cal
 
 
 MERGE = (I.PRICES, I.EVENTS, I.CALENDAR, I.ALIGNED, I.PLACED, I.STATUS)
@@ -395,7 +394,7 @@ def g1_merge_status(spark, sf_dir):
 def event_returns(spark, sf_dir):
     m, p, cal = placed(spark, sf_dir)
     found = merge.horizon_returns(m, p, cal, prices.equal_weight_index(p)).join(m.select("msg_id", "ticker", "class", "trade_d"), "msg_id")
-    return found.persist()  # a study aggregates it several ways
+    return tables.stored(found, "returns")  # a study aggregates it several ways
 
 
 @query(I.sql(*MERGE, I.INDEX, I.RETURNS, "SELECT msg_id, h, ret, reference, excess, delisted FROM rets"), ("ret", "reference", "excess"))
@@ -416,7 +415,18 @@ def g6_latest_announcement(spark, sf_dir):
 # --- 2.8 statistics
 
 
-def _study_sql(keys_):
+BOOT = f"""wt AS (SELECT ticker, r, len(list_filter({stats.DRAWS}, lambda c: c <= u)) AS w FROM (SELECT ticker, r, CAST('0x' || substr(md5(ticker || ':' || CAST(r // 4 AS VARCHAR)), 1 + 8 * (r % 4), 8) AS BIGINT) AS u
+  FROM (SELECT DISTINCT ticker FROM drawn), range(2000) q(r))),
+boot AS (SELECT BY, r, sum(s * w) / nullif(sum(c * w), 0) AS m FROM drawn JOIN wt USING (ticker) GROUP BY BY, r),
+spread AS (SELECT BY, max(m) FILTER (WHERE i = round(0.025 * (k - 1))) AS low, max(m) FILTER (WHERE i = round(0.975 * (k - 1))) AS high FROM (SELECT BY, m, row_number() OVER (PARTITION BY BY ORDER BY m) - 1 AS i, count(*) OVER (PARTITION BY BY) AS k FROM boot WHERE m IS NOT NULL) GROUP BY BY)"""
+
+
+def _boot_sql(keys_):
+    """low and high by key, from drawn(keys, ticker, s, c)."""
+    return BOOT.replace("BY BY", "BY " + ", ".join(keys_)).replace("SELECT BY", "SELECT " + ", ".join(keys_))
+
+
+def _study_sql(keys_, interval=False):
     k = ", ".join(keys_)
     on = " AND ".join(f"r.{c} = m.{c}" for c in keys_)
     var = lambda name, by: f"{name} AS (SELECT {k}, sum(s * s) * CASE WHEN count(*) > 1 THEN count(*) / (count(*) - 1) END / max(n * n) AS v FROM (SELECT {k}, {by}, sum(x) AS s, max(n) AS n FROM resid GROUP BY {k}, {by}) GROUP BY {k})"
@@ -425,16 +435,19 @@ def _study_sql(keys_):
         f"resid AS (SELECT {', '.join('r.' + c for c in keys_)}, r.ticker, r.trade_d, r.excess - m.mean AS x, m.n FROM rows_ r JOIN base m ON {on} WHERE r.excess IS NOT NULL)",
         var("va", "ticker"), var("vb", "trade_d"), var("vab", "ticker, trade_d"),
         f"se AS (SELECT {k}, sqrt(CASE WHEN va.v + vb.v - vab.v > 0 THEN va.v + vb.v - vab.v ELSE greatest(va.v, vb.v) END) AS se FROM va JOIN vb USING ({k}) JOIN vab USING ({k}))",
-        f"SELECT {k}, n, companies, mean, median, up, CASE WHEN n >= 10 THEN se END AS se, CASE WHEN n >= 10 THEN mean / se END AS t, CASE WHEN n >= 10 THEN abs(mean / se) > 1.96 END AS significant FROM base JOIN se USING ({k})",
+        *((f"drawn AS (SELECT {k}, ticker, sum(excess) AS s, count(excess) AS c FROM rows_ WHERE excess IS NOT NULL GROUP BY {k}, ticker)", _boot_sql(keys_)) if interval else ()),
+        f"SELECT {k}, n, companies, mean, median, up, CASE WHEN n >= 10 THEN se END AS se, CASE WHEN n >= 10 THEN mean / se END AS t, CASE WHEN n >= 10 THEN abs(mean / se) > 1.96 END AS significant"
+        + (f", CASE WHEN n >= 10 AND companies >= 5 THEN low END AS low, CASE WHEN n >= 10 AND companies >= 5 THEN high END AS high, CASE WHEN n >= 10 AND companies >= 5 THEN low <= 0 AND high >= 0 END AS crosses_zero FROM base JOIN se USING ({k}) LEFT JOIN spread USING ({k})" if interval else f" FROM base JOIN se USING ({k})"),
     )
 
 
 STUDY = ("mean", "median", "up", "se", "t")
 
 
-@query(I.sql(*MERGE, I.INDEX, I.RETURNS, "rows_ AS (SELECT * FROM rets WHERE class = 'BUY')", *_study_sql(["h"])), STUDY, 5)
+@query(I.sql(*MERGE, I.INDEX, I.RETURNS, "rows_ AS (SELECT r.*, unnest(['all', CASE WHEN trade_d < DATE '1999-01-01' THEN 'in' ELSE 'out' END]) AS sample FROM rets r WHERE class = 'BUY')", *_study_sql(["sample", "h"], interval=True)), (*STUDY, "low", "high"), 5)
 def h7_event_study(spark, sf_dir):
-    return stats.study(event_returns(spark, sf_dir).where("class = 'BUY'"), ["h"])
+    """In sample, out of sample and all, by horizon, each with the interval of its mean (H4 to H7)."""
+    return stats.study(stats.samples(event_returns(spark, sf_dir).where("class = 'BUY'"), "1999-01-01"), ["sample", "h"], rounds=2000)
 
 
 @query(I.sql(*MERGE, I.INDEX, I.RETURNS, "rows_ AS (SELECT r.*, unnest(['all', CASE WHEN trade_d < DATE '1999-01-01' THEN 'in' ELSE 'out' END]) AS sample FROM rets r)", *_study_sql(["class", "sample", "h"])), STUDY, 5)
@@ -449,7 +462,7 @@ def h2_clustered_variance(spark, sf_dir):
 
 @query(I.sql(I.EVENTS, "SELECT class, count(amount) AS n, avg(amount) AS mean, median(amount) AS median, avg(CASE WHEN amount > 0 THEN 1.0 ELSE 0.0 END) AS up, stddev_samp(amount) AS sd FROM ev GROUP BY 1"), ("mean", "median", "up", "sd"), 3)
 def h1_summary(spark, sf_dir):
-    return I.events(spark, sf_dir).groupBy("class").agg(*stats.summary("amount"))
+    return stats.summary(I.events(spark, sf_dir), ["class"], "amount")
 
 
 BUCKETS = "srt AS (SELECT amount, row_number() OVER (ORDER BY amount) - 1 AS i, count(*) OVER () AS n FROM ev), bounds AS (SELECT list(amount ORDER BY amount) AS b FROM srt JOIN range(1, 5) k(k) ON i = n * k // 5)"
@@ -466,11 +479,61 @@ def h10_bucket_test(spark, sf_dir):
     return b.groupBy(F.col("bucket").cast("long").alias("bucket")).agg(F.min("amount").alias("low"), F.max("amount").alias("high"), F.count(F.lit(1)).alias("n"), F.avg((F.col("class") == "BUY").cast("double")).alias("buys"))
 
 
-@query(I.sql(I.EVENTS, "sums AS (SELECT ticker, sum(amount) AS s, count(amount) AS c FROM ev WHERE amount IS NOT NULL GROUP BY 1)", "num AS (SELECT s, c, row_number() OVER (ORDER BY substr(md5(ticker), 1, 3), ticker) - 1 AS i, count(*) OVER () AS g FROM sums)",
-    "draws AS (SELECT id // g AS r, CAST('0x' || substr(md5(CAST(id AS VARCHAR)), 1, 12) AS BIGINT) % g AS i FROM (SELECT g, unnest(range(2000 * g)) AS id FROM (SELECT DISTINCT g FROM num WHERE g >= 5)))", "means AS (SELECT r, sum(s) / sum(c) AS m FROM draws JOIN num USING (i) GROUP BY 1)",
-    "SELECT max(m) FILTER (WHERE k = 50) AS low, max(m) FILTER (WHERE k = 1950) AS high, 2000 AS rounds FROM (SELECT m, row_number() OVER (ORDER BY m) AS k FROM means)"), ("low", "high"), 3)
+@query(I.sql(I.EVENTS, "drawn AS (SELECT class, ticker, sum(amount) AS s, count(amount) AS c FROM ev WHERE amount IS NOT NULL GROUP BY 1, 2)", _boot_sql(["class"]), "SELECT class, low, high, 2000 AS rounds FROM spread"), ("low", "high"), 3)
 def h4_bootstrap_interval(spark, sf_dir):
-    return stats.bootstrap_interval(I.events(spark, sf_dir), "amount", "ticker")
+    return stats.bootstrap_interval(I.events(spark, sf_dir), "amount", "ticker", keys=["class"])
+
+
+def _cell_sql(keys_):
+    """n, mean, up, t by key with n >= 10, from long(keys, ticker, trade_d, excess)."""
+    k = ", ".join(keys_)
+    var = lambda name, by: f"{name} AS (SELECT {k}, sum(s * s) * CASE WHEN count(*) > 1 THEN count(*) / (count(*) - 1) END / max(n * n) AS v FROM (SELECT {k}, {by}, sum(excess - mean) AS s, max(n) AS n FROM long JOIN base USING ({k}) GROUP BY {k}, {by}) GROUP BY {k})"
+    return (
+        f"base AS (SELECT {k}, count(*) AS n, avg(excess) AS mean, avg(CASE WHEN excess > 0 THEN 1.0 ELSE 0.0 END) AS up FROM long GROUP BY {k})", var("va", "ticker"), var("vb", "trade_d"), var("vab", "ticker, trade_d"),
+        f"SELECT {k}, n, mean, up, CASE WHEN se > 0 THEN mean / se END AS t FROM (SELECT *, sqrt(CASE WHEN va.v + vb.v - vab.v > 0 THEN va.v + vb.v - vab.v ELSE greatest(va.v, vb.v) END) AS se FROM base JOIN va USING ({k}) JOIN vb USING ({k}) JOIN vab USING ({k})) WHERE n >= 10",
+    )
+
+
+TURN = "tn AS (SELECT ticker, d, avg(volume) OVER w * avg(close) OVER w AS turnover FROM prices WINDOW w AS (PARTITION BY ticker ORDER BY d ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING))"
+
+
+def _subgroup_sql():
+    bounds = ", ".join(f"list(q.{c} ORDER BY q.{c}) FILTER (WHERE q.{c} IS NOT NULL) AS l_{c}" for c in ("amount", "increase", "size"))
+    label = lambda c: f"CASE WHEN {c} IS NOT NULL AND len(l_{c}) >= 16 THEN CAST(1 + len(list_filter([1, 2, 3], lambda i: l_{c}[len(l_{c}) * i // 4 + 1] < {c})) AS VARCHAR) END"
+    labels = {
+        "year": "CAST(year(trade_d) AS VARCHAR)", "role": "CAST(rank AS VARCHAR)", "signal": "label", "related": "CASE WHEN rank >= 5 THEN 'yes' ELSE 'no' END", "after_close": "CASE WHEN minute >= 980 THEN 'yes' ELSE 'no' END",
+        "confidence": "CASE WHEN confidence < 0.5 THEN 'low' ELSE 'high' END", "buyers": "CASE WHEN persons <= 1 THEN '1' ELSE '2 or more' END", "amount": label("amount"), "increase": label("increase"), "size": label("size"),
+    }
+    each = ", ".join(f"struct_pack(dim := '{k}', val := {v})" for k, v in labels.items())
+    return (
+        """lab AS (SELECT msg_id, persons, CASE WHEN score >= 75 THEN 'very strong buy' WHEN score >= 60 THEN 'strong buy' WHEN score >= 45 THEN 'buy' WHEN score >= 30 THEN 'weak buy' WHEN score >= -15 THEN 'neutral' WHEN score >= -45 THEN 'sell' ELSE 'strong sell' END AS label FROM scored)""",
+        "full_ AS (SELECT r.h, r.excess, r.ticker, r.trade_d, m.rank, m.minute, m.confidence, m.amount, m.increase, m.amount / tn.turnover AS size, lab.persons, lab.label FROM rets r JOIN merged m USING (msg_id) JOIN lab USING (msg_id) LEFT JOIN tn ON tn.ticker = r.ticker AND tn.d = r.trade_d WHERE r.class = 'BUY' AND r.excess IS NOT NULL)",
+        f"cut AS (SELECT h, {bounds}, count(*) AS total FROM full_ q GROUP BY h)",
+        f"long AS (SELECT h, excess, ticker, trade_d, dim, val FROM (SELECT h, excess, ticker, trade_d, unnest([{each}], recursive := true) FROM full_ JOIN cut USING (h) WHERE total >= 40) WHERE val IS NOT NULL)",
+        *_cell_sql(["dim", "val", "h"]),
+    )
+
+
+@query(_ev(RUN, SCORED, I.PRICES, I.CALENDAR, I.ALIGNED, I.PLACED, I.STATUS, I.INDEX, I.RETURNS, TURN, *_subgroup_sql()), ("mean", "up", "t"), 5)
+def h13_subgroups(spark, sf_dir):
+    """The ten groupings of buys, by horizon: seven labels and quartiles of amount, increase and share of turnover."""
+    m, p, _ = placed(spark, sf_dir)
+    facts = clusters.scored(clustered(spark, sf_dir)).select("msg_id", "persons", F.col("label").alias("signal"))
+    sized = merge.liquidity(m.withColumn("score", F.lit(50.0)), prices.prior_turnover(p)).select("msg_id", "rank", "minute", "confidence", "amount", "increase", "size")
+    rows = tables.stored(event_returns(spark, sf_dir).where("class = 'BUY'").join(sized, "msg_id").join(facts, "msg_id"), "labelled")
+    yes = lambda c: F.when(c, "yes").otherwise("no")
+    dims = {
+        "year": F.year("trade_d"), "role": F.col("rank"), "signal": F.col("signal"), "related": yes(F.col("rank") >= 5), "after_close": yes(F.col("minute") >= 980),
+        "confidence": F.when(F.col("confidence") < 0.5, "low").otherwise("high"), "buyers": F.when(F.col("persons") <= 1, "1").otherwise("2 or more"),
+    }
+    return stats.subgroups(rows, ["h"], dims, {c: c for c in ("amount", "increase", "size")})
+
+
+@query(_ev(RUN, SCORED, I.PRICES, I.CALENDAR, I.ALIGNED, I.PLACED, I.STATUS, I.INDEX, I.RETURNS, "sc AS (SELECT msg_id, round(score, 9) AS score FROM scored)", "o AS (SELECT excess, row_number() OVER (ORDER BY score, CAST(msg_id AS BIGINT)) AS i, count(*) OVER () AS n FROM rets JOIN sc USING (msg_id) WHERE h = 20 AND excess IS NOT NULL)", "SELECT CASE WHEN i <= n // 2 THEN 'low' ELSE 'high' END AS half, count(*) AS n, avg(excess) AS mean, median(excess) AS median FROM o GROUP BY 1"), ("mean", "median"))
+def g5_score_halves(spark, sf_dir):
+    """The merge report's first look at the score: returns of its lower and upper half."""
+    s = clusters.scored(clustered(spark, sf_dir)).select("msg_id", F.round("score", 9).alias("score"), F.col("msg_id").cast("long").alias("number"))
+    return stats.score_halves(tables.stored(event_returns(spark, sf_dir).where("h = 20").join(s, "msg_id"), "scored"))
 
 
 @query(I.sql(*MERGE, I.INDEX, I.RETURNS, "rows_ AS (SELECT * FROM rets WHERE class = 'BUY' AND h = 20)", *_study_sql(["h"])[:-1], "SELECT h, n, CASE WHEN n < 30 THEN 'TOO_FEW' WHEN n >= 10 AND abs(mean / se) > 1.96 AND mean > 0 THEN 'OPEN' ELSE 'CLOSED' END AS gate FROM base JOIN se USING (h)"))
@@ -1035,9 +1098,6 @@ def f8_reference_choice(spark, sf_dir):
     return prices.reference_series(p).select("d", "level")
 
 
-TURN = "tn AS (SELECT ticker, d, avg(volume) OVER w * avg(close) OVER w AS turnover FROM prices WINDOW w AS (PARTITION BY ticker ORDER BY d ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING))"
-
-
 @query(I.sql(*MERGE, TURN, "SELECT msg_id, turnover, amount / turnover AS size, 50 * (0.75 + 0.5 * (amount / turnover) / (amount / turnover + 0.1)) AS adjusted FROM merged m LEFT JOIN tn ON tn.ticker = m.ticker AND tn.d = m.trade_d"), ("turnover", "size", "adjusted"), 4)
 def g4_liquidity(spark, sf_dir):
     m, p, _ = placed(spark, sf_dir)
@@ -1207,15 +1267,9 @@ def b10_date_cells(spark, sf_dir):
     return I.table(spark, sf_dir, "orders").where("o_orderdate >= '1996-01-01'").select("o_orderkey", X.date_cell(cell).alias("cell"), X.iso_date(cell).alias("strict"))
 
 
-def _folder(spark: SparkSession, name: str) -> str:
-    """A new folder that all executors see: below spark.checkpoint.dir, else beside the warehouse."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/.checkpoints"
-    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 @query("SELECT CAST(c_custkey AS VARCHAR) AS custkey, nullif(c_mktsegment, '') AS segment, CAST(NULL AS VARCHAR) AS absent FROM customer")
 def a1_text_csv(spark, sf_dir):
-    path = _folder(spark, "csv")
+    path = tables.shared_folder(spark, "csv")
     I.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("\ufeffCustKey"), F.col("c_mktsegment").alias("segment")).write.option("header", True).csv(path)
     none = tables.read_text_csv(spark, f"{path}-missing", ["custkey", "segment", "absent"])
     return tables.read_text_csv(spark, path, ["custkey", "segment", "absent"]).unionByName(none)
@@ -1224,7 +1278,7 @@ def a1_text_csv(spark, sf_dir):
 @query(I.sql(I.PRICES, "SELECT ticker, d, CASE WHEN ticker = '3' THEN close + 1 ELSE close END AS close, volume FROM prices WHERE ticker IN ('3', '4', '7')"), ("close",), 6)
 def a4_price_tables(spark, sf_dir):
     """Prices saved by ticker (A5) in fixed column order (A3), one ticker replaced, then a subset read (A4)."""
-    path, columns = _folder(spark, "prices"), ["d", "close", "adjclose", "volume", "ticker"]
+    path, columns = tables.shared_folder(spark, "prices"), ["d", "close", "adjclose", "volume", "ticker"]
     p = I.prices(spark, sf_dir).withColumn("adjclose", F.col("close")).withColumn("volume", F.col("volume").cast("double"))
     tables.write_table(p, path, columns, "ticker")
     tables.write_table(p.where("ticker = '3'").withColumn("close", F.col("close") + 1), path, columns, "ticker")
@@ -1308,7 +1362,7 @@ def _streamed(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """What a stream over the files that are there gives. Each batch is written to a folder of its own, so a batch that is run
     again replaces what it wrote; in complete mode the last one holds all."""
     spark = stream.sparkSession
-    path = _folder(spark, name)
+    path = tables.shared_folder(spark, name)
 
     def each(batch: DataFrame, i: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={0 if mode == 'complete' else i}")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -10,6 +12,29 @@ from pyspark.sql import types as T
 PRICES = T.StructType([T.StructField("ticker", T.StringType()), T.StructField("d", T.DateType()), T.StructField("close", T.DoubleType()), T.StructField("adjclose", T.DoubleType()), T.StructField("volume", T.DoubleType())])
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder that the driver and all executors see: below spark.checkpoint.dir or the program's checkpoint directory.
+
+    Without either, a session on this machine alone gets one beside its warehouse; on a cluster that is an error, since each executor would
+    write its part to a folder of its own.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base and spark.sparkContext.master.split("[")[0] == "local":
+        base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/.checkpoints"
+    if not base:
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The rows as a Parquet table in the shared folder. What is read several times is computed once, its plan ends there, nothing stays in the executors'
+    memory, and a lost executor costs no recomputation."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+
 def read_text_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     """A CSV with header, all cells text; a byte-order mark in the first name is ignored. A missing file is an empty table."""
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
