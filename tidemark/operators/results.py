@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .order import as_of, medians, with_facts
+
 
 def month_ends(curve: DataFrame, key: str, value: str) -> DataFrame:
     """Last value of every month."""
@@ -27,8 +29,10 @@ def paired(trades: DataFrame) -> DataFrame:
 
 
 def trade_stats(pairs: DataFrame, keys: list[str]) -> DataFrame:
-    r = F.col("ret")
-    return pairs.where(r.isNotNull()).groupBy(*keys).agg(F.count(r).alias("n"), F.avg((r > 0).cast("double")).alias("hit"), F.avg(r).alias("mean"), F.percentile(r, 0.5).alias("median"), F.max(r).alias("best"), F.min(r).alias("worst"))
+    """keys, n, hit, mean, median, best, worst of the returns that are known."""
+    r, known = F.col("ret"), pairs.where("ret is not null")
+    out = known.groupBy(*keys).agg(F.count(r).alias("n"), F.avg((r > 0).cast("double")).alias("hit"), F.avg(r).alias("mean"), F.max(r).alias("best"), F.min(r).alias("worst"))
+    return with_facts(out, medians(known, keys, "ret"), keys).select(*keys, "n", "hit", "mean", "median", "best", "worst")
 
 
 def filled(reported: DataFrame, computed: DataFrame, key: str, fields: list[str]) -> DataFrame:
@@ -44,8 +48,20 @@ def exit_reasons(trades: DataFrame) -> DataFrame:
 
 def open_positions(trades: DataFrame) -> DataFrame:
     """The last trade per ticker where that is a buy."""
-    last = trades.groupBy("ticker").agg(F.max_by(F.struct("side", "d", "price"), F.struct("d", "seq")).alias("x"))
-    return last.where("x.side = 'BUY'").select("ticker", "x.d", "x.price")
+    last = trades.groupBy("ticker").agg(F.max_by(F.struct("side", "d", "price", *[c for c in ("shares",) if c in trades.columns]), F.struct("d", "seq")).alias("x"))
+    return last.where("x.side = 'BUY'").select("ticker", "x.d", "x.price", *[f"x.{c}" for c in ("shares",) if c in trades.columns])
+
+
+def marked_positions(open_: DataFrame, marks: DataFrame, signals: DataFrame, day: Column) -> DataFrame:
+    """open positions (ticker, d, price, shares) on a report day: days held, the latest mark (ticker, d, close) at or before that day with its date, return and value now,
+    and the signal (ticker, d, signal) of the day the position was opened; null where there is none."""
+    number = lambda c: F.datediff(c, F.lit("1970-01-01").cast("date"))
+    held = open_.withColumn("_day", number(day)).withColumn("_opened", number(F.col("d"))).withColumn("days", F.col("_day") - F.col("_opened"))
+    prices = marks.groupBy("ticker", "d").agg(F.max("close").alias("mark")).select("ticker", number(F.col("d")).alias("_mark_day"), F.col("d").alias("mark_d"), "mark")
+    found = as_of(held, prices, "ticker", "_day", "_mark_day", ["mark", "mark_d"])
+    told = signals.groupBy("ticker", "d").agg(F.max("signal").alias("signal")).select("ticker", number(F.col("d")).alias("_told"), "signal")
+    found = as_of(found, told, "ticker", "_opened", "_told", ["signal"]).withColumn("signal", F.when(F.col("_told") == F.col("_opened"), F.col("signal")))
+    return found.withColumn("ret", F.try_divide(F.col("mark"), F.col("price")) - 1).withColumn("value", F.col("mark") * F.col("shares")).drop("_day", "_opened", "_mark_day", "_told")
 
 
 def positions(lots: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .order import medians, with_facts
+
 
 def _first(rows: DataFrame, order: list) -> DataFrame:
     return rows.orderBy(*order).limit(1)
@@ -50,7 +52,8 @@ def best(variants: DataFrame, n: int = 3) -> DataFrame:
 
 def honesty(variants: DataFrame) -> DataFrame:
     """Best variant by training, its own training and test growth, and the distance of median and best in training."""
-    return variants.agg(F.max_by("variant", "train_cagr").alias("variant"), F.max("train_cagr").alias("train_cagr"), F.max_by("test_cagr", "train_cagr").alias("test_cagr"), (F.max("train_cagr") - F.percentile("train_cagr", 0.5)).alias("spread"))
+    best_ = variants.agg(F.max_by("variant", "train_cagr").alias("variant"), F.max("train_cagr").alias("train_cagr"), F.max_by("test_cagr", "train_cagr").alias("test_cagr"))
+    return with_facts(best_, medians(variants, [], "train_cagr"), []).withColumn("spread", F.col("train_cagr") - F.col("median")).drop("median")
 
 
 def still_valid(stored: DataFrame, wanted: DataFrame) -> DataFrame:

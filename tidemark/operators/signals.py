@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.tables import stored
+from .order import as_of, medians, with_facts
+
 
 def active(signals: DataFrame, calendar: DataFrame, variants: DataFrame, prices: DataFrame) -> DataFrame:
     """variant, pos, d, ticker, strength, place: the k best signals alive on each day.
@@ -87,17 +90,34 @@ def trades(weighted: DataFrame) -> DataFrame:
     return both.where(F.abs(F.col("w") - F.col("w0")) > 1e-12).withColumn("action", action)
 
 
-def cost_basis(lots: DataFrame) -> DataFrame:
-    """key, shares, cost: fold over a key's trades(key, seq, shares, price): adds are weighted by shares, trims keep the cost, zero ends it."""
-    ordered = lots.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("seq", "shares", "price"))).alias("t"))
-    start = F.struct(F.lit(0.0).alias("shares"), F.lit(None).cast("double").alias("cost"))
-
-    def step(acc, x):
-        after = acc["shares"] + x["shares"]
-        blended = (acc["shares"] * F.coalesce(acc["cost"], F.lit(0.0)) + x["shares"] * x["price"]) / F.nullif(after, F.lit(0.0))
-        return F.struct(after.alias("shares"), F.when(F.abs(after) < 1e-9, None).when(x["shares"] > 0, blended).otherwise(acc["cost"]).alias("cost"))
+def cost_basis(lots: DataFrame, blocks: int | None = None) -> DataFrame:
+    """key, shares, cost after a key's trades(key, seq, shares, price) in order: adds are weighted by shares, trims keep the cost, zero ends it (cost null).
+    Trades of equal seq are taken by shares, then price. Rows without shares or price are left out.
 
-    return ordered.select("key", F.aggregate("t", start, step).alias("x")).select("key", "x.shares", "x.cost")
+    The value held, shares times cost, changes by an affine map at each trade: an add adds its money, a trim scales by what stays. Maps compose, so trades
+    are cut into blocks of their order (key, seq), as many as `blocks` (the session's shuffle partitions if not given); a block folds its own trades to one map, given the
+    shares that earlier blocks leave, and blocks' maps are put together. A key with most of the trades is many blocks.
+    """
+    n = blocks or int(lots.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = lots.where("shares is not null and price is not null").select("key", "seq", F.col("shares").cast("double"), F.col("price").cast("double")).repartitionByRange(n, "key", "seq").withColumn("_block", F.spark_partition_id())
+    each = stored(dealt.groupBy("key", "_block").agg(F.sum("shares").alias("_sum"), F.array_sort(F.collect_list(F.struct("seq", "shares", "price"))).alias("_t")), "lots")
+    order = W.partitionBy("key").orderBy("_block")
+    before = each.select("key", "_block", F.coalesce(F.sum("_sum").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0)).alias("_s"))
+    start = F.struct(F.col("_s").alias("s"), F.lit(1.0).alias("a"), F.lit(0.0).alias("b"))
+    none = lambda x: F.abs(x) < 1e-9
+
+    def step(acc: Column, x: Column) -> Column:
+        after = acc["s"] + x["shares"]
+        stays = F.when(none(acc["s"]), 0.0).otherwise(after / acc["s"])
+        a = F.when(none(after), 0.0).when(x["shares"] > 0, acc["a"]).otherwise(acc["a"] * stays)
+        b = F.when(none(after), 0.0).when(x["shares"] > 0, acc["b"] + x["shares"] * x["price"]).otherwise(acc["b"] * stays)
+        return F.struct(after.alias("s"), a.alias("a"), b.alias("b"))
+
+    maps = each.join(before, ["key", "_block"]).select("key", "_block", F.aggregate("_t", start, step).alias("_m"))
+    put = maps.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("_block", "_m"))).alias("_maps"))  # one small struct a block
+    value = F.aggregate("_maps", F.lit(0.0), lambda v, m: m["_m"]["a"] * v + m["_m"]["b"])
+    shares = F.element_at("_maps", -1)["_m"]["s"]
+    return put.select("key", shares.alias("shares"), value.alias("_v")).select("key", "shares", F.when(~none(F.col("shares")), F.col("_v") / F.col("shares")).alias("cost"))
 
 
 def end_holdings(weighted: DataFrame, calendar: DataFrame) -> DataFrame:
@@ -111,7 +131,8 @@ def exposure(weighted: DataFrame, calendar: DataFrame) -> DataFrame:
     """Per variant: days in the market, mean invested share, mean and median names, largest weight, cash days."""
     days = calendar.count()
     by_day = weighted.groupBy("variant", "pos").agg(F.sum("w").alias("s"), F.count(F.lit(1)).alias("names"), F.max("w").alias("most"))
-    out = by_day.groupBy("variant").agg(F.count(F.lit(1)).alias("days_in"), (F.sum("s") / days).alias("invested"), F.avg("names").alias("mean_names"), F.percentile("names", 0.5).alias("median_names"), F.max("most").alias("largest"))
+    out = by_day.groupBy("variant").agg(F.count(F.lit(1)).alias("days_in"), (F.sum("s") / days).alias("invested"), F.avg("names").alias("mean_names"), F.max("most").alias("largest"))
+    out = with_facts(out, medians(by_day, ["variant"], "names", "median_names"), ["variant"], "left")
     return out.withColumn("cash_days", F.lit(days) - F.col("days_in"))
 
 
@@ -180,3 +201,13 @@ def entries(trades: DataFrame) -> DataFrame:
     """variant, entries, tickers: a buy counts when the ticker is not held already; adds and trims do not."""
     acts = trades.where("action in ('BUY', 'SELL')").withColumn("_last", F.lag("action").over(W.partitionBy("variant", "ticker").orderBy("pos")))
     return acts.where("action = 'BUY' and (_last is null or _last = 'SELL')").groupBy("variant").agg(F.count(F.lit(1)).alias("entries"), F.count_distinct("ticker").alias("tickers"))
+
+
+def with_source(candidates: DataFrame, announcements: DataFrame) -> DataFrame:
+    """candidates (ticker, d) with the latest announcement (ticker, trade_d, msg_id and facts) of their ticker at or before the day, and its age in days. Of
+    several on a day the last id counts."""
+    number = lambda c: F.datediff(c, F.lit("1970-01-01").cast("date"))
+    facts = [c for c in announcements.columns if c not in ("ticker", "trade_d")]
+    last = announcements.where("trade_d is not null").groupBy("ticker", "trade_d").agg(F.max_by(F.struct(*facts), "msg_id").alias("_a"))
+    found = as_of(candidates.withColumn("_day", number(F.col("d"))), last.withColumn("_told", number(F.col("trade_d"))), "ticker", "_day", "_told", ["_a", "trade_d"])
+    return found.select(*candidates.columns, *[F.col(f"_a.{c}").alias(c) for c in facts], "trade_d", (F.col("_day") - F.col("_told")).alias("age"))

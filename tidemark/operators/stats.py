@@ -181,11 +181,12 @@ def score_halves(rows: DataFrame, score: str = "score", value: str = "excess", o
     return summary(known.withColumn("half", F.when(F.col("first_half"), "low").otherwise("high")), ["half"], value).select("half", "n", "mean", "median")
 
 
-def bucket_test(rows: DataFrame, x: str, k: int, value: str = "excess", **columns: str) -> DataFrame:
+def bucket_test(rows: DataFrame, x: str, k: int, value: str = "excess", share: str | None = None, **columns: str) -> DataFrame:
     """A study of `value` in each of k buckets of x, with the bucket's range, and the verdict on all: RISING or FALLING where every mean is
-    above or below the one before, else MIXED. Rows without a value or a bucket are left out; the verdict looks at k rows."""
+    above or below the one before, else MIXED. share: a column of which the bucket's mean is given too. Rows without a value or a bucket are left out; the
+    verdict looks at k rows."""
     labelled = quantile_labels(rows.where(F.col(value).isNotNull()), x, k).where("bucket is not null")
-    span = labelled.groupBy("bucket").agg(F.min(x).alias("low"), F.max(x).alias("high"))
+    span = labelled.groupBy("bucket").agg(F.min(x).alias("low"), F.max(x).alias("high"), *([F.avg(share).alias(share)] if share else []))
     up = F.col("mean") > F.lag("mean").over(W.orderBy("bucket"))
     steps = study(labelled, ["bucket"], value, **columns).withColumn("_up", up)
     every = W.partitionBy()

@@ -226,7 +226,11 @@ def d2_first_by_key(spark, sf_dir):
     return keys.first_by(t, ["ticker"], ["d", "seq"]).select("ticker", "d", "seq", "price")
 
 
-@query()
+@query("""WITH RECURSIVE rows_ AS (SELECT source AS company, doc_id // 28800 AS day, (doc_id // 20) % 1440 AS minute, CAST(doc_id AS VARCHAR) AS msg_id, upper(lang) AS lang, row_number() OVER (PARTITION BY source, doc_id // 28800 ORDER BY (doc_id // 20) % 1440, CAST(doc_id AS VARCHAR), upper(lang)) AS i FROM documents WHERE lang IS NOT NULL),
+st AS (SELECT company, day, 0::BIGINT AS i, []::STRUCT(minute BIGINT, msg_id VARCHAR, lang VARCHAR)[] AS open, NULL::VARCHAR AS gone FROM rows_ WHERE i = 1
+  UNION ALL SELECT company, day, i, CASE WHEN len(other) = 0 THEN list_append(near, struct_pack(minute := minute, msg_id := msg_id, lang := lang)) ELSE list_filter(near, lambda o: o.msg_id <> other[1].msg_id) END, CASE WHEN len(other) > 0 THEN CASE WHEN lang = 'EN' THEN other[1].msg_id ELSE msg_id END END
+  FROM (SELECT *, list_filter(near, lambda o: o.lang <> lang) AS other FROM (SELECT r.*, list_filter(st.open, lambda o: r.minute - o.minute <= 3) AS near FROM st JOIN rows_ r ON r.company IS NOT DISTINCT FROM st.company AND r.day = st.day AND r.i = st.i + 1)))
+SELECT gone AS msg_id FROM st WHERE gone IS NOT NULL""")
 def d1_language_duplicates(spark, sf_dir):
     c = I.table(spark, sf_dir, "documents").select(F.col("source").alias("company"), F.date_add(F.lit("2024-01-01").cast("date"), F.floor(F.col("doc_id") / (20 * 1440)).cast("int")).alias("d"), (F.floor(F.col("doc_id") / 20) % 1440).cast("int").alias("minute"), F.col("doc_id").cast("string").alias("msg_id"), F.upper("lang").alias("lang"))
     return keys.language_duplicates(c)
@@ -473,6 +477,17 @@ def h9_quantile_labels(spark, sf_dir):
     return stats.quantile_labels(I.events(spark, sf_dir), "amount", 5).select("msg_id", F.col("bucket").cast("long").alias("bucket"))
 
 
+@query(_ev(RUN, SCORED, I.PRICES, I.CALENDAR, I.ALIGNED, I.PLACED, I.STATUS, I.INDEX, I.RETURNS, "x AS (SELECT r.*, round(s.score, 9) AS score FROM rets r JOIN scored s USING (msg_id) WHERE h = 20 AND r.excess IS NOT NULL)",
+    "bounds AS (SELECT list(score ORDER BY score) AS l FROM x)", "rows_ AS (SELECT x.*, 1 + len(list_filter([1, 2, 3, 4], lambda i: l[len(l) * i // 5 + 1] < score)) AS bucket FROM x, bounds)", *_study_sql(["bucket"])[:-1],
+    "st AS (SELECT bucket, n, mean, median, CASE WHEN n >= 10 THEN mean / se END AS t, low, high, buys FROM base JOIN se USING (bucket) JOIN (SELECT bucket, min(score) AS low, max(score) AS high, avg(CASE WHEN class = 'BUY' THEN 1.0 ELSE 0.0 END) AS buys FROM rows_ GROUP BY 1) USING (bucket))",
+    "v AS (SELECT CASE WHEN bool_and(up) THEN 'RISING' WHEN NOT bool_or(up) THEN 'FALLING' ELSE 'MIXED' END AS verdict FROM (SELECT mean > lag(mean) OVER (ORDER BY bucket) AS up FROM st))", "SELECT CAST(bucket AS BIGINT) AS bucket, n, mean, median, t, low, high, buys, verdict FROM st, v"), ("mean", "median", "t", "low", "high", "buys"), 5)
+def h10_score_buckets(spark, sf_dir):
+    """Returns of buys and sells together in five buckets of the score, with its range, the share of buys and the verdict."""
+    s = clusters.scored(clustered(spark, sf_dir)).select("msg_id", F.round("score", 9).alias("score"))
+    rows = tables.stored(event_returns(spark, sf_dir).where("h = 20").join(s, "msg_id"), "scored").withColumn("buy", (F.col("class") == "BUY").cast("double"))
+    return stats.bucket_test(rows, "score", 5, share="buy").select(F.col("bucket").cast("long").alias("bucket"), "n", "mean", "median", "t", "low", "high", F.col("buy").alias("buys"), "verdict")
+
+
 @query(I.sql(I.EVENTS, BUCKETS, "bk AS (SELECT len(list_filter(b, lambda x: x < amount)) + 1 AS bucket, amount, class FROM ev, bounds)", "SELECT bucket, min(amount) AS low, max(amount) AS high, count(*) AS n, avg(CASE WHEN class = 'BUY' THEN 1.0 ELSE 0.0 END) AS buys FROM bk GROUP BY 1"), ("low", "high", "buys"), 4)
 def h10_bucket_test(spark, sf_dir):
     b = stats.quantile_labels(I.events(spark, sf_dir), "amount", 5)
@@ -548,7 +563,8 @@ def signal_rows(spark, sf_dir):
     p, cal = market(spark, sf_dir)
     e = clusters.scored(clustered(spark, sf_dir)).where("class = 'BUY' and score >= 40")
     placed_ = calendar.effective(e, cal).where("pos0 is not null")
-    return placed_.groupBy("ticker", "pos0", F.col("trade_d").alias("d0")).agg(F.round(F.max("score"), 6).alias("score")), calendar.aligned(p, cal), cal
+    found = placed_.groupBy("ticker", "pos0", F.col("trade_d").alias("d0")).agg(F.round(F.max("score"), 6).alias("score"))
+    return tables.stored(found, "signals"), tables.stored(calendar.aligned(p, cal), "series"), cal
 
 
 def variants(spark):
@@ -650,6 +666,16 @@ def i11_cost_basis(spark, sf_dir):
     return signals.cost_basis(I.trades(spark, sf_dir).where("side = 'BUY'").select(F.col("ticker").alias("key"), "seq", "shares", "price"))
 
 
+@query("WITH RECURSIVE " + I.TRADES + """, u AS (SELECT ticker AS key, seq, CASE side WHEN 'SELL' THEN -shares ELSE shares END AS x, price FROM trades WHERE side <> 'HOLD'), t AS (SELECT key, x, price, row_number() OVER (PARTITION BY key ORDER BY seq, x, price) AS i FROM u),
+f AS (SELECT key, i, x AS s, CASE WHEN x > 0 THEN price END AS c FROM t WHERE i = 1
+  UNION ALL SELECT t.key, t.i, f.s + x, CASE WHEN abs(f.s + x) < 1e-9 THEN NULL WHEN x > 0 THEN (f.s * coalesce(f.c, 0) + x * price) / (f.s + x) ELSE f.c END FROM f JOIN t ON t.key = f.key AND t.i = f.i + 1)
+SELECT key, s AS shares, CASE WHEN c IS NULL AND abs(s) >= 1e-9 THEN 0.0 ELSE c END AS cost FROM f QUALIFY row_number() OVER (PARTITION BY key ORDER BY i DESC) = 1""", ("shares", "cost"), 3)
+def i11_cost_after_trims(spark, sf_dir):
+    """Buys and sells in order; a key that was sold short before it was bought has cost 0 until then."""
+    t = I.trades(spark, sf_dir).where("side <> 'HOLD'")
+    return signals.cost_basis(t.select(F.col("ticker").alias("key"), "seq", F.when(F.col("side") == "SELL", -F.col("shares")).otherwise(F.col("shares")).alias("shares"), "price"))
+
+
 @query(_ev(*SIGNAL_SQL, WEIGHTS, "bd AS (SELECT variant, pos, sum(w) AS s, count(*) AS names, max(w) AS most FROM wts GROUP BY 1, 2)", "SELECT variant, count(*) AS days_in, sum(s) / (SELECT count(*) FROM cal) AS invested, avg(names) AS mean_names, median(names) AS median_names, max(most) AS largest, (SELECT count(*) FROM cal) - count(*) AS cash_days FROM bd GROUP BY 1"), ("invested", "mean_names", "median_names", "largest"))
 def i13_exposure(spark, sf_dir):
     a, _, cal = active(spark, sf_dir)
@@ -814,7 +840,18 @@ def k7_exit_reasons(spark, sf_dir):
 
 @query(I.sql(I.TRADES, "SELECT ticker, d, price FROM trades QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY d DESC, seq DESC, side DESC) = 1 AND side = 'BUY'"))
 def k8_open_positions(spark, sf_dir):
-    return results.open_positions(I.trades(spark, sf_dir).withColumn("seq", F.struct("seq", "side")))
+    return results.open_positions(I.trades(spark, sf_dir).withColumn("seq", F.struct("seq", "side"))).select("ticker", "d", "price")
+
+
+@query(I.sql(I.TRADES, "day AS (SELECT max(d) - INTERVAL 60 DAY AS day FROM trades)", "op AS (SELECT ticker, d, price, shares FROM trades QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY d DESC, seq DESC, side DESC) = 1 AND side = 'BUY')",
+    "mk AS (SELECT ticker, d, max(price) AS mark FROM trades GROUP BY 1, 2)", "sg AS (SELECT ticker, d, max(shares) AS signal FROM trades WHERE side = 'HOLD' GROUP BY 1, 2)",
+    "SELECT o.ticker, o.d, o.price, o.shares, date_diff('day', o.d, CAST(day AS DATE)) AS days, m.mark, m.d AS mark_d, m.mark / o.price - 1 AS ret, m.mark * o.shares AS value, s.signal FROM (SELECT op.*, day FROM op, day) o ASOF LEFT JOIN mk m ON m.ticker = o.ticker AND m.d <= o.day LEFT JOIN sg s ON s.ticker = o.ticker AND s.d = o.d"), ("mark", "ret", "value"), 4)
+def k8_position_marks(spark, sf_dir):
+    """Open positions sixty days before the last trade, with the latest mark by then and the signal of the day they were opened."""
+    t = tables.stored(I.trades(spark, sf_dir).withColumn("seq", F.struct("seq", "side")), "trades")
+    day = F.date_sub(F.lit(t.agg(F.max("d")).first()[0]), 60)
+    held = results.marked_positions(results.open_positions(t), t.select("ticker", "d", F.col("price").alias("close")), t.where("side = 'HOLD'").select("ticker", "d", F.col("shares").alias("signal")), day)
+    return held.select("ticker", "d", "price", "shares", F.col("days").cast("long").alias("days"), "mark", "mark_d", "ret", "value", "signal")
 
 
 @query(I.sql(I.TRADES, "SELECT ticker, count(*) AS lots, sum(shares) AS shares, sum(shares * price) / sum(shares) AS price FROM trades GROUP BY 1"), ("shares", "price"), 4)
@@ -1039,6 +1076,24 @@ def a11_siblings_by_stamp(spark, sf_dir):
     return found.select(key("left_name").alias("a"), key("right_name").alias("b"))
 
 
+PRINTS = {"customer": ["c_custkey", "c_name", "c_nationkey"], "orders": ["o_orderkey", "o_custkey", "o_orderstatus"], "supplier": ["s_suppkey", "s_nationkey"], "documents": ["doc_id", "text", "lang"]}
+
+
+def _print_sql(table: str, columns: list[str]) -> str:
+    row = " || '|' || ".join(f"coalesce(CAST({c} AS VARCHAR), '~')" for c in columns)
+    return f"SELECT '{table}' AS source, count(*) AS rows, md5(CAST(count(*) AS VARCHAR) || ':' || CAST(coalesce(sum(CAST('0x' || substr(md5({row}), 1, 12) AS BIGINT)), 0) AS VARCHAR)) AS digest, true AS has_files, true AS refreshed FROM {table}"
+
+
+@query(" UNION ALL ".join(_print_sql(t, c) for t, c in PRINTS.items()))
+def a14_source_fingerprints(spark, sf_dir):
+    """The given tables' own files and contents: digest, whether there are files with bytes, and whether all were written since 2000."""
+    found = [tables.source_fingerprint(I.table(spark, sf_dir, t), c, "2000-01-01").withColumn("source", F.lit(t)) for t, c in PRINTS.items()]
+    every = found[0]
+    for f in found[1:]:
+        every = every.unionByName(f)
+    return every.select("source", "rows", "digest", ((F.col("files") > 0) & (F.col("bytes") > 0)).alias("has_files"), "refreshed")
+
+
 @query("SELECT o_orderkey, o_orderdate >= TIMESTAMP '2000-01-01' AND o_custkey % 3 > 0 AS refreshed FROM orders")
 def a14_refreshed_sources(spark, sf_dir):
     o = I.table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderdate").alias("modified"), (F.col("o_custkey") % 3).alias("bytes"))
@@ -1147,6 +1202,16 @@ def i26_latest_candidates(spark, sf_dir):
     return a.join(a.groupBy("variant").agg(F.max("d").alias("d")), ["variant", "d"]).select("variant", "ticker", "strength")
 
 
+@query(_ev(*SIGNAL_SQL, I.PLACED, "last AS (SELECT variant, ticker, d, strength FROM act WHERE d = (SELECT max(d) FROM act a2 WHERE a2.variant = act.variant))", "ann AS (SELECT p.ticker, p.trade_d, max_by(struct_pack(msg_id := p.msg_id, rank := p.rank, amount := p.amount), p.msg_id) AS a FROM placed p WHERE p.class = 'BUY' AND p.trade_d IS NOT NULL GROUP BY 1, 2)",
+    "SELECT l.variant, l.ticker, l.strength, n.a.msg_id AS msg_id, n.a.rank AS rank, n.a.amount AS amount, n.trade_d, date_diff('day', n.trade_d, l.d) AS age FROM last l ASOF LEFT JOIN ann n ON n.ticker = l.ticker AND n.trade_d <= l.d"), ("strength", "amount"))
+def i26_candidates_with_source(spark, sf_dir):
+    """What each variant would buy on its last day, with the latest purchase announcement behind it."""
+    a = active(spark, sf_dir)[0]
+    last = a.join(a.groupBy("variant").agg(F.max("d").alias("d")), ["variant", "d"]).select("variant", "ticker", "d", "strength")
+    told = placed(spark, sf_dir)[0].where("class = 'BUY'").select("ticker", "trade_d", "msg_id", "rank", "amount")
+    return signals.with_source(last, told).select("variant", "ticker", "strength", "msg_id", "rank", "amount", "trade_d", F.col("age").cast("long").alias("age"))
+
+
 @query(I.sql(I.TRADES, "SELECT side, seq FROM trades QUALIFY row_number() OVER (PARTITION BY side ORDER BY d DESC, seq DESC, ticker) <= 40"))
 def i27_last_trades(spark, sf_dir):
     t = I.trades(spark, sf_dir)
@@ -1373,22 +1438,40 @@ def _streamed(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
 
 
 def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.readStream.schema(I.table(spark, sf_dir, name).schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    """A table's files as a stream: those of its folder, or the one file it is."""
+    path = f"{sf_dir}/{name}.parquet"
+    reader = spark.readStream.schema(I.table(spark, sf_dir, name).schema)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if place.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place).isDirectory():
+        return reader.parquet(path)
+    return reader.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
 
 
 @query("SELECT DISTINCT user_id, event_type FROM events")
 def n3_stream_corrections(spark, sf_dir):
     """Versions of a user's state: of equal contents one passes (which one is open), a different content passes."""
-    found = incremental.corrections(_stream(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")), "user_id", "event_type", late="3650 days")
+    found = incremental.corrections(_stream(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")), "user_id", "event_type")
     return _streamed(found.select("user_id", "event_type"), "corrections")
 
 
-@query(_ev("SELECT msg_id, ticker, class, d, cluster, row_number() OVER (PARTITION BY ticker, class, cluster ORDER BY d, msg_id) AS messages FROM clus"))
+@query("SELECT user_id, event_type, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
+def n3_stream_upsert(spark, sf_dir):
+    """Each user's newest event in a table of 16 partitions, of which a batch rewrites those it touches (D3 as a stream)."""
+    path = tables.shared_folder(spark, "upsert")
+    e = _stream(spark, sf_dir, "events").select("user_id", F.pmod(F.xxhash64("user_id"), F.lit(16)).cast("int").alias("part"), "event_type", "event_id", F.struct(F.col("ts").cast("timestamp").alias("at"), "event_id").alias("ts"))
+    sink = incremental.upsert_partitions(path, ["user_id", "part"], "part")
+    e.writeStream.option("checkpointLocation", f"{path}-state").trigger(availableNow=True).foreachBatch(sink).start().awaitTermination()
+    return spark.read.parquet(path).select("user_id", "event_type", "event_id")
+
+
+@query(_ev("SELECT msg_id, ticker, class, d, anchor, row_number() OVER (PARTITION BY ticker, class, anchor ORDER BY d, msg_id) AS messages FROM clus WHERE d < (SELECT max(d) FROM ev) - INTERVAL 10 DAY"))
 def n4_stream_clusters(spark, sf_dir):
+    """Running clusters of every event that the watermark, ten days behind the newest, has passed."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     o = _stream(spark, sf_dir, "orders").join(I.table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     kind = F.when(F.col("o_orderstatus") == "O", "BUY").when(F.col("o_orderstatus") == "F", "SELL").otherwise("UNKNOWN")
-    e = o.select(F.col("c_nationkey").cast("string").alias("ticker"), kind.alias("class"), F.col("o_orderkey").cast("string").alias("msg_id"), F.col("o_orderdate").cast("date").alias("d"))
+    d = F.col("o_orderdate").cast("date")
+    e = o.select(F.col("c_nationkey").cast("string").alias("ticker"), kind.alias("class"), F.col("o_orderkey").cast("string").alias("msg_id"), d.alias("d"), d.cast("timestamp").alias("ts"))
     return _streamed(incremental.stream_clusters(e), "clusters")
 
 

@@ -134,3 +134,23 @@ def companies(rows: DataFrame, least: int = 50) -> DataFrame:
 def key_values(rows: DataFrame, keys: list[str]) -> DataFrame:
     """A sheet of key and value as one row."""
     return rows.groupBy().pivot("key", keys).agg(F.first("value"))
+
+
+def file_facts(df: DataFrame) -> DataFrame:
+    """path, name, bytes, modified of the files that a file-based DataFrame reads; files without rows have none to tell of them."""
+    return df.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("name"), F.col("_metadata.file_size").alias("bytes"), F.col("_metadata.file_modification_time").alias("modified")).distinct()
+
+
+def content_digest(df: DataFrame, columns: list[str]) -> DataFrame:
+    """rows and digest of some columns' contents, whatever the order of rows and their files: MD5 of the count and of the sum of the rows' MD5 heads."""
+    head = F.conv(F.substring(F.md5(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in columns])), 1, 12), 16, 10).cast("decimal(38,0)")
+    sums = df.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(head), F.lit(0).cast("decimal(38,0)")).cast("string").alias("_sum"))
+    return sums.select("rows", F.md5(F.concat_ws(":", F.col("rows").cast("string"), "_sum")).alias("digest"))
+
+
+def source_fingerprint(df: DataFrame, columns: list[str], started) -> DataFrame:
+    """One row: rows, digest, files, bytes, newest file time, and whether all that is read was written at or after `started` and is not empty."""
+    files = file_facts(df).agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"), F.min("modified").alias("_oldest"), F.max("modified").alias("modified"))
+    both = content_digest(df, columns).crossJoin(F.broadcast(files))  # one row each
+    fresh = F.coalesce(F.col("_oldest") >= F.lit(started).cast("timestamp"), F.lit(False)) & (F.col("bytes") > 0)
+    return both.withColumn("refreshed", fresh).drop("_oldest")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -50,37 +50,101 @@ def upsert_batches(read: Callable[[], DataFrame], write: Callable[[DataFrame], N
     return each
 
 
+def upsert_partitions(path: str, keys: list[str], partition: str, ts: str = "ts") -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: a table partitioned by `partition` (a column that follows from the keys) in which each key has its newest row.
+
+    A batch reads and rewrites the partitions it touches, no others. Its result is first written whole to a folder of the batch, then takes the place of these
+    partitions. A batch that runs again finds that folder and puts it in place once more, so a run that broke off between the two, or after, is
+    repaired and none is counted twice. Of equal times the later batch wins. An empty batch changes nothing.
+    """
+
+    def each(batch: DataFrame, number: int) -> None:
+        spark, columns = batch.sparkSession, [*batch.columns, "_batch"]
+        staged = f"{path}.staged/{number}"
+        if not _there(spark, f"{staged}/_SUCCESS"):
+            new = batch.withColumn("_batch", F.lit(number).cast("long"))
+            touched = new.select(partition).distinct()
+            if _there(spark, path):
+                old = spark.read.schema(new.schema).parquet(path).join(F.broadcast(touched), partition, "left_semi")
+                new = old.select(*columns).unionByName(new.select(*columns))
+            rest = [c for c in columns if c not in keys]
+            newest = new.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(ts, "_batch")).alias("_v")).select(*keys, "_v.*")
+            newest.select(*columns).write.mode("overwrite").parquet(staged)
+        found = spark.read.schema(batch.withColumn("_batch", F.lit(0).cast("long")).schema).parquet(staged)
+        if not found.isEmpty():
+            found.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+
+    return each
+
+
+def _there(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder exists, in any store that Spark reads."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
 class AnchoredClusters(StatefulProcessor):
-    """Running clusters per (ticker, class): a cluster holds what is at most `days` after its first event. Late events before the anchor open none."""
+    """Running clusters per (ticker, class) in event time: a cluster holds what is at most `days` after its first event.
+
+    Events wait in state until the watermark has passed them, so those that come late, or in another batch, are put in order before they are counted; what is older than the
+    watermark is too late and dropped (Spark itself drops it a batch later only). A timer wakes the key then; another removes its state once the cluster's days are over and nothing waits.
+    """
 
     def __init__(self, days: int = 30) -> None:
         self.days = days
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("cluster", "anchor date, nr int, n long")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:  # noqa: N802
-        events = pd.concat(list(rows)).sort_values(["d", "msg_id"])
-        anchor, nr, n = self.state.get() if self.state.exists() else (None, 0, 0)
+        self.cluster = handle.getValueState("cluster", "anchor long, n long")
+        self.waiting = handle.getListState("waiting", "at long, d date, msg_id string")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
+        now = timerValues.getCurrentWatermarkInMs()
+        for part in rows:
+            at = [int(t.timestamp() * 1000) for t in pd.to_datetime(part["ts"]).dt.tz_localize("UTC" if part["ts"].dt.tz is None else None)]
+            new = [x for x in zip(at, part["d"].tolist(), part["msg_id"].tolist(), strict=True) if x[0] >= now]
+            if new:
+                self.waiting.appendList(new)
+            for t in {x[0] for x in new}:
+                self.handle.registerTimer(t + 1)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802
+        now, day = timerValues.getCurrentWatermarkInMs(), 86_400_000
+        held = sorted(tuple(x) for x in self.waiting.get()) if self.waiting.exists() else []
+        due = [x for x in held if x[0] < now]
+        anchor, n = self.cluster.get() if self.cluster.exists() else (None, 0)
         out = []
-        for d, msg_id in zip(events["d"], events["msg_id"], strict=True):
-            if anchor is None or (d - anchor).days > self.days:
-                anchor, nr, n = d, nr + 1, 0
+        for at, d, msg_id in due:
+            if anchor is None or at - anchor > self.days * day:
+                anchor, n = at, 0
             n += 1
-            out.append((key[0], key[1], msg_id, d, nr, n))
-        self.state.update((anchor, nr, n))
-        yield pd.DataFrame(out, columns=["ticker", "class", "msg_id", "d", "cluster", "messages"])
+            out.append((key[0], key[1], msg_id, d, (pd.Timestamp(anchor, unit="ms")).date(), n))
+        if due:
+            if len(due) < len(held):
+                self.waiting.put(held[len(due) :])
+            else:
+                self.waiting.clear()
+        if anchor is not None:
+            over = anchor + self.days * day + 1
+            if len(due) == len(held) and now > over:
+                self.cluster.clear()
+            else:
+                self.cluster.update((anchor, n))
+                self.handle.registerTimer(max(over, now) + 1)
+        yield pd.DataFrame(out, columns=["ticker", "class", "msg_id", "d", "anchor", "messages"])
 
     def close(self) -> None:
         pass
 
 
-CLUSTERS = "ticker string, class string, msg_id string, d date, cluster int, messages long"
+CLUSTERS = "ticker string, class string, msg_id string, d date, anchor date, messages long"
 
 
-def stream_clusters(events: DataFrame, days: int = 30) -> DataFrame:
-    return events.groupBy("ticker", "class").transformWithStateInPandas(AnchoredClusters(days), CLUSTERS, "append", "None")
+def stream_clusters(events: DataFrame, days: int = 30, late: str = "10 days") -> DataFrame:
+    """ticker, class, msg_id, d, anchor and messages of a cluster so far, for every event (ticker, class, msg_id, d, ts) that the watermark has passed."""
+    marked = events.withWatermark("ts", late)
+    return marked.groupBy("ticker", "class").transformWithStateInPandas(AnchoredClusters(days), CLUSTERS, "append", "EventTime")
 
 
 def stream_block_counts(blocks: DataFrame) -> DataFrame:
