@@ -66,6 +66,17 @@ def frequencies(rows: DataFrame, fields: list[str]) -> DataFrame:
     return counted.withColumn("share", F.col("n") / F.sum("n").over(W.partitionBy("field")))
 
 
+def reading_quality(rows: DataFrame, most_unknown: float = 0.25) -> DataFrame:
+    """One row on read announcements (class, identity): events, buys, sells, share of unknown class, how many could be held against their holdings and the share that agreed,
+    and status: FAILED without buys, OK with fewer than `most_unknown` unknown, else PARTIAL."""
+    count = lambda c: F.count(F.when(c, 1))
+    found = rows.agg(
+        F.count(F.lit(1)).alias("events"), count(F.col("class") == "BUY").alias("buys"), count(F.col("class") == "SELL").alias("sells"), F.avg((F.coalesce("class", F.lit("UNKNOWN")) == "UNKNOWN").cast("double")).alias("unknown_share"),
+        F.count("identity").alias("checked"), F.avg(F.col("identity").cast("double")).alias("identity_rate"),
+    )
+    return found.withColumn("status", F.when(F.col("buys") == 0, "FAILED").when(F.col("unknown_share") < most_unknown, "OK").otherwise("PARTIAL"))
+
+
 #: name: condition under which an event is refused; the first that holds is its reason
 REFUSED = {
     "no class": "class is null or class = 'UNKNOWN'",

@@ -17,12 +17,22 @@ def returns(prices: DataFrame, n: int = 1) -> DataFrame:
     return prices.withColumn("ret", F.try_divide(F.col("close"), F.lag("close", n).over(by_day())) - 1)
 
 
-def equal_weight_index(prices: DataFrame, start: float = 100.0) -> DataFrame:
-    """d, level: the mean of the available daily returns, chained."""
-    mean = returns(prices).where("ret is not null").groupBy("d").agg(F.avg("ret").alias("ret"))
+def equal_weight_index(prices: DataFrame, start: float = 100.0, field: str = "close") -> DataFrame:
+    """d, level: the mean of the available daily returns, chained. field: the price basis."""
+    mean = returns(prices.withColumn("close", F.col(field))).where("ret is not null").groupBy("d").agg(F.avg("ret").alias("ret"))
     return mean.select("d", (start * F.exp(F.sum(F.log1p("ret")).over(W.orderBy("d")))).alias("level"))
 
 
+def mean_benchmark(prices: DataFrame) -> DataFrame:
+    """d, level from 1: the mean of the returns since the day before, of tickers with a price on both, chained over all days; a day without any counts as 0."""
+    days = prices.select("d").distinct().select("d", F.row_number().over(W.orderBy("d")).alias("_i"))
+    placed = prices.join(F.broadcast(days), "d")
+    w = W.partitionBy("ticker").orderBy("_i")
+    step = F.when(F.col("_i") - F.lag("_i").over(w) == 1, F.try_divide(F.col("close"), F.lag("close").over(w)) - 1)
+    mean = placed.withColumn("_r", step).groupBy("d").agg(F.coalesce(F.avg("_r"), F.lit(0.0)).alias("_r"))
+    return mean.select("d", F.exp(F.sum(F.log1p("_r")).over(W.orderBy("d"))).alias("level"))
+
+
 def restated(old: DataFrame, new: DataFrame, tolerance: float = 0.005) -> DataFrame:
     """ticker, shared, deviating, restated: two or more shared days, of which max(2, n div 4) or more deviate."""
     both = old.select("ticker", "d", F.col("close").alias("a")).join(new.select("ticker", "d", F.col("close").alias("b")), ["ticker", "d"])

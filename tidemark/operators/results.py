@@ -21,6 +21,27 @@ def harmonised_sharpe(curve: DataFrame, key: str, value: str, least: int = 4) ->
     return steps.groupBy(key).agg(F.count(F.lit(1)).alias("months"), F.try_divide(F.avg("_r") * 12**0.5, F.stddev_samp("_r")).alias("_s")).select(key, "months", F.when(F.col("months") >= least, F.col("_s")).alias("sharpe"))
 
 
+def monthly_risk(curve: DataFrame, key: str, value: str, per_year: float = 252.0, risk_free: float = 0.04) -> DataFrame:
+    """Growth of a daily curve with the risk of its month ends: key, cagr, months, volatility, downside (sd of negative months), and (cagr - risk_free) over either."""
+    growth = curve.groupBy(key).agg((F.pow(F.max_by(value, "d") / F.min_by(value, "d"), per_year / F.nullif(F.count(F.lit(1)) - 1, F.lit(0))) - 1).alias("cagr"))
+    steps = month_ends(curve, key, value).withColumn("_r", F.col("value") / F.lag("value").over(W.partitionBy(key).orderBy("d")) - 1)
+    risk = steps.groupBy(key).agg(F.count("_r").alias("months"), (F.stddev_samp("_r") * 12**0.5).alias("volatility"), (F.stddev_samp(F.when(F.col("_r") < 0, F.col("_r"))) * 12**0.5).alias("downside"))
+    above = F.col("cagr") - risk_free
+    return growth.join(risk, key).select(key, "cagr", "months", "volatility", "downside", F.when(F.col("volatility") > 0, above / F.col("volatility")).alias("sharpe"), F.when(F.col("downside") > 0, above / F.col("downside")).alias("sortino"))
+
+
+def daily_metrics(curve: DataFrame, key: str, value: str, start: float, risk_free: float = 0.04) -> DataFrame:
+    """Arithmetic metrics of a daily curve against a fixed start capital: total, cagr (calendar days), sharpe and sortino (mean daily return times 252 less risk_free),
+    drawdown, calmar, volatility; ratios without spread are 0."""
+    w = W.partitionBy(key).orderBy("d")
+    steps = curve.withColumn("_r", F.col(value) / F.lag(value).over(w) - 1).withColumn("_dd", F.col(value) / F.max(value).over(w) - 1)
+    days = F.greatest(F.datediff(F.max("d"), F.min("d")), F.lit(1))
+    last = F.max_by(value, "d") / start
+    found = steps.groupBy(key).agg((last - 1).alias("total"), (F.pow(last, 365.25 / days) - 1).alias("cagr"), (F.avg("_r") * 252 - risk_free).alias("_above"), (F.stddev_samp("_r") * 252**0.5).alias("volatility"), (F.stddev_samp(F.when(F.col("_r") < 0, F.col("_r"))) * 252**0.5).alias("_down"), F.min("_dd").alias("drawdown"))
+    ratio = lambda by: F.when(by > 0, F.col("_above") / by).otherwise(0.0)
+    return found.select(key, "total", "cagr", ratio(F.col("volatility")).alias("sharpe"), ratio(F.col("_down")).alias("sortino"), "drawdown", F.when(F.col("drawdown") < 0, F.col("cagr") / -F.col("drawdown")).otherwise(0.0).alias("calmar"), "volatility")
+
+
 def paired(trades: DataFrame) -> DataFrame:
     """Every sell with the price of the latest buy of its ticker on an earlier day, and the return. One window instead of a range join."""
     w = W.partitionBy("ticker").orderBy(F.datediff("d", F.lit("1970-01-01").cast("date"))).rangeBetween(W.unboundedPreceding, -1)

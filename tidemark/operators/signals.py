@@ -170,10 +170,16 @@ def filtered(signals: DataFrame, series: DataFrame, momentum: float | None = Non
     return out.select(*signals.columns)
 
 
-def chosen_slice(tables: dict[str, DataFrame], choice: DataFrame, variant: str = "variant") -> dict[str, DataFrame]:
-    """Of every result table the chosen variant's rows, without the variant. choice has one row; the tables are filtered, not shuffled."""
+def chosen_slice(tables: dict[str, DataFrame], choice: DataFrame, variant: str = "variant", cash: tuple[str, ...] = ("CASH",)) -> dict[str, DataFrame]:
+    """Of every result table the chosen variant's rows, without the variant; of `holdings` without the cash rows; from `curve` also `period`: first_d, last_d and
+    points. choice has one row; the tables are filtered, not shuffled."""
     one = F.broadcast(choice.select(F.col(variant)).distinct().limit(1))
-    return {name: table.join(one, variant, "left_semi").drop(variant) for name, table in tables.items()}
+    found = {name: table.join(one, variant, "left_semi").drop(variant) for name, table in tables.items()}
+    if "holdings" in found:
+        found["holdings"] = found["holdings"].where(~F.col("ticker").isin(*cash))
+    if "curve" in found:
+        found["period"] = found["curve"].agg(F.min("d").alias("first_d"), F.max("d").alias("last_d"), F.count(F.lit(1)).alias("points"))
+    return found
 
 
 def annual_return(curve: DataFrame, key: str, value: str, floor_days: int = 0) -> DataFrame:

@@ -128,9 +128,10 @@ def b5_human_numbers(spark, sf_dir):
     return li.select("l_orderkey", "l_linenumber", X.human_number(en, F.lit("EN")).alias("en"), X.human_number(F.concat(F.lit("("), F.translate(en, ".,", ",."), F.lit(")")), F.lit("NB")).alias("negative"), X.human_number(F.format_string("%d.000", F.col("l_quantity").cast("int"))).alias("grouped"))
 
 
-@query("SELECT o_orderkey, CAST(o_orderdate AS DATE) AS iso, CAST(o_orderdate AS DATE) AS dotted, CAST(o_orderdate AS DATE) AS named, CAST(o_orderdate AS DATE) AS serial FROM orders WHERE o_orderdate >= '1996-01-01'")
+@query("SELECT o_orderkey, CASE WHEN d >= DATE '1996-01-01' THEN d END AS iso, CASE WHEN d >= DATE '1996-01-01' THEN d END AS dotted, CASE WHEN d >= DATE '1996-01-01' THEN d END AS named, d AS serial FROM (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d FROM orders)")
 def b8_dates(spark, sf_dir):
-    o = I.table(spark, sf_dir, "orders").where("o_orderdate >= '1996-01-01'").withColumn("d", F.col("o_orderdate").cast("date"))
+    """Written dates before 1996 are refused by rule; day numbers of a spreadsheet are not."""
+    o = I.table(spark, sf_dir, "orders").withColumn("d", F.col("o_orderdate").cast("date"))
     made = {"iso": F.date_format("d", "yyyy-MM-dd"), "dotted": F.date_format("d", "d.M.yyyy"), "named": F.date_format("d", "MMMM d, yyyy")}
     return o.select("o_orderkey", *[X.calendar_date(c).alias(n) for n, c in made.items()], X.date_cell(F.datediff("d", F.lit("1899-12-30").cast("date")).cast("string")).alias("serial"))
 
@@ -344,6 +345,16 @@ def f11_backward_rescale(spark, sf_dir):
     return prices.repaired(_broken(spark, sf_dir)).select("ticker", "d", "close")
 
 
+MULTIPLIED = "mult AS (SELECT ticker, d, close, pow(10.0, coalesce(sum(CASE WHEN flag = 'REPAIRABLE' THEN power ELSE 0 END) OVER (PARTITION BY ticker ORDER BY d ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0)) AS m FROM flags)"
+
+
+@query(I.sql(I.PRICES, FLAT, BREAKS, MULTIPLIED, "SELECT ticker, d, close * m AS close, close * 1.25 * m AS high, close * 0.75 * m AS low FROM mult"), ("close", "high", "low"), 8)
+def f12_repaired_fields(spark, sf_dir):
+    """One multiplier for close, high and low; volume stays."""
+    p = _broken(spark, sf_dir).withColumn("high", F.col("close") * 1.25).withColumn("low", F.col("close") * 0.75)
+    return prices.repaired(p, ("close", "high", "low")).select("ticker", "d", "close", "high", "low")
+
+
 @query(I.sql(I.PRICES, FLAT, BREAKS, "SELECT ticker, flag, flag <> 'REPAIRABLE' AS blocks, count(*) AS n FROM flags WHERE flag IS NOT NULL GROUP BY ALL"))
 def f13_repair_audit(spark, sf_dir):
     return prices.repair_audit(_broken(spark, sf_dir)).groupBy("ticker", "flag", "blocks").agg(F.count(F.lit(1)).alias("n"))
@@ -354,6 +365,11 @@ def f14_averages(spark, sf_dir):
     return prices.averages(I.prices(spark, sf_dir))
 
 
+@query(I.sql(I.PRICES, "days AS (SELECT d, row_number() OVER (ORDER BY d) AS i FROM (SELECT DISTINCT d FROM prices))", "steps AS (SELECT d, i, CASE WHEN i - lag(i) OVER w = 1 THEN close / lag(close) OVER w - 1 END AS r FROM prices JOIN days USING (d) WINDOW w AS (PARTITION BY ticker ORDER BY i))", "mean AS (SELECT d, coalesce(avg(r), 0) AS r FROM steps GROUP BY d)", "SELECT d, exp(sum(ln(1 + r)) OVER (ORDER BY d)) AS level FROM mean"), ("level",))
+def f14_mean_benchmark(spark, sf_dir):
+    return prices.mean_benchmark(tables.stored(I.prices(spark, sf_dir), "prices"))
+
+
 @query(I.sql(I.PRICES, "SELECT ticker, d, close / lag(close, 20) OVER (PARTITION BY ticker ORDER BY d) - 1 AS ret FROM prices"), ("ret",))
 def f15_trailing_return(spark, sf_dir):
     return prices.returns(I.prices(spark, sf_dir), 20).select("ticker", "d", "ret")
@@ -406,6 +422,19 @@ def g2_horizon_returns(spark, sf_dir):
     return event_returns(spark, sf_dir).select("msg_id", "h", "ret", "reference", "excess", "delisted")
 
 
+ADJUSTED = "close * (1 + (year(d) - 1990) / 40.0)"
+TOTAL = (I.PRICES.replace("prices AS (SELECT", "raw_ AS (SELECT", 1), f"prices AS (SELECT ticker, d, {ADJUSTED} AS close, volume FROM raw_)", *MERGE[1:])
+
+
+@query(I.sql(*TOTAL, I.INDEX, I.RETURNS, "SELECT msg_id, h, ret, reference, excess, delisted FROM rets"), ("ret", "reference", "excess"))
+def f20_total_returns(spark, sf_dir):
+    """Horizon returns on adjusted prices, of stocks and reference alike."""
+    p, cal = market(spark, sf_dir)
+    p = p.withColumn("adjclose", F.col("close") * (1 + (F.year("d") - 1990) / 40.0))
+    m = tables.stored(merge.merged(I.events(spark, sf_dir), p, cal, "adjclose"), "placed")
+    return merge.horizon_returns(m, p, cal, prices.equal_weight_index(p, field="adjclose"), field="adjclose")
+
+
 @query(I.sql(*MERGE, "SELECT status, count(*) AS n, avg(CASE WHEN minute >= 980 THEN 1.0 ELSE 0.0 END) AS after_close FROM merged GROUP BY 1"), ("after_close",))
 def g5_merge_report(spark, sf_dir):
     return placed(spark, sf_dir)[0].groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("minute") >= 980).cast("double")).alias("after_close"))
@@ -881,6 +910,26 @@ def k2_harmonised_sharpe(spark, sf_dir):
     return results.harmonised_sharpe(I.nav(spark, sf_dir), "sleeve", "nav")
 
 
+@query(I.sql(I.NAV, "ends AS (SELECT sleeve, pow(max_by(nav, d) / min_by(nav, d), 252.0 / (count(*) - 1)) - 1 AS cagr FROM nav GROUP BY 1)", "me AS (SELECT sleeve, last_day(d) AS m, max_by(nav, d) AS v FROM nav GROUP BY 1, 2)", "mr AS (SELECT *, v / lag(v) OVER (PARTITION BY sleeve ORDER BY m) - 1 AS r FROM me)",
+    "k AS (SELECT sleeve, count(r) AS months, stddev_samp(r) * sqrt(12) AS volatility, stddev_samp(CASE WHEN r < 0 THEN r END) * sqrt(12) AS downside FROM mr GROUP BY 1)", "SELECT sleeve, cagr, months, volatility, downside, CASE WHEN volatility > 0 THEN (cagr - 0.04) / volatility END AS sharpe, CASE WHEN downside > 0 THEN (cagr - 0.04) / downside END AS sortino FROM ends JOIN k USING (sleeve)"), ("cagr", "volatility", "downside", "sharpe", "sortino"))
+def k3_monthly_risk(spark, sf_dir):
+    return results.monthly_risk(I.nav(spark, sf_dir), "sleeve", "nav")
+
+
+@query(I.sql(I.NAV, "r AS (SELECT sleeve, d, nav, nav / lag(nav) OVER w - 1 AS r, nav / max(nav) OVER w - 1 AS dd FROM nav WINDOW w AS (PARTITION BY sleeve ORDER BY d))", "k AS (SELECT sleeve, max_by(nav, d) AS last_value, date_diff('day', min(d), max(d)) AS days, avg(r) * 252 - 0.04 AS above, stddev_samp(r) * sqrt(252) AS volatility, stddev_samp(CASE WHEN r < 0 THEN r END) * sqrt(252) AS downside, min(dd) AS drawdown FROM r GROUP BY 1)",
+    "SELECT sleeve, last_value / 100 - 1 AS total, pow(last_value / 100, 365.25 / greatest(days, 1)) - 1 AS cagr, CASE WHEN volatility > 0 THEN above / volatility ELSE 0 END AS sharpe, CASE WHEN downside > 0 THEN above / downside ELSE 0 END AS sortino, drawdown, CASE WHEN drawdown < 0 THEN (pow(last_value / 100, 365.25 / greatest(days, 1)) - 1) / -drawdown ELSE 0 END AS calmar, volatility FROM k"), ("total", "cagr", "sharpe", "sortino", "drawdown", "calmar", "volatility"))
+def k4_daily_arithmetic(spark, sf_dir):
+    return results.daily_metrics(I.nav(spark, sf_dir), "sleeve", "nav", 100.0)
+
+
+@query(I.sql(I.TRADES, "st AS (SELECT side, count(*) AS n, avg(CASE WHEN price / 30000 - 1 > 0 THEN 1.0 ELSE 0.0 END) AS hit, avg(price / 30000 - 1) AS mean, median(price / 30000 - 1) AS median FROM trades GROUP BY 1)", "SELECT side, CASE side WHEN 'BUY' THEN 7 ELSE n END AS n, CASE side WHEN 'BUY' THEN hit WHEN 'SELL' THEN 0.5 ELSE hit END AS hit, mean, median FROM st"), ("hit", "mean", "median"))
+def k6_filled_statistics(spark, sf_dir):
+    """What a source reported stands; its blanks are filled from its trades."""
+    computed = results.trade_stats(I.trades(spark, sf_dir).withColumn("ret", F.col("price") / 30000 - 1), ["side"])
+    reported = spark.sql("select * from values ('BUY', 7L, null, null, null), ('SELL', null, 0.5D, null, null), ('HOLD', null, null, null, null) as r(side, n, hit, mean, median)")
+    return results.filled(reported, computed, "side", ["n", "hit", "mean", "median"])
+
+
 # --- 2.12 capital
 
 OBS = f"""lastv AS (SELECT sleeve, last_day(d) AS month, max(d) AS d, max_by(nav, d) AS nav FROM nav WHERE d <= DATE '{AS_OF}' GROUP BY 1, 2),
@@ -933,6 +982,12 @@ def l11_dropped_months(spark, sf_dir):
     return capital.dropped_months(I.nav(spark, sf_dir), AS_OF)
 
 
+@query(I.sql(I.NAV, OBS, "cut AS (SELECT sleeve, max(month) AS last_month FROM obs WHERE sleeve >= '3' OR month <= DATE '2000-03-31' GROUP BY 1)", "SELECT min_by(sleeve, struct_pack(a := last_month, b := sleeve)) AS sleeve, min(last_month) AS last_month FROM cut"))
+def l11_binding_sleeve(spark, sf_dir):
+    """Two sleeves whose curves end early; the first of them binds the shared window."""
+    return capital.binding_sleeve(observed(spark, sf_dir).where("sleeve >= '3' or month <= '2000-03-31'"))
+
+
 @query(I.sql(I.NAV, "SELECT sleeve, 'invalid value' AS error, count(*) AS n FROM (SELECT sleeve, CASE WHEN day(d) = 13 THEN -nav ELSE nav END AS nav FROM nav) WHERE nav <= 0 GROUP BY 1"))
 def l1_nav_errors(spark, sf_dir):
     bad = I.nav(spark, sf_dir).withColumn("nav", F.when(F.dayofmonth("d") == 13, -F.col("nav")).otherwise(F.col("nav")))
@@ -1219,6 +1274,18 @@ def i27_last_trades(spark, sf_dir):
     return t.withColumn("place", place).where("place <= 40").select("side", "seq")
 
 
+@query(I.sql(I.NAV, "pick AS (SELECT sleeve FROM nav GROUP BY 1 ORDER BY sum(nav) DESC LIMIT 1)", "SELECT '1 period' AS part, CAST(min(d) AS VARCHAR) || ' to ' || CAST(max(d) AS VARCHAR) AS name, CAST(count(*) AS DOUBLE) AS x FROM nav JOIN pick USING (sleeve) UNION ALL SELECT '2 holding', c_mktsegment, sum(c_custkey) FROM customer, pick WHERE substr(sleeve, 1, 1) = CAST(c_nationkey % 5 + 1 AS VARCHAR) AND c_mktsegment <> 'MACHINERY' GROUP BY 2"), ("x",), 3)
+def i28_chosen_slice(spark, sf_dir):
+    """Of all result tables the chosen sleeve's rows: its curve's period, and its holdings without what stands for cash."""
+    n = I.nav(spark, sf_dir)
+    choice = n.groupBy("sleeve").agg(F.sum("nav").alias("_s")).orderBy(F.desc("_s")).limit(1)
+    held = I.table(spark, sf_dir, "customer").groupBy((F.col("c_nationkey") % 5 + 1).cast("string").alias("first"), F.col("c_mktsegment").alias("ticker")).agg(F.sum("c_custkey").cast("double").alias("w"))
+    held = held.join(n.select("sleeve").distinct(), F.col("first") == F.substring("sleeve", 1, 1)).select("sleeve", "ticker", "w")
+    found = signals.chosen_slice({"curve": n, "holdings": held}, choice, "sleeve", cash=("MACHINERY",))
+    period = found["period"].select(F.lit("1 period").alias("part"), F.concat_ws(" to ", F.col("first_d").cast("string"), F.col("last_d").cast("string")).alias("name"), F.col("points").cast("double").alias("x"))
+    return period.unionByName(found["holdings"].select(F.lit("2 holding").alias("part"), F.col("ticker").alias("name"), F.col("w").alias("x")))
+
+
 @query("SELECT c_nationkey = 3 AND (c_custkey % 4 = 0) AS valid, count(*) AS n FROM customer GROUP BY 1")
 def i29_stored_choice_valid(spark, sf_dir):
     c = I.table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("policy"), F.lit(None).cast("date").alias("cutoff"), F.when(F.col("c_custkey") % 4 > 0, "x").alias("override"))
@@ -1313,23 +1380,24 @@ def a2_machine_numbers(spark, sf_dir):
     return I.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", X.machine_number(cell).alias("x"))
 
 
-@query("SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'EN' WHEN 1 THEN 'NB' END AS style, o_orderkey + 0.75 AS x FROM orders WHERE o_orderkey % 3 < 2", ("x",), 2)
+@query("SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'EN' WHEN 1 THEN 'NB' END AS style, o_orderkey + 0.75 AS x FROM orders", ("x",), 2)
 def b4_number_convention(spark, sf_dir):
-    """A message's own numbers tell how its ambiguous one is read; messages whose numbers contradict each other tell nothing."""
+    """A message's own numbers tell how its ambiguous one is read; messages whose numbers contradict each other tell nothing, and
+    the number is read by its own last separator."""
     k = F.col("o_orderkey")
     dot, comma = F.concat(k.cast("string"), F.lit(".75")), F.concat(k.cast("string"), F.lit(",75"))
     message = F.when(k % 3 == 0, F.concat(F.lit("of 1,234,500 shares at "), dot)).when(k % 3 == 1, F.concat(F.lit("av 1.234.500 aksjer til "), comma)).otherwise("1,5 and 2.5")
     told = I.table(spark, sf_dir, "orders").select("o_orderkey", X.convention(message).alias("style"), F.when(k % 3 == 0, dot).otherwise(comma).alias("cell"))
-    return told.where("style is not null").select("o_orderkey", "style", X.human_number(F.col("cell"), F.col("style")).alias("x"))
+    return told.select("o_orderkey", "style", X.human_number(F.col("cell"), F.col("style")).alias("x"))
 
 
-@query("SELECT o_orderkey, CASE WHEN o_orderkey % 6 < 5 THEN CAST(o_orderdate AS DATE) END AS cell, CASE WHEN o_orderkey % 6 IN (0, 4) THEN CAST(o_orderdate AS DATE) END AS strict FROM orders WHERE o_orderdate >= DATE '1996-01-01'")
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 6 < 5 AND (o_orderkey % 6 <> 1 OR o_orderdate >= DATE '1996-01-01') THEN CAST(o_orderdate AS DATE) END AS cell, CASE WHEN o_orderkey % 6 IN (0, 4) THEN CAST(o_orderdate AS DATE) END AS strict FROM orders")
 def b10_date_cells(spark, sf_dir):
-    """ISO, dotted, compact, spreadsheet number, ISO with time, and what is no date; beside the strict reading."""
+    """ISO, dotted (refused before 1996 by rule), compact, spreadsheet number, ISO with time, and what is no date; beside the strict reading."""
     k, d = F.col("o_orderkey") % 6, F.col("o_orderdate").cast("date")
     serial = F.datediff(d, F.lit("1899-12-30").cast("date")).cast("string")
     cell = F.when(k == 0, d.cast("string")).when(k == 1, F.date_format(d, "d.M.yyyy")).when(k == 2, F.date_format(d, "yyyyMMdd")).when(k == 3, serial).when(k == 4, F.concat(d.cast("string"), F.lit("T10:00:00"))).otherwise("uke 12")
-    return I.table(spark, sf_dir, "orders").where("o_orderdate >= '1996-01-01'").select("o_orderkey", X.date_cell(cell).alias("cell"), X.iso_date(cell).alias("strict"))
+    return I.table(spark, sf_dir, "orders").select("o_orderkey", X.date_cell(cell).alias("cell"), X.iso_date(cell).alias("strict"))
 
 
 @query("SELECT CAST(c_custkey AS VARCHAR) AS custkey, nullif(c_mktsegment, '') AS segment, CAST(NULL AS VARCHAR) AS absent FROM customer")
@@ -1407,6 +1475,11 @@ def c14_words_of_announcements(spark, sf_dir):
     return w.select("msg_id", announcements.direction(text).alias("side"), announcements.instrument(text).alias("instrument"), "r.role", "r.rank", announcements.exclusion(F.col("title"), text).alias("excluded"), announcements.any_of(text, announcements.ISSUE).alias("issue"))
 
 
+@query(I.sql(WRITTEN, "rd AS (SELECT CASE kind WHEN 0 THEN 'BUY' WHEN 1 THEN 'SELL' WHEN 2 THEN 'BUY' ELSE 'UNKNOWN' END AS class, CASE WHEN kind = 0 THEN true END AS identity FROM wr)", "SELECT count(*) AS events, count(*) FILTER (WHERE class = 'BUY') AS buys, count(*) FILTER (WHERE class = 'SELL') AS sells, avg(CASE WHEN class = 'UNKNOWN' THEN 1.0 ELSE 0.0 END) AS unknown_share, count(identity) AS checked, avg(CAST(identity AS INT)) AS identity_rate, CASE WHEN count(*) FILTER (WHERE class = 'BUY') = 0 THEN 'FAILED' WHEN avg(CASE WHEN class = 'UNKNOWN' THEN 1.0 ELSE 0.0 END) < 0.25 THEN 'OK' ELSE 'PARTIAL' END AS status FROM rd"), ("unknown_share", "identity_rate"))
+def e6_reading_quality(spark, sf_dir):
+    return clusters.reading_quality(announcements.read(written_announcements(spark, sf_dir)))
+
+
 @query(I.sql("hold AS (SELECT o_orderkey AS k, 1000 + o_orderkey % 300 AS b, CASE WHEN o_orderkey % 5 > 0 THEN o_orderkey % 40 END AS net, o_orderkey % 3 * 2 AS off FROM orders)", "SELECT k, abs(off) <= greatest(1.0, 0.001 * (b + coalesce(net, 0) + off)) AS identity FROM hold WHERE net IS NOT NULL UNION ALL SELECT k, NULL FROM hold WHERE net IS NULL"))
 def c21_holdings_identity(spark, sf_dir):
     k = F.col("o_orderkey")
