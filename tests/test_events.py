@@ -111,13 +111,13 @@ def test_percentiles_have_no_look_ahead(spark):
     rng = random.Random(2)
     rows = [(s, day(rng.randint(0, 40)), f"t{i}", float(rng.randint(0, 20))) for s in "ab" for i in range(300)]
     schema = "source string, d date, ticker string, raw double"
-    got = {tuple(r)[:4]: r.pct for r in blend.expanding_percentiles(frame(spark, rows, schema), blocks=5).select("source", "d", "ticker", "raw", "pct").collect()}
+    got = {tuple(r)[:4]: r.pct for r in blend.expanding_percentiles(frame(spark, rows, schema), rows_a_part=5).select("source", "d", "ticker", "raw", "pct").collect()}
     for s, d, t, x in rows[::17]:
         base = [r[3] for r in rows if r[0] == s and r[1] < d]
         expect = 100 * sum((b < x) + (b == x) / 2 for b in base) / len(base) if base else 50
         assert got[s, d, t, x] == pytest.approx(expect)
     cut = day(20)
-    part = {tuple(r)[:4]: r.pct for r in blend.expanding_percentiles(frame(spark, [r for r in rows if r[1] <= cut], schema), blocks=7).select("source", "d", "ticker", "raw", "pct").collect()}
+    part = {tuple(r)[:4]: r.pct for r in blend.expanding_percentiles(frame(spark, [r for r in rows if r[1] <= cut], schema), rows_a_part=7).select("source", "d", "ticker", "raw", "pct").collect()}
     assert all(got[k] == pytest.approx(v) for k, v in part.items())
 
 

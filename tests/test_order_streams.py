@@ -265,3 +265,18 @@ def test_streams_read_files_and_folders_alike(spark, sf_dir, tmp_path, name):
     run = lambda where: sorted(map(tuple, queries.QUERIES[name](spark, where).collect()), key=repr)
     rows = run(sf_dir)
     assert rows and run(str(tmp_path)) == rows
+
+
+@pytest.mark.parametrize("rows_a_part", [10, 10**6])
+def test_expanding_percentiles_over_dyadic_blocks(spark, rows_a_part):
+    from tidemark.operators import blend
+
+    rng = random.Random(8)
+    rows = [(source, dt.date(2024, 1, 1) + dt.timedelta(rng.randrange(days)), f"t{i}", float(rng.randrange(9))) for source, days in (("a", 40), ("b", 1), ("c", 9)) for i in range(150)]
+    df = frame(spark, rows, "source string, d date, ticker string, raw double")
+    got = {(r.source, r.ticker): r.pct for r in blend.expanding_percentiles(df, rows_a_part).collect()}
+    assert len(got) == len(rows)
+    for source, d, ticker, raw in rows:
+        before = [x for s, dd, _, x in rows if s == source and dd < d]
+        want = 100 * (sum(x < raw for x in before) + sum(x == raw for x in before) / 2) / len(before) if before else 50.0
+        assert got[source, ticker] == pytest.approx(want)

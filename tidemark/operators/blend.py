@@ -20,32 +20,43 @@ def source_status(sources: DataFrame, scores: DataFrame) -> DataFrame:
     return out.withColumn("status", F.when(F.col("n") == 0, "ERROR").otherwise("OK"))
 
 
-def expanding_percentiles(scores: DataFrame, blocks: int = 64) -> DataFrame:
+def expanding_percentiles(scores: DataFrame, rows_a_part: int = 200_000) -> DataFrame:
     """Adds pct: 100 (less + equal / 2) / n against all strictly earlier dates of the source; 50 on its first date.
 
-    Dominance counting in two parts. A source's dates fall into blocks and its values into buckets by rank; counts of (block, bucket)
-    with running sums over both give all that lies in earlier blocks and lower buckets. What is left is compared directly:
-    earlier dates inside the own block, and values of the own bucket in earlier blocks, each an equi-join on a block or a bucket. A join of
-    every row with all earlier ones never happens, and no value of a source is compared with more than a block and a bucket.
+    Dominance counting over dyadic blocks of dates. All dates before the i-th are one block for each bit of i that is set, the left neighbour of the block of
+    that size that holds i. So at each level a row either asks or is counted, in a pair of neighbouring blocks, and the count of what is below it
+    is a running sum over the pair in order of value: n log(dates) rows in all, and no row meets another. Where a source has many rows its values are cut
+    into parts at approximate quantiles, a pair's parts are summed apart, and what lies in lower parts is added: any borders give the same counts.
     """
     cell = scores.groupBy("source", "d", "raw").agg(F.count(F.lit(1)).alias("c"))
-    days = cell.groupBy("source", "d").agg(F.sum("c").alias("day_n"))
-    day_w = W.partitionBy("source").orderBy("d")
-    days = days.withColumn("n", F.coalesce(F.sum("day_n").over(day_w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).withColumn("block", F.ntile(blocks).over(day_w))
-    values = cell.select("source", "raw").distinct().withColumn("bucket", F.ntile(blocks).over(W.partitionBy("source").orderBy("raw")))
-    placed = cell.join(days.select("source", "d", "n", "block"), ["source", "d"]).join(values, ["source", "raw"])
-    hist = placed.groupBy("source", "block", "bucket").agg(F.sum("c").alias("c"))
-    grid = days.select("source", "block").distinct().join(values.select("source", "bucket").distinct(), "source").join(hist, ["source", "block", "bucket"], "left").withColumn("c", F.coalesce("c", F.lit(0)))
-    grid = grid.withColumn("low", F.coalesce(F.sum("c").over(W.partitionBy("source", "block").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    grid = grid.select("source", "block", "bucket", F.coalesce(F.sum("low").over(W.partitionBy("source", "bucket").orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("low"))
-    other = placed.select(F.col("source").alias("_source"), F.col("d").alias("_d"), F.col("raw").alias("_raw"), F.col("c").alias("_c"), F.col("block").alias("_block"), F.col("bucket").alias("_bucket"))
-    half = F.sum(F.when(F.col("_raw") < F.col("raw"), F.col("_c")).when(F.col("_raw") == F.col("raw"), F.col("_c") / 2).otherwise(0))
-    in_block = placed.join(other, (F.col("source") == F.col("_source")) & (F.col("block") == F.col("_block")) & (F.col("_d") < F.col("d"))).groupBy("source", "d", "raw").agg(half.alias("a"))
-    in_bucket = placed.join(other, (F.col("source") == F.col("_source")) & (F.col("bucket") == F.col("_bucket")) & (F.col("_block") < F.col("block"))).groupBy("source", "d", "raw").agg(half.alias("b"))
+    days = cell.groupBy("source", "d").agg(F.sum("c").alias("_day_n"))
+    by_day = W.partitionBy("source").orderBy("d")
+    days = days.select(
+        "source", "d", (F.row_number().over(by_day) - 1).alias("_i"), F.coalesce(F.sum("_day_n").over(by_day.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("n"),
+        F.greatest(F.ceil(F.log2(F.count(F.lit(1)).over(W.partitionBy("source")))), F.lit(1)).cast("int").alias("_levels"),
+    )
+    placed = cell.join(days, ["source", "d"])
+    parts = min(1000, -(-scores.count() // rows_a_part))
+    if parts > 1:
+        borders = cell.groupBy("source").agg(F.percentile_approx("raw", [i / parts for i in range(1, parts)], 10_000).alias("_borders"))
+        placed = placed.join(F.broadcast(borders), "source").withColumn("_part", F.size(F.filter("_borders", lambda b: b < F.col("raw")))).drop("_borders")
+    else:
+        placed = placed.withColumn("_part", F.lit(0))
+    at = placed.select("source", "d", "raw", "_part", "c", "_i", F.explode(F.sequence(F.lit(0), F.col("_levels") - 1)).alias("_level"))
+    at = at.withColumn("_pair", F.expr("shiftright(_i, _level + 1)")).withColumn("_asks", F.expr("(shiftright(_i, _level) & 1) = 1"))
+    counted = F.when(F.col("_asks"), 0).otherwise(F.col("c"))
+    inside = W.partitionBy("source", "_level", "_pair", "_part")
+    upto, equal = F.sum(counted).over(inside.orderBy("raw")), F.sum(counted).over(W.partitionBy("source", "_level", "_pair", "_part", "raw"))
+    asked = at.withColumn("_below", upto - equal / 2).where("_asks")
+    if parts > 1:
+        sums = at.where("not _asks").groupBy("source", "_level", "_pair", "_part").agg(F.sum("c").alias("_n"))
+        order = W.partitionBy("source", "_level", "_pair").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+        every = at.select("source", "_level", "_pair", "_part").distinct().join(sums, ["source", "_level", "_pair", "_part"], "left")
+        lower = every.select("source", "_level", "_pair", "_part", F.coalesce(F.sum("_n").over(order), F.lit(0)).alias("_lower"))
+        asked = asked.join(lower, ["source", "_level", "_pair", "_part"]).withColumn("_below", F.col("_below") + F.col("_lower"))
+    below = asked.groupBy("source", "d", "raw").agg(F.sum("_below").alias("_below"))
     keys = ["source", "d", "raw"]
-    zero = lambda c: F.coalesce(c, F.lit(0.0))
-    less = placed.join(grid, ["source", "block", "bucket"]).join(in_block, keys, "left").join(in_bucket, keys, "left")
-    pct = less.select(*keys, F.when(F.col("n") == 0, 50.0).otherwise(100 * (F.col("low") + zero("a") + zero("b")) / F.col("n")).alias("pct"))
+    pct = placed.select(*keys, "n").join(below, keys, "left").select(*keys, F.when(F.col("n") == 0, 50.0).otherwise(100 * F.coalesce("_below", F.lit(0.0)) / F.col("n")).alias("pct"))
     return scores.join(pct, keys)
 
 
