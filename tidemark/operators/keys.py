@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections import deque
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -19,28 +23,35 @@ def language_duplicates(rows: DataFrame, minutes: int = 3, keep: str = "EN") ->
     apart. Greedy in order of time and id: each pairs with the first unpaired earlier one; of a pair the one not in `keep` goes
     (the later where neither is).
 
-    No pair spans a gap of more than `minutes`, so a day falls into sessions at such gaps: these are found on its distinct minutes, 1,440 at most, and each session is
-    a group of its own. A session is folded in order; only unpaired rows of the last minutes are in the fold's state.
+    No pair spans a gap of more than `minutes`, so a day falls into sessions at such gaps: these are found on its distinct minutes, 1,440 at most, and dealt out one by one.
+    A session streams through in order and only unpaired rows of the last minutes are held: a session without gaps may be long, and is never gathered.
     """
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        session, open_, n = None, {}, 0
+        for batch in batches:
+            gone = []
+            for *key, minute, msg_id, lang in zip(*(batch.column(c).to_pylist() for c in ("company", "d", "_session", "minute", "msg_id", "lang")), strict=True):
+                if session != key:
+                    session, open_, n = key, {}, 0
+                n += 1
+                for waiting in open_.values():
+                    while waiting and minute - waiting[0][1] > minutes:
+                        waiting.popleft()
+                first = min(((waiting[0][0], other) for other, waiting in open_.items() if waiting and other != lang), default=None)
+                if first is None:
+                    open_.setdefault(lang, deque()).append((n, minute, msg_id))
+                else:
+                    partner = open_[first[1]].popleft()
+                    gone.append(partner[2] if lang == keep else msg_id)
+            yield pa.record_batch([pa.array(gone, pa.string())], ["msg_id"])
+
     known = rows.where("lang is not null and minute is not null").select("company", "d", "minute", F.col("msg_id").cast("string").alias("msg_id"), "lang")
     day = W.partitionBy("company", "d").orderBy("minute")
     times = known.select("company", "d", "minute").distinct().withColumn("_new", (F.col("minute") - F.lag("minute").over(day) > minutes).cast("int"))
     sessions = times.select("company", "d", "minute", F.coalesce(F.sum("_new").over(day), F.lit(0)).alias("_session"))
     placed = with_facts(known, sessions, ["company", "d", "minute"])
-    told = F.array_sort(F.collect_list(F.struct("minute", "msg_id", "lang")))
-    grouped = placed.groupBy("company", "d", "_session").agg(told.alias("told"), F.count_distinct("lang").alias("_langs")).where("_langs > 1")
-    row = "struct<minute:int,msg_id:string,lang:string>"
-    start = F.expr(f"struct(cast(array() as array<{row}>) as open, cast(array() as array<string>) as gone)")
-
-    def step(acc: Column, x: Column) -> Column:
-        near = F.filter(acc["open"], lambda o: x["minute"] - o["minute"] <= minutes)
-        partner = F.try_element_at(F.filter(near, lambda o: o["lang"] != x["lang"]), F.lit(1))
-        rest = F.filter(near, lambda o: o["msg_id"] != partner["msg_id"])
-        goes = F.when(x["lang"] == keep, partner["msg_id"]).otherwise(x["msg_id"])
-        return F.when(partner.isNull(), F.struct(F.concat(near, F.array(x)).alias("open"), acc["gone"].alias("gone"))).otherwise(F.struct(rest.alias("open"), F.concat(acc["gone"], F.array(goes)).alias("gone")))
-
-    typed = F.transform("told", lambda x: F.struct(x["minute"].cast("int").alias("minute"), x["msg_id"], x["lang"]))
-    return grouped.select(F.explode(F.aggregate(typed, start, step)["gone"]).alias("msg_id"))
+    return placed.repartition("company", "d", "_session").sortWithinPartitions("company", "d", "_session", "minute", "msg_id", "lang").mapInArrow(fold, "msg_id string")
 
 
 def index_merge(old: DataFrame, new: DataFrame, key: str, values: list[str]) -> DataFrame:
