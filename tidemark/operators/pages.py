@@ -95,20 +95,38 @@ def residual(found: DataFrame, shared: DataFrame, least: int = 0, most: int | No
     return best.select("page_id", (text if most is None else F.substring(text, 1, most)).alias("text")).where("text is not null")
 
 
-def text_index(pages: DataFrame) -> DataFrame:
-    """page_id, text, how: best block, else residual, else none, for every page."""
+def attachment_text(attachments: DataFrame) -> DataFrame:
+    """page_id, text: a page's attachments with a text, in order of attachment_no (null first, then by text), one line each."""
+    part = F.struct("attachment_no", one_line(F.col("text")).alias("t"))
+    found = attachments.select("page_id", part.alias("_part")).where("_part.t <> ''")
+    return found.groupBy("page_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("_part")), lambda x: x["t"]), "\n").alias("text"))
+
+
+def text_index(pages: DataFrame, attachments: DataFrame | None = None, least: int = 0) -> DataFrame:
+    """page_id, text, how: best block, else residual text of `least` characters, else that of the page's attachments, else none; for every page.
+
+    attachments: page_id, attachment_no, text, as read from what a page links to.
+    """
     found = blocks(pages)
     shared = boilerplate(found)
-    block = best_block(found, shared).select("page_id", F.col("text").alias("_block"))
-    rest = residual(found, shared).select("page_id", F.col("text").alias("_rest"))
-    joined = pages.select("page_id").join(block, "page_id", "left").join(rest, "page_id", "left")
-    return joined.select("page_id", F.coalesce("_block", "_rest", F.lit("")).alias("text"), F.when(F.col("_block").isNotNull(), "block").when(F.col("_rest").isNotNull(), "residual").otherwise("none").alias("how"))
+    legs = [("block", best_block(found, shared)), ("residual", residual(found, shared, least))]
+    if attachments is not None:
+        legs.append(("attachment", attachment_text(attachments)))
+    out = pages.select("page_id")
+    for how, texts in legs:
+        out = out.join(texts.select("page_id", F.col("text").alias(f"_{how}")), "page_id", "left")
+    how = F.coalesce(*(F.when(F.col(f"_{x}").isNotNull(), x) for x, _ in legs), F.lit("none"))
+    return out.select("page_id", F.coalesce(*(f"_{x}" for x, _ in legs), F.lit("")).alias("text"), how.alias("how"))
 
 
 def index_status(index: DataFrame) -> DataFrame:
-    """Share of texts that are unique: below 25 % the extraction failed, below 50 % it is partial."""
-    share = F.count_distinct(F.when(F.col("text") != "", fingerprint(F.col("text")))) / F.nullif(F.count(F.when(F.col("text") != "", 1)), F.lit(0))
-    return index.agg(F.count(F.lit(1)).alias("pages"), share.alias("unique_share")).withColumn("status", F.when(F.col("unique_share").isNull() | (F.col("unique_share") < 0.25), "FAIL").when(F.col("unique_share") < 0.5, "PARTIAL").otherwise("OK"))
+    """pages, how many of them by each leg, unique_share, status: share of texts that are unique; below 25 % the extraction failed, below
+    50 % it is partial. An index without a text has failed."""
+    has = F.when(F.col("text") != "", fingerprint(F.col("text")))
+    share = F.count_distinct(has) / F.nullif(F.count(has), F.lit(0))
+    legs = [F.count(F.when(F.col("how") == x, 1)).alias(f"n_{x}") for x in ("block", "residual", "attachment", "none")]
+    out = index.agg(F.count(F.lit(1)).alias("pages"), *legs, share.alias("unique_share"))
+    return out.withColumn("status", F.when(F.col("unique_share").isNull() | (F.col("unique_share") < 0.25), "FAIL").when(F.col("unique_share") < 0.5, "PARTIAL").otherwise("OK"))
 
 
 def why_no_text(found: DataFrame, pages_n: int = 3, blocks_n: int = 3) -> DataFrame:

@@ -16,6 +16,7 @@ from ..operators import announcements, blend, calendar, capital, clusters, keys,
 from ..sources import tables
 from ..streaming import incremental
 from . import inputs as I
+from . import page_sql as P
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -1053,19 +1054,40 @@ def m8_acquisition_ledger(spark, sf_dir):
 # --- 2.3 pages
 
 
-@query()
+@query(I.sql(P.BLOCKS, "SELECT page_id, block_no, text, soft, chars, link_chars FROM blk"))
 def c1_page_blocks(spark, sf_dir):
     return pages.blocks(I.table(spark, sf_dir, "pages"))
 
 
-@query()
+@query(I.sql(P.BLOCKS, P.shared(0.02), "SELECT fp, pages, sample FROM shr"))
 def c3_boilerplate(spark, sf_dir):
     return pages.boilerplate(pages.blocks(I.table(spark, sf_dir, "pages")), share=0.02)
 
 
-@query()
+@query(I.sql(P.BLOCKS, P.MEASURED, P.shared(), P.BEST, "SELECT page_id, text, pass_no FROM best"))
+def c5_best_block(spark, sf_dir):
+    found = pages.blocks(I.table(spark, sf_dir, "pages"))
+    return pages.best_block(found, pages.boilerplate(found))
+
+
+PAGE_INDEX = (P.BLOCKS, P.MEASURED, P.shared(), P.BEST, P.residual(100), P.INDEX)
+
+
+def page_index(spark, sf_dir):
+    """Of a page without a text of its own, the document of its number is what it links to."""
+    linked = I.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_id"), F.lit(0).alias("attachment_no"), "text")
+    return pages.text_index(I.table(spark, sf_dir, "pages"), linked, least=100)
+
+
+@query(I.sql(*PAGE_INDEX, "SELECT page_id, text, how FROM idx"))
 def c7_text_index(spark, sf_dir):
-    return pages.text_index(I.table(spark, sf_dir, "pages"))
+    return page_index(spark, sf_dir)
+
+
+@query(I.sql(*PAGE_INDEX, "us AS (SELECT count(*) AS pages, count(*) FILTER (WHERE how = 'block') AS n_block, count(*) FILTER (WHERE how = 'residual') AS n_residual, count(*) FILTER (WHERE how = 'attachment') AS n_attachment, count(*) FILTER (WHERE how = 'none') AS n_none, count(DISTINCT text) FILTER (WHERE text <> '') / nullif(count(*) FILTER (WHERE text <> ''), 0) AS unique_share FROM idx)",
+    "SELECT *, CASE WHEN unique_share >= 0.5 THEN 'OK' WHEN unique_share >= 0.25 THEN 'PARTIAL' ELSE 'FAIL' END AS status FROM us"), ("unique_share",))
+def c7_index_status(spark, sf_dir):
+    return pages.index_status(page_index(spark, sf_dir))
 
 
 LINES = "ln AS (SELECT l_orderkey AS msg_id, CASE WHEN l_returnflag = 'A' THEN -l_quantity ELSE l_quantity END AS signed, l_quantity AS volume, l_extendedprice / l_quantity AS price, l_returnflag = 'A' AS sell FROM lineitem)"
@@ -1179,12 +1201,12 @@ def b18_flags_and_finite_numbers(spark, sf_dir):
     return I.table(spark, sf_dir, "customer").select("c_custkey", X.is_yes(F.when(k == 0, " JA ").when(k == 1, "true").otherwise("nei")).alias("yes"), X.finite(raw).alias("x"))
 
 
-@query()
+@query(I.sql(P.BLOCKS, P.MEASURED, "SELECT page_id, block_no, chars, link_density, short_share, message_hits, menu_hits FROM msd"), ("link_density", "short_share"))
 def c2_block_measures(spark, sf_dir):
     return pages.measured(pages.blocks(I.table(spark, sf_dir, "pages"))).select("page_id", "block_no", "chars", "link_density", "short_share", "message_hits", "menu_hits")
 
 
-@query()
+@query(I.sql(P.BLOCKS, P.shared(0.02), P.residual(), "SELECT page_id, text FROM res"))
 def c6_residual_text(spark, sf_dir):
     found = pages.blocks(I.table(spark, sf_dir, "pages"))
     return pages.residual(found, pages.boilerplate(found, share=0.02))
@@ -1351,7 +1373,7 @@ def m9_unreadable_exports(spark, sf_dir):
     return quality.with_unreadable(n, s).select("strategy", F.array_join("errors", ",").alias("errors"))
 
 
-@query()
+@query(I.sql(P.BLOCKS, P.MEASURED, "SELECT page_id, block_no, chars, link_density, CAST(row_number() OVER (PARTITION BY page_id ORDER BY chars DESC, block_no) AS INT) AS place FROM msd WHERE page_id IN (SELECT DISTINCT page_id FROM blk ORDER BY page_id LIMIT 3) QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY chars DESC, block_no) <= 3"), ("link_density",))
 def m10_why_no_text(spark, sf_dir):
     return pages.why_no_text(pages.blocks(I.table(spark, sf_dir, "pages"))).select("page_id", "block_no", "chars", "link_density", "place")
 
