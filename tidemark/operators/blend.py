@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .calendar import effective
+from .prices import trend
+
 
 def with_drop_reason(rows: DataFrame) -> DataFrame:
     """Adds drop_reason (date, ticker, score; null for usable rows) to raw score rows of all sources."""
@@ -94,6 +97,17 @@ def sentiment_events(changes: DataFrame, threshold: float = 25.0) -> DataFrame:
     return changes.withColumn("pct_change", pct).where((F.col("ordinal") > 1) & (F.col("pct_change") >= threshold))
 
 
+def sentiment_entries(events: DataFrame, prices_: DataFrame, calendar: DataFrame, least_prior: int = 120, with_trend: bool = False) -> DataFrame:
+    """company, d, url, pct_change, entry_d, px: entries at the close of the first trading day strictly after an article. The company needs a price
+    on that day and `least_prior` before it; with_trend also the price before it over its mean of 50."""
+    placed = effective(events.withColumn("minute", F.lit(None).cast("int")), calendar).where("trade_d is not null")
+    state = prices_.join(trend(prices_), ["ticker", "d"]).where(F.col("prior") >= least_prior)
+    if with_trend:
+        state = state.where("above")
+    state = state.select(F.col("ticker").alias("company"), F.col("d").alias("trade_d"), F.col("close").alias("px"))
+    return placed.join(state, ["company", "trade_d"]).select("company", "d", "url", "pct_change", F.col("trade_d").alias("entry_d"), "px")
+
+
 #: Factor weights of the rank blend.
 FACTORS = {"f1": 0.25, "f2": 0.25, "f3": 0.20, "f4": 0.10, "f5": 0.12, "f6": 0.08}
 

@@ -77,3 +77,34 @@ def first_nonempty(*tables: DataFrame) -> DataFrame:
         every = part if every is None else every.unionByName(part)
     best = every.agg(F.min("_priority").alias("_priority"))
     return every.join(F.broadcast(best), "_priority").select("ticker")
+
+
+def enriched(rows: DataFrame, facts: DataFrame, key: str, columns: list[str], order: list | None = None) -> DataFrame:
+    """rows with `columns` of the fact of their key, null where there is none; of several facts of a key the first by `order` (the columns
+    themselves by default). No row is lost or doubled; a null key has no fact."""
+    one = first_by(facts.where(F.col(key).isNotNull()), [key], order or columns).select(key, *columns)
+    return rows.join(one, key, "left")
+
+
+def bag_union(sources: dict[str, DataFrame], columns: list[str]) -> DataFrame:
+    """source and `columns` of all rows of all sources, repeated rows too; a column that a source does not have is null."""
+    parts = [rows.select(F.lit(name).alias("source"), *[c for c in columns if c in rows.columns]) for name, rows in sources.items()]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part, allowMissingColumns=True)
+    return out.select("source", *[F.col(c) if c in out.columns else F.lit(None).alias(c) for c in columns])
+
+
+def common(tables: list[DataFrame], column: str) -> DataFrame:
+    """The distinct values of a column that all tables have; null is no value. Each table is reduced to its values before they meet."""
+    values = [t.select(column).where(F.col(column).isNotNull()).distinct().select(column, F.lit(i).alias("_i")) for i, t in enumerate(tables)]
+    every = values[0]
+    for part in values[1:]:
+        every = every.unionByName(part)
+    return every.groupBy(column).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") == len(tables)).select(column)
+
+
+def missing(wanted: DataFrame, stored: DataFrame, key: str) -> DataFrame:
+    """The distinct wanted keys that are not stored; a null is neither wanted nor stored."""
+    asked = wanted.select(key).where(F.col(key).isNotNull()).distinct()
+    return asked.join(stored.select(key).where(F.col(key).isNotNull()).distinct(), key, "left_anti")

@@ -63,3 +63,9 @@ def liquidity(placed: DataFrame, turnover: DataFrame, half: float = 0.1) -> Data
     size = F.try_divide(F.col("amount"), F.col("turnover"))
     strength = F.try_divide(size, size + half)
     return placed.join(prior, (F.col("ticker") == F.col("_t")) & placed["trade_d"].eqNullSafe(prior["trade_d"]), "left").drop("_t").drop(prior["trade_d"]).withColumn("size", size).withColumn("adjusted", F.col("score") * (0.75 + 0.5 * strength))
+
+
+def latest_by_ticker(placed: DataFrame, at: str = "trade_d") -> DataFrame:
+    """ticker, msg_id, `at` of each ticker's latest announcement that has a day; of one day the greatest msg_id. Kept per partition before the shuffle."""
+    last = F.max(F.struct(at, "msg_id")).alias("_last")
+    return placed.where(F.col(at).isNotNull() & F.col("ticker").isNotNull()).groupBy("ticker").agg(last).select("ticker", F.col("_last.msg_id").alias("msg_id"), F.col(f"_last.{at}").alias(at))

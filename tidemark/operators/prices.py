@@ -126,6 +126,13 @@ def prior_turnover(prices: DataFrame, rows: int = 20) -> DataFrame:
     return prices.select("ticker", "d", (trailing_mean(F.col("volume"), rows, True) * trailing_mean(F.col("close"), rows, True)).alias("turnover"))
 
 
+def trend(prices: DataFrame, rows: int = 50) -> DataFrame:
+    """ticker, d, prior: prices before the day, above: whether the last of these is over the mean of the last `rows` of them (null without any)."""
+    before = by_day().rowsBetween(-rows, -1)
+    above = F.round(F.lag("close").over(by_day()) - F.avg("close").over(before), 9) > 0
+    return prices.where(F.col("close") > 0).select("ticker", "d", (F.row_number().over(by_day()) - 1).alias("prior"), above.alias("above"))
+
+
 def last_close(prices: DataFrame) -> DataFrame:
     return prices.groupBy("ticker").agg(F.max("d").alias("d"), F.max_by("close", "d").alias("close"))
 

@@ -119,3 +119,10 @@ def export_errors(exports: DataFrame, least_version: int = 2) -> DataFrame:
     old = F.when(F.coalesce("version", F.lit(0)) < least_version, F.lit("old accounting version"))
     bad = F.when(~F.coalesce(F.col("valid"), F.lit(False)), F.lit("not declared valid"))
     return exports.select("strategy", F.array_compact(F.array(old, bad)).alias("errors"))
+
+
+def last_trades(trades: DataFrame, key: str = "variant", most: int = 40, then: tuple[str, ...] = ("seq", "ticker")) -> DataFrame:
+    """Each key's last `most` trades with their place, latest first; of one day by `then`: the first column descending, the rest ascending. Ties beyond
+    these columns are broken by none, so name enough. Every task keeps its own `most` before rows are shuffled."""
+    order = [F.desc("d"), F.desc(then[0]), *then[1:]]
+    return trades.withColumn("place", F.row_number().over(W.partitionBy(key).orderBy(*order))).where(F.col("place") <= most)

@@ -120,6 +120,15 @@ def cost_basis(lots: DataFrame, blocks: int | None = None) -> DataFrame:
     return put.select("key", shares.alias("shares"), value.alias("_v")).select("key", "shares", F.when(~none(F.col("shares")), F.col("_v") / F.col("shares")).alias("cost"))
 
 
+def variant_comparison(weighted: DataFrame, aligned: DataFrame, calendar: DataFrame, rates: DataFrame) -> DataFrame:
+    """key (variant/scenario) and the metrics of each variant's curve under each scenario's costs. rates(scenario, rate): cost of a whole turn, by side;
+    a few rows, which go to all tasks. Days of a curve are cut from the same returns and turnovers for all scenarios."""
+    moved = turnover(weighted, aligned, 1.0).select("variant", "pos", "turnover")
+    daily = daily_returns(weighted, aligned, calendar).join(moved, ["variant", "pos"], "left").crossJoin(F.broadcast(rates))
+    net = daily.withColumn("net", F.col("g") * (1 - F.col("rate") * F.coalesce("turnover", F.lit(0.0)))).withColumn("key", F.concat_ws("/", "variant", "scenario"))
+    return curve_metrics(net.withColumn("value", chained("net", W.partitionBy("key").orderBy("pos"))), "key")
+
+
 def end_holdings(weighted: DataFrame, calendar: DataFrame) -> DataFrame:
     """Weights on the last calendar day, with the cash that is left as a row of its own."""
     last = weighted.join(F.broadcast(calendar.agg(F.max("pos").alias("pos"))), "pos").select("variant", "ticker", "w")

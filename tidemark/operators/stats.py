@@ -209,3 +209,26 @@ def bootstrap_interval(rows: DataFrame, x: str, cluster: str, rounds: int = 2000
 def verdict(row: DataFrame, least: int = 30) -> DataFrame:
     """Adds gate: TOO_FEW, OPEN (significantly positive out of sample) or CLOSED."""
     return row.withColumn("gate", F.when(F.col("n") < least, "TOO_FEW").when(F.col("significant") & (F.col("mean") > 0), "OPEN").otherwise("CLOSED"))
+
+
+def event_curve(rows: DataFrame, keys: list[str] | None = None, x: str = "excess", least: int = 10) -> DataFrame:
+    """keys, h, n (all events that reach the horizon), mean of x (of those that have one); horizons with fewer than `least` events are left out."""
+    return rows.groupBy(*(keys or []), "h").agg(F.count(F.lit(1)).alias("n"), F.avg(x).alias("mean")).where(F.col("n") >= least)
+
+
+def buy_sell_control(rows: DataFrame, x: str = "excess", margin: float = 0.005, least: int = 10) -> DataFrame:
+    """h, n_buys, n_sells, buys, sells (means of x), difference, verdict. Buys should do better than sells; where they do not, something earlier is
+    wrong. NO_CONTROL with fewer than `least` of either, APART where buys lead by more than `margin`, ALIKE within it, else REVERSED."""
+    of = lambda side: F.when(F.col("class") == side, F.col(x))
+    both = rows.groupBy("h").agg(F.count(of("BUY")).alias("n_buys"), F.count(of("SELL")).alias("n_sells"), F.avg(of("BUY")).alias("buys"), F.avg(of("SELL")).alias("sells"))
+    gap = F.col("buys") - F.col("sells")
+    verdict = F.when((F.col("n_buys") < least) | (F.col("n_sells") < least), "NO_CONTROL").when(gap > margin, "APART").when(F.abs(gap) <= margin, "ALIKE").otherwise("REVERSED")
+    return both.select("h", "n_buys", "n_sells", "buys", "sells", gap.alias("difference"), verdict.alias("verdict"))
+
+
+def threshold_grid(rows: DataFrame, score: str, thresholds: list[float], above: str, x: str = "excess", least: int = 10) -> DataFrame:
+    """threshold, trend, h and the columns of `study` for every choice of a least score, with (trend = 'above') and without ('any') the filter that
+    column `above` is true. A row is dealt out only to the choices that take it; null scores are in none."""
+    choices = [F.struct(F.lit(float(t)).alias("threshold"), F.lit(k).alias("trend"), ((F.col(score) >= t) & ok).alias("in")) for t in thresholds for k, ok in (("any", F.lit(True)), ("above", F.coalesce(F.col(above), F.lit(False))))]
+    dealt = rows.withColumn("_c", F.explode(F.filter(F.array(*choices), lambda c: c["in"]))).select("*", "_c.threshold", "_c.trend").drop("_c")
+    return study(dealt, ["threshold", "trend", "h"], x, least=least)

@@ -270,8 +270,8 @@ def d5_index_merge(spark, sf_dir):
 
 @query("SELECT DISTINCT c_nationkey AS ticker FROM customer WHERE c_acctbal > 0 EXCEPT SELECT s_nationkey FROM supplier WHERE s_acctbal > 8000")
 def o3_wanted_less_stored(spark, sf_dir):
-    a = I.table(spark, sf_dir, "customer").where("c_acctbal > 0").select(F.col("c_nationkey").alias("ticker")).distinct()
-    return a.join(I.table(spark, sf_dir, "supplier").where("s_acctbal > 8000").select(F.col("s_nationkey").alias("ticker")), "ticker", "left_anti")
+    wanted = I.table(spark, sf_dir, "customer").where("c_acctbal > 0").select(F.col("c_nationkey").alias("ticker"))
+    return keys.missing(wanted, I.table(spark, sf_dir, "supplier").where("s_acctbal > 8000").select(F.col("s_nationkey").alias("ticker")), "ticker")
 
 
 @query("SELECT DISTINCT s_nationkey AS ticker FROM supplier")
@@ -282,8 +282,8 @@ def o4_first_nonempty_table(spark, sf_dir):
 
 @query("SELECT last_day(CAST(o_orderdate AS DATE)) AS month FROM orders INTERSECT SELECT last_day(CAST(l_shipdate AS DATE)) FROM lineitem")
 def o2_common_months(spark, sf_dir):
-    a = I.table(spark, sf_dir, "orders").select(F.last_day("o_orderdate").alias("month"))
-    return a.intersect(I.table(spark, sf_dir, "lineitem").select(F.last_day("l_shipdate").alias("month")))
+    dates = [I.table(spark, sf_dir, name).select(F.last_day(d).alias("month")) for name, d in (("orders", "o_orderdate"), ("lineitem", "l_shipdate"))]
+    return keys.common(dates, "month")
 
 
 # --- 2.6 calendar and prices
@@ -443,7 +443,7 @@ def g5_merge_report(spark, sf_dir):
 
 @query(I.sql(*MERGE, "SELECT ticker, max_by(msg_id, struct_pack(a := trade_d, b := msg_id)) AS msg_id FROM merged WHERE trade_d IS NOT NULL GROUP BY 1"))
 def g6_latest_announcement(spark, sf_dir):
-    return placed(spark, sf_dir)[0].where("trade_d is not null").groupBy("ticker").agg(F.max_by("msg_id", F.struct("trade_d", "msg_id")).alias("msg_id"))
+    return merge.latest_by_ticker(placed(spark, sf_dir)[0]).select("ticker", "msg_id")
 
 
 # --- 2.8 statistics
@@ -1221,7 +1221,7 @@ def d6_purge_old_format(spark, sf_dir):
 @query("SELECT o_orderkey, c_name, c_mktsegment FROM orders LEFT JOIN customer ON o_custkey = c_custkey")
 def d7_enrich_events(spark, sf_dir):
     c = I.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_name", "c_mktsegment")
-    return I.table(spark, sf_dir, "orders").join(c, "o_custkey", "left").select("o_orderkey", "c_name", "c_mktsegment")
+    return keys.enriched(I.table(spark, sf_dir, "orders"), c, "o_custkey", ["c_name", "c_mktsegment"]).select("o_orderkey", "c_name", "c_mktsegment")
 
 
 @query(I.sql(I.PRICES, "s AS (SELECT ticker, CAST(ticker AS INT) % 7 AS pr, d, close FROM prices)", "b AS (SELECT ticker FROM (SELECT ticker, pr, count(DISTINCT d) AS n FROM s GROUP BY 1, 2) WHERE n > 100 AND pr = (SELECT min(pr) FROM (SELECT pr, ticker, count(DISTINCT d) AS n FROM s GROUP BY 1, 2) WHERE n > 100) ORDER BY CAST(ticker AS INT) LIMIT 1)", "SELECT d, close AS level FROM s WHERE ticker = (SELECT ticker FROM b)"), ("level",), 9)
@@ -1238,13 +1238,13 @@ def g4_liquidity(spark, sf_dir):
 
 @query(I.sql(*MERGE, I.INDEX, I.RETURNS, "SELECT h, count(*) AS n, avg(excess) AS mean FROM rets GROUP BY 1 HAVING count(*) >= 10"), ("mean",))
 def h8_event_curve(spark, sf_dir):
-    return event_returns(spark, sf_dir).groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.avg("excess").alias("mean")).where("n >= 10")
+    return stats.event_curve(event_returns(spark, sf_dir))
 
 
-@query(I.sql(*MERGE, I.INDEX, I.RETURNS, "SELECT h, avg(excess) FILTER (WHERE class = 'BUY') AS buys, avg(excess) FILTER (WHERE class = 'SELL') AS sells FROM rets GROUP BY 1"), ("buys", "sells"))
+@query(I.sql(*MERGE, I.INDEX, I.RETURNS, "ct AS (SELECT h, count(excess) FILTER (WHERE class = 'BUY') AS n_buys, count(excess) FILTER (WHERE class = 'SELL') AS n_sells, avg(excess) FILTER (WHERE class = 'BUY') AS buys, avg(excess) FILTER (WHERE class = 'SELL') AS sells FROM rets GROUP BY 1)",
+    "SELECT *, buys - sells AS difference, CASE WHEN least(n_buys, n_sells) < 10 THEN 'NO_CONTROL' WHEN buys - sells > 5e-3 THEN 'APART' WHEN abs(buys - sells) <= 5e-3 THEN 'ALIKE' ELSE 'REVERSED' END AS verdict FROM ct"), ("buys", "sells", "difference"))
 def h12_buys_against_sells(spark, sf_dir):
-    of = lambda c: F.avg(F.when(F.col("class") == c, F.col("excess")))
-    return event_returns(spark, sf_dir).groupBy("h").agg(of("BUY").alias("buys"), of("SELL").alias("sells"))
+    return stats.buy_sell_control(event_returns(spark, sf_dir))
 
 
 @query(_ev(*SIGNAL_SQL, WEIGHTS, "lp AS (SELECT max(pos) AS p FROM cal), l AS (SELECT variant, ticker, w FROM wts, lp WHERE pos = p)", "SELECT * FROM l UNION ALL SELECT v0.variant, 'CASH', 1 - coalesce((SELECT sum(w) FROM l WHERE l.variant = v0.variant), 0) FROM (SELECT DISTINCT variant FROM wts) v0"), ("w",))
@@ -1265,12 +1265,8 @@ def i18_entries(spark, sf_dir):
     ("cagr", "volatility", "sharpe", "sortino", "drawdown", "up"))
 def i19_variant_comparison(spark, sf_dir):
     a, al, cal = active(spark, sf_dir)
-    w = signals.weights(a)
-    moved = signals.turnover(w, al, 1.0).select("variant", "pos", "turnover")
     rates = spark.sql("select * from values ('none', 0.0D), ('moderate', 0.0015D), ('stress', 0.008D) as r(scenario, rate)")
-    g = signals.daily_returns(w, al, cal).join(moved, ["variant", "pos"], "left").crossJoin(F.broadcast(rates))
-    g = g.withColumn("net", F.col("g") * (1 - F.col("rate") * F.coalesce("turnover", F.lit(0.0)))).withColumn("key", F.concat_ws("/", "variant", "scenario"))
-    return signals.curve_metrics(g.withColumn("value", signals.chained("net", W.partitionBy("key").orderBy("pos"))), "key")
+    return signals.variant_comparison(signals.weights(a), al, cal, rates)
 
 
 @query(_ev(*SIGNAL_SQL, "SELECT variant, ticker, strength FROM act WHERE d = (SELECT max(d) FROM act a2 WHERE a2.variant = act.variant)"), ("strength",))
@@ -1291,9 +1287,7 @@ def i26_candidates_with_source(spark, sf_dir):
 
 @query(I.sql(I.TRADES, "SELECT side, seq FROM trades QUALIFY row_number() OVER (PARTITION BY side ORDER BY d DESC, seq DESC, ticker) <= 40"))
 def i27_last_trades(spark, sf_dir):
-    t = I.trades(spark, sf_dir)
-    place = F.row_number().over(W.partitionBy("side").orderBy(F.desc("d"), F.desc("seq"), "ticker"))
-    return t.withColumn("place", place).where("place <= 40").select("side", "seq")
+    return results.last_trades(I.trades(spark, sf_dir), "side").select("side", "seq")
 
 
 @query(I.sql(I.NAV, "pick AS (SELECT sleeve FROM nav GROUP BY 1 ORDER BY sum(nav) DESC LIMIT 1)", "SELECT '1 period' AS part, CAST(min(d) AS VARCHAR) || ' to ' || CAST(max(d) AS VARCHAR) AS name, CAST(count(*) AS DOUBLE) AS x FROM nav JOIN pick USING (sleeve) UNION ALL SELECT '2 holding', c_mktsegment, sum(c_custkey) FROM customer, pick WHERE substr(sleeve, 1, 1) = CAST(c_nationkey % 5 + 1 AS VARCHAR) AND c_mktsegment <> 'MACHINERY' GROUP BY 2"), ("x",), 3)
@@ -1327,11 +1321,25 @@ def j7_sentiment_events(spark, sf_dir):
     return blend.sentiment_events(blend.sentiment_changes(e)).select(F.col("url").cast("long").alias("event_id"))
 
 
-@query(I.sql(*MERGE, I.INDEX, I.RETURNS, "SELECT threshold, h, count(*) AS n, avg(excess) AS mean FROM rets JOIN ev USING (msg_id), (VALUES (100000), (200000), (300000)) g(threshold) WHERE ev.amount >= threshold AND h IN (5, 20) GROUP BY 1, 2"), ("mean",))
+TREND = "tr AS (SELECT ticker, d, count(*) OVER w AS prior, round(lag(close) OVER (PARTITION BY ticker ORDER BY d) - avg(close) OVER (PARTITION BY ticker ORDER BY d ROWS BETWEEN 50 PRECEDING AND 1 PRECEDING), 9) > 0 AS above FROM prices WHERE close > 0 WINDOW w AS (PARTITION BY ticker ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"
+
+
+@query(I.sql(*MERGE, I.INDEX, I.RETURNS, TREND, "SELECT threshold, trend, h, count(*) AS n, count(DISTINCT rets.ticker) AS companies, avg(excess) AS mean, median(excess) AS median, avg(CASE WHEN excess > 0 THEN 1e0 ELSE 0e0 END) AS up FROM rets JOIN ev USING (msg_id) LEFT JOIN tr ON tr.ticker = rets.ticker AND tr.d = rets.trade_d, (VALUES (1e5), (2e5), (3e5)) g(threshold), (VALUES ('any'), ('above')) k(trend) WHERE ev.amount >= threshold AND (trend = 'any' OR above) AND h IN (5, 20) AND excess IS NOT NULL GROUP BY 1, 2, 3"), ("mean", "median", "up"))
 def j10_threshold_grid(spark, sf_dir):
-    grid = spark.sql("select * from values (100000), (200000), (300000) as g(threshold)")
-    rows = event_returns(spark, sf_dir).where("h in (5, 20)").join(I.events(spark, sf_dir).select("msg_id", "amount"), "msg_id").crossJoin(F.broadcast(grid)).where("amount >= threshold")
-    return rows.groupBy("threshold", "h").agg(F.count(F.lit(1)).alias("n"), F.avg("excess").alias("mean"))
+    p, _ = market(spark, sf_dir)
+    t = prices.trend(p).select("ticker", F.col("d").alias("trade_d"), "above")
+    rows = event_returns(spark, sf_dir).where("h in (5, 20)").join(I.events(spark, sf_dir).select("msg_id", "amount"), "msg_id").join(t, ["ticker", "trade_d"], "left")
+    return stats.threshold_grid(rows, "amount", [100000, 200000, 300000], "above").select("threshold", "trend", "h", "n", "companies", "mean", "median", "up")
+
+
+@query(I.sql(I.PRICES, I.EVENTS, I.CALENDAR, TREND, "ch AS (SELECT msg_id, ticker, d, amount / 1e5 AS s, lag(amount / 1e5) OVER (PARTITION BY ticker ORDER BY d, lpad(msg_id, 12, '0')) AS was FROM ev)",
+    "en AS (SELECT msg_id, ticker, d, (SELECT min(cal.d) FROM cal WHERE cal.d > ch.d) AS entry_d FROM ch WHERE was IS NOT NULL AND 100 * (s - was) / greatest(abs(was), 5e-2) >= 25)",
+    "SELECT CAST(msg_id AS BIGINT) AS msg_id, entry_d, close AS px FROM en JOIN tr ON tr.ticker = en.ticker AND tr.d = entry_d JOIN prices p ON p.ticker = en.ticker AND p.d = entry_d WHERE entry_d - en.d <= 21 AND prior >= 120 AND above"), ("px",), 9)
+def j7_sentiment_entries(spark, sf_dir):
+    p, cal = market(spark, sf_dir)
+    articles = I.events(spark, sf_dir).select(F.col("ticker").alias("company"), "d", F.lit("x").alias("title"), (F.col("amount") / 1e5).alias("final_score"), F.lpad("msg_id", 12, "0").alias("url"))
+    events = blend.sentiment_events(blend.sentiment_changes(articles))
+    return blend.sentiment_entries(events, p, cal, with_trend=True).select(F.col("url").cast("long").alias("msg_id"), "entry_d", "px")
 
 
 @query(I.sql(I.SCORES, BLEND, "pl AS (SELECT d, ticker, blend, row_number() OVER (PARTITION BY d ORDER BY round(blend, 9) DESC, ticker) AS place FROM bl)", "SELECT ticker, blend FROM pl WHERE d = (SELECT max(d) FROM bl) AND place <= 20"), ("blend",))
@@ -1384,10 +1392,11 @@ def n6_mark_summary(spark, sf_dir):
     return incremental.mark_summary(e.withColumn("last_error", F.lit(None).cast("string")))
 
 
-@query("SELECT source, n FROM (SELECT 'a' AS source, count(*) AS n FROM orders UNION ALL SELECT 'b', count(*) FROM lineitem)")
+@query("SELECT source, count(*) AS n, count(d) AS dated, sum(score) AS total FROM (SELECT 'orders' AS source, CAST(o_orderdate AS DATE) AS d, o_totalprice AS score FROM orders UNION ALL SELECT 'lines', CAST(l_shipdate AS DATE), l_extendedprice FROM lineitem UNION ALL SELECT 'events', CAST(ts AS DATE), value FROM events UNION ALL SELECT 'customers', NULL, c_acctbal FROM customer) GROUP BY 1", ("total",), 1)
 def o1_bag_union(spark, sf_dir):
-    a = I.table(spark, sf_dir, "orders").select(F.lit("a").alias("source"))
-    return a.unionByName(I.table(spark, sf_dir, "lineitem").select(F.lit("b").alias("source"))).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    of = lambda name, score, d=None: I.table(spark, sf_dir, name).select(F.col(score).alias("score"), *([F.col(d).cast("date").alias("d")] if d else []))
+    sources = {"orders": of("orders", "o_totalprice", "o_orderdate"), "lines": of("lineitem", "l_extendedprice", "l_shipdate"), "events": of("events", "value", "ts"), "customers": of("customer", "c_acctbal")}
+    return keys.bag_union(sources, ["d", "score"]).groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.count("d").alias("dated"), F.sum("score").alias("total"))
 
 
 @query("SELECT page_id FROM (SELECT page_id, row_number() OVER (ORDER BY page_id) AS i, greatest(1.0::DOUBLE, count(*) OVER () / 50.0::DOUBLE) AS step FROM pages) WHERE floor(i / step) > floor((i - 1) / step)")
