@@ -193,6 +193,38 @@ def test_precision_and_recall_on_varied_markup():
     assert right / wanted >= 0.99 and right / kept >= 0.99, (right / wanted, right / kept)
 
 
+def test_parts_without_telling_names():
+    """Plain containers beside an article, and lists of it; names that tell in two words or in other languages."""
+    head, text = "A headline", "A paragraph that is long enough to be read as the text of this page."
+    body, whole = f"<h1>{head}</h1><p>{text}</p>", f"{head}\n\n{text}"
+    plain = ("We use cookies to make this site better.", "Latest: ten ways to walk by a river", "© 2024 The makers of this page")
+    for notice in plain:
+        assert html.main_text(f"<body><div>{notice}</div><article>{body}</article></body>") == whole, notice
+        assert html.main_text(f"<body><article>{body}</article><div>{notice}</div></body>") == whole, notice
+    for notice in (plain[0], plain[2], "Copyright 2024 Someone. All rights reserved.", "Sign up for our newsletter and never miss a thing."):
+        assert html.main_text(f"<body><div>{body}</div><div>{notice}</div></body>") == whole, notice
+    for name in ("most-read", "feedback", "comentarios", "notification", "ad-slot", "most_popular", "mostRead", "trending-list"):
+        assert html.main_text(f'<body><article>{body}<div class="{name}"><p>I agree with every word of this, it is so.</p></div></article></body>') == whole, name
+    for items in (["first point", "second"], [f"point {i}" for i in range(40)]):
+        lines = "".join(f"<li>{x}</li>" for x in items)
+        for kind in ("ul", "ol"):
+            assert html.main_text(f"<body><div>{body}<{kind}>{lines}</{kind}></div></body>") == "\n\n".join([whole, *items])
+            assert html.main_text(f"<body><article>{body}<{kind}>{lines}</{kind}></article></body>") == "\n\n".join([whole, *items])
+        links = "".join(f'<li><a href="{x}">{x}</a></li>' for x in items)
+        assert html.main_text(f"<body><div>{body}</div><div><ul>{links}</ul></div></body>") == whole
+    assert html.main_text(f"<body><article><p>{text} We use cookies, all rights reserved, is what pages say.</p></article></body>").endswith("say.")
+    assert html.main_text(f"<body><div>{body}<p>Section 3.</p><p>{text}</p></div></body>") == f"{whole}\n\nSection 3.\n\n{text}"
+
+
+def test_costs_follow_surroundings():
+    found = html.blocks("<body><div><p>Some text.</p><ul><li>a<li>b</ul></div><ul><li>c</ul><li>d</body>")
+    assert [x for _, x in html.surroundings(found)] == [False, True, True, False, False]
+    assert found[1].container == found[2].container and found[1].around == found[0].container and found[4].around != found[0].container
+    named = html.blocks("<article><p>Some text of words.</p></article><div>b</div><h1>c</h1>")
+    assert [x for x, _ in html.surroundings(named)] == [False, True, False] and html.surroundings([]) == []
+    assert not any(x for x, _ in html.surroundings(html.blocks(f"<div class=text>a</div><div>{'b ' * 50}</div>")))
+
+
 def test_cut_has_least_cost():
     rng = np.random.default_rng(5)
     for _ in range(150):

@@ -2,8 +2,8 @@
 
 A page becomes blocks of text between block-level tags. A small linear classifier gives each block the cost of calling it
 content and the cost of calling it boilerplate; these are the capacities from the source and to the sink. Neighbouring blocks in page order,
-and blocks under the same container, are joined by smoothness edges, so that labels change seldom and rather between
-containers than inside one. The minimum cut, found by maximum flow, is the labelling of least total cost.
+blocks under the same container, and a container's first block and the one before it in the container around, are joined by smoothness edges, so that labels
+change seldom and rather between containers than inside one. The minimum cut, found by maximum flow, is the labelling of least total cost.
 
 Scripts, styles, comments, head and forms' controls carry no text. Character references are decoded, white space inside a block
 becomes one space, blocks that remain are joined by two newlines in page order; nothing is cut. A null or empty page, or
@@ -30,7 +30,7 @@ _ATTR = re.compile(r"""[\s/]*([^\s/>][^\s/>=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|
 RAW = frozenset("script style template noscript textarea title svg math iframe object select".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Containers that end where the next of their kind, or what holds them, begins or ends; they make no container of their own.
+#: Elements that end where the next of their kind, or what holds them, begins or ends; their blocks are of the container around them.
 CLOSED_BY = {"p": BLOCK, "li": frozenset({"li"}), "td": frozenset("td th tr tbody tfoot".split()), "th": frozenset("td th tr tbody tfoot".split())}
 #: Containers whose nesting matters.
 NESTED = frozenset("article aside blockquote body details dialog dl div fieldset figure footer form head header main menu nav ol section table ul button label".split())
@@ -42,15 +42,18 @@ UNNAMED = frozenset("html body article main".split())
 _BAD_WORDS = frozenset(
     "nav navbar navigation menu breadcrumb breadcrumbs foot footer head header masthead side sidebar aside ad ads advert adverts advertisement advertising banner promo promotion sponsor sponsored "
     "cookie cookies consent notice notices alert gdpr privacy popup modal overlay newsletter subscribe signup login search share sharing social related recommend recommended recommendations "
-    "tag tags widget widgets comment comments reply replies respond disqus pagination pager toolbar copyright legal skip hidden".split()
+    "tag tags widget widgets comment comments comentarios commentaires kommentare kommentarer reply replies respond disqus feedback pagination pager toolbar copyright legal skip hidden "
+    "notification notifications trending teaser teasers mostread".split()
 )
-_COMMENT_WORDS = frozenset("comment comments reply replies".split())
+_COMMENT_WORDS = frozenset("comment comments comentarios commentaires kommentare kommentarer reply replies".split())
+#: Names of two parts that are such a word together.
+_BAD_PAIRS = frozenset({("most", "read"), ("most", "popular"), ("most", "viewed"), ("read", "next"), ("read", "also"), ("up", "next"), ("sign", "up")})
 #: A heading of the content itself may have these.
 _HEADING_WORDS = frozenset("head header".split())
 #: A named article inside such a container is content all the same.
 _LAYOUT_WORDS = frozenset("head header masthead banner overlay modal popup widget widgets".split())
 #: Last parts of names that say what kind of thing a container is, not what it holds.
-_KINDS = frozenset("post posts article articles stories list lists links link buttons button box boxes area block bar wrapper wrap container inner outer section form items item icons icon media body content top bottom left right text title group panel row col".split())
+_KINDS = frozenset("post posts article articles stories list lists links link buttons button box boxes area block bar wrapper wrap container inner outer section form items item icons icon media body content top bottom left right text title group panel row col slot unit zone".split())
 #: Class names that tell what a page or post is about, or has, and name no container.
 _ABOUT = re.compile(r"(?:has|no|not|with|without|is-not)[-_]|(?:.*[-_])?(?:with|without)[-_]|(?:tag|category|cat|topic|format|type|author)[-_](?!(?:list|links?|cloud|items?|box)$)", re.IGNORECASE)
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
@@ -66,12 +69,15 @@ class Block:
     link: int = 0
     bad: bool = False
     good: bool = False
+    #: the container around its container; none around the outermost
+    around: int = -1
 
 
 @dataclass
 class _Open:
     tag: str
     number: int
+    around: int
     #: why its content is none: the word, the tag, or empty
     bad: str
     good: bool
@@ -113,18 +119,20 @@ def bad_word(token: str) -> str:
     parts = [x.lower() for x in _PARTS.findall(token)]
     while len(parts) > 1 and parts[-1] in _KINDS and parts[-1] not in _BAD_WORDS:
         parts.pop()
+    if tuple(parts[-2:]) in _BAD_PAIRS:
+        return "".join(parts[-2:])
     return parts[-1] if parts and parts[-1] in _BAD_WORDS else ""
 
 
 def blocks(page: str) -> list[Block]:
     """Text blocks in page order, with their containers and whether these are named as content or as boilerplate."""
-    state, stack, tag, number, in_link, at = _Page(), [_Open("", 0, "", False)], "", 0, False, 0
+    state, stack, tag, number, in_link, at = _Page(), [_Open("", 0, -1, "", False)], "", 0, False, 0
 
     def flush() -> None:
         text = " ".join(html.unescape("".join(state.parts)).split())
         if text:
             top = stack[-1]
-            state.blocks.append(Block(text, top.number, tag, state.linked, bool(top.bad), top.good))
+            state.blocks.append(Block(text, top.number, tag, state.linked, bool(top.bad), top.good, top.around))
         state.parts.clear()
         state.linked = 0
 
@@ -183,22 +191,50 @@ def blocks(page: str) -> list[Block]:
             if not bad and name in BAD_TAG and not (name == "header" and top.good):
                 bad = name
             inherited = "" if name in GOOD_TAG and not bad and top.bad in _LAYOUT_WORDS else top.bad
-            number += 1
-            stack.append(_Open(name, number, bad or inherited, (top.good or good) and not bad))
+            place = (top.number, top.around)
+            if name in NESTED:
+                number += 1
+                place = (number, top.number)
+            stack.append(_Open(name, *place, bad or inherited, (top.good or good) and not bad))
     flush()
     return state.blocks
 
 
 #: The classifier: a linear score in nats, positive for content. The values are set by hand, not fitted (the pages have no labels);
 #: the tests state what they reach on pages of varied markup.
-WEIGHTS = {"bias": -0.3, "letters": 2.5, "sentence": 0.6, "linked": -3.0, "paragraph": 0.5, "heading": 0.4, "cell": -0.6, "named content": 6.0, "named boilerplate": -9.0}
+WEIGHTS = {
+    "bias": -0.3, "letters": 2.5, "sentence": 0.6, "linked": -3.0, "paragraph": 0.5, "heading": 0.4, "linked cell": -0.6, "cell after prose": 0.5,
+    "beside named content": -3.0, "notice": -2.5, "named content": 6.0, "named boilerplate": -9.0,
+}
+_CELLS = ("li", "td", "th", "dt", "dd")
+#: What short lines of a page's frame say.
+_NOTICE = re.compile(
+    r"©|\(c\) \d{4}|copyright \d{4}|all rights (?:are )?reserved|(?:use|uses|using|accept) (?:of )?cookies|cookie (?:policy|settings)|privacy policy|terms of (?:use|service)|sign up (?:for|to) |subscribe (?:to|now)|our newsletter|share this|follow us",
+    re.IGNORECASE,
+)
+
+
+def surroundings(found: list[Block]) -> list[tuple[bool, bool]]:
+    """For each block: whether it lies beside named content that holds at least half of the text which is not named boilerplate, and whether it is a cell
+    without links of a list or table that goes on from prose."""
+    named, rest = (sum(len(b.text) - b.link for b in found if not b.bad and b.good is side) for side in (True, False))
+    out: list[tuple[bool, bool]] = []
+    prose: int | None = None  # container of the last block that is no cell, if that is prose
+    for b in found:
+        cell = b.tag in _CELLS
+        out.append((named >= rest and named > 0 and not b.good and b.tag != "h1", cell and not b.link and b.around == prose))
+        if not cell:
+            prose = b.container if not b.bad and not b.link and (b.tag == "p" or len(b.text) >= 40) else None
+    return out
 
 
-def terminal_costs(block: Block) -> tuple[float, float]:
+def terminal_costs(block: Block, beside: bool = False, after_prose: bool = False) -> tuple[float, float]:
     """Costs of losing the block as content and of keeping it: both sides of one linear score."""
+    plain = not block.good and not block.bad
     features = {
         "bias": 1.0, "letters": min(len(block.text), 400) / 400, "sentence": _STOP.search(block.text) is not None, "linked": block.linked_share,
-        "paragraph": block.tag == "p", "heading": block.tag in ("h1", "h2", "h3", "blockquote", "pre"), "cell": block.tag in ("li", "td", "dt"),
+        "paragraph": block.tag == "p", "heading": block.tag in ("h1", "h2", "h3", "blockquote", "pre"), "linked cell": block.tag in _CELLS and block.link > 0,
+        "cell after prose": after_prose and plain, "beside named content": beside and plain, "notice": plain and len(block.text) < 300 and _NOTICE.search(block.text) is not None,
         "named content": block.good and not block.bad, "named boilerplate": block.bad,
     }
     score = sum(WEIGHTS[k] * x for k, x in features.items())
@@ -267,15 +303,18 @@ def max_flow(source: list[float], sink: list[float], edges: list[tuple[int, int,
                     break
 
 
-def main_text(page: str | None, adjacent: float = 0.4, together: float = 0.8) -> str:
-    """The page's content blocks with an empty line between. adjacent, together: costs of cutting neighbours, and blocks of one container."""
+def main_text(page: str | None, adjacent: float = 0.4, together: float = 0.8, nested: float = 0.4) -> str:
+    """The page's content blocks with an empty line between. Costs of cutting: neighbours (adjacent), blocks of one container (together), a container's
+    first block and the one before it in the container around (nested)."""
     found = blocks(page or "")
-    costs = [terminal_costs(b) for b in found]
+    costs = [terminal_costs(b, *near) for b, near in zip(found, surroundings(found), strict=True)]
     edges = [(i, i + 1, adjacent) for i in range(len(found) - 1)]
     last: dict[int, int] = {}
     for i, block in enumerate(found):
         if block.container in last:
             edges.append((last[block.container], i, together))
+        elif block.around in last:
+            edges.append((last[block.around], i, nested))
         last[block.container] = i
     keep = max_flow([c for c, _ in costs], [b for _, b in costs], edges)
     return "\n\n".join(b.text for b, kept in zip(found, keep, strict=True) if kept)
