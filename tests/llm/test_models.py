@@ -333,6 +333,7 @@ def render(turns):
 def test_perspectives(spark, sf_dir):
     turns = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
     turns += [(1000, i, f"p{i % 3}", f"tęxt {i} <|end|>") for i in range(600)] + [(1001, 0, "system", "only system"), (1002, None, None, None), (1002, None, "a", "x"), (1002, -300, "a", "first"), (None, 0, "a", "y"), (None, 0, "b", None), (1003, 1, "a", "same"), (1003, 1, "a", "same")]
+    turns += [(1004, None, f"q{i % 2}", f"late {i}") for i in range(350)] + [(1005, 7, f"q{i % 2}", f"equal {i % 90}") for i in range(250)]
     df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").withColumn("speaker", F.lit("z")).withColumn("segment", F.lit(0)).repartition(5)
     rendered = chat.digest(chat.perspectives(df))
     expect = render(turns)
@@ -347,7 +348,7 @@ def test_perspectives(spark, sf_dir):
     joined = []
     for (conv, speaker), parts in whole.items():
         parts.sort(key=lambda r: r.segment)
-        assert [r.segment for r in parts] == list(range(len(parts)))
+        assert [r.segment for r in parts] == list(range(len(parts))) and max(r.n_turns for r in parts) <= 100
         joined.append((conv, speaker, sum(r.n_turns for r in parts), "".join(r.text for r in parts), ",".join(f"{m.start}:{m.end}" for r in parts for m in r.masks)))
     assert sorted(joined, key=repr) == expect
 

@@ -4,7 +4,7 @@ For every participant of a conversation the dialogue is rendered once with that
 users, and system turns as they are. The loss mask covers the speaker's own turns: their contents and end markers.
 
 Turns are ordered by turn number (null last), then role, then text. Every text holds the whole dialogue, and its masks
-count from its beginning. Segments of `span` turn numbers are rendered first and then put together, so a
+count from its beginning. Segments of `span` turn numbers, cut again where more than `span` turns share them (equal or null numbers), are rendered first and then put together, so a
 task that puts together a dialogue of very many turns meets few rows of it; `segments` gives them apart, with masks that count
 from the beginning of the whole dialogue, for dialogues too long for one value.
 
@@ -37,9 +37,12 @@ END = "<|end|>\n"
 def _rendered(turns: DataFrame, conv: str, turn: str, role: str, text: str, span: int) -> DataFrame:
     """conv_id, speaker, segment, n_turns, text, length, masks that count from the segment's beginning."""
     turns = turns.select(F.col(conv).alias("conv_id"), F.col(turn).cast("long").alias("turn"), F.col(role).cast("string").alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    turns = turns.withColumn("segment", F.struct(F.col("turn").isNull().alias("late"), F.floor(F.col("turn") / span).alias("number")))
+    turns = turns.withColumn("_late", F.col("turn").isNull()).withColumn("_number", F.floor(F.col("turn") / span))
+    order = Window.partitionBy("conv_id", "_late", "_number").orderBy("turn", F.coalesce("role", F.lit("")), F.col("role").isNull(), "text")
+    turns = turns.withColumn("_piece", F.floor((F.row_number().over(order) - 1) / span))
     said = F.struct("turn", F.coalesce("role", F.lit("")).alias("by"), F.col("role").isNull().alias("no_role"), "role", "text")
-    segments = turns.groupBy("conv_id", "segment").agg(F.array_sort(F.collect_list(said)).alias("said"))
+    segments = turns.groupBy("conv_id", "_late", "_number", "_piece").agg(F.array_sort(F.collect_list(said)).alias("said"))  # the window's partitioning serves
+    segments = segments.select("conv_id", F.struct("_late", "_number", "_piece").alias("segment"), "said")
     speakers = turns.select("conv_id", F.when(F.col("role") != SYSTEM, F.col("role")).alias("speaker")).distinct()
     speakers = speakers.groupBy("conv_id").agg(F.collect_set("speaker").alias("speakers")).select(F.col("conv_id").alias("_conv"), "speakers")
     seen = segments.join(speakers, F.col("conv_id").eqNullSafe(F.col("_conv"))).select("conv_id", "segment", "said", F.explode_outer("speakers").alias("speaker"))
