@@ -2,6 +2,8 @@
 
 import datetime as dt
 
+from pyspark.sql import functions as F
+from tidemark.functions import text as X
 from tidemark.plans import queries
 
 
@@ -10,3 +12,13 @@ def test_chart_seconds_are_the_nearest(spark, tmp_path):
     spark.createDataFrame([(i, t, 1, "view", 2.0) for i, t in enumerate(at)], "event_id long, ts timestamp, user_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
     got = {r.d: r.n for r in queries.QUERIES["a7_chart_json"](spark, str(tmp_path)).collect()}
     assert got == {dt.date(2024, 1, 2): 1, dt.date(2024, 1, 1): 1}
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_numbers_are_read_without_replacing_patterns(spark):
+    df = spark.createDataFrame([("(1 234,50)",), ("-1.234,5",), ("1,234,567",), ("1. 5",), ("",), ("()",)], "t string").select(X.human_number(F.col("t")).alias("x"), X.share_count(F.col("t")).alias("n"))
+    assert [r.x for r in df.collect()] == [-1234.5, -1234.5, 1234567.0, 1.5, None, None]
+    assert "regexp_replace" not in _plan(df).lower()

@@ -54,30 +54,40 @@ def convention(text: Column) -> Column:
     return F.when(en > nb, "EN").when(nb > en, "NB")
 
 
+def _packed(text: Column, dropped: str = "") -> Column:
+    """one_line without any blank, and without some characters: characters are exchanged one by one, no pattern is run."""
+    return F.translate(text, "".join(QUOTES) + BLANKS + UNSEEN + " \n\x0b\f\r" + dropped, "".join(QUOTES.values()))
+
+
 def human_number(text: Column, style: Column | None = None) -> Column:
     """A number as people write it. Given a convention its separators hold. Else the last separator is decimal, unless it
     is repeated or followed by exactly three digits; then it groups thousands. Brackets or a leading minus mean negative."""
     style = F.lit(None).cast("string") if style is None else style
-    raw = F.regexp_replace(one_line(text), " ", "")
-    negative = raw.rlike(r"^\(.*\)$|^-")
-    body = F.regexp_replace(raw, r"[()+-]", "")
-    dots, commas = F.length(F.regexp_replace(body, r"[^.]", "")), F.length(F.regexp_replace(body, r"[^,]", ""))
-    english, nordic = F.regexp_replace(body, ",", ""), F.replace(F.regexp_replace(body, r"\.", ""), F.lit(","), F.lit("."))
-    last_dot = F.locate(".", F.reverse(body)) < F.locate(",", F.reverse(body))
-    grouped = body.rlike(r"^\d{1,3}([.,]\d{3})+$")
-    plain = (
+
+    def read_(raw: Column) -> Column:
+        negative = F.startswith(raw, F.lit("-")) | (F.startswith(raw, F.lit("(")) & F.endswith(raw, F.lit(")")))
+        value = once(once(F.translate(raw, "()+-", ""), lambda body: _plain(body, style)), lambda x: F.when(x.rlike(r"^\d*\.?\d+([eE]\d+)?$|^\d+\.$"), x.try_cast("double")))
+        return F.when(negative, -value).otherwise(value)
+
+    return once(_packed(text), read_)
+
+
+def _plain(body: Column, style: Column) -> Column:
+    """The number with the dot as its only separator."""
+    dots, commas = F.contains(body, F.lit(".")), F.contains(body, F.lit(","))
+    english, nordic = F.translate(body, ",", ""), F.translate(body, ",.", ".")
+    last_dot = ~F.contains(F.substring_index(body, ".", -1), F.lit(","))
+    return (
         F.when(style == "EN", english).when(style == "NB", nordic)
-        .when((dots > 0) & (commas > 0), F.when(last_dot, english).otherwise(nordic))
-        .when(grouped, F.regexp_replace(body, r"[.,]", ""))
-        .when(commas > 0, nordic).otherwise(english)
+        .when(dots & commas, F.when(last_dot, english).otherwise(nordic))
+        .when((dots | commas) & body.rlike(r"^\d{1,3}([.,]\d{3})+$"), F.translate(body, ".,", ""))
+        .when(commas, nordic).otherwise(english)
     )
-    value = F.when(plain.rlike(r"^\d*\.?\d+([eE]\d+)?$|^\d+\.$"), plain.try_cast("double"))
-    return F.when(negative, -value).otherwise(value)
 
 
 def share_count(text: Column) -> Column:
     """A count of shares: every separator groups thousands; halves round to even."""
-    return F.bround(F.regexp_replace(one_line(text), r"[ .,]", "").try_cast("double")).cast("long")
+    return F.bround(_packed(text, ".,").try_cast("double")).cast("long")
 
 
 #: Currency codes; KR is NOK.
