@@ -4,6 +4,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 from tidemark.functions import text as X
+from tidemark.operators import announcements
 from tidemark.plans import queries
 
 
@@ -22,3 +23,20 @@ def test_numbers_are_read_without_replacing_patterns(spark):
     df = spark.createDataFrame([("(1 234,50)",), ("-1.234,5",), ("1,234,567",), ("1. 5",), ("",), ("()",)], "t string").select(X.human_number(F.col("t")).alias("x"), X.share_count(F.col("t")).alias("n"))
     assert [r.x for r in df.collect()] == [-1234.5, -1234.5, 1234567.0, 1.5, None, None]
     assert "regexp_replace" not in _plan(df).lower()
+
+
+def test_announcements_are_read_within_their_row(spark):
+    labelled = "Nature of the transaction: Disposal\nPrice: 10.25\nVolume: 100\nNature of the transaction: Acquisition\nPrice: 11.50\nVolume: 40\n"
+    rows = [("1", "Notification of trade", labelled), ("1", "Notification of trade", "The CFO bought 200 shares at a price of NOK 5.25."), ("2", "Annual report", "Nothing."), ("3", None, None)]
+    m = spark.createDataFrame(rows, "msg_id string, title string, text string")
+    read = announcements.read(m)
+    assert "Exchange" not in _plan(read) and "Exchange" not in _plan(announcements.trade_lines(m))
+    assert [(r.net, r["class"]) for r in read.collect()] == [(-60, "UNKNOWN"), (200, "BUY"), (None, "UNKNOWN"), (None, "UNKNOWN")]
+    assert [(r.side, r.price, r.volume) for r in announcements.trade_lines(m).collect()] == [("SELL", 10.25, 100), ("BUY", 11.5, 40), ("BUY", 5.25, 200)]
+
+
+def test_words_with_shared_starts(spark):
+    words = ["share", "shares", "sha-re", "adm.dir", "adm. dir", "chief ", "økning"]
+    texts = ["two shares", "ashare", "sharex", "xadm.dirx", "sha-re", "the chiefs", "økning", "chief x", ""]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(announcements.any_of(F.col("t"), words).alias("x"))
+    assert [r.x for r in got.collect()] == [True, False, False, True, True, False, True, True, False]
