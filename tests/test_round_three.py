@@ -4,7 +4,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 from tidemark.functions import text as X
-from tidemark.operators import announcements
+from tidemark.operators import announcements, stats
 from tidemark.plans import queries
 
 
@@ -40,3 +40,18 @@ def test_words_with_shared_starts(spark):
     texts = ["two shares", "ashare", "sharex", "xadm.dirx", "sha-re", "the chiefs", "økning", "chief x", ""]
     got = spark.createDataFrame([(t,) for t in texts], "t string").select(announcements.any_of(F.col("t"), words).alias("x"))
     assert [r.x for r in got.collect()] == [True, False, False, True, True, False, True, True, False]
+
+
+def test_weighted_rows_stand_for_equal_rows(spark):
+    rows = [("a" if i % 3 else "b", f"t{i % 7}", dt.date(2024, 1, 1 + i % 11), float((i * 37) % 101 - 50) if i % 13 else None, 1 + i % 5) for i in range(400)]
+    df = spark.createDataFrame(rows, "h string, ticker string, trade_d date, excess double, n long")
+    each = df.withColumn("_", F.explode(F.sequence(F.lit(1), F.col("n")))).drop("_", "n")
+    tidy = lambda d: sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in d.collect())
+    assert tidy(stats.study(df, ["h"], rounds=50, weight="n")) == tidy(stats.study(each, ["h"], rounds=50))
+    assert tidy(stats.event_curve(df, weight="n")) == tidy(stats.event_curve(each))
+
+
+def test_returns_are_worked_out_once_a_place(spark, sf_dir):
+    found = queries.event_returns(spark, sf_dir, (5, 20))
+    assert "Window" not in _plan(found) and "SortMergeJoin" not in _plan(found)
+    assert found.where("h not in (5, 20)").isEmpty() and not found.isEmpty()

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.tables import stored
+
 #: rank error of the sketches that point at an order statistic, as a share of a key's rows, and how many times that lies between the borders
 _ACCURACY, _MARGIN = 10_000, 10
 
@@ -24,17 +26,21 @@ def with_facts(rows: DataFrame, facts: DataFrame, keys: list[str], how: str = "i
     return rows.join(other, on, how).drop(*[f"_of_{k}" for k in keys])
 
 
-def order_statistics(rows: DataFrame, keys: list[str], x: str, ranks: list[tuple[str, float, Column]]) -> DataFrame:
+def order_statistics(rows: DataFrame, keys: list[str], x: str, ranks: list[tuple[str, float, Column]], weight: str | None = None) -> DataFrame:
     """keys, _n and a column a rank: for (name, share, rank) the value at place `rank` (from 0, an expression of _n) of a key's sorted values.
 
     Selection in parts: mergeable sketches give each key borders around the share of its rows where the rank must be; one pass
     counts what lies between borders by value and the rest by part, and only the few values between borders are ordered. Rows are
     shuffled as counts; a key that holds most of the table leaves some thousandths of its values to one task. share should be near rank / _n.
+    The borders are written, so that their size is known and few of them go to the rows instead of rows to them. weight: how many equal rows a row stands for.
     """
+    if weight:
+        return _weighted_statistics(rows, keys, x, ranks, weight)
     rows = rows.where(F.col(x).isNotNull()).select(*keys, F.col(x).cast("double").alias("_x"))
     e = _MARGIN / _ACCURACY
     shares = [max(0.0, min(1.0, s + d)) for _, s, _ in sorted(ranks, key=lambda r: r[1]) for d in (-e, e)]
     bounds = rows.groupBy(*keys).agg(F.percentile_approx("_x", shares, _ACCURACY).alias("_b"), F.count(F.lit(1)).alias("_n"))
+    bounds = stored(bounds, "borders") if keys else bounds
     inside = F.expr(" or ".join(f"(_x >= _b[{i}] and _x <= _b[{i + 1}])" for i in range(0, len(shares), 2)))
     part = F.coalesce(F.array_max(F.filter("_b", lambda b: b < F.col("_x"))), F.lit(float("-inf")))
     marked = with_facts(rows, bounds, keys).select(*keys, "_n", F.when(inside, F.col("_x")).otherwise(part).alias("_v"), (~inside).cast("int").alias("_rest"))
@@ -45,10 +51,29 @@ def order_statistics(rows: DataFrame, keys: list[str], x: str, ranks: list[tuple
     return placed.groupBy(*keys).agg(F.max("_n").alias("_n"), *[at(rank).alias(name) for name, _, rank in ranks])
 
 
-def medians(rows: DataFrame, keys: list[str], x: str, name: str = "median") -> DataFrame:
-    """keys and the mean of the middle two values of x; keys without a value are absent."""
+def _weighted_statistics(rows: DataFrame, keys: list[str], x: str, ranks: list[tuple[str, float, Column]], weight: str, parts: int = 200) -> DataFrame:
+    """Order statistics of rows that stand for `weight` rows each. Sketched borders cut a key's values into parts; sums of weights tell the parts in which a rank lies, and
+    only their values are ordered. Any borders give the same values."""
+    rows = rows.where(F.col(x).isNotNull()).groupBy(*keys, F.col(x).cast("double").alias("_x")).agg(F.sum(weight).alias("_w"))
+    rows = stored(rows, "weighted")
+    shares = [i / parts for i in range(1, parts)]
+    bounds = stored(rows.groupBy(*keys).agg(F.percentile_approx("_x", shares, 10 * parts).alias("_b"), F.sum("_w").alias("_n")), "borders")
+    marked = with_facts(rows, bounds, keys).select(*keys, "_n", "_x", "_w", F.size(F.filter("_b", lambda b: b < F.col("_x"))).alias("_part"))
+    here = lambda rank: (rank >= F.col("_upto") - F.col("_c")) & (rank < F.col("_upto"))
+    any_here = F.lit(False)
+    for _, _, rank in ranks:
+        any_here = any_here | here(rank)
+    sums = marked.groupBy(*keys, "_n", "_part").agg(F.sum("_w").alias("_c")).withColumn("_upto", F.sum("_c").over(W.partitionBy(*keys).orderBy("_part").rowsBetween(W.unboundedPreceding, 0)))
+    chosen = sums.where(any_here).select(*keys, "_part", (F.col("_upto") - F.col("_c")).alias("_before"))
+    inside = F.sum("_w").over(W.partitionBy(*keys, "_part").orderBy("_x").rowsBetween(W.unboundedPreceding, 0))
+    placed = with_facts(marked, stored(chosen, "parts"), [*keys, "_part"]).withColumn("_upto", F.col("_before") + inside).withColumn("_c", F.col("_w"))
+    return placed.groupBy(*keys).agg(F.max("_n").alias("_n"), *[F.max(F.when(here(rank), F.col("_x"))).alias(name) for name, _, rank in ranks])
+
+
+def medians(rows: DataFrame, keys: list[str], x: str, name: str = "median", weight: str | None = None) -> DataFrame:
+    """keys and the mean of the middle two values of x; keys without a value are absent. weight: how many equal rows a row stands for."""
     n = F.col("_n")
-    found = order_statistics(rows, keys, x, [("_low", 0.5, F.floor((n - 1) / 2)), ("_high", 0.5, F.floor(n / 2))])
+    found = order_statistics(rows, keys, x, [("_low", 0.5, F.floor((n - 1) / 2)), ("_high", 0.5, F.floor(n / 2))], weight)
     return found.select(*keys, ((F.col("_low") + F.col("_high")) / 2).alias(name))
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from ..sources.tables import stored
 from .order import first_half, medians, order_statistics, running_counts, with_facts
 
 
@@ -32,9 +33,11 @@ def clustered_variance(rows: DataFrame, keys: list[str], x: str, cluster: list[s
     return sums.groupBy(*keys).agg((F.sum(F.col("_s") * F.col("_s")) * F.when(g > 1, g / (g - 1)) / F.first(F.col("_n") * F.col("_n"))).alias("var"))
 
 
-def cells_of(rows: DataFrame, keys: list[str], x: str, a: str, b: str) -> DataFrame:
-    """Sum, count and rows above zero per (keys, a, b): all that means, clustered errors and resampling need. The one shuffle of rows."""
-    return rows.where(F.col(x).isNotNull()).groupBy(*keys, a, b).agg(F.sum(x).alias("_s"), F.count(x).alias("_c"), F.sum((F.col(x) > 0).cast("long")).alias("_up"))
+def cells_of(rows: DataFrame, keys: list[str], x: str, a: str, b: str, weight: str | None = None) -> DataFrame:
+    """Sum, count and rows above zero per (keys, a, b): all that means, clustered errors and resampling need. The one shuffle of rows. weight: how many equal
+    rows a row stands for."""
+    w = F.col(weight) if weight else F.lit(1)
+    return rows.where(F.col(x).isNotNull()).groupBy(*keys, a, b).agg(F.sum(F.col(x) * w).alias("_s"), F.sum(w).cast("long").alias("_c"), F.sum((F.col(x) > 0).cast("long") * w).alias("_up"))
 
 
 def two_way_error(rows: DataFrame, keys: list[str], x: str, a: str, b: str) -> DataFrame:
@@ -56,13 +59,14 @@ def _two_way(cells: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
     return v.select(*keys, F.sqrt(F.when(total > 0, total).otherwise(F.greatest("a", "b"))).alias("se"), how.alias("how"))
 
 
-def study(rows: DataFrame, keys: list[str], x: str = "excess", company: str = "ticker", day: str = "trade_d", least: int = 10, rounds: int = 0) -> DataFrame:
+def study(rows: DataFrame, keys: list[str], x: str = "excess", company: str = "ticker", day: str = "trade_d", least: int = 10, rounds: int = 0, weight: str | None = None) -> DataFrame:
     """keys, n, companies, mean, median, up, se, t, significant; with rounds also low, high and crosses_zero, the interval of the mean when companies are drawn
-    again. Errors and what follows are null with fewer than `least` rows. Rows are read for cells of (company, day) and for medians, nothing else."""
+    again. Errors and what follows are null with fewer than `least` rows. Rows are read for cells of (company, day) and for medians, nothing else.
+    weight: how many equal rows a row stands for."""
     rows = rows.where(F.col(x).isNotNull())
-    cells = cells_of(rows, keys, x, company, day)
+    cells = cells_of(rows, keys, x, company, day, weight)
     base = cells.groupBy(*keys).agg(F.sum("_c").alias("n"), F.count_distinct(company).alias("companies"), (F.sum("_s") / F.sum("_c")).alias("mean"), (F.sum("_up") / F.sum("_c")).alias("up"))
-    full = with_facts(with_facts(base, medians(rows, keys, x), keys, "left"), _two_way(cells, keys, company, day), keys, "left")
+    full = with_facts(with_facts(base, medians(rows, keys, x, weight=weight), keys, "left"), _two_way(cells, keys, company, day), keys, "left")
     enough = F.col("n") >= least
     t = F.when(enough, F.try_divide(F.col("mean"), F.col("se")))
     out = full.select(*keys, "n", "companies", "mean", "median", "up", F.when(enough, F.col("se")).alias("se"), t.alias("t"), (F.abs(t) > 1.96).alias("significant"))
@@ -151,6 +155,7 @@ def keyed_labels(rows: DataFrame, keys: list[str], x: str, k: int, name: str) ->
     n = F.col("_n")
     bounds = order_statistics(rows, keys, x, [(f"_b{i}", i / k, F.floor(n * i / k)) for i in range(1, k)])
     bounds = bounds.select(*keys, F.when(n >= 4 * k, F.array(*[F.col(f"_b{i}") for i in range(1, k)])).alias("_bounds"))
+    bounds = stored(bounds, "borders")  # few, so they go to the rows
     label = F.when(F.col("_bounds").isNotNull() & F.col(x).isNotNull(), F.size(F.filter("_bounds", lambda b: b < F.col(x))) + 1)
     return with_facts(rows, bounds, keys, "left").withColumn(name, label).drop("_bounds")
 
@@ -211,16 +216,21 @@ def verdict(row: DataFrame, least: int = 30) -> DataFrame:
     return row.withColumn("gate", F.when(F.col("n") < least, "TOO_FEW").when(F.col("significant") & (F.col("mean") > 0), "OPEN").otherwise("CLOSED"))
 
 
-def event_curve(rows: DataFrame, keys: list[str] | None = None, x: str = "excess", least: int = 10) -> DataFrame:
-    """keys, h, n (all events that reach the horizon), mean of x (of those that have one); horizons with fewer than `least` events are left out."""
-    return rows.groupBy(*(keys or []), "h").agg(F.count(F.lit(1)).alias("n"), F.avg(x).alias("mean")).where(F.col("n") >= least)
+def event_curve(rows: DataFrame, keys: list[str] | None = None, x: str = "excess", least: int = 10, weight: str | None = None) -> DataFrame:
+    """keys, h, n (all events that reach the horizon), mean of x (of those that have one); horizons with fewer than `least` events are left out. weight: how many
+    equal rows a row stands for."""
+    w = F.col(weight) if weight else F.lit(1)
+    mean = F.try_divide(F.sum(F.col(x) * w), F.sum(F.when(F.col(x).isNotNull(), w)))
+    return rows.groupBy(*(keys or []), "h").agg(F.sum(w).cast("long").alias("n"), mean.alias("mean")).where(F.col("n") >= least)
 
 
-def buy_sell_control(rows: DataFrame, x: str = "excess", margin: float = 0.005, least: int = 10) -> DataFrame:
+def buy_sell_control(rows: DataFrame, x: str = "excess", margin: float = 0.005, least: int = 10, weight: str | None = None) -> DataFrame:
     """h, n_buys, n_sells, buys, sells (means of x), difference, verdict. Buys should do better than sells; where they do not, something earlier is
     wrong. NO_CONTROL with fewer than `least` of either, APART where buys lead by more than `margin`, ALIKE within it, else REVERSED."""
-    of = lambda side: F.when(F.col("class") == side, F.col(x))
-    both = rows.groupBy("h").agg(F.count(of("BUY")).alias("n_buys"), F.count(of("SELL")).alias("n_sells"), F.avg(of("BUY")).alias("buys"), F.avg(of("SELL")).alias("sells"))
+    w = F.col(weight) if weight else F.lit(1)
+    n = lambda side: F.sum(F.when((F.col("class") == side) & F.col(x).isNotNull(), w).otherwise(0)).cast("long")
+    mean = lambda side: F.try_divide(F.sum(F.when(F.col("class") == side, F.col(x) * w)), n(side))
+    both = rows.groupBy("h").agg(n("BUY").alias("n_buys"), n("SELL").alias("n_sells"), mean("BUY").alias("buys"), mean("SELL").alias("sells"))
     gap = F.col("buys") - F.col("sells")
     verdict = F.when((F.col("n_buys") < least) | (F.col("n_sells") < least), "NO_CONTROL").when(gap > margin, "APART").when(F.abs(gap) <= margin, "ALIKE").otherwise("REVERSED")
     return both.select("h", "n_buys", "n_sells", "buys", "sells", gap.alias("difference"), verdict.alias("verdict"))
@@ -228,7 +238,10 @@ def buy_sell_control(rows: DataFrame, x: str = "excess", margin: float = 0.005,
 
 def threshold_grid(rows: DataFrame, score: str, thresholds: list[float], above: str, x: str = "excess", least: int = 10) -> DataFrame:
     """threshold, trend, h and the columns of `study` for every choice of a least score, with (trend = 'above') and without ('any') the filter that
-    column `above` is true. A row is dealt out only to the choices that take it; null scores are in none."""
-    choices = [F.struct(F.lit(float(t)).alias("threshold"), F.lit(k).alias("trend"), ((F.col(score) >= t) & ok).alias("in")) for t in thresholds for k, ok in (("any", F.lit(True)), ("above", F.coalesce(F.col(above), F.lit(False))))]
-    dealt = rows.withColumn("_c", F.explode(F.filter(F.array(*choices), lambda c: c["in"]))).select("*", "_c.threshold", "_c.trend").drop("_c")
-    return study(dealt, ["threshold", "trend", "h"], x, least=least)
+    column `above` is true. Equal rows of a company and day are counted first, and
+    dealt out only to the choices that take them; null scores are in none."""
+    level = sum(((F.col(score) >= t).cast("int") for t in thresholds), F.lit(0))
+    counted = rows.where(F.col(x).isNotNull()).groupBy("h", "ticker", "trade_d", x, F.coalesce(F.col(above), F.lit(False)).alias("_above"), level.alias("_level")).agg(F.count(F.lit(1)).alias("_n"))
+    choices = [F.struct(F.lit(float(t)).alias("threshold"), F.lit(k).alias("trend"), ((F.col("_level") > i) & ok).alias("in")) for i, t in enumerate(sorted(thresholds)) for k, ok in (("any", F.lit(True)), ("above", F.col("_above")))]
+    dealt = counted.withColumn("_c", F.explode(F.filter(F.array(*choices), lambda c: c["in"]))).select("*", "_c.threshold", "_c.trend").drop("_c")
+    return study(stored(dealt, "dealt"), ["threshold", "trend", "h"], x, least=least, weight="_n")
