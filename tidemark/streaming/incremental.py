@@ -86,8 +86,8 @@ def _there(spark: SparkSession, path: str) -> bool:
 class AnchoredClusters(StatefulProcessor):
     """Running clusters per (ticker, class) in event time: a cluster holds what is at most `days` after its first event.
 
-    Events wait in state until the watermark has passed them, so those that come late, or in another batch, are put in order before they are counted; what is older than the
-    watermark is too late and dropped (Spark itself drops it a batch later only). A timer wakes the key then; another removes its state once the cluster's days are over and nothing waits.
+    Input are the times that the watermark has just passed, each with the number and the ids of its events, so nothing waits here: a key's times are put in order and numbered on from
+    the state. ids are one text that is passed on as it is. A timer removes a key's state once the cluster's days are over.
     """
 
     def __init__(self, days: int = 30) -> None:
@@ -96,55 +96,51 @@ class AnchoredClusters(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.cluster = handle.getValueState("cluster", "anchor long, n long")
-        self.waiting = handle.getListState("waiting", "at long, d date, msg_id string")
+
+    def _over(self, anchor: int) -> int:
+        return anchor + self.days * 86_400_000 + 1
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
         now = timerValues.getCurrentWatermarkInMs()
-        for part in rows:
-            at = [int(t.timestamp() * 1000) for t in pd.to_datetime(part["ts"]).dt.tz_localize("UTC" if part["ts"].dt.tz is None else None)]
-            new = [x for x in zip(at, part["d"].tolist(), part["msg_id"].tolist(), strict=True) if x[0] >= now]
-            if new:
-                self.waiting.appendList(new)
-            for t in {x[0] for x in new}:
-                self.handle.registerTimer(t + 1)
-        return iter(())
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802
-        now, day = timerValues.getCurrentWatermarkInMs(), 86_400_000
-        held = sorted(tuple(x) for x in self.waiting.get()) if self.waiting.exists() else []
-        due = [x for x in held if x[0] < now]
+        due = pd.concat(rows).sort_values(["at", "d"])
         anchor, n = self.cluster.get() if self.cluster.exists() else (None, 0)
-        out = []
-        for at, d, msg_id in due:
-            if anchor is None or at - anchor > self.days * day:
+        anchors, before = [], []
+        for at, count in zip(due["at"].tolist(), due["n"].tolist(), strict=True):
+            if anchor is None or at - anchor >= self._over(0):
                 anchor, n = at, 0
-            n += 1
-            out.append((key[0], key[1], msg_id, d, (pd.Timestamp(anchor, unit="ms")).date(), n))
-        if due:
-            if len(due) < len(held):
-                self.waiting.put(held[len(due) :])
-            else:
-                self.waiting.clear()
-        if anchor is not None:
-            over = anchor + self.days * day + 1
-            if len(due) == len(held) and now > over:
-                self.cluster.clear()
-            else:
-                self.cluster.update((anchor, n))
-                self.handle.registerTimer(max(over, now) + 1)
-        yield pd.DataFrame(out, columns=["ticker", "class", "msg_id", "d", "anchor", "messages"])
+            anchors.append(pd.Timestamp(anchor, unit="ms").date())
+            before.append(n)
+            n += count
+        if now > self._over(anchor):
+            self.cluster.clear()
+        else:
+            self.cluster.update((anchor, n))
+            self.handle.registerTimer(max(self._over(anchor), now) + 1)
+        yield pd.DataFrame({"ticker": key[0], "class": key[1], "d": due["d"].tolist(), "anchor": anchors, "before": before, "ids": due["ids"].tolist()})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802
+        if self.cluster.exists() and timerValues.getCurrentWatermarkInMs() > self._over(self.cluster.get()[0]):
+            self.cluster.clear()
+        return iter(())
 
     def close(self) -> None:
         pass
 
 
-CLUSTERS = "ticker string, class string, msg_id string, d date, anchor date, messages long"
-
-
 def stream_clusters(events: DataFrame, days: int = 30, late: str = "10 days") -> DataFrame:
-    """ticker, class, msg_id, d, anchor and messages of a cluster so far, for every event (ticker, class, msg_id, d, ts) that the watermark has passed."""
-    marked = events.withWatermark("ts", late)
-    return marked.groupBy("ticker", "class").transformWithStateInPandas(AnchoredClusters(days), CLUSTERS, "append", "EventTime")
+    """ticker, class, msg_id, d, anchor and messages of a cluster so far, for every event (ticker, class, msg_id, d, ts) that the watermark has passed.
+
+    Events wait in an aggregate by (ticker, class, ts, d), so only times, not events, are folded in Python. It lets a time go that is equal to the watermark, hence the microsecond: what is due lies
+    before the watermark. What comes when the watermark has already passed is too late and dropped; Spark itself drops it a batch later only, so what leaves in the batch in which it came is taken out here.
+    """
+    marked = events.where(F.col("ts").isNotNull()).withColumn("ts", F.date_trunc("MILLISECOND", "ts") + F.expr("interval 1 microsecond")).withColumn("_came", F.current_timestamp()).withWatermark("ts", late)
+    waiting = marked.groupBy("ticker", "class", "ts", "d").agg(F.collect_list(F.struct("msg_id", "_came")).alias("_events"))
+    ids = F.transform(F.filter("_events", lambda e: e["_came"] != F.current_timestamp()), lambda e: e["msg_id"])
+    due = waiting.withColumn("_ids", F.sort_array(ids)).where(F.size("_ids") > 0)
+    due = due.select("ticker", "class", "ts", F.unix_millis("ts").alias("at"), "d", F.size("_ids").cast("long").alias("n"), F.to_json("_ids").alias("ids"))
+    placed = due.groupBy("ticker", "class").transformWithStateInPandas(AnchoredClusters(days), "ticker string, class string, d date, anchor date, before long, ids string", "append", "EventTime")
+    each = placed.select("ticker", "class", "d", "anchor", "before", F.posexplode(F.from_json("ids", "array<string>")).alias("_i", "msg_id"))
+    return each.select("ticker", "class", "msg_id", "d", "anchor", (F.col("before") + F.col("_i") + 1).alias("messages"))
 
 
 def stream_block_counts(blocks: DataFrame) -> DataFrame:
