@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+from tidemark.operators import pages
 from tidemark.streaming import incremental
 
 
@@ -23,3 +24,17 @@ def test_stream_clusters_fold_times_not_events(spark, tmp_path):
     first = [*at(0), *at(30)]
     want = [(m, day(0).date(), i + 1) for i, m in enumerate(first)] + [(m, day(31).date(), i + 1) for i, m in enumerate(at(31))] + [(m, day(62).date(), i + 1) for i, m in enumerate(at(62))]
     assert sorted(((m, a, n) for _, _, m, _, a, n in out), key=repr) == sorted(want, key=repr)
+
+
+def test_text_index_reads_pages_once_and_wanted_attachments_only(spark):
+    """Blocks come from what is written; shared blocks are sent to them; an attachment of a page that has a text is not read, others are as before."""
+    note = "The primary insider purchased shares at a price of NOK 10. " * 8
+    html = lambda i: "<html><body><nav><a>Home</a></nav><p>Our terms hold</p>" + (f"<p>{note} No {i}.</p>" if i % 3 else "") + "</body></html>"
+    pages_ = spark.createDataFrame([(i, html(i)) for i in range(30)], "page_id long, html string")
+    attached = [(i, n, t) for i in range(30) for n, t in ((2, f"second  {i}"), (1, f"first {i}"), (3, " "))] + [(3, 4, None), (99, 1, "of no page"), (None, 1, "of none")]
+    attached = [(i, n, " " if i == 6 else t) for i, n, t in attached]
+    found = pages.text_index(pages_, spark.createDataFrame(attached, "page_id long, attachment_no int, text string").repartition(2), least=100)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "html" not in plan and "LeftSemi" in plan
+    want = {i: ("block", f"{note}No {i}.") if i % 3 else ("none", "") if i == 6 else ("attachment", f"first {i}\nsecond {i}") for i in range(30)}
+    assert {r.page_id: (r.how, r.text) for r in found.collect()} == want

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import fingerprint, one_line
+from ..sources.tables import stored
 from .stats import running_counts
 
 #: Elements whose content is never text, elements that end a block, words of messages and of menus.
@@ -25,12 +26,13 @@ def blocks(pages: DataFrame) -> DataFrame:
     html = F.regexp_replace(html, rf"(?is)</({SOFT})\s*>", "\u0001\u0003")
     html = F.regexp_replace(html, rf"(?is)</?({BLOCK})\b[^>]*>", "\u0001")
     parts = pages.select("page_id", F.posexplode(F.split(html, "\u0001")).alias("part_no", "raw"))
-    depth = F.sum(F.when(F.startswith("raw", F.lit("\u0002")), 1).when(F.startswith("raw", F.lit("\u0003")), -1).otherwise(0)).over(W.partitionBy("page_id").orderBy("part_no"))
     plain = F.regexp_replace(F.regexp_replace("raw", r"(?is)<br\b[^>]*>", " "), r"(?s)<[^>]*>|[\u0002\u0003]", "")
     for name, char in ENTITIES.items():
         plain = F.replace(plain, F.lit(name), F.lit(char))
     links = F.aggregate(F.regexp_extract_all("raw", F.lit(r"(?is)<a\b[^>]*>(.*?)</a>"), F.lit(1)), F.lit(0), lambda n, x: n + F.length(F.regexp_replace(x, "<[^>]*>", "")))
-    out = parts.withColumn("soft", depth > 0).withColumn("text", one_line(plain)).withColumn("link_chars", links).where("text <> ''")
+    step = F.when(F.startswith("raw", F.lit("\u0002")), 1).when(F.startswith("raw", F.lit("\u0003")), -1).otherwise(0)
+    read = parts.select("page_id", "part_no", step.alias("_step"), one_line(plain).alias("text"), links.alias("link_chars"))  # before the window, so that no pattern runs again for the filter
+    out = read.withColumn("soft", F.sum("_step").over(W.partitionBy("page_id").orderBy("part_no")) > 0).where("text <> ''")
     return out.select("page_id", (F.row_number().over(W.partitionBy("page_id").orderBy("part_no")) - 1).alias("block_no"), "text", "soft", F.length("text").alias("chars"), "link_chars")
 
 
@@ -98,25 +100,31 @@ def residual(found: DataFrame, shared: DataFrame, least: int = 0, most: int | No
 def attachment_text(attachments: DataFrame) -> DataFrame:
     """page_id, text: a page's attachments with a text, in order of attachment_no (null first, then by text), one line each."""
     part = F.struct("attachment_no", one_line(F.col("text")).alias("t"))
-    found = attachments.select("page_id", part.alias("_part")).where("_part.t <> ''")
-    return found.groupBy("page_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("_part")), lambda x: x["t"]), "\n").alias("text"))
+    parts = F.array_sort(F.filter(F.collect_list(part), lambda x: x["t"] != ""))  # filtered once they are read, so that no text is read twice
+    return attachments.groupBy("page_id").agg(F.array_join(F.transform(parts, lambda x: x["t"]), "\n").alias("text")).where("text <> ''")
 
 
 def text_index(pages: DataFrame, attachments: DataFrame | None = None, least: int = 0) -> DataFrame:
     """page_id, text, how: best block, else residual text of `least` characters, else that of the page's attachments, else none; for every page.
 
-    attachments: page_id, attachment_no, text, as read from what a page links to.
+    attachments: page_id, attachment_no, text, as read from what a page links to. Blocks are read once and written, as are the shared ones: of these there are few, so they go to
+    the blocks, and what all pages share is in no task of its own. Only attachments of pages without a text of their own are read.
     """
-    found = blocks(pages)
-    shared = boilerplate(found)
+    found = stored(blocks(pages), "page-blocks")
+    shared = stored(boilerplate(found).select("fp"), "shared-blocks")
     legs = [("block", best_block(found, shared)), ("residual", residual(found, shared, least))]
-    if attachments is not None:
-        legs.append(("attachment", attachment_text(attachments)))
     out = pages.select("page_id")
     for how, texts in legs:
         out = out.join(texts.select("page_id", F.col("text").alias(f"_{how}")), "page_id", "left")
-    how = F.coalesce(*(F.when(F.col(f"_{x}").isNotNull(), x) for x, _ in legs), F.lit("none"))
-    return out.select("page_id", F.coalesce(*(f"_{x}" for x, _ in legs), F.lit("")).alias("text"), how.alias("how"))
+    names = [how for how, _ in legs]
+    if attachments is not None:
+        out = stored(out, "page-texts")
+        wanted = stored(out.where("_block is null and _residual is null").select("page_id").distinct(), "pages-without")
+        texts = attachment_text(attachments.join(wanted, "page_id", "left_semi"))
+        out = out.join(texts.withColumnRenamed("text", "_attachment"), "page_id", "left")
+        names.append("attachment")
+    how = F.coalesce(*(F.when(F.col(f"_{x}").isNotNull(), x) for x in names), F.lit("none"))
+    return out.select("page_id", F.coalesce(*(f"_{x}" for x in names), F.lit("")).alias("text"), how.alias("how"))
 
 
 def index_status(index: DataFrame) -> DataFrame:
